@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]] | None = None, change: Callable[[list[str | None]], list[str | None]] | None = None) -> DataFrame:
+    """docs with the rows that `keep` refuses dropped and the texts that `change` returns, all other columns as they
+    are; n_chars follows the text."""
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            if keep:
+                mask = keep(texts)
+                b = b.filter(pa.array(mask, pa.bool_()))
+                texts = [t for t, m in zip(texts, mask, strict=True) if m]
+            if change:
+                new = change(texts)
+                b = b.set_column(b.schema.names.index("text"), "text", pa.array(new, b.column("text").type))
+                if "n_chars" in b.schema.names:
+                    at = b.schema.names.index("n_chars")
+                    b = b.set_column(at, "n_chars", pa.array([None if t is None else len(t) for t in new], b.column(at).type))
+            yield b
+
+    return docs.mapInArrow(run, schema)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(a, b) long edges -> (node, component): the smallest node that can be reached.
 

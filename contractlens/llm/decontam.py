@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 SEED = 3  # words of a seed
 BLOCK = 20_000  # items that are sent to the executors at once: bounds the broadcast
@@ -155,20 +155,14 @@ def leaks(codes: np.ndarray, index: Index) -> list[tuple[int, float, int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, score, first_word, end_word of every pair whose best alignment reaches the threshold.
-
-    Null and empty texts and items match nothing. Repeated documents give a row each; repeated items count once per
-    item_id and text. Words are what is left of lower-cased tokens without edge punctuation.
-    """
-    spark = docs.sparkSession
+def _indexes(docs: DataFrame, benchmark: DataFrame, block: int) -> Iterator[Index]:
+    """The benchmark in blocks, each with seeds that are rare among all documents."""
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = max(1, math.ceil(items.count() / block))
-    out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         index = Index([(r["item_id"], r["text"]) for r in rows])
-        sent = spark.sparkContext.broadcast(index)
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index, n = sent.value, Counter()
@@ -178,9 +172,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                     n.update(np.unique(hits(read_codes(text, words), index, index.all)[1]).tolist())
             yield pd.DataFrame({"g": list(n), "n": list(n.values())}, dtype="int64")
 
-        df = docs.select("text").mapInPandas(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()  # as many as the block's n-grams at most
+        df = docs.select("text").mapInPandas(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()  # the block's n-grams at most
         index.keep_rare({r["g"]: r["n"] for r in df})
-        found = spark.sparkContext.broadcast(index)
+        yield index
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, score, first_word, end_word of every pair whose best alignment reaches the threshold.
+
+    Null and empty texts and items match nothing. Repeated documents give a row each; repeated items count once per
+    item_id and text. Words are what is left of lower-cased tokens without edge punctuation.
+    """
+    out = None
+    for index in _indexes(docs, benchmark, block):
+        found = docs.sparkSession.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pd.DataFrame], found=found) -> Iterator[pd.DataFrame]:
             index = found.value
@@ -194,5 +199,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """docs without those that hold a copy of an item; all columns stay."""
+    out = docs
+    for index in _indexes(docs, benchmark, block):
+        found = docs.sparkSession.sparkContext.broadcast(index)
+
+        def keep(texts: list[str | None], found=found) -> list[bool]:
+            words = Words(found.value.word)
+            return [all(s < threshold for _, s, _, _ in leaks(read_codes(t, words), found.value)) for t in texts]
+
+        out = map_texts(out, keep=keep)
+    return out
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .decontam import op2_decontamination
 from .html_main import op7_html_main
+from .mixing import op3_context_mixing
+from .pii import op8_pii
 from .secrets import op6_secrets
 from .simhash import op10_simhash
 from .sketch import op4_scaled_sketch
+from .suffix import op5_suffix_dedup
+from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_scaled_sketch, op6_secrets, op7_html_main, op9_byte_bpe, op10_simhash)}
+OPERATORS = (
+    op1_toxicity, op2_decontamination, op3_context_mixing, op4_scaled_sketch, op5_suffix_dedup,
+    op6_secrets, op7_html_main, op8_pii, op9_byte_bpe, op10_simhash,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {}

@@ -192,5 +192,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_fp.hint("shuffle_merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component; rows without an id stay, as nothing names them."""
+    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
