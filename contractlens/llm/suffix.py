@@ -197,7 +197,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     aside.
     """
     d, flags = _first_texts(docs)
-    texts = d.repartition("k", "h")
+    texts = d  # each use joins on (k, h): one exchange that the others reuse
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -219,8 +219,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 data = text.encode("utf-8", "surrogatepass")
                 for m in marks:
                     p = m["at"] >> 14
-                    lo = max(0, p - LEFT)
-                    rows.append((m["gram"], k, h, m["at"], data[lo:p].rjust(LEFT, b"\0") + data[p : p + RIGHT].ljust(RIGHT, b"\0")))
+                    # Just the bytes of the windows that the gram stands for.
+                    rows.append((m["gram"], k, h, m["at"], data[p - (m["at"] & 127) : p + LENGTH - (m["at"] >> 7 & 127)]))
             yield pd.DataFrame(rows, columns=["gram", "k", "h", "at", "context"])
 
     contexts = texts.join(marks.hint("shuffle_merge"), ["k", "h"]).mapInPandas(around, "gram long, k long, h long, at long, context binary")
@@ -231,9 +231,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         def done(part: pd.DataFrame) -> pd.DataFrame:
             part = part.drop_duplicates(["gram", "k", "h", "at"])  # of rows equal in id and text
-            ctx = part["context"].tolist()
             at = part["at"].to_numpy()
-            runs = covered(part["gram"].to_numpy(), [c[:LEFT][::-1] for c in ctx], [c[LEFT:] for c in ctx], at >> 7 & 127, at & 127)
+            cuts = list(zip(part["context"], (at & 127).tolist(), strict=True))
+            left, right = [c[:n][::-1].ljust(LEFT, b"\0") for c, n in cuts], [c[n:].ljust(RIGHT, b"\0") for c, n in cuts]
+            runs = covered(part["gram"].to_numpy(), left, right, at >> 7 & 127, at & 127)
             row = runs[:, 0]
             p = at[row] >> 14
             return pd.DataFrame({"k": part["k"].to_numpy()[row], "h": part["h"].to_numpy()[row], "s": p - runs[:, 2], "e": p - runs[:, 1] + LENGTH})
