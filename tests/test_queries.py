@@ -118,9 +118,10 @@ def test_stream_equals_batch(spark, tmp_path):
     ev = view(spark, DIR, "hook")
     ev.repartition(1).sortWithinPartitions("event_id").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
-    q = E.track_edits(stream).writeStream.format("memory").queryName("edits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:  # with timeouts set, a query of available data alone does not end by itself
-        q.processAllAvailable()
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timeouts would keep it running
+    q = E.track_edits(stream).writeStream.format("memory").queryName("edits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(60)
     finally:
         q.stop()
     got = {tuple(r) for r in spark.table("edits").collect()}
