@@ -246,3 +246,22 @@ def test_mixing(docs, rows, empty):
     assert Counter((g["doc_id"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 4)) for g in got) == want
     assert all(g["score"] < 0 for g in got)
     assert mixing.score_texts(empty).count() == 0
+
+
+def test_mixing_pairs_do_not_depend_on_runs(monkeypatch):
+    spelled = [mixing.spelled(mixing.words_of(t)) for t in texts()]
+    whole = mixing.Pairs(spelled)
+    monkeypatch.setattr(mixing, "RUN", 900)
+    monkeypatch.setattr(mixing, "PIECE", 200)
+    parts = mixing.Pairs(spelled)
+    assert len(parts.parts) > 3
+    want = Counter((b"\0" * 5 + t)[i : i + 6] for t in spelled for i in range(len(t)))
+    for pairs in (whole, parts):
+        got = Counter()
+        for g, n in zip(pairs.g.tolist(), pairs.counts().tolist(), strict=True):
+            got[g.to_bytes(6, "big")] += n
+        assert got == want
+        assert pairs.sums((pairs.g & 0xFF).astype(float)).tolist() == [sum(t) for t in spelled]
+    g, n = mixing.total_of([mixing.grams_in(run) for run in mixing.pieces(spelled, mixing.RUN)])
+    assert dict(zip((x.to_bytes(6, "big") for x in g.tolist()), n.tolist(), strict=True)) == want
+    assert len(mixing.Pairs([]).counts()) == 0
