@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every word n-gram of a test item is a possible seed. Their document frequencies over the whole corpus are counted
-first; the rarer half of each item's n-grams become its seeds, so each item keeps seeds however common its words.
-Where a document holds a seed, the words around it are aligned with the item, and the alignment's share of the best
-possible score is the pair's score.
+Every word n-gram of a test item is a seed, however many documents hold it: a leak makes its own n-grams frequent, so
+none is left out for its frequency. Where a document holds a seed, the words around it are aligned with the item, and
+the alignment's share of the best possible score is the pair's score. Words around a seed that share too few words with
+the item to reach the threshold in any order are not aligned; that keeps common n-grams cheap and loses no pair.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +39,11 @@ class Index:
         self.codes = [np.array([self.word[w] for w in ws], np.int64) for _, ws in self.items]
         self.grams = [self.encode(c) for c in self.codes]
         self.all = np.unique(np.concatenate(self.grams)) if self.grams else np.empty(0, np.int64)
+        self.bags = [np.unique(c, return_counts=True) for c in self.codes]
+        self.seeds: dict[int, list[tuple[int, int]]] = {}
+        for n, grams in enumerate(self.grams):
+            for j, g in enumerate(grams.tolist()):
+                self.seeds.setdefault(g, []).append((n, j))
 
     def encode(self, codes: np.ndarray) -> np.ndarray:
         """n-gram codes; a shorter sequence is one gram, padded by zeros in front."""
@@ -50,13 +54,11 @@ class Index:
             out = out * self.base + codes[k : len(codes) - SEED + 1 + k]
         return out
 
-    def keep_rare(self, df: dict[int, int]) -> None:
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-        for n, grams in enumerate(self.grams):
-            freq = np.array([df.get(int(g), 0) for g in grams])
-            for j in np.flatnonzero(freq <= np.median(freq)):
-                self.seeds.setdefault(int(grams[j]), []).append((n, int(j)))
-        self.rare = np.array(sorted(self.seeds), np.int64)
+    def shared(self, n: int, window: np.ndarray) -> int:
+        """Words that the window and item n have in common, each as often as both hold it."""
+        words, most = self.bags[n]
+        at = np.minimum(np.searchsorted(words, window), len(words) - 1)
+        return int(np.minimum(np.bincount(at[words[at] == window], minlength=len(words)), most).sum())
 
 
 class Words(dict):
@@ -128,9 +130,10 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def leaks(codes: np.ndarray, index: Index) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end word) of the best alignment of each item with a seed in the document."""
-    where, grams = hits(codes, index, index.rare)
+def leaks(codes: np.ndarray, index: Index, threshold: float) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, end word) of the best alignment of each item with a seed in the document, if its score
+    reaches the threshold."""
+    where, grams = hits(codes, index, index.all)
     windows: dict[int, list[tuple[int, int]]] = {}
     for p, g in zip(where.tolist(), grams.tolist(), strict=True):
         for n, j in index.seeds[g]:
@@ -139,8 +142,8 @@ def leaks(codes: np.ndarray, index: Index) -> list[tuple[int, float, int, int]]:
             lo = max(0, p - math.ceil(1.4 * j) - 4)
             hi = min(len(codes), p + math.ceil(1.4 * (size - j)) + 4)
             spans = windows.setdefault(n, [])
-            if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 4 * size + 32:
-                spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
+            if spans and lo <= spans[-1][1] and max(hi, spans[-1][1]) - min(lo, spans[-1][0]) <= 4 * size + 32:
+                spans[-1] = (min(lo, spans[-1][0]), max(hi, spans[-1][1]))
             else:
                 spans.append((lo, hi))
     out = []
@@ -148,33 +151,22 @@ def leaks(codes: np.ndarray, index: Index) -> list[tuple[int, float, int, int]]:
         item = index.codes[n]
         found = []
         for lo, hi in spans:
+            if index.shared(n, codes[lo:hi]) / len(item) < threshold:  # a match a word at most
+                continue
             score, s, e = align(item, codes[lo:hi])
             found.append((score / (MATCH * len(item)), lo + s, lo + e))
-        best = max(found, key=lambda x: (x[0], -x[1]))
-        out.append((n, *best))
+        if found and (best := max(found, key=lambda x: (x[0], -x[1])))[0] >= threshold:
+            out.append((n, *best))
     return out
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, block: int) -> Iterator[Index]:
-    """The benchmark in blocks, each with seeds that are rare among all documents."""
+def _indexes(benchmark: DataFrame, block: int) -> Iterator[Index]:
+    """The benchmark in blocks."""
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = max(1, math.ceil(items.count() / block))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        index = Index([(r["item_id"], r["text"]) for r in rows])
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index, n = sent.value, Counter()
-            words = Words(index.word)
-            for b in batches:
-                for text in b["text"]:
-                    n.update(np.unique(hits(read_codes(text, words), index, index.all)[1]).tolist())
-            yield pd.DataFrame({"g": list(n), "n": list(n.values())}, dtype="int64")
-
-        df = docs.select("text").mapInPandas(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()  # the block's n-grams at most
-        index.keep_rare({r["g"]: r["n"] for r in df})
-        yield index
+        yield Index([(r["item_id"], r["text"]) for r in rows])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -184,14 +176,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     item_id and text. Words are what is left of lower-cased tokens without edge punctuation.
     """
     out = None
-    for index in _indexes(docs, benchmark, block):
+    for index in _indexes(benchmark, block):
         found = docs.sparkSession.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pd.DataFrame], found=found) -> Iterator[pd.DataFrame]:
             index = found.value
             words = Words(index.word)
             for b in batches:
-                rows = [(i, index.items[n][0], s, a, e) for i, text in zip(b["doc_id"], b["text"], strict=True) for n, s, a, e in leaks(read_codes(text, words), index) if s >= threshold]
+                rows = [(i, index.items[n][0], s, a, e) for i, text in zip(b["doc_id"], b["text"], strict=True) for n, s, a, e in leaks(read_codes(text, words), index, threshold)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "end_word"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(find, "doc_id long, item_id long, score double, first_word long, end_word long")
@@ -202,12 +194,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """docs without those that hold a copy of an item; all columns stay."""
     out = docs
-    for index in _indexes(docs, benchmark, block):
+    for index in _indexes(benchmark, block):
         found = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(texts: list[str | None], found=found) -> list[bool]:
             words = Words(found.value.word)
-            return [all(s < threshold for _, s, _, _ in leaks(read_codes(t, words), found.value)) for t in texts]
+            return [not leaks(read_codes(t, words), found.value, threshold) for t in texts]
 
         out = map_texts(out, keep=keep)
     return out

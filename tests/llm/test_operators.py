@@ -196,6 +196,27 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contamination(empty, bench).count() == 0
 
 
+def test_decontamination_of_hot_and_edited_copies(spark):
+    words = [f"w{i}" for i in range(40)]
+    half = " ".join(words[3:22])
+    fourth, fifth = ([w if i % k != k - 1 else f"z{i}" for i, w in enumerate(words)] for k in (4, 5))
+    rows = [(i, f"a{i} b{i} {half} c{i}") for i in range(200)] + [(1000, " ".join(fourth)), (1001, " ".join(fifth)), (1002, "w1 w2 w3 " + "x " * 50)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for more in ([], [(2000 + i, " ".join(words)) for i in range(3)]):
+        df = spark.createDataFrame(rows + more, "doc_id long, text string")
+        got = {r["doc_id"]: r["score"] for r in decontam.contamination(df, bench).collect()}
+        # 19 of 40 words match; 30 of 39 with 9 changed between; 32 of 39 with 7 changed between.
+        assert got == {i: 0.475 for i in range(200)} | {1000: 51 / 80, 1001: 57 / 80} | {i: 1.0 for i, _ in more}
+        assert [r["doc_id"] for r in decontam.drop_contaminated(df.selectExpr("*", "length(text) AS n_chars"), bench).collect()] == [1002]
+
+
+def test_decontamination_of_an_item_that_repeats_its_words(spark):
+    item = ["a", "b", "c"] + [f"w{i}" for i in range(20)] + ["a", "b", "c"]
+    docs = spark.createDataFrame([(1, " ".join(f"x{i}" for i in range(40)) + " " + " ".join(item[3:]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [(r["score"], r["first_word"], r["end_word"]) for r in decontam.contamination(docs, bench).collect()] == [(23 / 26, 40, 63)]
+
+
 def test_alignment():
     r = random.Random(2)
     for _ in range(60):
