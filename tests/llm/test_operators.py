@@ -269,6 +269,19 @@ def test_mixing(docs, rows, empty):
     assert mixing.score_texts(empty).count() == 0
 
 
+def test_mixing_counters_keep_their_ratio():
+    small = np.array([(a, b) for a in range(13) for b in range(13)])
+    q = mixing.squeeze(small[:, 0], small[:, 1])
+    assert (np.rint(mixing.N0[q]) == small[:, 0]).all() and (np.rint(mixing.N1[q]) == small[:, 1]).all()
+    n0, n1 = (x.ravel() for x in np.meshgrid(*[np.r_[0, np.rint(np.geomspace(1, 6e9, 400))]] * 2))
+    q = mixing.squeeze(n0, n1)
+    want = np.clip(np.log((n1 + mixing.DELTA) / (n0 + mixing.DELTA)), -11.9, 11.9)
+    assert np.abs(np.clip(mixing.STRETCH[q], -11.9, 11.9) - want).max() < 0.1
+    many = np.maximum(n0, n1) > 2e4
+    assert np.abs(np.clip(mixing.STRETCH[q], -11.9, 11.9) - want)[many].max() < 0.02
+    assert np.abs(np.log2((mixing.N0[q] + mixing.N1[q])[many] / (n0 + n1)[many])).max() < 0.6
+
+
 def test_mixing_pairs_do_not_depend_on_runs(monkeypatch):
     spelled = [mixing.spelled(mixing.words_of(t)) for t in texts()]
     whole = mixing.Pairs(spelled)
