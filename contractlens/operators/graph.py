@@ -10,20 +10,23 @@ from contractlens.operators.relational import resolve_calls, unique_or_null
 from contractlens.sources.scratch import materialize
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 64, max_nodes: int | None = 25_000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 64, max_nodes: int | None = 25_000, partial: bool = False) -> DataFrame:
     """G1: (root, node, parent, depth, rank) of all that roots reach. A node's parent is the earliest ranked one of the
-    level above; ranks go by (parent rank, node). A root that reaches more than max_nodes nodes is an error."""
+    level above; ranks go by (parent rank, node). A root that reaches more than max_nodes nodes is an error, and
+    so are nodes beyond max_depth, unless the caller asks for the first levels only (partial)."""
     e = materialize(edges.select("source", "target").distinct(), "graph-edges")
     seen = roots.select("root", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(1).alias("rank")).distinct()
     seen = front = materialize(seen, "graph-roots")
     levels = [seen]
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + (1 if partial else 2)):
         step = front.join(e, front["node"] == e["source"]).groupBy("root", "target").agg(F.min(F.struct("rank", "node")).alias("p"))
         step = step.select("root", F.col("target").alias("node"), "p").join(seen.select("root", "node"), ["root", "node"], "left_anti")
         w = Window.partitionBy("root").orderBy("p.rank", "node")
         front = materialize(step.select("root", "node", F.col("p.node").alias("parent"), F.lit(depth).alias("depth"), F.row_number().over(w).alias("rank")), f"graph-{depth}")
         if front.isEmpty():
             break
+        if depth > max_depth:
+            raise ValueError(f"{front.first()['root']} reaches nodes beyond depth {max_depth}")
         levels.append(front)
         seen = levels[0]
         for part in levels[1:]:
@@ -44,8 +47,11 @@ def nearest_owner(reach: DataFrame, owners: DataFrame) -> DataFrame:
     return unique_or_null(reach.join(owners, "node").select("root", "owner", "depth").distinct(), ["root"], [F.col("depth")])
 
 
-def paths(reach: DataFrame, max_depth: int) -> DataFrame:
-    """`root => … => node` of each reached node, level by level along parents."""
+def paths(reach: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """`root => … => node` of each reached node, level by level along parents, down to max_depth or to the
+    deepest node."""
+    if max_depth is None:
+        max_depth = reach.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     level = reach.where("depth = 0").select("root", "node", F.col("node").alias("path"))
     out = level
     for d in range(1, max_depth + 1):

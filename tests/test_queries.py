@@ -74,6 +74,22 @@ def test_reachable_cycle(spark):
     assert {r["path"] for r in G.paths(G.reachable(e, roots), 2).collect()} == {"root", "root => a", "root => a => b"}
 
 
+def test_reachable_does_not_stop_silently(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
+    roots = spark.createDataFrame([("a",)], "root string")
+    with pytest.raises(ValueError, match="beyond depth 1"):
+        G.reachable(e, roots, 1)
+    assert G.reachable(e, roots, 2).count() == 3 and G.reachable(e, roots, 1, partial=True).count() == 2
+    assert {r["path"] for r in G.paths(G.reachable(e, roots)).collect()} == {"a", "a => b", "a => b => c"}
+
+
+def test_closure_goes_around_the_cycle(spark):
+    got = Q.QUERIES["g1_closure"](spark, DIR)
+    assert got.agg(F.max("depth")).first()[0] > 4 and got.where("depth > 0 and node like 'nation:%'").count() > 0
+    deep = Q.QUERIES["g4_closure_paths"](spark, DIR)
+    assert deep.count() == got.count() and deep.agg(F.max("steps")).first()[0] > 5
+
+
 def test_paths_inheritance_pairs_names(spark):
     f = spark.createDataFrame([("p", "list", "q", True), ("q", "back", "p", False), ("q", "leaf", None, False)], "schema string, field string, ref string, is_list boolean")
     assert {tuple(r) for r in G.expand_paths(spark.createDataFrame([("p",)], "root string"), f).collect()} == {("p", "", "p"), ("p", "list[]", "q")}
