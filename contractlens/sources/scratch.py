@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
+def scratch_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of the warehouse, which executors share as well."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/contractlens-scratch"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/contractlens-{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: a lineage cut that outlives lost executors. The folder
+    goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/contractlens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
