@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from contractlens.sources.scratch import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+def first_by_hash(df: DataFrame, columns: list[str], n: int, total: int) -> DataFrame:
+    """The n of `total` rows that come first by a hash of some columns, in that order. The hash cuts most rows off
+    before any are sorted, so what tasks hand on follows n and not their number."""
+    h = F.pmod(F.xxhash64(*columns), F.lit(1 << 40))
+    share = min(1.0, (2 * n + 200) / max(total, 1))
+    return df.where(h < int(share * (1 << 40))).withColumn("_h", h).orderBy("_h", *columns).limit(n).drop("_h")
+
+
+def slices(b: pa.RecordBatch, column: str, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `size` bytes of one string column: bounds what a task holds besides the batch."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), np.int64) + 64)
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
+def per_text(df: DataFrame, column: str, fn: Callable[[list[str | None]], list[tuple]], added: str) -> DataFrame:
+    """df without `column` and with the columns `added` (DDL) that fn gives for its texts, one tuple for each.
 
+    All other columns pass as they are, so ids keep their 64 bits whether or not others are null.
+    """
+    more = to_arrow_schema(StructType.fromDDL(added))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, column):
+                got = fn(part.column(column).to_pylist())
+                new = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), more.types, strict=True)]
+                kept = [n for n in part.schema.names if n != column]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *new], names=[*kept, *more.names])
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: a lineage cut that outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/contractlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.mapInArrow(run, StructType([f for f in df.schema if f.name != column] + list(StructType.fromDDL(added))))
 
 
 def map_texts(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]] | None = None, change: Callable[[list[str | None]], list[str | None]] | None = None) -> DataFrame:
