@@ -61,23 +61,32 @@ def map_texts(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]] |
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            if keep:
-                mask = keep(texts)
-                b = b.filter(pa.array(mask, pa.bool_()))
-                texts = [t for t, m in zip(texts, mask, strict=True) if m]
-            if change:
-                new = change(texts)
-                b = b.set_column(b.schema.names.index("text"), "text", pa.array(new, b.column("text").type))
-                if "n_chars" in b.schema.names:
-                    at = b.schema.names.index("n_chars")
-                    b = b.set_column(at, "n_chars", pa.array([None if t is None else len(t) for t in new], b.column(at).type))
-            yield b
+        for whole in batches:
+            for b in slices(whole, "text"):
+                texts = b.column("text").to_pylist()
+                if keep:
+                    mask = keep(texts)
+                    b = b.filter(pa.array(mask, pa.bool_()))
+                    texts = [t for t, m in zip(texts, mask, strict=True) if m]
+                if change:
+                    new = change(texts)
+                    b = b.set_column(b.schema.names.index("text"), "text", pa.array(new, b.column("text").type))
+                    if "n_chars" in b.schema.names:
+                        at = b.schema.names.index("n_chars")
+                        b = b.set_column(at, "n_chars", pa.array([None if t is None else len(t) for t in new], b.column(at).type))
+                yield b
 
     return docs.mapInArrow(run, schema)
 
 
+def salted(edges: DataFrame, low: DataFrame, salts: int = 8) -> DataFrame:
+    """edges (u, v) with the row of low (u, m) of each u. A node's edges are dealt to several tasks, each with a copy
+    of its row, so that a node of very many edges does not meet in one."""
+    s = F.pmod(F.xxhash64("v"), F.lit(salts))
+    copies = low.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    return edges.withColumn("s", s).join(copies.hint("shuffle_merge"), ["u", "s"]).drop("s")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(a, b) long edges -> (node, component): the smallest node that can be reached.
 
@@ -92,10 +101,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low.hint("shuffle_merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = salted(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("shuffle_merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = salted(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:

@@ -1,9 +1,9 @@
 """Toxicity through a noisy channel.
 
 Disguised tokens (leetspeak, repeated letters, letters set apart) become character lattices, which a Viterbi search
-decodes under a character trigram model of the corpus's own words. A token's evidence is the share of toxic training
-documents among those that hold one of its features (word starts and the whole word), for the text as written and as
-restored; a logistic model over the strongest evidences of a document gives its score.
+decodes under a character trigram model counted over all documents. The restored text is what is scored: a word's
+evidence is the share of toxic training documents among those that hold one of its features (word starts and the whole
+word); a logistic model over the strongest evidences, their number and the length of the text gives the score.
 """
 
 from __future__ import annotations
@@ -15,19 +15,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, table
+from .common import first_by_hash, map_texts, materialize, per_text, slices, table
 
 SAMPLE = 20_000  # labelled documents of each class that the classifier is fitted on, at most
 PREFIXES = (3, 4, 5, 6)
 PRIOR = 2.0  # clean documents that each feature is taken to have besides those seen
 LEAST = 3  # toxic documents that a feature needs
 THRESHOLD = 0.7
+STRONG = 0.5  # evidence that is counted
+RAREST = 1e-6  # share of all trigrams that a trigram needs to be kept: at most a million are
 # Characters that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
 BETWEEN = "._-*~'`^"
+REPEATED = re.compile(r"(.)\1{3,}", re.S)
 ODD = re.compile(r"[0-9@$!|+€£(._\-*~'`^]|(.)\1\1|(.)\2.*(.)\3")
 APART = re.compile(r"(?<![^\s])[\"'(]?[^\W_](?:[ ._*~-]{1,3}[^\W_]){2,}(?![^\W_])", re.U)
 TRAILING = "%&*#$!.,|?;:+\"')("
@@ -68,75 +72,80 @@ class CharModel:
         return -math.log(p)
 
 
-def restore(token: str, model: CharModel, beam: int = 24) -> list[str]:
-    """The likeliest plain words behind a token, best first: a beam Viterbi over its lattice, one state per last two
-    characters emitted. Edges: a letter as it is; a stand-in as one of its letters; a repeated character dropped; a
-    separator dropped."""
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+def restore(token: str, model: CharModel) -> str:
+    """The likeliest plain words behind a token or a run of letters set apart: exact Viterbi over its lattice, a state
+    being the last two characters emitted. Edges: a letter as it is; a stand-in as one of its letters, or dropped if it
+    may be punctuation; a repeated character dropped; a separator dropped, or a space kept as the end of a word. '' if
+    a character has no edge."""
+    token = REPEATED.sub(r"\1\1\1", token)  # further copies would be dropped at the same cost on every path
+    states: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
     last = ""
     for x in token:
         edges: list[tuple[str, float]] = []
         if x.isalpha():
             edges.append((x, 0.0))
         edges += [(y, 0.4) for y in LEET.get(x, "")]
+        if x in LEET and not x.isalnum():
+            edges.append(("", 1.0))
         if x == last or x.isalpha() and x in LEET.get(last, "") or last.isalpha() and last in LEET.get(x, ""):
             edges.append(("", 0.7))
         if x in BETWEEN or x == " ":
             edges.append(("", 0.1))
+        if x == " ":
+            edges.append((" ", 0.4))
         if not edges:
-            return []
-        new: dict[str, tuple[float, str]] = {}
+            return ""
+        new: dict[str, tuple[float, tuple]] = {}
         for s, (cost, out) in states.items():
             for y, extra in edges:
-                t, c = (s, cost + extra) if not y else (s[1] + y, cost + extra + model.cost(s[0], s[1], y))
+                if not y:
+                    t, c, o = s, cost + extra, out
+                elif y == " ":
+                    t, c, o = "^^", cost + extra + model.cost(s[0], s[1], "$"), (out, y)
+                else:
+                    t, c, o = s[1] + y, cost + extra + model.cost(s[0], s[1], y), (out, y)
                 if t not in new or c < new[t][0]:
-                    new[t] = (c, out + y)
-        states = dict(sorted(new.items(), key=lambda kv: kv[1])[:beam])
-        last = x
-    ends = sorted((c + model.cost(s[0], s[1], "$"), out) for s, (c, out) in states.items())
-    return list(dict.fromkeys(out for _, out in ends))[:4]
+                    new[t] = (c, o)
+        states, last = new, x
+    _, path = min(((c + model.cost(s[0], s[1], "$"), o) for s, (c, o) in states.items()), key=lambda x: x[0])
+    letters = []
+    while path:
+        path, y = path
+        letters.append(y)
+    return "".join(reversed(letters))
 
 
-def suspects(text: str) -> list[str]:
-    """Runs of single letters set apart; suspect tokens are found one by one."""
-    return [m[0] for m in APART.finditer(text)]
+class Restorer(dict):
+    """token -> word as restored: suspect tokens are decoded, others stay. Keeps up to `most` tokens."""
 
-
-class Evidence(dict):
-    """token -> evidence of the token as written or as restored; keeps up to `most` tokens."""
-
-    def __init__(self, lexicon: dict[str, float], model: CharModel, most: int = 1_000_000):
+    def __init__(self, model: CharModel, most: int = 1_000_000):
         super().__init__()
-        self.lexicon, self.model, self.most = lexicon, model, most
-
-    def plain(self, w: str) -> float:
-        return max((self.lexicon.get(f, 0.0) for f in features(w)), default=0.0)
+        self.model, self.most = model, most
 
-    def __missing__(self, token: str) -> float:
+    def __missing__(self, token: str) -> str:
         if len(self) > self.most:
             self.clear()
-        best = self.plain(token)
-        core = token.strip(".,?;:\"'%&*#")
-        if 3 <= len(core) <= 40 and ODD.search(core) and any(c.isalpha() for c in core):
-            for core in {core, clean(token)}:
-                for w in restore(core, self.model):
-                    best = max(best, self.plain(w))
-        self[token] = best
-        return best
+        core = clean(token)
+        suspect = len(core) >= 3 and ODD.search(core) and any(c.isalpha() for c in core)
+        self[token] = word = suspect and restore(core, self.model) or core
+        return word
 
+    def words(self, text: str) -> set[str]:
+        """The distinct words of the restored text, of runs of letters set apart too."""
+        low = text.lower()
+        out = set(map(self.__getitem__, set(low.split())))
+        for m in APART.finditer(low):
+            out.update(restore(m[0].strip("\"'("), self.model).split())
+        return out
 
-def strongest(text: str, evidence: Evidence) -> list[float]:
-    low = text.lower()
-    found = {t: e for t in set(low.split()) if (e := evidence[t])}
-    for run in suspects(low):
-        if e := evidence[run.replace(" ", "")]:
-            found[run] = e
-    return sorted(found.values(), reverse=True)[:3]
 
+def evidences(words: set[str], lexicon: dict[str, float]) -> list[float]:
+    """Evidence of each word that has any, strongest first."""
+    return sorted((e for w in words if (e := max((lexicon.get(f, 0.0) for f in features(w)), default=0.0))), reverse=True)
 
-def _design(m: list[float]) -> list[float]:
-    m = (m + [0.0, 0.0, 0.0])[:3]
-    return [1.0, *m]
+
+def _design(found: list[float], words: int) -> list[float]:
+    return [1.0, *(found + [0.0, 0.0, 0.0])[:3], math.log1p(sum(e >= STRONG for e in found)), math.log1p(words)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -151,56 +160,84 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     return w
 
 
-def is_held_out(doc_id: Column | str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string")) % 3 == 1
+def is_held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+
+
+def char_trigrams(docs: DataFrame, rarest: float = RAREST) -> dict[str, int]:
+    """How often each character trigram stands in the words (of letters alone) of all documents."""
+
+    def count(batches: Iterator) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in slices(b, "text"):
+                words, tri = Counter(), Counter()
+                for text in part.column("text").to_pylist():
+                    words.update((text or "").lower().split())
+                for w, n in words.items():
+                    w = clean(w)
+                    if w.isalpha():
+                        s = f"^^{w}$"
+                        for i in range(len(s) - 2):
+                            tri[s[i : i + 3]] += n
+                yield pa.RecordBatch.from_pydict({"g": list(tri), "n": list(tri.values())}, pa.schema([("g", pa.string()), ("n", pa.int64())]))
+
+    counts = materialize(docs.select("text").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")), "trigrams")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = counts.where(F.col("n") >= total * rarest).toPandas()
+    return dict(zip(rows["g"], rows["n"].tolist(), strict=True))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], dict[str, int], np.ndarray]:
-    """Lexicon, trigrams and weights, from labelled rows outside the held-out third: at most `sample` per class."""
+    """Lexicon, trigrams and weights. Trigrams are of all documents; the classifier is fitted on labelled rows outside
+    the held-out third, at most `sample` of each class."""
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.where(~is_held_out())
-    picked = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
-    train_docs = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    train_docs = materialize(train_docs.select("toxic", F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
+    n = dict(rows.groupBy("toxic").count().collect())
+    picked = [first_by_hash(rows.where(F.col("toxic") == y), ["doc_id"], sample, n.get(y, 0)) for y in (0, 1)]
+    train_docs = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # 2 * sample ids at most
+    train_docs = materialize(train_docs.select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
+    trigrams = char_trigrams(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(trigrams)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restorer = Restorer(CharModel(sent.value))
         for b in batches:
             n = (Counter(), Counter())
-            tri = Counter()
             for text, y in zip(b["text"], b["toxic"], strict=True):
-                words = set(text.lower().split())
-                n[y].update({f for w in words for f in features(w)})
-                for w in words:
-                    w = clean(w)
-                    if w.isalpha() and len(w) < 40:
-                        s = f"^^{w}$"
-                        tri.update(s[i : i + 3] for i in range(len(s) - 2))
+                n[y].update({f for w in restorer.words(text) for f in features(w)})
             keys = list(n[0] | n[1])
-            yield pd.DataFrame({"kind": 0, "f": keys, "c": [n[0][k] for k in keys], "t": [n[1][k] for k in keys]})
-            yield pd.DataFrame({"kind": 1, "f": list(tri), "c": list(tri.values()), "t": 0})
+            yield pd.DataFrame({"f": keys, "c": [n[0][k] for k in keys], "t": [n[1][k] for k in keys]})
 
-    counts = train_docs.mapInPandas(count, "kind int, f string, c long, t long").groupBy("kind", "f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    # What is gathered is bounded by the sample.
-    got = counts.where(f"kind = 1 or t >= {LEAST} and t >= 0.3 * (t + c + {PRIOR})").toPandas()
-    lex = got[got["kind"] == 0]
+    counts = train_docs.mapInPandas(count, "f string, c long, t long").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    lex = counts.where(f"t >= {LEAST} and t >= 0.3 * (t + c + {PRIOR})").toPandas()  # bounded by the sample
     counted = {f: (c, t) for f, c, t in zip(lex["f"], lex["c"], lex["t"], strict=True)}
-    tri = got[got["kind"] == 1]
-    trigrams = {f: int(c) for f, c in zip(tri["f"], tri["c"], strict=True)}
     # Evidence of training documents leaves the document itself out of the counts.
     full = {f: t / (t + c + PRIOR) for f, (c, t) in counted.items()}
     less = [{f: t / (t + c - 1 + PRIOR) if c else full[f] for f, (c, t) in counted.items()}, {f: (t - 1) / (t - 1 + c + PRIOR) for f, (c, t) in counted.items()}]
-    sent = train_docs.sparkSession.sparkContext.broadcast((less, trigrams))
+    both = docs.sparkSession.sparkContext.broadcast((less, trigrams))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        less, trigrams = sent.value
-        ev = [Evidence(x, CharModel(trigrams)) for x in less]
+        less, trigrams = both.value
+        restorer = Restorer(CharModel(trigrams))
         for b in batches:
-            got = [_design(strongest(t, ev[y])) for t, y in zip(b["text"], b["toxic"], strict=True)]
-            yield pd.DataFrame({"x": got, "y": b["toxic"].to_numpy()})
+            words = [restorer.words(t) for t in b["text"]]
+            yield pd.DataFrame({"x": [_design(evidences(ws, less[y]), len(ws)) for ws, y in zip(words, b["toxic"], strict=True)], "y": b["toxic"].to_numpy()})
+
+    seen = train_docs.mapInPandas(weigh, "x array<double>, y int").toPandas()  # six numbers for each sampled row
+    x, y = np.array(seen["x"].tolist(), float).reshape(-1, len(_design([], 0))), seen["y"].to_numpy(float)
+    return full, trigrams, fit_logistic(x, y) if len(x) else np.array([-4.0, 0, 0, 0, 0, 0])
+
 
-    seen = train_docs.mapInPandas(weigh, "x array<double>, y int").toPandas()
-    x, y = np.array(seen["x"].tolist(), float).reshape(-1, 4), seen["y"].to_numpy(float)
-    return full, trigrams, fit_logistic(x, y) if len(x) else np.array([-4.0, 0, 0, 0])
+class Judge:
+    """Score and evidences of texts, with a trained lexicon, trigrams and weights."""
+
+    def __init__(self, lexicon: dict[str, float], trigrams: dict[str, int], weights: np.ndarray):
+        self.lexicon, self.restorer, self.weights = lexicon, Restorer(CharModel(trigrams)), weights
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        words = [self.restorer.words(t or "") for t in texts]
+        x = np.array([_design(evidences(ws, self.lexicon), len(ws)) for ws in words], float).reshape(-1, len(self.weights))
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))), x
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -209,34 +246,29 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     Null and empty texts score as texts without evidence. Rows map one to one; repeated rows stay; null ids count as
     held out false. With no labels every text gets the same low score. Extra columns are left aside.
     """
-    lexicon, trigrams, w = train(docs, labels, sample)
-    sent = docs.sparkSession.sparkContext.broadcast((lexicon, trigrams, w))
-    kept: list[Evidence] = []
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+    kept: list[Judge] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, trigrams, w = sent.value
+    def run(texts: list[str | None]) -> list[tuple]:
         if not kept:
-            kept.append(Evidence(lexicon, CharModel(trigrams)))
-        for b in batches:
-            x = np.array([_design(strongest(t or "", kept[0])) for t in b["text"]], float).reshape(-1, 4)
-            score = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "held_out": b["held_out"].to_numpy(), "score": score, "predicted": (score >= THRESHOLD).astype(np.int32), "m1": x[:, 1], "m2": x[:, 2], "m3": x[:, 3]})
+            kept.append(Judge(*sent.value))
+        score, x = kept[0].score(texts)
+        return list(zip(score.tolist(), (score >= THRESHOLD).astype(int).tolist(), *x[:, 1:4].T.tolist(), strict=True))
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), "text")
-    return d.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, m1 double, m2 double, m3 double")
+    return per_text(d, "text", run, "score double, predicted int, m1 double, m2 double, m3 double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without those that score as toxic; all columns stay."""
+    """docs without those that score as toxic; null and empty texts, null ids and repeated rows stay as they are; all
+    columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
-    kept: list[Evidence] = []
+    kept: list[Judge] = []
 
     def keep(texts: list[str | None]) -> list[bool]:
-        lexicon, trigrams, w = sent.value
         if not kept:
-            kept.append(Evidence(lexicon, CharModel(trigrams)))
-        x = np.array([_design(strongest(t or "", kept[0])) for t in texts], float).reshape(-1, 4)
-        return (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) < THRESHOLD).tolist()
+            kept.append(Judge(*sent.value))
+        return (kept[0].score(texts)[0] < THRESHOLD).tolist()
 
     return map_texts(docs, keep=keep)
 
