@@ -3,23 +3,22 @@
 Markup is stripped to lines, one for each block of text. Elements that never hold an article (scripts, styles, forms,
 navigation, page footers, asides, adverts, notices, reader comments) are markup too. The text length of each line is
 summed over a sliding window; the text starts where the sum surges and ends where it dives. If the page marks its
-article, the blocks of that element are the only lines looked at, and short blocks at its two ends stay in.
+article, that only weighs the lines: the window sums decide on every page.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import per_text, table
 
 WINDOW = 3  # lines summed
 SURGE = 80  # characters in a window that mark running text
+SHARE = 0.2  # of the largest run's text that another run needs to belong to the article
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 # Elements by their role.
@@ -109,32 +108,43 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """Lines between the surge and dive points of the window sums: the run with the most text."""
-    if any(inside for _, _, inside in lines):
-        lines = [x for x in lines if x[2]]
-        return [s for s, _, _ in lines[slice(*_span(lines, window, surge, True))]]
-    return [s for s, _, _ in lines[slice(*_span(lines, window, surge, False))]]
+def weights(lines: list[tuple[str, int, bool]], surge: int = SURGE) -> list[float]:
+    """What each line counts in the window sums: its length outside links. Where the page marks its article, lines
+    inside count as running text however short they are, and those outside a quarter, or nothing if they are short."""
+    if not any(inside for _, _, inside in lines):
+        return [float(n) for _, n, _ in lines]
+    return [n + surge if inside else n / 4 if n >= surge else 0.0 for _, n, inside in lines]
 
 
-def _span(lines: list[tuple[str, int, bool]], window: int, surge: int, marked: bool) -> tuple[int, int]:
-    size = [n for _, n, _ in lines]
+def runs_of(size: list[float], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int, float]]:
+    """(first line, end line, weight) between each surge, where the sum of a window comes to `surge`, and its dive,
+    where it falls below. Lines of no weight at both ends are not between them."""
     sums = [sum(size[i : i + window]) for i in range(len(size))]
-    best, at = (0, 0, 0), 0
+    out, at = [], 0
     while at < len(sums):
         if sums[at] < surge:
             at += 1
             continue
         start = at
-        while at < len(sums) and sums[at] >= surge:  # the dive: the first window that holds too little
+        while at < len(sums) and sums[at] >= surge:
             at += 1
         end = min(len(size), at + window - 1)
-        while end > at and not size[end - 1]:
+        while start < end and not size[start]:
+            start += 1
+        while start < end and not size[end - 1]:
             end -= 1
-        best = max(best, (sum(size[start:end]), start, end), key=lambda x: x[0])
-    if marked or not best[0]:  # the element's own bounds are the surge and the dive; little text has none
-        return (0, len(lines))
-    return best[1], best[2]
+        if start < end:
+            out.append((start, end, sum(size[start:end])))
+    return out
+
+
+def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    """The lines from the first surge to the last dive of the runs that hold a fair SHARE of the largest one's text.
+    A page with too little text for any surge is taken whole."""
+    runs = runs_of(weights(lines, surge), window, surge)
+    most = max((w for _, _, w in runs), default=0)
+    kept = [(a, z) for a, z, w in runs if w >= SHARE * most]
+    return [s for s, _, _ in (lines[kept[0][0] : kept[-1][1]] if kept else lines)]
 
 
 def extract(page: str | None) -> str:
@@ -142,15 +152,13 @@ def extract(page: str | None) -> str:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page. Null, empty and article-less pages have an empty or short text;
-    rows map one to one and repeated rows stay; other columns are left aside."""
+    """page_id, url, text, n_chars of every page. Null and empty pages have an empty text, pages with little text all
+    of it; rows map one to one and repeated rows stay; null ids and urls pass; other columns are left aside."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [extract(h) for h in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"].to_numpy(), "url": b["url"].to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
+    def run(htmls: list[str | None]) -> list[tuple]:
+        return [(t, len(t)) for t in map(extract, htmls)]
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return per_text(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), "html", run, "text string, n_chars long")
 
 
 def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
