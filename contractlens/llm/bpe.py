@@ -11,14 +11,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
 
-import pandas as pd
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import per_text, table
 
 
 def byte_alphabet() -> list[str]:
@@ -115,22 +113,18 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     coder: list[ByteBpe] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> list[tuple]:
         if not coder:
             coder.append(ByteBpe(path, pattern))
-        bpe = coder[0]
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                text = text or ""
-                ids = bpe.encode(text)
-                decoded = bpe.decode(ids)
-                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(decoded), decoded == text.encode()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "round_trip"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean")
+        bpe, rows = coder[0], []
+        for text in texts:
+            text = text or ""
+            ids = bpe.encode(text)
+            decoded = bpe.decode(ids)
+            rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(decoded), decoded == text.encode()))
+        return rows
+
+    return per_text(docs.select("doc_id", "text"), "text", run, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ full. What leaves a shard is a star per group (each fingerprint and the least on
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, table
+from .common import connected_components, first_by_hash, materialize, per_text, table
 
 LINK_BITS = 2
 SHARD = 2048  # fingerprints that a shard should hold
@@ -44,15 +45,15 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the 64-bit fingerprint as a signed long. Null and word-less texts have fingerprint 0."""
+def _signed(text: str | None) -> tuple[int]:
+    fp = fingerprint(text)
+    return (fp - (1 << 64) * (fp >> 63),)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "fp": fp})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the 64-bit fingerprint as a signed long. Null and word-less texts have fingerprint 0."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return per_text(d, "text", lambda texts: list(map(_signed, texts)), "fp long")
 
 
 def _apart(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -132,22 +133,32 @@ def links_in_shard(points: np.ndarray, t: int = LINK_BITS) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.uint64)
 
 
+def by_blocks(points: DataFrame, shards: list[str], t: int) -> DataFrame:
+    """points with the shards that no vantage point parts dealt by the pigeonhole: of t + 1 blocks of bits, two
+    fingerprints within t bits have one block alike, so they meet there."""
+    cuts = [64 * i // (t + 1) for i in range(t + 2)]
+    keys = [F.concat_ws("/", "shard", F.lit(i), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (z - a)) - 1))) for i, (a, z) in enumerate(zip(cuts, cuts[1:]))]
+    return points.select(F.explode(F.when(F.col("shard").isin(*shards), F.array(*keys)).otherwise(F.array("shard"))).alias("shard"), "fp")
+
+
 def link_fingerprints(distinct: DataFrame, t: int = LINK_BITS, shard: int = SHARD, shard_most: int = SHARD_MOST, sample: int = SAMPLE) -> DataFrame:
     """Star edges (a, b) of the links among distinct fingerprints (column fp)."""
     spark = distinct.sparkSession
     n = distinct.count()
     points = distinct.select(F.lit("").alias("shard"), "fp")
     large, sizes = {"": n}, n
-    for depth in range(12):
+    for depth in itertools.count():
         if not large or n <= shard:
             break
-        rows = points.where(F.col("shard").isin(*large)).withColumn("h", F.xxhash64("fp", F.lit(depth))).orderBy("h", "fp").limit(sample).toPandas()
+        found = points.where(F.col("shard").isin(*large)) if depth else points
+        rows = first_by_hash(found, ["fp", "shard"], sample, sizes).toPandas()  # `sample` rows at most
         trees = {}
         for key, part in rows.groupby("shard"):
             nodes = build_tree(part["fp"].to_numpy().view(np.uint64), max(16, int(len(part) * shard / large[key])), t)
             if len(nodes) > 1:
                 trees[key] = nodes
         if not trees:
+            points = by_blocks(points, list(large), t)
             break
         sent = spark.sparkContext.broadcast(trees)
 
@@ -163,9 +174,10 @@ def link_fingerprints(distinct: DataFrame, t: int = LINK_BITS, shard: int = SHAR
 
         points = materialize(points.mapInPandas(deal, "shard string, fp long"), f"shards{depth}")
         counts = {r["shard"]: r["n"] for r in points.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_most).collect()}
-        large = {k: v for k, v in counts.items() if v < 0.9 * large.get(k.rpartition(".")[0], v + 1) / 0.9}
-        if depth and sizes <= sum(large.values()):
-            break
+        stuck = [k for k, v in counts.items() if v >= 0.9 * large.get(k.rpartition(".")[0], v + 1)]
+        if stuck:
+            points = materialize(by_blocks(points, stuck, t), f"blocks{depth}")
+        large = {k: v for k, v in counts.items() if k not in stuck}
         sizes = sum(large.values())
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
@@ -193,9 +205,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component; rows without an id stay, as nothing names them."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each component: the one with the least doc_id (null ids last), of repeated rows any one.
+
+    All columns stay. Null and empty texts have the zero fingerprint and are one component. An empty table stays empty.
+    """
+    key = "simhash_row_key"
+    d = docs.withColumn(key, F.monotonically_increasing_id()).withColumn("simhash_text", F.col("text"))
+    d = materialize(per_text(d, "simhash_text", lambda texts: list(map(_signed, texts)), "simhash_fp long"), "keyed")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("lead")
+    least = materialize(d.groupBy(F.col("simhash_fp").alias("fp")).agg(lead), "leads")
+    groups = connected_components(link_fingerprints(least.select("fp"), LINK_BITS))
+    named = least.join(groups.hint("shuffle_merge"), least["fp"] == groups["node"], "left").select(F.coalesce("component", "fp").alias("component"), "lead")
+    kept = named.groupBy("component").agg(F.min("lead").alias("lead")).select(F.col(f"lead.{key}").alias(key))
+    return d.join(kept.hint("shuffle_merge"), key, "left_semi").select(docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
