@@ -83,7 +83,7 @@ def salted(edges: DataFrame, low: DataFrame, salts: int = 8) -> DataFrame:
     """edges (u, v) with the row of low (u, m) of each u. A node's edges are dealt to several tasks, each with a copy
     of its row, so that a node of very many edges does not meet in one."""
     s = F.pmod(F.xxhash64("v"), F.lit(salts))
-    copies = low.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    copies = low.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return edges.withColumn("s", s).join(copies.hint("shuffle_merge"), ["u", "s"]).drop("s")
 
 

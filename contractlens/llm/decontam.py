@@ -12,16 +12,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, per_text, table
 
 SEED = 3  # words of a seed
 BLOCK = 20_000  # items that are sent to the executors at once: bounds the broadcast
 MATCH, MISS, GAP = 2, -1, -1
 THRESHOLD = 0.4
+POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(SEED)], np.uint64).view(np.int64)  # n-gram codes wrap around
 EDGE = ".,;:!?\"'()[]{}|%&*#$"
 
 
@@ -35,7 +35,6 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, w) for i, t in items if (w := words_of(t))]
         self.word = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
-        self.base = len(self.word) + 1
         self.codes = [np.array([self.word[w] for w in ws], np.int64) for _, ws in self.items]
         self.grams = [self.encode(c) for c in self.codes]
         self.all = np.unique(np.concatenate(self.grams)) if self.grams else np.empty(0, np.int64)
@@ -46,13 +45,11 @@ class Index:
                 self.seeds.setdefault(g, []).append((n, j))
 
     def encode(self, codes: np.ndarray) -> np.ndarray:
-        """n-gram codes; a shorter sequence is one gram, padded by zeros in front."""
+        """n-gram codes, hashes that the alignment verifies; a shorter sequence is one gram, padded by zeros in front."""
         if len(codes) < SEED:
             codes = np.concatenate([np.zeros(SEED - len(codes), np.int64), codes])
-        out = codes[: len(codes) - SEED + 1].copy()
-        for k in range(1, SEED):
-            out = out * self.base + codes[k : len(codes) - SEED + 1 + k]
-        return out
+        n = len(codes) - SEED + 1
+        return sum(codes[SEED - 1 - k : SEED - 1 - k + n] * POWERS[k] for k in range(SEED))
 
     def shared(self, n: int, window: np.ndarray) -> int:
         """Words that the window and item n have in common, each as often as both hold it."""
@@ -94,7 +91,7 @@ def hits(codes: np.ndarray, index: Index, among: np.ndarray) -> tuple[np.ndarray
         for k in range(1, SEED):  # items of fewer words: the gram of the last k words alone
             part = codes[last]
             for b in range(1, k):
-                part = part + np.where(last - b >= 0, codes[np.maximum(last - b, 0)], 0) * index.base**b
+                part = part + np.where(last - b >= 0, codes[np.maximum(last - b, 0)], 0) * POWERS[b]
             short.append(part)
             where.append(last)
     g, p = np.concatenate(short), np.concatenate(where)
@@ -173,20 +170,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """doc_id, item_id, score, first_word, end_word of every pair whose best alignment reaches the threshold.
 
     Null and empty texts and items match nothing. Repeated documents give a row each; repeated items count once per
-    item_id and text. Words are what is left of lower-cased tokens without edge punctuation.
+    item_id and text. Words are what is left of lower-cased tokens without edge punctuation. Ids pass as they are, null
+    or not; extra columns are left aside.
     """
     out = None
     for index in _indexes(benchmark, block):
         found = docs.sparkSession.sparkContext.broadcast(index)
 
-        def find(batches: Iterator[pd.DataFrame], found=found) -> Iterator[pd.DataFrame]:
+        def find(texts: list[str | None], found=found) -> list[tuple]:
             index = found.value
             words = Words(index.word)
-            for b in batches:
-                rows = [(i, index.items[n][0], s, a, e) for i, text in zip(b["doc_id"], b["text"], strict=True) for n, s, a, e in leaks(read_codes(text, words), index, threshold)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "end_word"])
+            return [([{"item_id": index.items[n][0], "score": s, "first_word": a, "end_word": e} for n, s, a, e in leaks(read_codes(text, words), index, threshold)],) for text in texts]
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(find, "doc_id long, item_id long, score double, first_word long, end_word long")
+        part = per_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", find, "found array<struct<item_id:long,score:double,first_word:long,end_word:long>>")
+        part = part.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
         out = part if out is None else out.union(part)
     return out
 

@@ -3,7 +3,8 @@
 A text's sketch is the sorted set of its five-word shingle hashes below a fixed fraction of the hash range. As the
 rule looks at one hash only, sketches of two texts hold the same sample of what the texts share however unequal
 they are: the union of sketches is the sketch of the union, and |A n B| / |A| estimates how much of A is in B.
-If no hash is low enough, the least one stands in, so that short texts keep a fingerprint of one hash.
+A fingerprint of a text without any hash so low is its least hash, so that short texts keep one; such a stand-in is no
+part of a sketch and is never merged.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ CELLS = 65536  # equal steps of the id range: bounds the table that is broadcast
 ROWS = 2000  # that a bucket of neighbours should hold
 
 
-def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Column:
-    """Sorted distinct hashes. Texts below `words` words are one shingle; texts without words have none."""
+def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION, stand_in: bool = False) -> Column:
+    """Sorted distinct hashes below the threshold. Texts below `words` words are one shingle; texts without words have
+    none. With `stand_in`, the least hash of a text that has none so low."""
     limit = -(2**63) + int(2**64 * fraction)
     tokens = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
@@ -30,7 +32,8 @@ def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Colu
 
     def keep(h: Column) -> Column:
         low = F.filter(h, lambda x: x < limit)
-        return F.when((F.size(low) > 0) | (F.size(h) == 0), F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(h)))
+        kept = F.array_sort(F.array_distinct(low))
+        return F.when((F.size(low) > 0) | (F.size(h) == 0), kept).otherwise(F.array(F.array_min(h))) if stand_in else kept
 
     # Each step binds its input to a lambda variable, so that no step is computed once per element.
     return F.element_at(F.transform(F.transform(F.array(tokens), hashes), keep), 1)
@@ -40,6 +43,14 @@ def as_string(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+def merge_sketches(df: DataFrame, by: list[str], column: str = "sketch") -> DataFrame:
+    """One sketch for each group of rows: that of all their texts together. Hashes are made distinct map-side first."""
+    each = df.select(*by, F.explode(column).alias("_h")).distinct()
+    merged = each.groupBy(*by).agg(F.array_sort(F.collect_list("_h")).alias(column))
+    none = df.select(*by).distinct().join(merged.hint("shuffle_merge"), by, "left")
+    return none.withColumn(column, F.coalesce(column, F.array().cast("array<bigint>")))
+
+
 def resemblance(a: Column, b: Column) -> Column:
     """|A n B| / |A u B|, between 0 and 1; two empty sketches are alike."""
     both = F.size(F.array_intersect(a, b))
@@ -81,13 +92,14 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Sketch of each text and of its edited form, and how alike it is to that and to the next document.
 
-    Null texts count as empty: no hashes, fingerprint ''. Rows map one to one; a lone row is its own next.
+    Null texts count as empty: no hashes, fingerprint ''. Rows map one to one; a lone row is its own next. Null ids come
+    last, rows of equal id go by text, and extra columns are left aside.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = with_next(d.withColumn("sk", sketch(F.col("text"))), ["text", "sk"])
+    d = with_next(d.withColumn("sk", sketch(F.col("text"), stand_in=True)), ["text", "sk"])
     n = F.length("text").cast("long")
     d = d.withColumn("n_chars", n).withColumn("edited", F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 3)))"), F.expr("left(next_text, int(floor(length(text) / 3)))"))).drop("text", "next_text")
-    d = d.withColumn("esk", sketch(F.col("edited")))
+    d = d.withColumn("esk", sketch(F.col("edited"), stand_in=True))
     return d.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_string(F.col("sk")).alias("fingerprint"), as_string(F.col("esk")).alias("edited_fingerprint"),
         resemblance(F.col("sk"), F.col("esk")).alias("near_edited"), resemblance(F.col("sk"), F.col("next_sk")).alias("near_next"),

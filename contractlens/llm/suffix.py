@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 LENGTH, GRAM = 100, 32
 OFFSETS = LENGTH - GRAM + 1  # window starts that a gram can stand for
@@ -252,27 +253,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = contexts.mapInPandas(spans, "k long, h long, s long, e long")
     per = found.groupBy("k", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, text, first, spans in zip(b["doc_id"], b["text"], b["first"], b["spans"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                runs: list[list[int]] = [] if first or len(data) < LENGTH else [[0, len(data)]]
-                for s, e in sorted((x["s"], x["e"]) for x in spans) if first and spans is not None else ():
-                    if runs and s <= runs[-1][1]:
-                        runs[-1][1] = max(e, runs[-1][1])
-                    else:
-                        runs.append([s, e])
-                at, kept = 0, []
-                for s, e in runs:
-                    kept.append(data[at:s])
-                    at = e
-                kept = b"".join([*kept, data[at:]])
-                rows.append((doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                rows = []
+                for text, first, spans in zip(*(b.column(c).to_pylist() for c in ("text", "first", "spans")), strict=True):
+                    data = text.encode("utf-8", "surrogatepass")
+                    runs: list[list[int]] = [] if first or len(data) < LENGTH else [[0, len(data)]]
+                    for s, e in sorted((x["s"], x["e"]) for x in spans) if first and spans is not None else ():
+                        if runs and s <= runs[-1][1]:
+                            runs[-1][1] = max(e, runs[-1][1])
+                        else:
+                            runs.append([s, e])
+                    at, kept = 0, []
+                    for s, e in runs:
+                        kept.append(data[at:s])
+                        at = e
+                    kept = b"".join([*kept, data[at:]])
+                    rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = texts.join(flags.hint("shuffle_merge"), ["k", "h"]).join(per.hint("shuffle_merge"), ["k", "h"], "left")
-    return out.select("doc_id", "text", "first", "spans").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.select("doc_id", "text", "first", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
