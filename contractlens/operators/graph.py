@@ -2,38 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contractlens.functions.columns import upper_camel
-from contractlens.operators.relational import resolve_calls, unique_or_null
+from contractlens.functions.columns import semantic_value, upper_camel
+from contractlens.operators.relational import classify_domains, gaps, nearest, resolve_calls, unique_or_null
 from contractlens.sources.scratch import materialize
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 64, max_nodes: int | None = 25_000, partial: bool = False) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 64, max_nodes: int | None = 25_000, partial: bool = False, merge: int = 8) -> DataFrame:
     """G1: (root, node, parent, depth, rank) of all that roots reach. A node's parent is the earliest ranked one of the
     level above; ranks go by (parent rank, node). A root that reaches more than max_nodes nodes is an error, and
-    so are nodes beyond max_depth, unless the caller asks for the first levels only (partial)."""
+    so are nodes beyond max_depth, unless the caller asks for the first levels only (partial).
+
+    What has been seen is one written table, merged anew every `merge` levels, so a round reads few parts; the node
+    count of each root goes along as a small table of its own."""
     e = materialize(edges.select("source", "target").distinct(), "graph-edges")
-    seen = roots.select("root", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(1).alias("rank")).distinct()
-    seen = front = materialize(seen, "graph-roots")
-    levels = [seen]
+    start = roots.select("root", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(1).alias("rank")).distinct()
+    front = materialize(start, "graph-roots")
+    parts, counts = [front], front.select("root", F.lit(1).cast("long").alias("n"))
+    all_of = lambda: reduce(DataFrame.union, parts)
     for depth in range(1, max_depth + (1 if partial else 2)):
         step = front.join(e, front["node"] == e["source"]).groupBy("root", "target").agg(F.min(F.struct("rank", "node")).alias("p"))
-        step = step.select("root", F.col("target").alias("node"), "p").join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        step = step.select("root", F.col("target").alias("node"), "p").join(all_of().select("root", "node"), ["root", "node"], "left_anti")
         w = Window.partitionBy("root").orderBy("p.rank", "node")
         front = materialize(step.select("root", "node", F.col("p.node").alias("parent"), F.lit(depth).alias("depth"), F.row_number().over(w).alias("rank")), f"graph-{depth}")
         if front.isEmpty():
             break
         if depth > max_depth:
             raise ValueError(f"{front.first()['root']} reaches nodes beyond depth {max_depth}")
-        levels.append(front)
-        seen = levels[0]
-        for part in levels[1:]:
-            seen = seen.union(part)
-        if max_nodes and (over := seen.groupBy("root").count().where(F.col("count") > max_nodes).first()):
-            raise ValueError(f"{over['root']} reaches more than {max_nodes} nodes")
-    return seen
+        parts.append(front)
+        if len(parts) > merge:
+            parts = [materialize(all_of(), f"seen-{depth}")]
+        if max_nodes:
+            counts = counts.union(front.groupBy("root").agg(F.count("*").alias("n"))).groupBy("root").agg(F.sum("n").alias("n"))
+            counts = materialize(counts, f"counts-{depth}")
+            if over := counts.where(F.col("n") > max_nodes).first():
+                raise ValueError(f"{over['root']} reaches more than {max_nodes} nodes")
+    return all_of()
 
 
 def reachable_resolved(edges: DataFrame, calls: DataFrame, methods: DataFrame, roots: DataFrame) -> DataFrame:
@@ -66,17 +75,22 @@ def schema_closure(fields: DataFrame, roots: DataFrame, max_depth: int = 64) ->
 
 
 def expand_paths(roots: DataFrame, fields: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(root, path, schema) of nested fields (schema, field, ref, is_list); a schema never repeats on its path."""
+    """(root, path, schema) of nested fields (schema, field, ref, is_list; kind `map` or `page` where the table says),
+    max_depth levels deep; a schema never repeats on its path. Lists add `[]`, the value of a map keeps the map's own
+    path, the items of a page stand under `list[]`."""
+    kind = F.coalesce(F.col("kind"), F.lit("field")) if "kind" in fields.columns else F.lit("field")
     level = roots.select("root", F.lit("").alias("path"), F.col("root").alias("schema"), F.array("root").alias("up"))
     out = level
     for d in range(max_depth):
-        step = level.join(fields, "schema").where("ref is not null and not array_contains(up, ref)")
-        name = F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), "field", F.when(F.col("is_list"), "[]").otherwise(""))
+        step = level.join(fields.withColumn("_kind", kind), "schema").where("ref is not null and not array_contains(up, ref)")
+        dot = lambda a, b: F.concat(F.when(a == "", "").otherwise(F.concat(a, F.lit("."))), b)
+        name = dot(F.col("path"), F.concat("field", F.when(F.col("is_list"), "[]").otherwise("")))
+        name = F.when(F.col("_kind") == "page", dot(dot(F.col("path"), F.col("field")), F.lit("list[]"))).otherwise(name)
         level = materialize(step.select("root", name.alias("path"), F.col("ref").alias("schema"), F.array_append("up", F.col("ref")).alias("up")), f"paths-{d}")
         if level.isEmpty():
             break
         out = out.union(level)
-    return out.select("root", "path", "schema")
+    return out.select("root", "path", "schema").distinct()
 
 
 def flatten_inheritance(classes: DataFrame, fields: DataFrame) -> DataFrame:
@@ -90,20 +104,43 @@ def flatten_inheritance(classes: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def propagate_domains(facts: DataFrame, flows: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(slot, domain) facts along (from_slot, to_slot) argument flows, as the least fixpoint; slots on a flow that no
-    fact reaches are `unknown`."""
-    seeds = facts.select(F.col("slot").alias("root")).distinct()
-    reach = reachable(flows.select(F.col("from_slot").alias("source"), F.col("to_slot").alias("target")), seeds, max_rounds, None)
-    known = reach.join(facts.withColumnRenamed("slot", "root"), "root").select(F.col("node").alias("slot"), "domain").distinct()
-    lost = flows.select(F.explode(F.array("from_slot", "to_slot")).alias("slot")).distinct().join(known, "slot", "left_anti")
-    return known.union(lost.select("slot", F.lit("unknown")))
-
-
-def field_lineage(reach: DataFrame, writes: DataFrame, classify) -> DataFrame:
-    """Verdict for each (operation, field) over the write sites that the operation reaches."""
-    sites = reach.select(F.col("root").alias("operation"), F.col("node").alias("site")).join(writes, "site")
-    out = classify(sites.withColumn("target", F.concat_ws("|", "operation", "field")))
-    return out.select(F.substring_index("target", "|", 1).alias("operation"), F.substring_index("target", "|", -1).alias("field"), "status", "unknowns")
+    """(slot, domain) facts along (from_slot, to_slot) argument flows, as the least fixpoint. A slot that nothing
+    binds, neither a fact nor a flow, and every slot on a cycle is `unknown`, and unknown flows on like any domain. A
+    flow longer than max_rounds is an error."""
+    e = flows.select(F.col("from_slot").alias("source"), F.col("to_slot").alias("target")).distinct()
+    slots = e.select(F.col("source").alias("slot")).union(e.select("target")).distinct()
+    bound = facts.select("slot").union(e.select("target")).distinct()
+    around = reachable(e, slots.select(F.col("slot").alias("root")), max_rounds, None)
+    cyclic = around.join(e, around["node"] == e["source"]).where(F.col("target") == F.col("root")).select(F.col("root").alias("slot"))
+    lost = slots.join(bound, "slot", "left_anti").union(cyclic).distinct().select("slot", F.lit("unknown").alias("domain"))
+    seeds = facts.select("slot", "domain").union(lost).distinct()
+    reach = reachable(e, seeds.select(F.col("slot").alias("root")).distinct(), max_rounds, None)
+    return reach.join(seeds.withColumnRenamed("slot", "root"), "root").select(F.col("node").alias("slot"), "domain").distinct()
+
+
+def field_lineage(reach: DataFrame, fields: DataFrame, calls: DataFrame, sites: DataFrame, bindings: DataFrame, domains: DataFrame) -> DataFrame:
+    """Verdict on each field (operation, field, setter; null if the setter is not indexed) over the write sites that
+    its operation reaches.
+
+    reach is G1's or G2's result. Indexed setter calls (caller, setter, line, column) take the nearest parsed site
+    (caller, setter, line, column, slot) of their line (J9); sites that no call takes, and calls without a site, are
+    unknown writes (J10). A slot's domains are those that G8 gave it (slot, domain), looked up in the table of domains
+    (domain, enum_fqn, accessor, complete, external, unknown, literals, transformed, values). A3 gives the verdict."""
+    on = ["caller", "setter", "line"]
+    placed = nearest(calls.select(*on, F.col("column").alias("at")), sites.select(*on, F.col("column").alias("site_at"), F.struct(F.col("column").alias("c"), "slot").alias("site")), on, "at", "site_at", "site")
+    hit = placed.select(*on, F.col("nearest_id.slot").alias("slot"), F.col("nearest_id.c").alias("column")).distinct()
+    loose = gaps(sites.select(*on, "column"), hit.select(*on, "column"), [*on, "column"]).select("caller", "setter", F.lit("call not indexed").alias("why"))
+    blind = gaps(calls.select(*on), sites.select(*on), on).select("caller", "setter", F.lit("call not resolved").alias("why"))
+    none = F.array().cast("array<string>")
+    dom = domains.unionByName(domains.sparkSession.range(1).select(F.lit("unknown").alias("domain"), F.lit(None).cast("string").alias("enum_fqn"), F.lit(None).cast("string").alias("accessor"), F.lit(False).alias("complete"), none.alias("external"), F.array(F.lit("argument")).alias("unknown"), none.alias("literals"), F.lit(False).alias("transformed"), none.alias("values")))
+    written = hit.join(bindings, "slot", "left").withColumn("domain", F.coalesce("domain", F.lit("unknown"))).join(dom.hint("shuffle_merge"), "domain").drop("domain", "slot", "line", "column")
+    unknown = loose.union(blind).select("caller", "setter", F.lit(None).cast("string").alias("enum_fqn"), F.lit(None).cast("string").alias("accessor"), F.lit(False).alias("complete"), none.alias("external"), F.array("why").alias("unknown"), none.alias("literals"), F.lit(False).alias("transformed"), none.alias("values"))
+    rows = written.unionByName(unknown)
+    mine = fields.where("setter is not null").join(reach.select(F.col("root").alias("operation"), F.col("node").alias("caller")), "operation").join(rows, ["caller", "setter"])
+    verdict = classify_domains(mine.withColumn("target", F.struct("operation", "field"))).select("target.operation", "target.field", "status", "values", "unknowns", "warning")
+    out = fields.join(verdict, ["operation", "field"], "left")
+    why = F.when(F.col("setter").isNull(), "setter not indexed").when(F.col("status").isNull(), "no operation-reachable write site").otherwise(F.col("warning"))
+    return out.select("operation", "field", F.coalesce("status", F.lit("unresolved")).alias("status"), "values", "unknowns", why.alias("warning"))
 
 
 def enum_domains(constants: DataFrame, accessors: DataFrame) -> DataFrame:
@@ -121,18 +158,17 @@ def link_enums(fields: DataFrame, domains: DataFrame) -> DataFrame:
     return hit.groupBy("field").agg(F.min_by(F.struct("enum", "accessor", "values"), "pos").alias("x")).select("field", "x.*")
 
 
-def pair_schemas(old: DataFrame, new: DataFrame, seeds: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Walks two schema tables (schema, field, ref) side by side by field name from (old, new) seeds; the first
-    pairing of an old schema wins."""
+def pair_schemas(old: DataFrame, new: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Walks two schema tables (schema, field, ref) side by side by field name from (old, new) seeds, to the end;
+    the first pairing of an old schema wins, so the walk ends however the schemas turn back on themselves."""
     o, n = old.where("ref is not null"), new.where("ref is not null").select(F.col("schema").alias("new"), "field", F.col("ref").alias("new_ref"))
     seen = front = materialize(seeds.groupBy("old").agg(F.min("new").alias("new")).withColumn("depth", F.lit(0)), "pairs")
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         step = front.join(o, front["old"] == o["schema"]).join(n, ["new", "field"]).groupBy("ref").agg(F.min("new_ref").alias("new")).select(F.col("ref").alias("old"), "new", F.lit(d).alias("depth"))
         front = materialize(step.join(seen, "old", "left_anti"), f"pairs-{d}")
         if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return seen
+            return seen
+        seen = materialize(seen.union(front), f"paired-{d}")
 
 
 def infer_names(*sources: DataFrame) -> DataFrame:
@@ -145,21 +181,36 @@ def infer_names(*sources: DataFrame) -> DataFrame:
 
 
 def shortest_unique_names(seeds: DataFrame, reserved: DataFrame) -> DataFrame:
-    """(id, parts) -> the shortest unique suffix of the parts that is not reserved; numbered full names for the rest."""
+    """(id, parts) -> the shortest unique suffix of the parts that is not reserved; for the rest, in the order of
+    ids, the full name with the first number that makes it one that nobody has."""
     left = materialize(seeds.select("id", "parts"), "names")
     most = left.agg(F.coalesce(F.max(F.size("parts")), F.lit(0))).first()[0]
-    taken = reserved.select("name")
-    done = None
+    taken = reserved.select("name").distinct()
+    done = left.select("id", F.lit("").alias("name")).where("false")
     for depth in range(1, most + 1):
         named = left.withColumn("name", upper_camel(F.array_join(F.slice("parts", F.greatest(F.size("parts") - depth + 1, F.lit(1)), depth), " ")))
         one = named.withColumn("_n", F.count("*").over(Window.partitionBy("name"))).where("_n = 1").join(taken, "name", "left_anti").select("id", "name")
         one = materialize(one, f"names-{depth}")
-        done = one if done is None else done.union(one)
-        taken = taken.union(one.select("name"))
+        done, taken = done.union(one), taken.union(one.select("name"))
         left = materialize(left.join(one, "id", "left_anti"), f"left-{depth}")
-    full = left.withColumn("full", upper_camel(F.array_join("parts", " ")))
-    rest = full.select("id", F.concat("full", F.row_number().over(Window.partitionBy("full").orderBy("id")).cast("string")).alias("name"))
-    return rest if done is None else done.union(rest)
+    left = left.select("id", upper_camel(F.array_join("parts", " ")).alias("full"))
+    while not left.isEmpty():
+        want = left.groupBy("full").agg(F.count("*").alias("n"))
+        # A name that is taken may be any of its starts with the digits that follow.
+        digits = F.length(F.regexp_extract("name", "([0-9]*)$", 1))
+        used = taken.withColumn("k", F.explode(F.when(digits > 0, F.sequence(F.lit(1), digits)).otherwise(F.array().cast("array<int>"))))
+        used = used.select(F.expr("left(name, length(name) - k)").alias("full"), F.expr("right(name, k)").alias("text")).where("text not like '0%' and length(text) < 19").select("full", F.col("text").cast("long").alias("number")).distinct()
+        used = materialize(used.join(want.select("full"), "full", "left_semi"), "used-numbers")
+        free = want.join(used.groupBy("full").agg(F.count("*").alias("u")), "full", "left").select("full", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + F.coalesce("u", F.lit(0)))).alias("number"))
+        free = free.join(used.hint("shuffle_merge"), ["full", "number"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("full").orderBy("number")))
+        ranked = left.withColumn("r", F.row_number().over(Window.partitionBy("full").orderBy("id")))
+        named = ranked.join(free.hint("shuffle_merge"), ["full", "r"]).select("id", "full", F.concat("full", F.col("number").cast("string")).alias("name"))
+        # `AB1` and 2, `AB` and 12 are one name: the lesser id keeps it, the others try again.
+        named = materialize(named.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("id"))), "numbered")
+        kept = named.where("_r = 1").select("id", "name")
+        done, taken = done.union(kept), taken.union(kept.select("name"))
+        left = named.where("_r > 1").select("id", "full")
+    return done
 
 
 def operation_aliases(reach: DataFrame, patches: DataFrame, names: DataFrame) -> DataFrame:
@@ -176,23 +227,101 @@ def root_schema(tokens: DataFrame, types: DataFrame, wrappers: list[str]) -> Dat
     return hit.groupBy("owner").agg(F.min_by("id", F.struct("depth", -F.col("pos"))).alias("schema"))
 
 
-def type_tokens(df: DataFrame, key: str, sig: Column) -> DataFrame:
-    """tokens of a type signature with nesting depth, position and array depth."""
-    t = df.select(key, F.posexplode(F.regexp_extract_all(sig, F.lit(r"[\w.$]+|\[\]|[<>,]"), F.lit(0))).alias("at", "token"))
+def type_tokens(df: DataFrame, key: str, sig: Column, wrappers: list[str] | None = None) -> DataFrame:
+    """tokens of a type signature with nesting depth, position and array depth (`[]` and `...` after a name or after
+    its closing bracket). Wrappers with one argument around all are taken off, however many."""
+    for_wrapper = "|".join(wrappers or [])
+    text = F.regexp_replace(F.regexp_replace(sig, r"\?\s*(?:extends|super)\s+|\?", ""), r"\s+", "")
+    if for_wrapper:
+        text = F.aggregate(F.sequence(F.lit(1), F.lit(32)), text, lambda acc, _: F.when(split_top_level_size(F.regexp_extract(acc, rf"^(?:[\w.$:]*[.:])?(?:{for_wrapper})<(.*)>$", 1)) == 1, F.regexp_extract(acc, rf"^(?:[\w.$:]*[.:])?(?:{for_wrapper})<(.*)>$", 1)).otherwise(acc))
+    t = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"[\w$:]+(?:\.[\w$:]+)*|\[\]|\.\.\.|[<>,]"), F.lit(0))).alias("at", "token"))
     w = Window.partitionBy(key).orderBy("at")
     t = t.withColumn("depth", F.sum(F.when(F.col("token") == "<", 1).when(F.col("token") == ">", -1).otherwise(0)).over(w))
-    t = t.withColumn("_name", F.col("token").rlike(r"^[\w.$]+$"))
-    t = t.withColumn("_next", F.lead("token").over(w)).withColumn("_next2", F.lead("token", 2).over(w))
-    arrays = F.when(F.col("_next") != "[]", 0).when(F.col("_next2") == "[]", 2).when(F.col("_next") == "[]", 1).otherwise(0)
-    return t.where("_name").select(key, F.row_number().over(w).alias("pos"), F.col("token").alias("name"), "depth", arrays.alias("array_depth"))
-
-
-def generate_rows(schema_fields: DataFrame, n: int, seed: int) -> DataFrame:
-    """M1: n seeded rows of each operation's fields (operation, path, type): values hang on (seed, operation, row, path)
-    alone, so they are the same however the job is split."""
-    rows = schema_fields.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    h = F.pmod(F.xxhash64(F.lit(seed), "operation", "row", "path"), F.lit(1_000_000_007))
-    from contractlens.functions.columns import semantic_value
-
-    value = F.when(F.col("type") == "integer", (h % 100 + 1).cast("string")).when(F.col("type") == "number", (h % 1000 + 1).cast("string")).when(F.col("type") == "boolean", (h % 2 == 0).cast("string")).otherwise(semantic_value(F.col("path"), h))
-    return rows.select("operation", "row", "path", "type", value.alias("value"))
+    t = t.withColumn("_name", F.col("token").rlike(r"^[\w$:]")).withColumn("_array", F.col("token").isin("[]", "..."))
+    # An array mark belongs to the last name before it at its own depth.
+    at_depth = Window.partitionBy(key, "depth").orderBy("at")
+    t = t.withColumn("_owner", F.last(F.when(F.col("_name"), F.col("at")), ignorenulls=True).over(at_depth.rowsBetween(Window.unboundedPreceding, 0)))
+    marks = t.withColumn("array_depth", F.count_if("_array").over(Window.partitionBy(key, "_owner", "depth")).cast("int"))
+    return marks.where("_name").select(key, F.row_number().over(w).alias("pos"), F.col("token").alias("name"), "depth", "array_depth")
+
+
+def split_top_level(c: Column) -> Column:
+    """Parts of a text between commas outside brackets."""
+    depth = lambda i: F.length(F.regexp_replace(F.substring(c, F.lit(1), i), r"[^<(\[]", "")) - F.length(F.regexp_replace(F.substring(c, F.lit(1), i), r"[^>)\]]", ""))
+    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: (F.substring(c, i, F.lit(1)) == ",") & (depth(i) <= 0))
+    bounds = F.concat(F.array(F.lit(0)), cuts, F.array(F.length(c) + 1))
+    return F.transform(F.slice(bounds, 1, F.size(bounds) - 1), lambda x, i: F.trim(F.substring(c, x + 1, F.get(bounds, i + 1) - x - 1)))
+
+
+def split_top_level_size(c: Column) -> Column:
+    return F.when(c == "", 0).otherwise(F.size(split_top_level(c)))
+
+
+def parameter_types(signature: Column) -> Column:
+    """the types of a method signature's parameters: what stands before the last space of each part between the
+    brackets; parts without a space are left out."""
+    inner = F.regexp_extract(signature, r"^[^(]*\((.*)\)", 1)
+    typed = F.filter(split_top_level(inner), lambda p: p.rlike(r"\S\s+\S"))
+    return F.transform(typed, lambda p: F.regexp_replace(p, r"\s+\S+$", ""))
+
+
+def generate_rows(operations: DataFrame, schema: DataFrame, links: DataFrame, n: int, seed: int, max_depth: int = 32) -> DataFrame:
+    """M1: n seeded samples of each operation's schema (operation, node): one row (operation, row, path, type, value) for
+    each leaf.
+
+    schema has (node, type, format, fixed, options, ref): the JSON of an example, default or constant; the JSON texts of
+    an enum; the node that a reference names. links has (node, kind, name, position, child) with kinds property, items
+    and allOf. Precedence: fixed, enum, ref, allOf, type (object where properties exist and none is said, else string).
+    Arrays have two items; below max_depth, and for a reference that is already on the path, the value is null; of
+    allOf's parts the later one that has a property gives all of it. Values hang on (seed, operation, row, path) alone,
+    so they are the same however the job is split."""
+    has = links.groupBy("node").agg(F.max(F.col("kind") == "allOf").alias("merged"), F.max(F.col("kind") == "property").alias("props"))
+    s = schema.join(has, "node", "left").withColumn("merged", F.coalesce("merged", F.lit(False))).withColumn("type", F.coalesce("type", F.when(F.coalesce("props", F.lit(False)), "object").otherwise("string")))
+    s = materialize(s, "sample-schema")
+    over = "array<struct<base:string,position:int>>"
+    front = operations.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("operation", "row", F.lit("").alias("path"), "node", F.array().cast("array<string>").alias("refs"), F.array().cast(over).alias("over"))
+    key, leaves = ["operation", "row", "path"], None
+    dot = lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit("."), b))
+    for depth in range(max_depth + 2):
+        j = front.join(s, "node")
+        if depth > max_depth:
+            rule = F.lit("deep")
+        else:
+            rule = (
+                F.when(F.col("fixed").isNotNull(), "fixed").when(F.size(F.coalesce("options", F.array().cast("array<string>"))) > 0, "enum")
+                .when(F.col("ref").isNotNull(), F.when(F.array_contains("refs", F.col("ref")), "cycle").otherwise("ref")).when(F.col("merged"), "allOf")
+                .when(F.col("type").isin("object", "array"), F.col("type")).otherwise("leaf")
+            )
+        j = materialize(j.withColumn("rule", rule), f"sample-{depth}")
+        h = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000_007))
+        text = F.to_json(F.struct(semantic_value(F.regexp_replace("path", r"\[[0-9]\]", ""), F.col("format"), h).alias("v")))
+        made = (
+            F.when(F.col("type") == "integer", (h % 100 + 1).cast("string")).when(F.col("type") == "number", (h % 1000 + 1).cast("string"))
+            .when(F.col("type") == "boolean", (h % 2 == 0).cast("string")).when(F.col("type") != "null", F.regexp_extract(text, r'^\{"v":(.*)\}$', 1))
+        )
+        done = j.where("rule in ('fixed', 'enum', 'leaf', 'cycle', 'deep')")
+        value = F.when(F.col("rule") == "fixed", F.col("fixed")).when(F.col("rule") == "enum", F.get("options", (h % F.size("options")).cast("int"))).when(F.col("rule") == "leaf", made)
+        done = done.select(*key, "type", value.alias("value"), "over")
+        leaves = done if leaves is None else leaves.union(done)
+        to_ref = j.where("rule = 'ref'").select(*key, F.col("ref").alias("node"), F.array_append("refs", F.col("ref")).alias("refs"), "over")
+        down = j.where("rule in ('allOf', 'object', 'array')").select(*key, "node", "refs", "over", "rule").join(links, "node")
+        down = down.where("rule = 'allOf' and kind = 'allOf' or rule = 'object' and kind = 'property' or rule = 'array' and kind = 'items'")
+        twice = F.when(F.col("rule") == "array", F.array(F.lit("[0]"), F.lit("[1]"))).otherwise(F.array(F.lit("")))
+        down = down.withColumn("item", F.explode(twice))
+        path = F.when(F.col("rule") == "object", dot(F.col("path"), F.col("name"))).otherwise(F.concat("path", "item"))
+        part = F.when(F.col("rule") == "allOf", F.array_append("over", F.struct(F.col("path").alias("base"), F.col("position").cast("int").alias("position")))).otherwise(F.col("over"))
+        front = materialize(to_ref.union(down.select("operation", "row", path.alias("path"), F.col("child").alias("node"), "refs", part.alias("over"))), f"sample-front-{depth}")
+        if front.isEmpty():
+            break
+    return _later_parts(leaves)
+
+
+def _later_parts(leaves: DataFrame) -> DataFrame:
+    """Of leaves under the parts of an allOf, those of the last part that has their property."""
+    key = ["operation", "row"]
+    each = leaves.withColumn("_id", F.monotonically_increasing_id())
+    each = materialize(each, "sample-leaves")
+    at = each.where("size(over) > 0").select("_id", *key, "path", F.explode("over").alias("o")).select("_id", *key, "o.base", "o.position", F.regexp_extract(F.when(F.col("o.base") == "", F.col("path")).otherwise(F.expr("substring(path, length(o.base) + 2)")), r"^[^.\[]+", 0).alias("step"))
+    last = at.groupBy(*key, "base", "step").agg(F.max("position").alias("last"))
+    lost = at.join(last.hint("shuffle_merge"), [*key, "base", "step"]).where("position < last").select("_id").distinct()
+    return each.join(lost.hint("shuffle_merge"), "_id", "left_anti").select(*key, "path", "type", "value")

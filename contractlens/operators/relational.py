@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contractlens.sources.scratch import materialize
+
 BROADCAST_ROWS = 100_000  # a side is broadcast only if it is counted to hold no more
 
 
@@ -60,9 +63,11 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def contained(edges: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
-    """Children of a kind of each parent, numbered by name and id."""
-    kids = edges.where("kind = 'contains'").join(nodes.where(F.col("kind") == kind).select(F.col("id").alias("target"), "name"), "target")
-    return kids.select(F.col("source").alias("parent"), F.col("target").alias("child"), "name", F.row_number().over(Window.partitionBy("source").orderBy("name", "target")).alias("position"))
+    """Children of a kind of each parent, numbered by line, column and name (then id)."""
+    at = [F.coalesce(F.col(n), F.lit(0)).alias(n) if n in nodes.columns else F.lit(0).alias(n) for n in ("start_line", "start_column")]
+    kids = edges.where("kind = 'contains'").join(nodes.where(F.col("kind") == kind).select(F.col("id").alias("target"), "name", *at), "target")
+    order = Window.partitionBy("source").orderBy("start_line", "start_column", "name", "target")
+    return kids.select(F.col("source").alias("parent"), F.col("target").alias("child"), "name", F.row_number().over(order).alias("position"))
 
 
 def resolve_names(refs: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def resolve_names(refs: DataFrame, types: DataFrame, imports: DataFrame) -> Data
     c = c.union(refs.join(imports.withColumnRenamed("fqn", "imported"), "file").where(F.col("imported").endswith(F.concat(F.lit("."), F.col("name")))).select("ref_id", "name", "imported", F.lit(2), F.lit(0)))
     c = c.union(refs.where("scope <> ''").select("ref_id", "name", F.posexplode(steps)).select("ref_id", "name", "col", F.lit(3), "pos"))
     c = c.union(refs.select("ref_id", "name", F.concat("package", F.lit("."), "name"), F.lit(4), F.lit(0)))
-    hits = c.join(types.select("id", "fqn"), "fqn").select("ref_id", "id", "tier", "pos")
+    hits = c.join(types.select("id", "fqn").hint("shuffle_merge"), "fqn").select("ref_id", "id", "tier", "pos")
     only = types.groupBy("simple").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     hits = hits.union(refs.join(only, refs["name"] == only["simple"]).select("ref_id", "id", F.lit(5), F.lit(0)))
     best = hits.groupBy("ref_id").agg(F.min_by("id", F.struct("tier", "pos", "id")).alias("type_id"))
@@ -91,6 +96,26 @@ def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return calls.join(one, "call_id", "left")
 
 
+def resolve_receivers(calls: DataFrame, parameters: DataFrame, fields: DataFrame, variables: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
+    """The owner of each call (call_id, file, class_id, scope, package, method, receiver, name, arity, exact, at):
+    its own class without a receiver or for `this` and `super`; else the type that the receiver names if it is
+    capitalised, or that a parameter (method, name, type), a field (class_id, name, type) or the last variable
+    (file, name, at, type) declared before it has. A receiver with brackets has no owner. Without `exact` the number of
+    arguments says nothing."""
+    r = F.regexp_replace("receiver", r"^this\.", "")
+    c = calls.withColumn("_r", r).withColumn("_own", F.col("receiver").isNull() | F.col("_r").isin("this", "super"))
+    c = c.withColumn("_free", ~F.col("_own") & ~F.col("_r").rlike("[()]"))
+    first = lambda df, on, n: df.groupBy(*on).agg(F.min("type").alias(n)).withColumnRenamed("name", "_r")
+    c = c.join(first(parameters, ["method", "name"], "_param"), ["method", "_r"], "left").join(first(fields, ["class_id", "name"], "_field"), ["class_id", "_r"], "left")
+    c = as_of(c, variables.select("file", F.col("name").alias("_r"), F.col("at").alias("_site"), F.col("type").alias("_declared")), ["file", "_r"], "at", "_site", "_declared")
+    named = F.when(F.col("_r").rlike("^[A-Z]"), F.col("_r")).otherwise(F.coalesce("_param", "_field", "last__declared"))
+    c = c.withColumn("_type", F.when(F.col("_free"), F.regexp_extract(named, r"^[\w.$]+", 0)))
+    refs = c.where("_type <> ''").select(F.col("call_id").alias("ref_id"), F.col("_type").alias("name"), "file", "scope", "package")
+    found = resolve_names(refs, types, imports).select(F.col("ref_id").alias("call_id"), "type_id")
+    c = c.join(found, "call_id", "left").withColumn("owner", F.when(F.col("_own"), F.col("class_id")).otherwise(F.col("type_id")))
+    return c.select(*[x for x in calls.columns if x not in ("arity", "owner")], F.when(F.col("exact"), F.col("arity")).alias("arity"), "owner")
+
+
 def apply_routes(operations: DataFrame, routes: DataFrame, keys: list[str]) -> DataFrame:
     """Operations with the last route of their keys by ordinal; others stay placeholders."""
     last = dedupe(routes.where("path is not null"), keys, [F.desc("ordinal")]).drop("ordinal")
@@ -128,11 +153,25 @@ def name_words(c: Column) -> Column:
 
 def match_by_words(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, name, value_set) on both sides: the new row that shares most words, if it is the only best one. Ranked
-    by (same value set, shared words); one shared word is enough with the same set, else two are needed."""
-    o = old.select(F.col("id").alias("old_id"), F.col("value_set").alias("old_set"), F.explode(name_words(F.col("name"))).alias("word"))
-    n = new.select(F.col("id").alias("new_id"), F.col("value_set").alias("new_set"), F.explode(name_words(F.col("name"))).alias("word"))
-    pairs = o.join(n, "word").groupBy("old_id", "new_id").agg(F.count("*").alias("shared"), F.bool_and(F.col("old_set").eqNullSafe(F.col("new_set"))).alias("same"))
-    pairs = pairs.where("shared >= 2 or same")
+    by (same value set, shared words); one shared word is enough with the same set, else two are needed.
+
+    Pairs meet under words they share, but only where they can count: two names of different sets need two words in
+    common, so each side goes without its most frequent word; names of one set meet under (set, word). What meets is
+    then compared in full, so no pair that counts is lost and the commonest word alone brings nobody together."""
+    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col("value_set").alias(f"{n}_set"), name_words(F.col("name")).alias(f"{n}_words"))
+    o, n = side(old, "old"), side(new, "new")
+    spread = lambda df, w: df.select("*", F.explode(w).alias("word"))
+    often = spread(o, "old_words").select("word").union(spread(n, "new_words").select("word")).groupBy("word").agg(F.count("*").alias("uses"))
+
+    def rare(df: DataFrame, side: str) -> DataFrame:
+        ranked = spread(df, f"{side}_words").join(often.hint("shuffle_merge"), "word")
+        w = Window.partitionBy(f"{side}_id").orderBy(F.desc("uses"), F.desc("word"))
+        return ranked.withColumn("_r", F.row_number().over(w)).where("_r > 1").select(f"{side}_id", "word")
+
+    met = rare(o, "old").join(rare(n, "new").hint("shuffle_merge"), "word").select("old_id", "new_id")
+    met = met.union(spread(o, "old_words").join(spread(n, "new_words").withColumnRenamed("new_set", "old_set").hint("shuffle_merge"), ["old_set", "word"]).select("old_id", "new_id")).distinct()
+    pairs = met.join(o.hint("shuffle_merge"), "old_id").join(n.hint("shuffle_merge"), "new_id")
+    pairs = pairs.select("old_id", "new_id", F.size(F.array_intersect("old_words", "new_words")).cast("long").alias("shared"), F.col("old_set").eqNullSafe(F.col("new_set")).alias("same")).where("shared >= 2 or same")
     return unique_or_null(pairs, ["old_id"], [F.desc("same"), F.desc("shared")])
 
 
@@ -160,13 +199,16 @@ def gaps(observed: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
 def dangling_refs(refs: DataFrame, defs: DataFrame, ref: str, definition: str) -> DataFrame:
     """Distinct references without a definition."""
     d = defs.select(F.col(definition).alias(ref)).distinct()
-    return refs.select(ref).distinct().join(d, ref, "left_anti")
+    return refs.select(ref).distinct().join(d.hint("shuffle_merge"), ref, "left_anti")
 
 
-def reconcile(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(name, version) expected and found."""
+def reconcile(expected: DataFrame, actual: DataFrame, bulk_error: str | None = None) -> DataFrame:
+    """(name, version) expected and found, with status and detail. An error of the listing as a whole says why
+    names are missing, and only that."""
     a = actual.select("name", F.col("version").alias("found"))
-    return expected.join(a, "name", "left").withColumn("status", F.when(F.col("found").isNull(), "missing").when(F.col("found") == F.col("version"), "installed").otherwise("version-mismatch"))
+    status = F.when(F.col("found").isNull(), "missing").when(F.col("found") == F.col("version"), "installed").otherwise("version-mismatch")
+    detail = F.when(F.col("found").isNull(), F.lit(bulk_error or "missing from the listing")).when(F.col("found") != F.col("version"), F.concat(F.lit("expected "), "version", F.lit(", got "), "found"))
+    return expected.join(a, "name", "left").withColumn("status", status).withColumn("detail", detail)
 
 
 def changed_keys(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
@@ -185,17 +227,39 @@ def map_members(old: DataFrame, new: DataFrame, inferred: DataFrame) -> DataFram
 
 def impact_scan(lines: DataFrame, roots: DataFrame, direct: str = r"nvm use|nvm exec|nvm\.sh|fnm env|fnm use|fnm exec", dynamic: str = r"NVM_DIR|\.nvm|FNM_DIR|\.fnm|fnm_multishells|FNM_MULTISHELL_PATH|PNPM_HOME", home: str = "/home/user") -> DataFrame:
     """Lines (doc_id, pos, line) and roots (ordinal, root): the first root that a line names makes it affected,
-    then direct commands; dynamic variables leave it uncertain. Comments and the rest are unaffected."""
+    then direct commands; dynamic variables leave it uncertain. Comments and the rest are unaffected.
+
+    FEW roots are looked for in each line in their order, without a join. More are looked up by their first GRAM
+    characters: each line's distinct stretches of that length (of a shorter root's own length) meet the roots that begin
+    with one in an equi join, and only such pairs are compared."""
     t = F.trim("line")
     full = F.replace(F.replace(F.replace(t, F.lit("${HOME}"), F.lit(home)), F.lit("$HOME"), F.lit(home)), F.lit("~"), F.lit(home))
-    df = lines.withColumn("_t", full)
-    live = df.where(~F.startswith(t, F.lit("#")))
-    hits = live.join(small(roots), F.contains(F.col("_t"), F.col("root"))).groupBy("doc_id", "pos").agg(F.min_by("root", "ordinal").alias("root"))
-    df = df.join(hits, ["doc_id", "pos"], "left")
+    df, roots = lines.withColumn("_t", full), roots.where("root <> ''")
+    few = [x["root"] for x in roots.orderBy("ordinal", "root").limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        first = F.get(F.filter(F.array(*map(F.lit, few)), lambda x: F.contains(F.col("_t"), x)), F.lit(0)) if few else F.lit(None)
+        df = df.withColumn("root", F.when(~F.startswith(t, F.lit("#")), first).cast("string"))
+    else:
+        live = df.where(~F.startswith(t, F.lit("#"))).select("doc_id", "pos", "_t")
+        r = roots.select("ordinal", "root", F.substring("root", 1, GRAM).alias("gram"))
+        sizes = [x["n"] for x in r.select(F.length("gram").alias("n")).distinct().collect()]  # GRAM at most
+        grams = F.flatten(F.array(*[stretches(F.col("_t"), n) for n in sizes]))
+        met = live.select("doc_id", "pos", "_t", F.explode(grams).alias("gram")).join(r.hint("shuffle_hash"), "gram").where(F.contains(F.col("_t"), F.col("root")))
+        hits = met.groupBy("doc_id", "pos").agg(F.min_by("root", F.struct("ordinal", "root")).alias("root"))
+        df = df.join(hits.hint("shuffle_merge"), ["doc_id", "pos"], "left")
     impact = F.when(F.startswith(t, F.lit("#")), "unaffected").when(F.col("root").isNotNull() | t.rlike(direct), "affected").when(t.rlike(dynamic), "uncertain").otherwise("unaffected")
     return df.select("doc_id", "pos", impact.alias("impact"), "root", F.substring("line", 1, 240).alias("excerpt"))
 
 
+FEW, GRAM = 200, 6
+
+
+def stretches(c: Column, n: int) -> Column:
+    """The distinct stretches of n characters of a text."""
+    at = F.sequence(F.lit(1), F.length(c) - (n - 1))
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def plan_rewrites(imports: DataFrame, replacements: DataFrame) -> DataFrame:
     """Imports (file, statement, symbol, source), replacements (source, symbol, new_symbol, new_source): the names
     each statement has to take from each new source; removed ones as unresolved."""
@@ -217,19 +281,39 @@ def latest_versions(packages: DataFrame, key: Column) -> DataFrame:
     return packages.groupBy("name").agg(F.max_by("version", F.struct(key, F.col("provider"), F.col("version"))).alias("version"), F.array_sort(F.collect_set("provider")).alias("providers"))
 
 
+EVIDENCE, SHOWN = 20, 4  # pieces of evidence kept for each list; unknowns told in the warning
+
+
 def classify_domains(sites: DataFrame) -> DataFrame:
     """A3: verdict of each target over its write sites (target, enum_fqn, accessor, complete, external, unknown,
-    literals, transformed)."""
+    literals, transformed; values where known): status, the values of a closed one, evidence and a warning."""
     some = lambda c: F.size(c) > 0
+    if "values" not in sites.columns:
+        sites = sites.withColumn("values", F.array().cast("array<string>"))
     clean = F.col("enum_fqn").isNotNull() & F.col("complete") & ~some("external") & ~some("unknown") & ~some("literals") & ~F.col("transformed")
     outside = some("external") & F.col("enum_fqn").isNull() & ~some("unknown") & ~some("literals") & ~F.col("transformed")
-    g = sites.groupBy("target").agg(F.bool_and(clean).alias("c"), F.count_distinct(F.struct("enum_fqn", "accessor")).alias("n"), F.bool_or(F.col("enum_fqn").isNotNull()).alias("k"), F.bool_and(outside).alias("x"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("unknown")))), 1, 4).alias("unknowns"))
-    return g.select("target", F.when(F.col("c") & (F.col("n") == 1), "closed").when(F.col("k"), "known").when(F.col("x"), "external").otherwise("unresolved").alias("status"), "unknowns")
+    merged = lambda c: F.array_sort(F.flatten(F.collect_set(c)))
+    kept = lambda c: F.slice(F.array_distinct(F.col(c)), 1, EVIDENCE).alias(c)
+    g = sites.groupBy("target").agg(
+        F.bool_and(clean).alias("c"), F.count_distinct(F.struct("enum_fqn", "accessor")).alias("n"), F.bool_or(F.col("enum_fqn").isNotNull()).alias("k"), F.bool_and(outside).alias("x"),
+        *[merged(c).alias(c) for c in ("unknown", "external", "literals", "values")],
+    )
+    g = g.withColumn("status", F.when(F.col("c") & (F.col("n") == 1), "closed").when(F.col("k"), "known").when(F.col("x"), "external").otherwise("unresolved"))
+    g = g.select("target", "status", kept("unknown"), kept("external"), kept("literals"), F.when(F.col("status") == "closed", F.array_distinct("values")).alias("values"))
+    warning = F.when(F.size("unknown") > 0, F.concat(F.lit("unknown: "), F.array_join(F.slice("unknown", 1, SHOWN), "; ")))
+    return g.withColumn("unknowns", F.slice("unknown", 1, SHOWN)).withColumn("warning", F.when(F.col("status") != "closed", warning))
 
 
-def dominant_pair(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
-    """A4: most frequent (a, b); the larger pair on ties."""
-    return df.groupBy(*group, a, b).agg(F.count("*").alias("n")).groupBy(*group).agg(F.max_by(F.struct(a, b), F.struct("n", a, b)).alias("p")).select(*group, f"p.{a}", f"p.{b}")
+def dominant_pair(df: DataFrame, group: list[str], a: str, b: str, default: tuple[str, str] | None = None) -> DataFrame:
+    """A4: most frequent (a, b) of rows that have both; the larger pair on ties. Groups without any, and a table without
+    any if there is no group, take the default."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    n = df.groupBy(*group, a, b).agg(F.count_if(both).alias("n"))
+    best = n.groupBy(*group).agg(F.max_by(F.struct(a, b), F.struct("n", a, b), ).alias("p"), F.max("n").alias("m"))
+    pick = lambda c, d: F.when(F.col("m") > 0, F.col(f"p.{c}")).otherwise(F.lit(d)).alias(c)
+    d = default or (None, None)
+    out = best.select(*group, pick(a, d[0]), pick(b, d[1]))
+    return out if default else out.where(F.col(a).isNotNull())
 
 
 def common_prefix(df: DataFrame, group: str, path: str) -> DataFrame:
@@ -237,16 +321,25 @@ def common_prefix(df: DataFrame, group: str, path: str) -> DataFrame:
     d = df.select(group, path).distinct()
     steps = d.select(group, path, F.posexplode(F.split(path, "/")))
     n = d.groupBy(group).agg(F.count("*").alias("paths"), F.min(path).alias("only"))
-    per = steps.groupBy(group, "pos").agg(F.count_distinct("col").alias("k"), F.count("*").alias("m"), F.min("col").alias("step")).join(n, group)
+    per = steps.groupBy(group, "pos").agg(F.count_distinct("col").alias("k"), F.count("*").alias("m"), F.min("col").alias("step")).join(n.hint("shuffle_merge"), group)
     bad = per.groupBy(group).agg(F.min(F.when((F.col("k") > 1) | (F.col("m") < F.col("paths")), F.col("pos"))).alias("stop"))
-    kept = per.join(bad, group).where("stop is null or pos < stop").groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "step"))), lambda x: x["step"]), "/").alias("prefix"))
-    return n.join(kept, group, "left").select(group, F.when(F.col("paths") == 1, F.col("only")).otherwise(F.concat_ws("/", "prefix", F.lit("share"))).alias("prefix"))
+    kept = per.join(bad.hint("shuffle_merge"), group).where("stop is null or pos < stop").groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "step"))), lambda x: x["step"]), "/").alias("prefix"))
+    return n.join(kept.hint("shuffle_merge"), group, "left").select(group, F.when(F.col("paths") == 1, F.col("only")).otherwise(F.concat_ws("/", "prefix", F.lit("share"))).alias("prefix"))
 
 
-def cap_with_omitted(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """L2: first n rows of each group with their rank, and the number left out."""
+def cap_with_omitted(df: DataFrame, group: list[str], order: list[Column], n: int, note: str | None = None) -> DataFrame:
+    """L2: first n rows of each group with their rank, and the number left out. With `note`, the name of a text column,
+    groups that lose rows get one more row, ranked n + 1, whose note says how many."""
     w = Window.partitionBy(*group)
-    return df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("omitted", F.greatest(F.count("*").over(w) - n, F.lit(0))).where(F.col("rank") <= n)
+    kept = df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("omitted", F.greatest(F.count("*").over(w) - n, F.lit(0))).where(F.col("rank") <= n)
+    if not note:
+        return kept
+    lost = df.groupBy(*group).agg((F.count("*") - n).alias("omitted")).where("omitted > 0")
+    return kept.unionByName(lost.withColumn("rank", F.lit(n + 1)).withColumn(note, omitted_note(F.col("omitted"))), allowMissingColumns=True)
+
+
+def omitted_note(n: Column) -> Column:
+    return F.concat(F.lit("... "), n.cast("string"), F.lit(" additional diagnostic(s) omitted"))
 
 
 def diagnostic_summary(diags: DataFrame) -> DataFrame:
@@ -255,6 +348,20 @@ def diagnostic_summary(diags: DataFrame) -> DataFrame:
     return g.withColumn("shown", F.least("errors", F.lit(50))).withColumn("omitted", F.col("errors") - F.col("shown"))
 
 
+def diagnostic_lines(diags: DataFrame, totals: DataFrame, limit: int = 50) -> DataFrame:
+    """The first `limit` errors (run, ordinal, file, line, column, severity, rule, message) of each run as text, in
+    input order, and a last row with what is left out of the run's total (run, error_count)."""
+    one = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, 1).otherwise(F.col(c))
+    rule = F.when(F.coalesce(F.col("rule"), F.lit("")) != "", F.concat(F.lit(" ["), "rule", F.lit("]"))).otherwise("")
+    file = F.when(F.coalesce(F.col("file"), F.lit("")) == "", "<unknown>").otherwise(F.col("file"))
+    text = F.concat(file, F.lit(":"), one("line").cast("string"), F.lit(":"), one("column").cast("string"), F.lit(" error"), rule, F.lit(" "), F.coalesce("message", F.lit("")))
+    rank = F.row_number().over(Window.partitionBy("run").orderBy("ordinal"))
+    shown = diags.where("severity = 2").select("run", rank.alias("rank"), text.alias("text")).where(F.col("rank") <= limit)
+    left = totals.groupBy("run").agg(F.sum("error_count").alias("e")).join(shown.groupBy("run").agg(F.count("*").alias("s")), "run", "left")
+    left = left.withColumn("o", F.col("e") - F.coalesce("s", F.lit(0))).where("o > 0")
+    return shown.union(left.select("run", (F.coalesce("s", F.lit(0)) + 1).cast("int"), omitted_note(F.col("o"))))
+
+
 def coverage_table(rows: DataFrame, metrics: list[str], skip_full: bool) -> DataFrame:
     """Rows with the total first; files that are full in every metric may be left out."""
     total = rows.agg(*[F.avg(m).alias(m) for m in metrics]).select(F.lit("All files").alias("file"), *metrics, F.lit(0).alias("position"))
@@ -262,6 +369,24 @@ def coverage_table(rows: DataFrame, metrics: list[str], skip_full: bool) -> Data
     return total.unionByName((rows.where(~full) if skip_full else rows).select("file", *metrics, F.lit(1).alias("position")))
 
 
+def coverage_report(summary: DataFrame, metrics: list[str], skip_full: bool) -> DataFrame:
+    """(run, file, a text for each metric) of coverage summaries to rows in order, the one named `total` first. A
+    metric is a finite number or `Unknown`. A run without a valid total is one error row; a file with another value is
+    an error row in its place; files that are full everywhere may be left out, the total never is."""
+    fine = lambda m: F.col(m).try_cast("double").isNotNull() & ~F.isnan(F.col(m).try_cast("double")) & (F.abs(F.col(m).try_cast("double")) < float("inf")) | (F.col(m) == "Unknown")
+    valid = F.coalesce(F.forall(F.array(*[F.coalesce(fine(m), F.lit(False)) for m in metrics]), lambda x: x), F.lit(False))
+    full = F.forall(F.array(*[F.coalesce(F.col(m).try_cast("double") == 100, F.lit(False)) for m in metrics]), lambda x: x)
+    r = summary.withColumn("_ok", valid).withColumn("_total", F.col("file") == "total")
+    good = F.max(F.col("_total") & F.col("_ok")).over(Window.partitionBy("run"))
+    r = r.withColumn("_good", good)
+    bad = r.where("not _good").select("run").distinct().select("run", F.lit("All files").alias("file"), F.lit("no valid total").alias("error"), *[F.lit(None).cast("string").alias(m) for m in metrics], F.lit(0).alias("position"))
+    rows = r.where("_good").where(F.col("_total") | ~F.col("_ok") | ~full) if skip_full else r.where("_good")
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("_total"), "file")) - 1
+    error = F.when(~F.col("_ok"), F.lit("invalid metrics"))
+    rows = rows.select("run", F.when(F.col("_total"), "All files").otherwise(F.col("file")).alias("file"), error.alias("error"), *[F.when(F.col("_ok"), F.col(m)).alias(m) for m in metrics], rank.alias("position"))
+    return rows.union(bad)
+
+
 def run_summary(**tables: DataFrame) -> DataFrame:
     """A counter for each table, in one row each."""
     out = None
@@ -271,6 +396,16 @@ def run_summary(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def run_verdict(operations: DataFrame, schemas: DataFrame, patches: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One row of operations (with route_status), schemas, patches (with status), closed ones, placeholders and
+    warnings; a run with any diagnostic is complete-with-warnings."""
+    count = lambda df, n, c="true": df.agg(F.count_if(F.expr(c)).alias(n))
+    out = operations.agg(F.count("*").alias("operations"), F.count_if(F.col("route_status") == "placeholder").alias("placeholders"))
+    for one in (count(schemas, "schemas"), patches.agg(F.count("*").alias("patches"), F.count_if(F.col("status") == "closed").alias("closed_patches")), count(diagnostics, "warnings")):
+        out = out.crossJoin(one)  # of one row and one row
+    return out.withColumn("status", F.when(F.col("warnings") == 0, "complete").otherwise("complete-with-warnings"))
+
+
 def assert_single_value(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """Keys with more than one value, as error rows."""
     return df.groupBy(*key).agg(F.count_distinct(value).alias("n"), F.array_join(F.array_sort(F.collect_set(F.col(value).cast("string"))), ",").alias("found")).where("n > 1")
@@ -281,13 +416,13 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def table_fingerprint(df: DataFrame, cols: list[str], buckets: int = 256) -> DataFrame:
-    """One hash of a table whatever its row order: hashes of buckets of sorted row hashes. Buckets grow with the
-    table, so give as many as keep one in memory."""
-    rows = df.select(F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in cols]), 256).alias("h"))
-    per = rows.withColumn("b", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % buckets).groupBy("b", "h").agg(F.count("*").alias("n"))
-    per = per.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "h", "n"))), ","), 256).alias("h"), F.sum("n").alias("n"))
-    return per.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ","), 256).alias("fingerprint"), F.sum("n").alias("rows"))
+def table_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One fingerprint of a table whatever its row order: eight sums, modulo 2^61, of 32-bit pieces of the rows'
+    SHA-256, each weighed by another piece of the same hash. Sums are combined map-side and nothing is gathered."""
+    h = F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in cols]), 256)
+    piece = lambda i: F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
+    sums = [(F.sum(piece(i) * piece((i + 3) % 8) + piece(i)) % (1 << 61)).cast("string") for i in range(8)]
+    return df.select(h.alias("h")).agg(F.sha2(F.concat_ws(",", *sums, F.count("*").cast("string")), 256).alias("fingerprint"), F.count("*").alias("rows"))
 
 
 def schema_usage(reach: DataFrame, operations: DataFrame) -> DataFrame:
@@ -308,10 +443,13 @@ def first_non_empty(df: DataFrame, group: list[str], order: Column, col: str) ->
 
 
 def tag_revision(refs: DataFrame) -> DataFrame:
-    """(tag, reference, revision): what the tag points at in the end, else the tag itself; bad hashes are errors."""
-    peeled = F.endswith(F.col("reference"), F.lit("^{}"))
-    ok = F.bool_and(F.col("revision").rlike("^[0-9a-f]{40}$"))
-    return refs.groupBy("tag").agg(F.when(ok, F.coalesce(F.max(F.when(peeled, F.col("revision"))), F.max(F.when(~peeled, F.col("revision"))))).alias("revision"), F.when(ok, "ok").otherwise("bad-hash").alias("status"))
+    """(tag, reference, revision): what `refs/tags/<tag>` points at in the end, else the tag itself. A revision that
+    is no 40 or 64 hex digits, or a reference to anything else, makes the tag an error."""
+    direct = F.concat(F.lit("refs/tags/"), F.col("tag").cast("string"))
+    peeled = F.col("reference") == F.concat(direct, F.lit("^{}"))
+    ok, known = F.bool_and(F.col("revision").rlike("^(?:[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$")), F.bool_and(peeled | (F.col("reference") == direct))
+    best = F.coalesce(F.max(F.when(peeled, F.col("revision"))), F.max(F.when(~peeled, F.col("revision"))))
+    return refs.groupBy("tag").agg(F.when(ok & known, best).alias("revision"), F.when(~ok, "bad-hash").when(~known, "unexpected-reference").otherwise("ok").alias("status"))
 
 
 def output_units(operations: DataFrame) -> DataFrame:
@@ -321,18 +459,26 @@ def output_units(operations: DataFrame) -> DataFrame:
 
 
 # --- predicates over tables ------------------------------------------------------------------------------------------
+def prefixes_of(path: Column) -> Column:
+    """The path cut after each of its steps, itself last."""
+    steps = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+
+
 def select_contracts(nodes: DataFrame, sources: DataFrame, roots: DataFrame, suffix: str, marker: str) -> DataFrame:
-    """Interfaces (id, kind, name, file_path) of a suffix under a root whose source holds the marker."""
+    """Interfaces (id, kind, name, file_path) of a suffix under a root whose source holds the marker. A file is under
+    a root if one of its own path's prefixes is that root: an equi join."""
     picked = nodes.where((F.col("kind") == "interface") & F.endswith(F.col("name"), F.lit(suffix)))
-    picked = picked.join(small(roots), F.startswith(F.col("file_path"), F.concat("root", F.lit("/"))), "left_semi")
-    return picked.join(sources.where(F.contains(F.col("text"), F.lit(marker))).select("file_path"), "file_path", "left_semi")
+    files = picked.select("file_path").distinct()
+    under = files.select("file_path", F.explode(prefixes_of(F.col("file_path"))).alias("root")).where("root <> file_path")
+    under = under.join(roots.select("root").distinct().hint("shuffle_hash"), "root", "left_semi").select("file_path").distinct()
+    marked = sources.where(F.contains(F.col("text"), F.lit(marker))).select("file_path")
+    return picked.join(under.hint("shuffle_merge"), "file_path", "left_semi").join(marked, "file_path", "left_semi")
 
 
 def assign_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """Longest root that a path is under, step by step; null if none. One equi join on the path's own prefixes."""
-    steps = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
-    hits = paths.select("path").distinct().select("path", F.explode(prefixes).alias("root")).join(roots.select("root").distinct(), "root")
+    hits = paths.select("path").distinct().select("path", F.explode(prefixes_of(F.col("path"))).alias("root")).join(roots.select("root").distinct().hint("shuffle_hash"), "root")
     best = hits.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
     return paths.join(best, "path", "left")
 
@@ -364,26 +510,69 @@ def classify_packages(df: DataFrame, excluded: list[str], valid_name: Column, ex
     return df.where(~F.col("name").isin(excluded)).withColumn("reason", F.coalesce(reason, F.lit("usable")))
 
 
-def package_catalog(manifests: DataFrame) -> DataFrame:
-    """(path, manifest json) -> publishable or the reason why not."""
-    m = F.from_json("manifest", "name string, version string, private string, repository string, registry string")
-    m2 = manifests.withColumn("m", m)
-    from contractlens.functions.columns import semver_valid, valid_package_name
+# Where packages may be published, managers and the lock files that tell of them.
+NPM_REGISTRY, CARGO_REGISTRY = "https://registry.npmjs.org", "crates-io"
+MANAGERS, OTHER_MANAGERS = ["npm", "pnpm"], ["yarn", "bun"]
+NPM_LOCK, PNPM_LOCK = "package-lock.json", "pnpm-lock.yaml"
+OTHER_LOCKS, DENO = ["yarn.lock", "bun.lock", "bun.lockb"], ["deno.json", "deno.lock"]
 
+
+def package_catalog(manifests: DataFrame) -> DataFrame:
+    """(path, manifest json; ecosystem `node` or `rust` if the table says) -> publishable or the reason why not.
+
+    node: private must be a boolean; name and version are needed; a registry must be the public one; a repository is a
+    text or an object with a url. rust: an empty publish list is private, others must name the public registry."""
+    from contractlens.functions.columns import semver_valid
+
+    eco = F.col("ecosystem") if "ecosystem" in manifests.columns else F.lit("node")
+    m = manifests.withColumn("_e", eco).withColumn("_v", F.try_parse_json("manifest"))
+    raw = lambda p: F.to_json(F.try_variant_get("_v", p, "variant"))
+    text = lambda p: F.when(F.startswith(raw(p), F.lit('"')), F.try_variant_get("_v", p, "string"))
+    full = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
+    node, rust = F.col("_e") == "node", F.col("_e") == "rust"
+    private, publish, registry = raw("$.private"), raw("$.publish"), raw("$.publishConfig.registry")
+    listed = F.from_json(publish, "array<string>")
+    repository = F.when(node & F.startswith(raw("$.repository"), F.lit("{")), text("$.repository.url")).otherwise(text("$.repository"))
     reason = (
-        F.when(F.col("m").isNull() | F.col("m.name").isNull(), "no-name").when(F.col("m.private") == "true", "private").when(F.coalesce(F.col("m.private"), F.lit("false")) != "false", "bad-private")
-        .when(~valid_package_name(F.col("m.name")), "bad-name").when(~F.coalesce(semver_valid(F.col("m.version")), F.lit(False)), "bad-version").when(F.col("m.repository").isNull(), "no-repository")
+        F.when(F.col("_v").isNull(), "bad-manifest")
+        .when(node & (private == "true"), "private").when(node & private.isNotNull() & (private != "false"), "bad-private")
+        .when(rust & publish.isNotNull() & ~F.startswith(publish, F.lit("[")) & (publish != "null"), "bad-publish").when(rust & (F.size(listed) == 0) & (publish == "[]"), "private")
+        .when(rust & F.exists(F.coalesce(listed, F.array().cast("array<string>")), lambda x: ~x.eqNullSafe(F.lit(CARGO_REGISTRY))), "bad-registry")
+        .when(~full(text("$.name")), "no-name").when(~F.coalesce(semver_valid(text("$.version")), F.lit(False)), "bad-version")
+        .when(node & registry.isNotNull() & ~F.coalesce(F.rtrim(text("$.publishConfig.registry"), F.lit("/")) == NPM_REGISTRY, F.lit(False)), "bad-registry")
+        .when(~full(repository), "no-repository")
     )
-    return m2.select("path", F.col("m.name").alias("name"), F.col("m.version").alias("version"), F.coalesce(reason, F.lit("publishable")).alias("status"))
+    return m.select("path", text("$.name").alias("name"), text("$.version").alias("version"), F.coalesce(reason, F.lit("publishable")).alias("status"))
 
 
-def find_roots(files: DataFrame, ancestor: str) -> DataFrame:
+def package_manager(projects: DataFrame) -> DataFrame:
+    """(path, declared packageManager or null, files beside the manifest) -> the manager, or the error in choosing."""
+    from contractlens.functions.columns import semver_valid
+
+    name, version = F.substring_index("declared", "@", 1), F.substring(F.col("declared"), F.instr("declared", "@") + 1, F.length("declared"))
+    has = lambda fs: F.arrays_overlap(F.col("files"), F.array(*map(F.lit, fs)))
+    npm, pnpm = has([NPM_LOCK]), has([PNPM_LOCK])
+    said = F.when(F.trim("declared") == "", "error: empty").when(F.instr("declared", "@") == 0, "error: no version").when(~semver_valid(version), "error: bad version").when(name.isin(MANAGERS), name).otherwise("error: not supported")
+    found = F.when(npm & pnpm, "error: several lockfiles").when(pnpm, "error: pnpm needs packageManager").when(npm, "npm").when(has(OTHER_LOCKS), "error: not supported").when(has(DENO), "error: deno").otherwise("npm")
+    return projects.select("path", F.when(F.col("declared").isNotNull(), said).otherwise(found).alias("manager"))
+
+
+def find_roots(files: DataFrame, ancestor: str, layout: str | None = None) -> DataFrame:
     """P10: nearest ancestor of that name above each file; nested roots are dropped."""
-    roots = files.select(F.regexp_extract("path", f"^((?:.*/)?{ancestor})/", 1).alias("root")).where("root <> ''").distinct()
-    steps = F.split("root", "/")
-    above = roots.select("root", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("up")).where("up <> root")
-    nested = above.join(roots.withColumnRenamed("root", "up"), "up").select("root").distinct()
-    return roots.join(nested, "root", "left_anti")
+    return check_roots(files, ancestor, layout).where("status = 'ok'").select("root").distinct()
+
+
+def check_roots(files: DataFrame, ancestor: str, layout: str | None = None) -> DataFrame:
+    """P10: (path, root, status) of each file: `no-root` without such an ancestor, `outside-layout` if the root does not
+    hold the layout's path, `nested` if another root lies above it, else `ok`."""
+    root = F.regexp_extract("path", f"^((?:.*/)?{ancestor})/[^/]", 1)
+    f = files.select("path", F.nullif(root, F.lit("")).alias("root"))
+    roots = f.where("root is not null").select("root").distinct()
+    above = roots.select("root", F.explode(prefixes_of(F.col("root"))).alias("up")).where("up <> root")
+    nested = above.join(roots.withColumnRenamed("root", "up").hint("shuffle_hash"), "up", "left_semi").select("root").distinct().withColumn("_n", F.lit(True))
+    f = f.join(nested.hint("shuffle_merge"), "root", "left")
+    outside = ~F.contains(F.col("root"), F.lit(layout)) if layout else F.lit(False)
+    return f.select("path", "root", F.when(F.col("root").isNull(), "no-root").when(outside, "outside-layout").when(F.col("_n"), "nested").otherwise("ok").alias("status"))
 
 
 def pick_request(params: DataFrame, known: DataFrame, context_types: list[str]) -> DataFrame:
@@ -401,6 +590,18 @@ def union_inventory(*dfs: DataFrame) -> DataFrame:
     return out
 
 
+def collect_inventory(parts: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(packages, diagnostics (message)) of each provider to one table of either, with the provider's name."""
+    named = lambda i: union_inventory(*[p[i].withColumn("provider", F.lit(n)) for n, p in parts.items()])
+    return named(0), named(1)
+
+
+def ordered(df: DataFrame, keys: list[str | Column], tie: list[str] | None = None) -> DataFrame:
+    """L1: rows in the total order of the keys (range-partitioned, so sorted in parallel); by all other columns on ties."""
+    named = {k for k in keys if isinstance(k, str)}
+    return df.orderBy(*keys, *(tie if tie is not None else [c for c in df.columns if c not in named]))
+
+
 def stale(previous: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
     """Keys of before that are gone."""
     return previous.join(current, key, "left_anti").select(*key)
@@ -441,19 +642,40 @@ def require_metadata(meta: DataFrame, key: str, expected: str) -> DataFrame:
     return meta.groupBy("tenant").agg(F.max(F.when(F.col("key") == key, F.col("value"))).alias("value")).where(~F.col("value").eqNullSafe(F.lit(expected)))
 
 
+def find_key(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """(key, value) of the first value called `name` in each JSON text, at any depth: an object's own entry comes
+    before those of its children, which come in their order. Texts as they are, all else as JSON; nulls count as
+    missing, and texts that are no JSON have none. A level of nesting at a time, down to the last."""
+    level = df.select(key, F.array().cast("array<int>").alias("at"), F.to_json(F.try_parse_json(text)).alias("v")).where("v is not null")
+    found = None
+    for depth in count():
+        v = level.withColumn("p", F.parse_json("v"))
+        own = F.when(F.startswith("v", F.lit("{")), F.variant_get("p", f"$.{name}", "variant"))
+        shown = F.when(F.startswith(F.to_json(own), F.lit('"')), F.try_variant_get(own, "$", "string")).otherwise(F.to_json(own))
+        hits = v.select(key, "at", shown.alias("value"), F.to_json(own).alias("j")).where("j is not null and j <> 'null'").select(key, "at", "value")
+        found = hits if found is None else found.union(hits)
+        down = v.where("v like '{%' or v like '[%'").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("p").outer()))
+        level = materialize(down.select(F.col(key), F.array_append("at", F.col("pos")).alias("at"), F.to_json("value").alias("v")).where("v like '{%' or v like '[%'"), f"json-{depth}")
+        if level.isEmpty():
+            break
+    best = found.groupBy(key).agg(F.min_by("value", "at").alias("value"))
+    return df.select(key).join(best.hint("shuffle_merge"), key, "left")
+
+
 # --- checks ----------------------------------------------------------------------------------------------------------
 def run_checks(df: DataFrame, checks: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Each check gives one row (status, message); one that raises or gives another status has failed."""
-    out = None
+    """Each check gives one row (status, message). One that raises, while planned or while run, that gives no row or
+    another status has failed; every check is told of, by name. Each check's own aggregate runs here, so that one that
+    breaks does not take the others along; a row a check is all that reaches the driver."""
+    rows = []
     for name in sorted(checks):
         try:
-            row = checks[name](df).select("status", "message")
+            row = checks[name](df).select("status", "message").first()
         except Exception as e:  # a broken check must not hide the others
-            row = df.sparkSession.range(1).select(F.lit("failed").alias("status"), F.lit(str(e)[:200]).alias("message"))
-        ok = F.col("status").isin("passed", "warning", "failed")
-        row = row.select(F.lit(name).alias("check"), F.when(ok, F.col("status")).otherwise("failed").alias("status"), "message")
-        out = row if out is None else out.union(row)
-    return out
+            row = ("failed", str(e)[:200])
+        status, message = row or ("failed", "no result")
+        rows.append((name, status if status in ("passed", "warning", "failed") else "failed", message))
+    return df.sparkSession.createDataFrame(rows, "check string, status string, message string")
 
 
 def combine_results(results: DataFrame, already_continued: bool = False) -> DataFrame:
@@ -498,8 +720,8 @@ def effective_values(fields: DataFrame, patches: DataFrame, linked: DataFrame, d
 
 def envelope(payload: Column, code_field: str, data_field: str, code: str) -> Column:
     """M3: the payload in its envelope, as JSON; the code is a number if it reads as one."""
-    value = F.lit(int(code)) if code.lstrip("-").isdigit() else F.lit(code)
-    return F.concat(F.lit("{" + json.dumps(code_field) + ":"), F.to_json(F.struct(value.alias("v"))).substr(6, 2**30).substr(F.lit(1), F.length(F.to_json(F.struct(value.alias("v")))) - 6), F.lit("," + json.dumps(data_field) + ":"), payload, F.lit("}"))
+    shown = code if code.lstrip("-").isdigit() else json.dumps(code, ensure_ascii=False)
+    return F.concat(F.lit("{" + f"{json.dumps(code_field)}:{shown},{json.dumps(data_field)}:"), payload, F.lit("}"))
 
 
 def success_schema(responses: DataFrame) -> DataFrame:

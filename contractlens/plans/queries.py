@@ -57,12 +57,6 @@ def s6_json_payload(s, d):
     return noisy.select("event_id", F.variant_get(C.json_payload(c("t")), "$.k", "long").alias("k"))
 
 
-@query("SELECT k AS path, CASE WHEN n IS NULL THEN 'remove_stale' WHEN n = o THEN 'unchanged' ELSE 'overwrite' END AS action FROM (SELECT a.k, concat(a.file, '|', a.symbol) AS o, concat(b.file, '|', b.symbol) AS n FROM snap_old a LEFT JOIN snap_new b ON a.k = b.k)".replace("n IS NULL", "bk IS NULL").replace("SELECT a.k, ", "SELECT a.k, b.k AS bk, "), "snap_old", "snap_new")
-def s9_reconcile_manifest(s, d):
-    row = lambda n: view(s, d, n).select(c("k").alias("path"), F.concat_ws("|", "file", "symbol").alias("hash"))
-    return R.reconcile_manifest(row("snap_new"), row("snap_old"), row("snap_old"))
-
-
 # --- predicates ------------------------------------------------------------------------------------------------------
 @query("SELECT id, name FROM nodes WHERE kind = 'supplier' AND name LIKE '%5'", "nodes")
 def p1_select_contracts(s, d):
@@ -270,12 +264,6 @@ def a4_dominant_pair(s, d):
     return R.dominant_pair(T(s, d, "lineitem").withColumn("day", c("l_shipdate").cast("date")), ["day"], "l_returnflag", "l_linestatus")
 
 
-@query("SELECT host, CASE WHEN COUNT(DISTINCT path) = 1 THEN min(path) ELSE 'many' END AS prefix FROM url GROUP BY host", "url")
-def a5_common_prefix(s, d):
-    out = R.common_prefix(view(s, d, "url"), "host", "path")
-    return out.select("host", F.when(F.regexp_like("prefix", lit("(^|/)share$")), "many").otherwise(c("prefix")).alias("prefix"))
-
-
 @query("SELECT file, SUM(CASE WHEN severity = 2 THEN 1 ELSE 0 END)::bigint AS errors, greatest(SUM(CASE WHEN severity = 2 THEN 1 ELSE 0 END) - 50, 0)::bigint AS omitted FROM diag GROUP BY file", "diag")
 def a6_diagnostic_summary(s, d):
     return R.diagnostic_summary(view(s, d, "diag")).select("file", "errors", c("omitted").cast("long").alias("omitted"))
@@ -302,13 +290,6 @@ def a10_duplicate_keys(s, d):
     return R.duplicate_keys(T(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT COUNT(*) AS rows FROM part")
-def a11_table_fingerprint(s, d):
-    p = T(s, d, "part")
-    a, b = R.table_fingerprint(p, p.columns), R.table_fingerprint(p.orderBy(F.desc("p_partkey")), p.columns).withColumnRenamed("rows", "r2")
-    return a.join(b, "fingerprint").select("rows")
-
-
 @query("SELECT p_partkey AS node, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS dirs FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
 def a12_schema_usage(s, d):
     li = T(s, d, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("root"), c("l_partkey").alias("node"), c("l_returnflag").alias("dir")).distinct()
@@ -330,8 +311,8 @@ def a14_first_non_empty(s, d):
 @query("SELECT c_custkey AS tag, sha1hex AS revision FROM (SELECT c_custkey, left(sha256(concat(c_name, CASE WHEN c_custkey % 2 = 0 THEN 'p' ELSE '' END)), 40) AS sha1hex FROM customer)")
 def a15_tag_revision(s, d):
     cu = T(s, d, "customer")
-    direct = cu.select(c("c_custkey").alias("tag"), lit("refs/tags/v1").alias("reference"), F.substring(F.sha2("c_name", 256), 1, 40).alias("revision"))
-    peeled = cu.where("c_custkey % 2 = 0").select("c_custkey", lit("refs/tags/v1^{}"), F.substring(F.sha2(F.concat("c_name", lit("p")), 256), 1, 40))
+    direct = cu.select(c("c_custkey").alias("tag"), F.concat(lit("refs/tags/"), "c_custkey").alias("reference"), F.substring(F.sha2("c_name", 256), 1, 40).alias("revision"))
+    peeled = cu.where("c_custkey % 2 = 0").select("c_custkey", F.concat(lit("refs/tags/"), "c_custkey", lit("^{}")), F.substring(F.sha2(F.concat("c_name", lit("p")), 256), 1, 40))
     return R.tag_revision(direct.union(peeled)).select("tag", "revision")
 
 
@@ -372,11 +353,6 @@ def w5_strip_blocks(s, d):
     return R.strip_blocks(lines, "doc_id", "pos", "line", r"\{", r"\}").groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
-@query("SELECT id, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS place FROM nodes", "nodes")
-def l1_ordered(s, d):
-    return view(s, d, "nodes").select("id", F.row_number().over(Window.partitionBy("kind").orderBy("name", "id")).alias("place"))
-
-
 @query("SELECT file, rank, line, omitted FROM (SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY line, col, rule, l_suppkey, l_extendedprice) AS rank, greatest(COUNT(*) OVER (PARTITION BY file) - 50, 0) AS omitted FROM diag) WHERE rank <= 50", "diag")
 def l2_cap_with_omitted(s, d):
     return R.cap_with_omitted(view(s, d, "diag"), ["file"], [c(x) for x in ("line", "col", "rule", "l_suppkey", "l_extendedprice")], 50).select("file", "rank", "line", c("omitted").cast("long").alias("omitted"))
@@ -417,12 +393,6 @@ def u5_restrict(s, d):
 
 
 # --- functions -------------------------------------------------------------------------------------------------------
-@query("SELECT o_orderkey, 'at x' AS t FROM orders")
-def f1_strip_dates(s, d):
-    t = F.concat(lit("at "), F.date_format("o_orderdate", "yyyy-MM-dd"), lit(" x"))
-    return T(s, d, "orders").select("o_orderkey", F.regexp_replace(C.strip_dates(t), r"\s+", " ").alias("t"))
-
-
 @query("SELECT id, 1 AS code, split_part(substr(comment, 11), ' 2-', 1) AS label FROM coded UNION ALL SELECT id, 2, substr(comment, strpos(comment, ' 2-') + 3) FROM coded", "coded")
 def f2_coded_values(s, d):
     from contractlens.functions.coded import coded_values
@@ -430,12 +400,6 @@ def f2_coded_values(s, d):
     return coded_values(view(s, d, "coded").select("id", "comment", lit(None).cast("string").alias("annotation"), lit("Integer").alias("type")), "id").select("id", c("value").cast("int").alias("code"), "label")
 
 
-@query("SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'number' WHEN p_type = 'ECONOMY' THEN 'string' END AS kind FROM part")
-def f3_value_kind(s, d):
-    t = F.when(c("p_type") == "PROMO", "java.lang.Integer").when(c("p_type") == "ECONOMY", "Long").otherwise("Foo")
-    return T(s, d, "part").select("p_partkey", C.value_kind(t).alias("kind"))
-
-
 @query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: concat(upper(left(w, 1)), substr(w, 2))), '') AS upper_camel, upper(replace(p_name, ' ', '_')) AS upper_snake FROM part")
 def f4_case(s, d):
     return T(s, d, "part").select("p_partkey", C.upper_camel(c("p_name")).alias("upper_camel"), C.upper_snake(c("p_name")).alias("upper_snake"))
@@ -457,11 +421,6 @@ def f7_type_tokens(s, d):
     return G.type_tokens(p, "p_partkey", c("sig")).select("p_partkey", "name", c("depth").cast("int").alias("depth"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'string' ELSE 'number' END AS kind FROM part")
-def f8_catalogue_type(s, d):
-    return T(s, d, "part").select("p_partkey", C.catalogue_type(F.when(c("p_partkey") % 2 == 0, "java.time.LocalDate").otherwise("BigDecimal")).alias("kind"))
-
-
 @query("SELECT page_id, CASE WHEN regexp_matches(trim(path, '/'), '^[^/]+/[^/]+$') THEN regexp_replace(trim(path, '/'), '[.]git$', '') END AS slug FROM url", "url")
 def f9_repo_slug(s, d):
     return T(s, d, "pages").select("page_id", C.repo_slug(F.regexp_replace("url", "^[a-z]+://[^/]*", "HTTPS://GitHub.com")).alias("slug"))
@@ -483,11 +442,6 @@ def f12_normalize_path(s, d):
     return u.select("page_id", C.normalize_path(F.concat(lit("./a/b/.."), "path")).alias("path"))
 
 
-@query("SELECT p_partkey, concat(p_type, 'Enum') AS links FROM part")
-def f13_doc_links(s, d):
-    return T(s, d, "part").select("p_partkey", F.array_join(C.doc_links(F.concat(lit("see {@link "), "p_type", lit("Enum#x} and "), "p_type", lit("Enum"))), ",").alias("links"))
-
-
 @query("SELECT p_partkey, concat('src/', p_type, '.ts,lib/', p_partkey, '.ts') AS files FROM part")
 def f14_patch_files(s, d):
     t = F.concat(lit("*** Begin Patch\n*** Update File: src/"), "p_type", lit(".ts\n+x\n*** Move to: lib/"), c("p_partkey").cast("string"), lit(".ts\n*** End"))
@@ -517,18 +471,6 @@ def f18_content_hash(s, d):
     return T(s, d, "documents").select("doc_id", C.content_hash(c("text")).alias("hash"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def f19_find_key(s, d):
-    return T(s, d, "events").select("event_id", C.find_key(F.concat(lit('{"a":[1,{"b":'), "props", lit("}]}")), "k").alias("k"))
-
-
-@query("SELECT p_partkey, p_type AS owner, 'run' AS method FROM part")
-def f20_normalize_route(s, d):
-    t = F.to_json(F.struct(F.concat(lit("com.x."), "p_type", lit("#run(int)")).alias("path")))
-    _, _, owner, method = C.normalize_route(t)
-    return T(s, d, "part").select("p_partkey", owner.alias("owner"), method.alias("method"))
-
-
 @query("SELECT p_partkey, 2 AS groups, p_name AS kept FROM part")
 def f21_merge_owned(s, d):
     group = lambda m, *x: F.struct(lit(m).alias("matcher"), F.array(*x).alias("commands"))
@@ -544,17 +486,6 @@ def f22_imports(s, d):
     return T(s, d, "part").select("p_partkey", C.package_of(t).alias("package"), F.array_join(C.imports_of(t), ",").alias("imports"))
 
 
-@query("SELECT p_partkey, concat('A=s:', p_type, ',B=n:', p_size) AS members FROM part")
-def f23_exported_enums(s, d):
-    t = F.concat(lit("export const X = {\n  A: '"), "p_type", lit("',\n  B: "), c("p_size").cast("string"), lit(",\n} as const"))
-    return T(s, d, "part").select("p_partkey", F.array_join(F.transform(C.exported_enums(t), lambda x: F.concat_ws("=", x["member"], x["wire"])), ",").alias("members"))
-
-
-@query("SELECT p_partkey, 'Order Status Code' AS seed FROM part")
-def f24_enum_seed(s, d):
-    return T(s, d, "part").select("p_partkey", F.array_join(C.enum_seed(F.concat(lit("OrderStatus"), F.when(c("p_partkey") >= 0, "Enum")), lit("getStatusCode")), " ").alias("seed"))
-
-
 # --- graph -----------------------------------------------------------------------------------------------------------
 REACH = """, r AS (SELECT id AS root, id AS node, 0 AS depth FROM nodes WHERE kind = 'nation'), r1 AS (SELECT DISTINCT root, target AS node FROM r JOIN edges ON source = node WHERE edges.kind = 'calls'),
 r2 AS (SELECT DISTINCT root, target AS node FROM r1 JOIN edges ON source = node), r3 AS (SELECT DISTINCT root, target AS node FROM r2 JOIN edges ON source = node),
@@ -628,30 +559,7 @@ def g13_infer_names(s, d):
     return G.infer_names(p.where("p_partkey % 5 = 0").select(c("p_name").alias("old"), c("p_type").alias("new")), p.select(c("p_name").alias("old"), c("p_brand").alias("new"))).select("old", "new")
 
 
-@query("SELECT COUNT(*) AS ids, COUNT(*) AS names FROM part")
-def g14_shortest_unique_names(s, d):
-    seeds = T(s, d, "part").select(c("p_partkey").alias("id"), F.concat(F.split("p_brand", "#"), F.split("p_name", " ")).alias("parts"))
-    names = G.shortest_unique_names(seeds, s.sql("SELECT 'Widget' AS name"))
-    return names.agg(F.count("*").alias("ids"), F.count_distinct("name").alias("names"))
-
-
 # --- samples, streaming, checks --------------------------------------------------------------------------------------
-@query("SELECT COUNT(*) * 2 AS n, COUNT(*) * 2 AS in_range FROM part")
-def m1_generate_rows(s, d):
-    f = T(s, d, "part").select(F.concat(lit("op"), "p_partkey").alias("operation"), lit("data.count").alias("path"), lit("integer").alias("type"))
-    return G.generate_rows(f, 2, 7).agg(F.count("*").alias("n"), F.count_if(c("value").cast("int").between(1, 100)).alias("in_range"))
-
-
-@query("SELECT p_partkey, concat('user', p_partkey, '@example.com') AS v FROM part")
-def m2_semantic_value(s, d):
-    return T(s, d, "part").select("p_partkey", C.semantic_value(lit("list[].userEmail"), c("p_partkey")).alias("v"))
-
-
-@query("SELECT p_partkey, concat('{\"code\":0,\"data\":{\"n\":', p_size, '}}') AS body FROM part")
-def m3_envelope(s, d):
-    return T(s, d, "part").select("p_partkey", F.concat(lit('{"code":0,"data":'), F.to_json(F.struct(c("p_size").alias("n"))), lit("}")).alias("body"))
-
-
 @query("SELECT o_custkey AS operation, arg_min(o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) AS schema FROM orders GROUP BY 1")
 def m4_success_schema(s, d):
     st = F.when(c("o_orderstatus") == "F", "200").when(c("o_orderstatus") == "O", "201").otherwise("204")
@@ -663,14 +571,6 @@ def t1_track_edits(s, d):
     return E.track_edits_batch(view(s, d, "hook")).select(*E.KEY, "event_id", "changed")
 
 
-@query(f""", ed AS ({PAIRED}), st AS (SELECT session_id, turn_id, event_id AS stop_id, coalesce(lag(event_id) OVER (PARTITION BY session_id, turn_id ORDER BY event_id), -1) AS since FROM hook WHERE stage = 'Stop')
-SELECT st.session_id, st.turn_id, st.stop_id, COUNT(DISTINCT ed.path) AS files, CASE WHEN COUNT(DISTINCT ed.path) = 0 THEN 'silent' ELSE 'message' END AS decision FROM st LEFT JOIN ed ON ed.session_id = st.session_id AND ed.turn_id = st.turn_id AND ed.changed AND ed.event_id > since AND ed.event_id < stop_id GROUP BY ALL""", "hook")
-def t2_close_turns(s, d):
-    ev = view(s, d, "hook")
-    outcomes = ev.select("session_id", "turn_id").distinct().withColumn("status", lit("warning"))
-    return E.close_turns(ev, E.track_edits_batch(ev), outcomes)
-
-
 @query("SELECT event_id, CASE WHEN stage IS NULL THEN 'wrong-stage' ELSE 'ok' END AS status FROM hook", "hook")
 def t4_route_bad_events(s, d):
     return E.route_bad_events(view(s, d, "hook")).select("event_id", "status")

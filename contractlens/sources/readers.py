@@ -37,14 +37,16 @@ def read_text_tree(spark: SparkSession, root: str, extensions: list[str], skip_d
 
 
 def flatten_contracts(docs: DataFrame) -> dict[str, DataFrame]:
-    """(app, text of a contract document) -> operations, properties and enum values."""
-    v = docs.select("app", F.parse_json("text").alias("v"))
+    """(app, text of a contract document) -> operations, properties, enum values and the patches of operations; a
+    text that is no JSON has none."""
+    v = docs.select("app", F.try_parse_json("text").alias("v"))
     schema = "map<string,struct<properties:map<string,struct<type:string,`$ref`:string,`enum`:array<string>>>>>"
-    paths = "map<string,map<string,struct<operationId:string,summary:string>>>"
+    paths = "map<string,map<string,struct<operationId:string,summary:string,`x-patches`:array<struct<field:string,status:string,`values`:array<string>>>>>>"
     ops = v.select("app", F.explode(F.from_json(F.to_json(F.variant_get("v", "$.paths", "variant")), paths)).alias("path", "m")).select("app", "path", F.explode("m").alias("http_method", "o"))
     props = v.select("app", F.explode(F.from_json(F.to_json(F.variant_get("v", "$.components.schemas", "variant")), schema)).alias("schema", "s")).select("app", "schema", F.explode("s.properties").alias("property", "p"))
     return {
         "operations": ops.select("app", "path", "http_method", F.col("o.operationId").alias("operation_id")),
+        "patches": ops.select("app", "path", "http_method", F.explode("o.x-patches").alias("x")).select("app", "path", "http_method", "x.field", "x.status", "x.values"),
         "properties": props.select("app", "schema", "property", F.col("p.type").alias("type"), F.col("p.$ref").alias("ref")),
         "values": props.select("app", "schema", "property", F.posexplode("p.enum").alias("position", "value")),
     }
@@ -56,7 +58,10 @@ def read_contracts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def read_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """JSON lines; what is malformed or above 64 KiB is an empty record."""
-    lines = (spark.readStream if streaming else spark.read).text(path)
+    return parse_events((spark.readStream if streaming else spark.read).text(path))
+
+
+def parse_events(lines: DataFrame) -> DataFrame:
     return lines.select(F.when(F.octet_length("value") <= 65536, F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).alias("e")).select("e.*")
 
 

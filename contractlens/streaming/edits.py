@@ -21,9 +21,10 @@ def route_bad_events(events: DataFrame) -> DataFrame:
     return events.withColumn("status", status)
 
 
-def event_log(events: DataFrame) -> DataFrame:
-    """T5: one log line of each event."""
-    return events.select("event_id", F.concat_ws(" ", F.coalesce("stage", F.lit("-")), F.concat_ws("/", "session_id", "turn_id", F.coalesce(F.col("tool_use_id").cast("string"), F.lit("-")))).alias("line"))
+def event_log(events: DataFrame, duration: str | None = None) -> DataFrame:
+    """T5: one log line of each event, with its duration in ms from the named column if there is one."""
+    took = [F.concat(F.col(duration).cast("string"), F.lit("ms"))] if duration else []
+    return events.select("event_id", F.concat_ws(" ", F.coalesce("stage", F.lit("-")), F.concat_ws("/", "session_id", "turn_id", F.coalesce(F.col("tool_use_id").cast("string"), F.lit("-"))), *took).alias("line"))
 
 
 def track_edits_batch(events: DataFrame) -> DataFrame:
@@ -66,17 +67,66 @@ def turn_files(edits: DataFrame) -> DataFrame:
     return edits.where("changed").groupBy("session_id", "turn_id").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("files"))
 
 
-def close_turns(events: DataFrame, edits: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """T2, batch twin: at each Stop, the turn's changed files since the last closing stop, and the decision by its outcome
-    (session_id, turn_id, status): no files silent, passed silent, warning a message, failed a block the first time and
-    a message after."""
-    stops = events.where("stage = 'Stop'").select("session_id", "turn_id", F.col("event_id").alias("stop_id"))
-    w = Window.partitionBy("session_id", "turn_id").orderBy("stop_id")
-    stops = stops.withColumn("since", F.coalesce(F.lag("stop_id").over(w), F.lit(-1)))
-    hit = edits.where("changed").join(stops, ["session_id", "turn_id"]).where("event_id > since and event_id < stop_id")
-    files = hit.groupBy("session_id", "turn_id", "stop_id").agg(F.count_distinct("path").alias("files"))
-    j = stops.join(files, ["session_id", "turn_id", "stop_id"], "left").join(outcomes, ["session_id", "turn_id"], "left")
-    some = F.coalesce("files", F.lit(0)) > 0
-    again = F.coalesce(F.max(F.when(some, F.lit(True))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    decision = F.when(~some, "silent").when(F.col("status") == "failed", F.when(again, "message").otherwise("block")).when(F.col("status") == "warning", "message").otherwise("silent")
-    return j.select("session_id", "turn_id", "stop_id", F.coalesce("files", F.lit(0)).alias("files"), decision.alias("decision"))
+TURN = ["session_id", "turn_id"]
+CLOSED = "session_id string, turn_id string, stop_id long, files long, decision string"
+KEPT = "paths array<string>, blocked boolean"
+
+
+def _stops(key: tuple, rows: pd.DataFrame, paths: set[str], blocked: bool) -> tuple[list[tuple], set[str], bool]:
+    """Goes through a turn's changed files and stops in order: decisions, and the files and block that are left."""
+    out = []
+    for e in rows.sort_values(["event_id", "stop"]).itertuples():
+        if not e.stop:
+            paths.add(e.path)
+            continue
+        if not paths:
+            decision = "silent"
+        elif e.status == "failed":
+            decision = "message" if blocked or e.continued else "block"
+        else:
+            decision = "message" if e.status in ("warning", "none") else "silent"
+        out.append((*key, e.event_id, len(paths), decision))
+        blocked = decision == "block"
+        if not blocked:
+            paths = set()
+    return out, paths, blocked
+
+
+def turn_events(edits: DataFrame, stops: DataFrame) -> DataFrame:
+    """Changed files (session_id, turn_id, event_id, path) and stops (session_id, turn_id, event_id, status of the checks
+    or `none` without any, continued) as one table of events."""
+    e = edits.where("changed").select(*TURN, "event_id", F.lit(False).alias("stop"), "path", F.lit(None).cast("string").alias("status"), F.lit(False).alias("continued"))
+    s = stops.select(*TURN, "event_id", F.lit(True).alias("stop"), F.lit(None).cast("string").alias("path"), "status", F.coalesce("continued", F.lit(False)).alias("continued"))
+    return e.unionByName(s)
+
+
+def close_turns(events: DataFrame) -> DataFrame:
+    """T2, batch twin: at each stop of turn_events, the turn's changed files since the last stop that cleared them, and
+    the decision: none silent, passed silent, warning or no checks a message; failed a block that keeps the files, and
+    a message that clears them if the turn was continued before. One group holds one turn's events."""
+
+    def close(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_stops(key, rows, set(), False)[0], columns=[*TURN, "stop_id", "files", "decision"])
+
+    return events.groupBy(*TURN).applyInPandas(close, CLOSED)
+
+
+def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    paths, blocked = state.getOption or ([], False)
+    out, left, blocked = _stops(key, pd.concat(list(batches)), set(paths), blocked)
+    if left or blocked:
+        state.update((sorted(left), blocked))
+        state.setTimeoutDuration(TTL_MS)
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame(out, columns=[*TURN, "stop_id", "files", "decision"])
+
+
+def close_turns_stream(events: DataFrame) -> DataFrame:
+    """T2 over a stream of turn_events: a turn's files wait in its state until a stop clears them, at most for 24 hours
+    of processing time. Events of a turn have to come in order of event_id from batch to batch."""
+    e = events.select(*[F.col(k).cast("string").alias(k) for k in TURN], "event_id", "stop", "path", "status", "continued")
+    return e.groupBy(*TURN).applyInPandasWithState(_close, CLOSED, KEPT, "append", GroupStateTimeout.ProcessingTimeTimeout)

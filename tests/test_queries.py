@@ -8,6 +8,7 @@ from contractlens.functions import columns as C
 from contractlens.functions.coded import coded_values
 from contractlens.operators import graph as G
 from contractlens.operators import relational as R
+from contractlens.plans import cases  # noqa: F401  registers its queries
 from contractlens.plans import queries as Q
 from contractlens.plans.views import view
 from contractlens.sources import readers as S
@@ -102,13 +103,59 @@ def test_paths_inheritance_pairs_names(spark):
     n = spark.createDataFrame([("R2", "a", "S2"), ("S2", "b", "T2")], "schema string, field string, ref string")
     assert {(r["old"], r["new"]) for r in G.pair_schemas(s, n, spark.sql("SELECT 'R' AS old, 'R2' AS new")).collect()} == {("R", "R2"), ("S", "S2"), ("T", "T2")}
     dom = G.propagate_domains(spark.sql("SELECT 'm0' AS slot, 'D' AS domain"), spark.createDataFrame([("m0", "n0"), ("n0", "m0"), ("z", "w")], "from_slot string, to_slot string"))
-    assert {tuple(r) for r in dom.collect()} == {("m0", "D"), ("n0", "D"), ("z", "unknown"), ("w", "unknown")}
+    assert {tuple(r) for r in dom.collect()} == {("m0", "D"), ("n0", "D"), ("m0", "unknown"), ("n0", "unknown"), ("z", "unknown"), ("w", "unknown")}
 
 
-def test_lineage(spark):
-    reach = spark.createDataFrame([("op", "s1"), ("op", "s2")], "root string, node string")
-    w = spark.createDataFrame([("s1", "code", "E", "getCode", True, [], [], [], False), ("s2", "other", None, None, False, [], ["call"], [], False)], "site string, field string, enum_fqn string, accessor string, complete boolean, external array<string>, unknown array<string>, literals array<string>, transformed boolean")
-    assert {(r["field"], r["status"]) for r in G.field_lineage(reach, w, R.classify_domains).collect()} == {("code", "closed"), ("other", "unresolved")}
+def test_deep_graphs_are_whole_or_an_error(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)], "source string, target string")
+    roots = spark.createDataFrame([("n0",)], "root string")
+    assert G.reachable(chain, roots, merge=4).agg(F.max("depth")).first()[0] == 20
+    with pytest.raises(ValueError, match="beyond depth 5"):
+        G.propagate_domains(spark.sql("SELECT 'n0' AS slot, 'D' AS domain"), chain.toDF("from_slot", "to_slot"), 5)
+
+
+def test_matching_by_words_loses_no_pair(spark):
+    import random
+
+    r = random.Random(2)
+    words = ["Common", "Order", "User", "Price", "Room", "Hotel", "Detail"]
+    names = lambda p: [(f"{p}{i}", "Common" + "".join(r.sample(words[1:], r.randint(0, 3))), r.choice("ab")) for i in range(40)]
+    old, new = names("o"), names("n")
+    ws = lambda x: {w.lower() for w in "".join(" " + c if c.isupper() else c for c in x).split()}
+    want = set()
+    for i, a, s in old:
+        ranked = sorted(((s == t, len(ws(a) & ws(b)), j) for j, b, t in new if len(ws(a) & ws(b)) >= (1 if s == t else 2)), reverse=True)
+        if ranked and (len(ranked) == 1 or ranked[0][:2] != ranked[1][:2]):
+            want.add((i, ranked[0][2]))
+    side = lambda rows: spark.createDataFrame(rows, "id string, name string, value_set string")
+    assert {(x["old_id"], x["new_id"]) for x in R.match_by_words(side(old), side(new)).collect()} == want
+
+
+def test_turn_stream_equals_batch(spark, tmp_path):
+    rows = [("s", "t", i, i % 5 == 4, None if i % 5 == 4 else f"p{i % 3}", ["failed", "passed", "warning", "none", "failed"][(i // 5) % 5] if i % 5 == 4 else None, i == 24) for i in range(60)]
+    ev = spark.createDataFrame(rows, "session_id string, turn_id string, event_id long, stop boolean, path string, status string, continued boolean")
+    ev.repartition(1).sortWithinPartitions("event_id").write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    q = E.close_turns_stream(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("turns").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
+    got = [tuple(r) for r in spark.table("turns").orderBy("stop_id").collect()]
+    assert got == [tuple(r) for r in E.close_turns(ev).orderBy("stop_id").collect()]
+    assert [r[4] for r in got][:4] == ["block", "silent", "message", "message"]
+
+
+def test_state_goes_after_a_day():
+    class State:
+        hasTimedOut, exists, left = True, True, None
+
+        def remove(self):
+            self.left = "removed"
+
+    for step, key in ((E._track, ("s", "t", "u")), (E._close, ("s", "t"))):
+        state = State()
+        assert list(step(key, iter([]), state)) == [] and state.left == "removed"
 
 
 def test_sources(spark, tmp_path):
