@@ -511,3 +511,44 @@ GATE = [("x", 5, 0, 0, "h"), ("y", 5, 0, 0, "h"), ("x", 4, 0, 0, "h"), ("x", 5,
 def c3_accept_cases(s, d):
     g = dealt(s, d, GATE).toDF("snapshot", "commit", "operations", "placeholders", "unresolved", "hash")
     return R.accept_gate(g.withColumns({"expected_commit": lit("x"), "expected_operations": lit(5), "expected_hash": lit("h")}))
+
+
+# --- coded values ----------------------------------------------------------------------------------------------------
+N, STR = "Integer", "String"
+CODED = [
+    ("status: 1-one 2-two", None, N, "1=one;2=two"),
+    ("状态：1-待审，2/3-通过；备注", None, N, "1=待审;2=通过;3=通过"),
+    ("状态：\n1 待审\n2 通过", None, N, "1=待审;2=通过"),
+    ("订单类型:\n- (1) one\n2、two (TWO)\n3. three。more\n备注: x", None, N, "1=one;2=two;3=three"),
+    ("类型：\n1 one\n2 two\n2023年 change", None, N, "1=one;2=two"),
+    ("类型：\n1 one\nbroken line\n2 two", "1=a 2=b", N, "1=a;2=b"),
+    ("enum values:\n1 one\n2 two", None, N, "1=one;2=two"),
+    ("状态: 1 one, 2 two; 2024 later", None, N, "1=one;2=two"),
+    ("状态: 1 one 2 two 3 three。more", None, N, "1=one;2=two;3=three"),
+    ("状态: 1 one 3 three", None, N, ""),
+    ("状态: 1 one, 2 two; see docs", None, N, "1=one;2=two"),
+    ("just 1-only", "A", N, ""),
+    ("1=x. 2=y! 3=z", None, N, "1=x;2=y;3=z"),
+    ("-1-lost 1.5-half 007-bond", None, N, "-1=lost;1.5=half;7=bond"),
+    ("A:one B:two", None, STR, "A=one;B=two"),
+    ("场景:\n1. A_B first\n2. C-D second\n3. E9 third", None, STR, "A_B=first;C-D=second;E9=third"),
+    ("场景:\n1. A_B first\n3. C-D second", None, STR, ""),
+    ("场景\n- plain first\n- words second", None, STR, ""),
+    ("取值\n- plain first\n- words second", None, STR, "plain=first;words=second"),
+    ("取值\n- plain first\n1. X second\n2. Y third", None, STR, ""),
+    ("0-off（OFF）1-on（ON）", None, N, "0=off（OFF）1-on"),
+    ("0-off（OFF） 1-on（ON）", None, N, "0=off;1=on"),
+    ("日期 2024-01-02 1-a 2-b", None, "LocalDate", "1=a;2=b"),
+    ("1-a 2-b", None, "boolean", ""),
+]
+# One value is too few; a bracket without a space before the next code hides it.
+WANTED = [w if ";" in w else "" for *_, w in CODED]
+
+
+@query(f"SELECT * FROM (SELECT p_partkey, {chosen(WANTED)} AS pairs FROM part) WHERE pairs <> ''")
+def f2_coded_cases(s, d):
+    from contractlens.functions.coded import coded_values
+
+    x = dealt(s, d, [r[:3] for r in CODED]).select("p_partkey", c("x0").alias("comment"), c("x1").cast("string").alias("annotation"), c("x2").alias("type"))
+    pair = F.struct("position", F.concat_ws("=", "value", "label").alias("t"))
+    return coded_values(x, "p_partkey").groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda v: v["t"]), ";").alias("pairs"))
