@@ -16,7 +16,7 @@ from .common import table
 
 WORDS = 5
 FRACTION = 0.25
-CELLS = 65536  # equal steps of the id range: bounds the table that is broadcast
+QUANTILES, STEPS = 1024, 64  # parts of equally many ids, and equal steps within each: bounds the table that is broadcast
 ROWS = 2000  # that a bucket of neighbours should hold
 
 
@@ -70,10 +70,16 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     above, whose last row it follows. So no window spans the table. Null ids come last; equal ids go by text.
     """
     docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    lo, width = float(lo or 0), max(1.0, (float(hi or 0) - float(lo or 0)) / CELLS)
-    docs = docs.withColumn("cell", F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id").cast("double") - lo) / width).cast("int")))
-    # At most CELLS + 2 rows from here on, however large the table: one task may hold and broadcast them.
+    shares = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, F.lit(20 * QUANTILES)).alias("b")).first()["b"] or [0]
+    low = F.array(*[F.lit(b) for b in sorted(set(bounds))])
+    # The part whose least id is the last one at or below the row's, however ids are spread, and a step within it.
+    docs = docs.withColumn("part", F.greatest(F.size(F.filter(low, lambda b: b <= F.col("k"))), F.lit(1)))
+    edge = lambda i: F.coalesce(F.get(low, F.least(i, F.size(low) - 1)), F.lit(0)).cast("double")
+    width = F.greatest(edge(F.col("part")) - edge(F.col("part") - 1), F.lit(1.0))
+    step = F.least(F.greatest(F.floor((F.col("doc_id").cast("double") - edge(F.col("part") - 1)) / width * STEPS), F.lit(0)), F.lit(STEPS - 1))
+    docs = docs.withColumn("cell", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("part") * STEPS + step).cast("int")).drop("part")
+    # At most QUANTILES * STEPS cells from here on, however large the table: one task may hold and broadcast them.
     running = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = docs.groupBy("cell").agg(F.count("*").alias("n"), F.max("k").alias("top"))
     cells = cells.select("cell", "top", F.floor(F.coalesce(F.sum("n").over(running), F.lit(0)) / ROWS).alias("b"))
