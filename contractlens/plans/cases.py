@@ -117,6 +117,17 @@ def s7_parse_events(s, d):
     return S.parse_events(lines).groupBy(c("session_id").alias("session")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT n_name AS line, COUNT(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT '', 1")
+def s4_read_text_tree(s, d):
+    import uuid
+
+    base, names = f"{scratch_dir(s)}/contractlens-tree-{uuid.uuid4().hex}", T(s, d, "nation").select("n_name").coalesce(1)
+    names.write.text(f"{base}/keep")  # one file of lines that end in a line feed
+    names.write.text(f"{base}/node_modules/x")
+    names.write.option("compression", "gzip").text(f"{base}/packed")
+    return S.read_text_tree(s, base, ["txt"], ["node_modules"]).groupBy("line").agg(F.count("*").alias("n"))
+
+
 @query("SELECT p_partkey, p_name FROM part")
 def s8_publish(s, d):
     import uuid

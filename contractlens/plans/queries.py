@@ -34,10 +34,12 @@ def T(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------
-@query("SELECT kind, COUNT(*) AS n FROM edges WHERE kind IN ('calls') GROUP BY kind", "edges")
+@query("SELECT 'edge' AS what, kind, COUNT(*) AS n FROM edges WHERE kind IN ('calls') GROUP BY kind UNION ALL SELECT 'node', CASE WHEN kind = 'nation' THEN 'file' ELSE kind END, COUNT(*) FROM nodes WHERE kind IN ('nation', 'supplier') GROUP BY kind UNION ALL SELECT 'blank', 'signature', COUNT(*) FROM nodes WHERE kind IN ('nation', 'supplier')", "edges", "nodes")
 def s1_load_graph(s, d):
-    nodes = view(s, d, "nodes").withColumn("language", lit("java"))
-    return S.load_graph(nodes, view(s, d, "edges"), ["java"], ["calls"])[1].groupBy("kind").agg(F.count("*").alias("n"))
+    nodes = view(s, d, "nodes").withColumn("language", F.when(c("kind") == "supplier", "java").when(c("kind") == "order", "other")).withColumn("kind", F.when(c("kind") == "nation", "file").otherwise(c("kind"))).withColumn("signature", lit(None).cast("string"))
+    n, e = S.load_graph(nodes, view(s, d, "edges"), ["java"], ["calls"])
+    count = lambda df, what, kind: df.groupBy(lit(what).alias("what"), kind.alias("kind")).agg(F.count("*").alias("n"))
+    return count(e, "edge", c("kind")).union(count(n, "node", c("kind"))).union(count(n.where("signature = ''"), "blank", lit("signature")))
 
 
 @query("SELECT concat('c', c_custkey) AS tenant, c_mktsegment AS value FROM customer WHERE c_mktsegment <> 'BUILDING'")
