@@ -1,9 +1,11 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Every word n-gram of a test item is a seed, however many documents hold it: a leak makes its own n-grams frequent, so
-none is left out for its frequency. Where a document holds a seed, the words around it are aligned with the item, and
-the alignment's share of the best possible score is the pair's score. Words around a seed that share too few words with
-the item to reach the threshold in any order are not aligned; that keeps common n-grams cheap and loses no pair.
+"""Benchmark decontamination: rare n-gram seeds, a join, then Smith-Waterman alignment.
+
+The documents are read once for their word n-grams that a test item may hold (a bitset of bounded size passes few
+others), whatever the number of items. The hits say how many documents hold each n-gram of an item. Its seeds are the
+rare ones: those that no more than twice as many documents hold as the rarest around them, so every stretch of an item
+keeps seeds however often it leaked, and common phrases fall away. Hits join the seeds; the words around each are
+aligned with the item, and the alignment's share of the best possible score is the pair's score. Words around a seed
+that share too few words with the item to reach the threshold in any order are not aligned, which loses no pair.
 """
 
 from __future__ import annotations
@@ -12,94 +14,60 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, per_text, table
+from .common import materialize, slices, table
 
-SEED = 3  # words of a seed
-BLOCK = 20_000  # items that are sent to the executors at once: bounds the broadcast
+SEED = 3  # words of an n-gram
+STRETCH = 4  # neighbouring n-grams of an item of which the rarest sets the measure
+RARER = 2  # times the documents of the rarest that a seed may have
+BITS = 1 << 27  # of the set that is broadcast, at most
+SALTS = 8
 MATCH, MISS, GAP = 2, -1, -1
 THRESHOLD = 0.4
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(SEED)], np.uint64).view(np.int64)  # n-gram codes wrap around
 EDGE = ".,;:!?\"'()[]{}|%&*#$"
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w for t in (text or "").lower().split() if (w := t.strip(EDGE))]
-
-
-class Index:
-    """Words and n-grams of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, w) for i, t in items if (w := words_of(t))]
-        self.word = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
-        self.codes = [np.array([self.word[w] for w in ws], np.int64) for _, ws in self.items]
-        self.grams = [self.encode(c) for c in self.codes]
-        self.all = np.unique(np.concatenate(self.grams)) if self.grams else np.empty(0, np.int64)
-        self.bags = [np.unique(c, return_counts=True) for c in self.codes]
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-        for n, grams in enumerate(self.grams):
-            for j, g in enumerate(grams.tolist()):
-                self.seeds.setdefault(g, []).append((n, j))
-
-    def encode(self, codes: np.ndarray) -> np.ndarray:
-        """n-gram codes, hashes that the alignment verifies; a shorter sequence is one gram, padded by zeros in front."""
-        if len(codes) < SEED:
-            codes = np.concatenate([np.zeros(SEED - len(codes), np.int64), codes])
-        n = len(codes) - SEED + 1
-        return sum(codes[SEED - 1 - k : SEED - 1 - k + n] * POWERS[k] for k in range(SEED))
-
-    def shared(self, n: int, window: np.ndarray) -> int:
-        """Words that the window and item n have in common, each as often as both hold it."""
-        words, most = self.bags[n]
-        at = np.minimum(np.searchsorted(words, window), len(words) - 1)
-        return int(np.minimum(np.bincount(at[words[at] == window], minlength=len(words)), most).sum())
-
-
 class Words(dict):
-    """token -> code of its word, 0 for words of no item, -1 for tokens without a word."""
+    """token -> code of its word (a 64-bit hash), 0 for tokens without one. Keeps up to `most` tokens."""
 
-    def __init__(self, word: dict[str, int]):
+    def __init__(self, most: int = 1_000_000):
         super().__init__()
-        self.word = word
+        self.most = most
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > self.most:
             self.clear()
         w = token.strip(EDGE)
-        self[token] = code = self.word.get(w, 0) if w else -1
+        code = 0
+        if w:
+            code = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) or 1
+            code -= (1 << 64) * (code >> 63)
+        self[token] = code
         return code
 
+    def read(self, text: str | None) -> np.ndarray:
+        tokens = (text or "").lower().split()
+        codes = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return codes[codes != 0]
+
+
+def grams_of(codes: np.ndarray, size: int = SEED) -> np.ndarray:
+    """Code of the n-gram that ends at each word; the first ones have fewer words."""
+    out = np.zeros(len(codes), np.int64)
+    for k in range(min(size, len(codes))):
+        out[k:] += codes[: len(codes) - k] * POWERS[k]
+    return out
 
-def read_codes(text: str | None, words: Words) -> np.ndarray:
-    tokens = (text or "").lower().split()
-    codes = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    return codes[codes >= 0]
-
-
-def hits(codes: np.ndarray, index: Index, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and codes of the grams of a document that are among the given ones."""
-    padded = np.concatenate([np.zeros(SEED - 1, np.int64), codes])
-    grams = index.encode(padded)  # position of a gram: its last word
-    last = np.flatnonzero(codes)
-    full = grams[last]
-    short = [full]
-    where = [last]
-    if any(len(c) < SEED for c in index.codes):
-        for k in range(1, SEED):  # items of fewer words: the gram of the last k words alone
-            part = codes[last]
-            for b in range(1, k):
-                part = part + np.where(last - b >= 0, codes[np.maximum(last - b, 0)], 0) * POWERS[b]
-            short.append(part)
-            where.append(last)
-    g, p = np.concatenate(short), np.concatenate(where)
-    if not len(among) or not len(g):
-        return p[:0], g[:0]
-    at = np.minimum(np.searchsorted(among, g), len(among) - 1)
-    ok = among[at] == g
-    return p[ok], g[ok]
+
+def slot_of(grams: np.ndarray, bits: int) -> np.ndarray:
+    x = grams.view(np.uint64)
+    return ((x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(47))) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -127,79 +95,167 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def leaks(codes: np.ndarray, index: Index, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end word) of the best alignment of each item with a seed in the document, if its score
-    reaches the threshold."""
-    where, grams = hits(codes, index, index.all)
-    windows: dict[int, list[tuple[int, int]]] = {}
-    for p, g in zip(where.tolist(), grams.tolist(), strict=True):
-        for n, j in index.seeds[g]:
-            size = len(index.codes[n])
-            j += min(SEED, size) - 1  # of the seed's last word in the item
-            lo = max(0, p - math.ceil(1.4 * j) - 4)
-            hi = min(len(codes), p + math.ceil(1.4 * (size - j)) + 4)
-            spans = windows.setdefault(n, [])
-            if spans and lo <= spans[-1][1] and max(hi, spans[-1][1]) - min(lo, spans[-1][0]) <= 4 * size + 32:
-                spans[-1] = (min(lo, spans[-1][0]), max(hi, spans[-1][1]))
-            else:
-                spans.append((lo, hi))
-    out = []
-    for n, spans in windows.items():
-        item = index.codes[n]
-        found = []
-        for lo, hi in spans:
-            if index.shared(n, codes[lo:hi]) / len(item) < threshold:  # a match a word at most
-                continue
-            score, s, e = align(item, codes[lo:hi])
-            found.append((score / (MATCH * len(item)), lo + s, lo + e))
-        if found and (best := max(found, key=lambda x: (x[0], -x[1])))[0] >= threshold:
-            out.append((n, *best))
-    return out
-
-
-def _indexes(benchmark: DataFrame, block: int) -> Iterator[Index]:
-    """The benchmark in blocks."""
+def best_leak(item: np.ndarray, codes: np.ndarray, places: list[tuple[int, int]], threshold: float) -> tuple[float, int, int] | None:
+    """(score, first word, end word) of the best alignment of an item with a document's words around the places (last
+    word in the document, in the item) of its seeds, if it reaches the threshold."""
+    size, spans = len(item), []
+    for p, j in sorted(places):
+        lo = max(0, p - math.ceil(1.4 * j) - 4)
+        hi = min(len(codes), p + math.ceil(1.4 * (size - j)) + 4)
+        if spans and lo <= spans[-1][1] and max(hi, spans[-1][1]) - min(lo, spans[-1][0]) <= 4 * size + 32:
+            spans[-1] = (min(lo, spans[-1][0]), max(hi, spans[-1][1]))
+        else:
+            spans.append((lo, hi))
+    words, most = np.unique(item, return_counts=True)
+    found = []
+    for lo, hi in spans:
+        window = codes[lo:hi]
+        at = np.minimum(np.searchsorted(words, window), len(words) - 1)
+        shared = np.minimum(np.bincount(at[words[at] == window], minlength=len(words)), most).sum()
+        if shared / size < threshold:  # a match a word at most
+            continue
+        score, s, e = align(item, window)
+        found.append((score / (MATCH * size), lo + s, lo + e))
+    best = max(found, key=lambda x: (x[0], -x[1]), default=None)
+    return best if best and best[0] >= threshold else None
+
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """(item, gram, place, size, slots) of the n-grams of items; an item of fewer words is one n-gram."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for b in batches:
+            rows = []
+            for key, text in zip(b["item"], b["text"], strict=True):
+                codes = words.read(text)
+                first = max(0, min(SEED, len(codes)) - 1)
+                g = grams_of(codes)[first:]
+                rows.append(pd.DataFrame({"item": key, "gram": g, "place": np.arange(first, len(codes)), "size": len(codes), "slot": slot_of(g, BITS)}))
+            yield pd.concat(rows) if rows else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("item", "gram", "place", "size", "slot")})
+
+    return items.mapInPandas(run, "item long, gram long, place long, size long, slot long")
+
+
+def gram_set(grams: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """A bitset of the n-grams' slots, of 32 bits for each but BITS in all at most; and the numbers of words below SEED
+    that items have."""
+    n = grams.count()
+    bits = min(BITS, 1 << max(16, (32 * n).bit_length()))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(1 << 15, bool)
+        block[part["slot"].to_numpy() & ((1 << 15) - 1)] = True
+        return pd.DataFrame({"block": [part["slot"].iloc[0] >> 15], "x": [np.packbits(block).tobytes()]})
+
+    slots = grams.select(F.col("slot").bitwiseAND(F.lit(bits - 1)).alias("slot")).distinct()
+    blocks = slots.groupBy(F.shiftright("slot", 15)).applyInPandas(pack, "block long, x binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in blocks.toLocalIterator():  # 4,096 rows of 4,096 bytes at most
+        out[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["x"], np.uint8)
+    short = sorted(r["size"] for r in grams.where(F.col("size") < SEED).select("size").distinct().collect())
+    return out, short
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with two columns that tell their rows apart by id and text."""
+    return docs.withColumns({"_leak_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_leak_h": F.xxhash64(F.coalesce("text", F.lit("")), F.lit(11))})
+
+
+KEY = ["_leak_k", "_leak_h"]
+
+
+def gram_hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(key.., gram, at) of the documents' n-grams (at: last word) that are likely an item's: one pass over the texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(gram_set(grams))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, short = sent.value
+        words = Words()
+        for whole in batches:
+            for b in slices(whole, "text"):
+                row, gram, at = [], [], []
+                for i, text in enumerate(b.column("text").to_pylist()):
+                    codes = words.read(text)
+                    for size in (*short, SEED):
+                        g = grams_of(codes, size)
+                        slot = slot_of(g, len(seen) * 8)
+                        hit = np.flatnonzero(seen[slot >> 3] >> (7 - (slot & 7)) & 1)
+                        hit = hit[hit >= size - 1]
+                        if len(hit):
+                            row.append(np.full(len(hit), i))
+                            gram.append(g[hit])
+                            at.append(hit)
+                if row:
+                    pick = pa.array(np.concatenate(row))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(pick) for c in KEY), pa.array(np.concatenate(gram)), pa.array(np.concatenate(at).astype(np.int64))], names=[*KEY, "gram", "at"])
+
+    d = _keyed(docs).select(*KEY, F.coalesce("text", F.lit("")).alias("text"))
+    return d.mapInArrow(run, "_leak_k long, _leak_h long, gram long, at long").distinct()
+
+
+def rare_seeds(grams: DataFrame, hits: DataFrame) -> DataFrame:
+    """(item, gram, place) of the n-grams that some document holds and that are rare in their stretch of the item."""
+    df = hits.select(*KEY, "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
+    g = grams.join(df.hint("shuffle_merge"), "gram").withColumn("stretch", F.floor(F.col("place") / STRETCH))
+    least = g.groupBy("item", "stretch").agg(F.min("df").alias("least"))
+    return g.join(least.hint("shuffle_merge"), ["item", "stretch"]).where(F.col("df") <= RARER * F.col("least")).select("item", "gram", "place")
+
+
+def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(key.., found array) of the documents that hold a seed, with the items and where the seeds stand."""
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks = max(1, math.ceil(items.count() / block))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in rows])
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    items = materialize(items.withColumn("item", F.xxhash64("item_id", "text")), "items")
+    grams = materialize(item_grams(items.select("item", "text")), "item-grams")
+    hits = materialize(gram_hits(docs, grams), "gram-hits")
+    seeds = rare_seeds(grams, hits)
+    # A gram that very many documents hold is dealt to several tasks, each with its seeds.
+    seeds = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = hits.withColumn("salt", F.pmod(F.col("_leak_h"), F.lit(SALTS))).join(seeds.hint("shuffle_merge"), ["gram", "salt"])
+    pairs = met.groupBy(*KEY, "item").agg(F.collect_set(F.struct("at", "place")).alias("places"))
+    pairs = pairs.join(items.hint("shuffle_hash"), "item")
+    return pairs.groupBy(*KEY).agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"), "places")).alias("_leak_found"))
+
+
+LEAK = "array<struct<item_id:long,score:double,first_word:long,end_word:long>>"
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """(key.., doc_id, leaks) of the documents that hold a seed."""
+    met = _keyed(docs).select(*KEY, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    met = met.join(candidates(docs, benchmark).hint("shuffle_merge"), KEY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for whole in batches:
+            for b in slices(whole, "text"):
+                rows = []
+                for text, found in zip(b.column("text").to_pylist(), b.column("_leak_found").to_pylist(), strict=True):
+                    codes, leaks = words.read(text), []
+                    for f in found:
+                        if best := best_leak(words.read(f["item_text"]), codes, [(p["at"], p["place"]) for p in f["places"]], threshold):
+                            leaks.append({"item_id": f["item_id"], "score": best[0], "first_word": best[1], "end_word": best[2]})
+                    rows.append(leaks)
+                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*KEY, "doc_id")), pa.array(rows, kind)], names=[*KEY, "doc_id", "leaks"])
+
+    return met.mapInArrow(run, f"_leak_k long, _leak_h long, doc_id long, leaks {LEAK}")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word of every pair whose best alignment reaches the threshold.
 
     Null and empty texts and items match nothing. Repeated documents give a row each; repeated items count once per
-    item_id and text. Words are what is left of lower-cased tokens without edge punctuation. Ids pass as they are, null
-    or not; extra columns are left aside.
+    item_id and text. Words are what is left of lower-cased tokens without edge punctuation; they and n-grams are told
+    apart by 64-bit hashes. Ids pass as they are, null or not; extra columns are left aside.
     """
-    out = None
-    for index in _indexes(benchmark, block):
-        found = docs.sparkSession.sparkContext.broadcast(index)
-
-        def find(texts: list[str | None], found=found) -> list[tuple]:
-            index = found.value
-            words = Words(index.word)
-            return [([{"item_id": index.items[n][0], "score": s, "first_word": a, "end_word": e} for n, s, a, e in leaks(read_codes(text, words), index, threshold)],) for text in texts]
-
-        part = per_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", find, "found array<struct<item_id:long,score:double,first_word:long,end_word:long>>")
-        part = part.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
-        out = part if out is None else out.union(part)
-    return out
-
+    return _leaks(docs, benchmark, threshold).select("doc_id", F.explode("leaks").alias("f")).select("doc_id", "f.*")
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """docs without those that hold a copy of an item; all columns stay."""
-    out = docs
-    for index in _indexes(benchmark, block):
-        found = docs.sparkSession.sparkContext.broadcast(index)
 
-        def keep(texts: list[str | None], found=found) -> list[bool]:
-            words = Words(found.value.word)
-            return [not leaks(read_codes(t, words), found.value, threshold) for t in texts]
-
-        out = map_texts(out, keep=keep)
-    return out
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those that hold a copy of an item; all columns stay, as do null and empty texts and null ids."""
+    gone = materialize(_leaks(docs, benchmark, threshold).where("size(leaks) > 0").select(*KEY).distinct(), "contaminated")
+    return _keyed(docs).join(gone.hint("shuffle_merge"), KEY, "left_anti").select(docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
