@@ -130,18 +130,39 @@ class Restorer(dict):
         self[token] = word = suspect and restore(core, self.model) or core
         return word
 
+    def runs(self, low: str) -> list[str]:
+        """The words of runs of letters set apart."""
+        return [w for m in APART.finditer(low) for w in restore(m[0].strip("\"'("), self.model).split()]
+
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text, of runs of letters set apart too."""
         low = text.lower()
-        out = set(map(self.__getitem__, set(low.split())))
-        for m in APART.finditer(low):
-            out.update(restore(m[0].strip("\"'("), self.model).split())
-        return out
+        return {*map(self.__getitem__, set(low.split())), *self.runs(low)}
+
 
+class Evidence(dict):
+    """token -> evidence of its word as restored. Keeps up to `most` tokens."""
 
-def evidences(words: set[str], lexicon: dict[str, float]) -> list[float]:
-    """Evidence of each word that has any, strongest first."""
-    return sorted((e for w in words if (e := max((lexicon.get(f, 0.0) for f in features(w)), default=0.0))), reverse=True)
+    def __init__(self, lexicon: dict[str, float], restorer: Restorer, most: int = 1_000_000):
+        super().__init__()
+        self.lexicon, self.restorer, self.most = lexicon, restorer, most
+
+    def of(self, word: str) -> float:
+        return max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
+
+    def __missing__(self, token: str) -> float:
+        if len(self) > self.most:
+            self.clear()
+        self[token] = e = self.of(self.restorer[token])
+        return e
+
+    def read(self, text: str) -> list[float]:
+        """What the classifier reads of a text: the evidences of its distinct restored words, and how many tokens."""
+        low = text.lower()
+        tokens = set(low.split())
+        found = {self.restorer[t]: self[t] for t in tokens if self[t]}
+        found |= {w: e for w in self.restorer.runs(low) if (e := self.of(w))}
+        return _design(sorted(found.values(), reverse=True), len(tokens))
 
 
 def _design(found: list[float], words: int) -> list[float]:
@@ -164,22 +185,36 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
 
-def char_trigrams(docs: DataFrame, rarest: float = RAREST) -> dict[str, int]:
+def trigram_codes(words: list[str], uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of `^^word$`, three 21-bit code points in a number, and how often each is used."""
+    c = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 3
+    inside = np.arange(len(c)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(sizes - 2, sizes)
+    at = np.flatnonzero(inside)
+    found, code = pd.factorize(c[at] << 42 | c[at + 1] << 21 | c[at + 2]) if len(at) else (at, at)
+    return code, np.bincount(found, np.repeat(uses, sizes)[at], len(code)).astype(np.int64)
+
+
+def char_trigrams(docs: DataFrame, rarest: float = RAREST, most: int = 300_000) -> dict[str, int]:
     """How often each character trigram stands in the words (of letters alone) of all documents."""
 
     def count(batches: Iterator) -> Iterator[pd.DataFrame]:
+        words: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            known = [(w, n) for t, n in words.items() if (w := clean(t)).isalpha()]
+            words.clear()
+            code, n = trigram_codes([w for w, _ in known], np.array([n for _, n in known], np.int64))
+            grams = ["".join(chr(c >> k & 0x1FFFFF) for k in (42, 21, 0)) for c in code.tolist()]
+            return pa.RecordBatch.from_pydict({"g": grams, "n": n}, pa.schema([("g", pa.string()), ("n", pa.int64())]))
+
         for b in batches:
             for part in slices(b, "text"):
-                words, tri = Counter(), Counter()
                 for text in part.column("text").to_pylist():
                     words.update((text or "").lower().split())
-                for w, n in words.items():
-                    w = clean(w)
-                    if w.isalpha():
-                        s = f"^^{w}$"
-                        for i in range(len(s) - 2):
-                            tri[s[i : i + 3]] += n
-                yield pa.RecordBatch.from_pydict({"g": list(tri), "n": list(tri.values())}, pa.schema([("g", pa.string()), ("n", pa.int64())]))
+                if len(words) > most:
+                    yield flush()
+        yield flush()
 
     counts = materialize(docs.select("text").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")), "trigrams")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -219,9 +254,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         less, trigrams = both.value
         restorer = Restorer(CharModel(trigrams))
+        ev = [Evidence(x, restorer) for x in less]
         for b in batches:
-            words = [restorer.words(t) for t in b["text"]]
-            yield pd.DataFrame({"x": [_design(evidences(ws, less[y]), len(ws)) for ws, y in zip(words, b["toxic"], strict=True)], "y": b["toxic"].to_numpy()})
+            yield pd.DataFrame({"x": [ev[y].read(t) for t, y in zip(b["text"], b["toxic"], strict=True)], "y": b["toxic"].to_numpy()})
 
     seen = train_docs.mapInPandas(weigh, "x array<double>, y int").toPandas()  # six numbers for each sampled row
     x, y = np.array(seen["x"].tolist(), float).reshape(-1, len(_design([], 0))), seen["y"].to_numpy(float)
@@ -232,11 +267,10 @@ class Judge:
     """Score and evidences of texts, with a trained lexicon, trigrams and weights."""
 
     def __init__(self, lexicon: dict[str, float], trigrams: dict[str, int], weights: np.ndarray):
-        self.lexicon, self.restorer, self.weights = lexicon, Restorer(CharModel(trigrams)), weights
+        self.evidence, self.weights = Evidence(lexicon, Restorer(CharModel(trigrams))), weights
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        words = [self.restorer.words(t or "") for t in texts]
-        x = np.array([_design(evidences(ws, self.lexicon), len(ws)) for ws in words], float).reshape(-1, len(self.weights))
+        x = np.array([self.evidence.read(t or "") for t in texts], float).reshape(-1, len(self.weights))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))), x
 
 

@@ -137,6 +137,13 @@ def test_disguised_words_score_as_the_plain_ones(spark):
     assert all(got[i + 1]["predicted"] == int(i % 3 == 0) for i in range(n))
 
 
+def test_trigrams_of_all_documents(spark):
+    texts = ["The the, thé!!", None, "", "a 1x thé"]
+    want = Counter(g for w in ["the", "the", "thé", "a", "thé"] for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1)))
+    assert toxicity.char_trigrams(table(spark, texts)) == dict(want)
+    assert toxicity.char_trigrams(table(spark, texts).where("false")) == {}
+
+
 def test_restore_is_the_best_path():
     r = random.Random(3)
     words = ["idiot", "clown", "loser", "trash", "table", "letter"]
