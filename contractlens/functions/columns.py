@@ -340,7 +340,8 @@ def exported_symbols(c: Column) -> Column:
 def exported_enums(c: Column) -> Column:
     """(constant, wire, member) of the entries of `export const X = { .. } as const`: a member a line that ends in a
     comma; wire keys are typed (`s:` texts, `n:` whole numbers), and of equal ones the last member counts."""
-    entry = rf"""^\s*({IDENTIFIER})\s*:\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|-?[0-9]+),"""
+    text = "|".join(rf"{q}(?:\\.|[^\\{q}])*{q}" for q in "'\"")
+    entry = rf"^\s*({IDENTIFIER})\s*:\s*({text}|-?[0-9]+),"
 
     def members(piece: Column) -> Column:
         body = F.get(F.split(piece, r"\}\s+as\s+const", 2), F.lit(0))
