@@ -19,12 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def share_by_hash(df: DataFrame, columns: list[str], n: float, total: int) -> DataFrame:
+    """About n of `total` rows of df, chosen by a hash of some columns; all if there are no more."""
+    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < int(min(1.0, n / max(total, 1)) * (1 << 40)))
+
+
 def first_by_hash(df: DataFrame, columns: list[str], n: int, total: int) -> DataFrame:
     """The n of `total` rows that come first by a hash of some columns, in that order. The hash cuts most rows off
     before any are sorted, so what tasks hand on follows n and not their number."""
     h = F.pmod(F.xxhash64(*columns), F.lit(1 << 40))
-    share = min(1.0, (2 * n + 200) / max(total, 1))
-    return df.where(h < int(share * (1 << 40))).withColumn("_h", h).orderBy("_h", *columns).limit(n).drop("_h")
+    return share_by_hash(df, columns, 2 * n + 200, total).withColumn("_h", h).orderBy("_h", *columns).limit(n).drop("_h")
 
 
 def slices(b: pa.RecordBatch, column: str, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:

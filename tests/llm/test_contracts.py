@@ -233,15 +233,15 @@ def test_tagger_finds_hidden_forms(spark):
         return next(s for x in range(10) if pii.luhn(s := "".join(map(str, [*d, x]))))
 
     shown = [lambda: f"{word()}.{r.randint(10, 99)}@mail{r.randint(1, 9)}.example.com", lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), card, lambda: f"+{r.randint(1, 9)} ({r.randint(100, 999)}) {r.randint(100, 999)}-{r.randint(1000, 9999)}"]
-    model = pii.train(table(spark, [f"{text(20)} {shown[i % 4]()} {text(20)}" for i in range(240)]))
+    model = pii.train(table(spark, [f"{text(20)} {shown[i % 4]()} {text(20)}" for i in range(240)]), windows=2048)
     finder = pii.Finder(model)
     hidden = [lambda: f"{word()}.{word()} at {word()} dot com", lambda: f"{word()} (at) {word()} dot org", lambda: f"{r.randint(1, 255)}[.]{r.randint(0, 255)}[.]{r.randint(0, 255)}[.]7"]
     for form in hidden:
         hit = 0
-        for _ in range(40):
+        for _ in range(20):
             a, v = text(12), form()
             hit += (len(a) + 1, len(a) + 1 + len(v)) in {s[1:] for s in finder.find([f"{a} {v} {text(9)}"])[0][1]}
-        assert hit >= 24
+        assert hit >= 12
     wrong = sum(len(finder.find([f"{text(9)} at {text(3)} the dot {text(4)} {r.randint(1, 9999)} {text(5)} 12.3.2011"])[0][1]) for _ in range(60))
     assert wrong <= 3
 
