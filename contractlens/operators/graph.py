@@ -103,44 +103,193 @@ def flatten_inheritance(classes: DataFrame, fields: DataFrame) -> DataFrame:
     return near.select("root", "field", "type", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("depth"), "pos", "field")).alias("position"))
 
 
-def propagate_domains(facts: DataFrame, flows: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(slot, domain) facts along (from_slot, to_slot) argument flows, as the least fixpoint. A slot that nothing
-    binds, neither a fact nor a flow, and every slot on a cycle is `unknown`, and unknown flows on like any domain. A
-    flow longer than max_rounds is an error."""
-    e = flows.select(F.col("from_slot").alias("source"), F.col("to_slot").alias("target")).distinct()
-    slots = e.select(F.col("source").alias("slot")).union(e.select("target")).distinct()
-    bound = facts.select("slot").union(e.select("target")).distinct()
-    around = reachable(e, slots.select(F.col("slot").alias("root")), max_rounds, None)
-    cyclic = around.join(e, around["node"] == e["source"]).where(F.col("target") == F.col("root")).select(F.col("root").alias("slot"))
-    lost = slots.join(bound, "slot", "left_anti").union(cyclic).distinct().select("slot", F.lit("unknown").alias("domain"))
-    seeds = facts.select("slot", "domain").union(lost).distinct()
-    reach = reachable(e, seeds.select(F.col("slot").alias("root")).distinct(), max_rounds, None)
-    return reach.join(seeds.withColumnRenamed("slot", "root"), "root").select(F.col("node").alias("slot"), "domain").distinct()
-
-
-def field_lineage(reach: DataFrame, fields: DataFrame, calls: DataFrame, sites: DataFrame, bindings: DataFrame, domains: DataFrame) -> DataFrame:
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of (source, target) that lie on a cycle; nodes of one component reach each other.
+
+    First the graph is made small: nodes without an edge in or out are on no cycle, and a node with one edge in and one
+    out is on a cycle exactly if the two neighbours are in one component, so it gives way to an edge between them. Of
+    such nodes side by side, those that come first by a hash of the round go, about a third, so a chain or ring of any
+    length is gone after rounds that grow with its logarithm. What is left is coloured: the greatest node that reaches a
+    node is its colour, and of a colour the nodes that reach the greatest one back are its component."""
+    left = materialize(edges.select("source", "target").where("source is not null and target is not null").distinct(), "cycle-edges")
+    chains, own, found = [], [left.where("source = target").select(F.col("source").alias("node"))], []
+    left = left.where("source <> target")
+    for turn in count():
+        ends = left.select(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("target").alias("to"), F.lit(None).cast("string").alias("of"))
+        ends = ends.union(left.select("target", F.lit(0), F.lit(1), F.lit(None).cast("string"), "source"))
+        nodes = materialize(ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("to").alias("to"), F.max("of").alias("of")), f"cycle-nodes-{turn}")
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c), c)
+        chain = nodes.where("o = 1 and i = 1").select("node", "to", "of")
+        beside = chain.select(F.col("to").alias("node"), F.col("node").alias("by")).union(chain.select("of", "node"))
+        first = chain.join(beside, "node", "left").groupBy("node", "to", "of").agg(F.max(rank(F.col("by"))).alias("most"))
+        gone = materialize(first.where(F.col("most").isNull() | (rank(F.col("node")) > F.col("most"))).select("node", "to", "of"), f"cycle-chain-{turn}")
+        dead = nodes.where("o = 0 or i = 0").select("node")
+        out = materialize(dead.union(gone.select("node")), f"cycle-out-{turn}")
+        if out.isEmpty():
+            break
+        kept = left.join(out.withColumnRenamed("node", "source"), "source", "left_anti").join(out.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
+        # A dead neighbour has left the graph in the same round: the edge over a node that gives way needs both ends.
+        over = gone.select(F.col("of").alias("source"), F.col("to").alias("target")).join(dead.withColumnRenamed("node", "source"), "source", "left_anti").join(dead.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
+        left = materialize(kept.union(over).distinct(), f"cycle-left-{turn}")
+        own.append(left.where("source = target").select(F.col("source").alias("node")))
+        chains.append(gone)
+        left = left.where("source <> target")
+    while not left.isEmpty():
+        colour = materialize(left.select(F.col("source").alias("node")).union(left.select("target")).distinct().withColumn("colour", F.col("node")), "colours")
+        while True:
+            more = left.join(colour, left["source"] == colour["node"]).select(F.col("target").alias("node"), "colour").union(colour).groupBy("node").agg(F.max("colour").alias("colour"))
+            more = materialize(more, "colours")
+            grew = more.withColumnRenamed("colour", "now").join(colour, "node").where("now <> colour").limit(1).count()
+            colour = more
+            if not grew:
+                break
+        named = left.join(colour.withColumnsRenamed({"node": "source", "colour": "a"}), "source").join(colour.withColumnsRenamed({"node": "target", "colour": "b"}), "target")
+        inner = materialize(named.where("a = b").select("source", "target", F.col("a").alias("colour")), "colour-edges")
+        front = colour.where("node = colour")
+        parts = [front]
+        while True:
+            step = inner.join(front.withColumnsRenamed({"node": "target"}), ["target", "colour"]).select(F.col("source").alias("node"), "colour").distinct()
+            front = materialize(step.join(_merged(parts), ["node", "colour"], "left_anti"), "colour-back")
+            if front.isEmpty():
+                break
+            parts.append(front)
+            if len(parts) > 8:
+                parts = [materialize(_merged(parts), "colour-seen")]
+        # A greatest node that nothing but itself reaches back is on no cycle: loops of one node were taken out above.
+        comp = _merged(parts).withColumn("n", F.count("*").over(Window.partitionBy("colour"))).where("n > 1").select("node", F.col("colour").alias("component"))
+        comp = materialize(comp, "components")
+        found.append(comp)
+        seen = colour.where("node = colour").select("node").union(comp.select("node")).distinct()
+        left = materialize(inner.join(seen.withColumnRenamed("node", "source"), "source", "left_anti").join(seen.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"), "cycle-left")
+    # A node that came to a loop of its own is on a cycle; it is its own component unless it lies in a greater one, which
+    # shows when it comes back between its neighbours.
+    alone = materialize(_merged(own).distinct().withColumn("component", F.col("node")), "cycle-alone")
+    comp = _merged(found) if found else alone.where("false")
+    rest = alone.join(comp.select("node"), "node", "left_anti")
+    for gone in chains:
+        rest = rest.join(gone.select("node"), "node", "left_anti")
+    comp = materialize(comp.union(rest), "components")
+    for gone in reversed(chains):
+        a, b = (comp.withColumnsRenamed({"node": n, "component": c}) for n, c in (("of", "a"), ("to", "b")))
+        back = gone.join(a, "of").join(b, "to").where("a = b").select("node", F.col("a").alias("component"))
+        looped = alone.join(gone.select("node"), "node", "left_semi").join(back.select("node"), "node", "left_anti")
+        comp = materialize(comp.union(back).union(looped), "components")
+    return comp
+
+
+def propagate_domains(slots: DataFrame, arguments: DataFrame, reach: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(operation, slot, domain): what calls within an operation's reach bind to the slots of reached methods.
+
+    slots has (slot, method), the parameters; arguments has a row for each argument of a resolved call: (caller, method,
+    slot, from_slot, domain), from_slot where a parameter of the caller is passed on, else the domain of the expression
+    (null: unknown); reach is G1's or G2's result. Calls of a method by itself and callers outside the reach bind
+    nothing. A slot that nothing binds and every slot on a cycle of flows is `unknown`, and unknown flows on like any
+    domain. The least fixpoint: slots of one cycle share their domains, so cycles are folded into one slot each, and rows
+    of (operation, slot, domain) flow along what is left. Flows longer than max_rounds are an error."""
+    method_of = reach.select(F.col("root").alias("operation"), "node").distinct()
+    calls = materialize(arguments.where("caller <> method").select("caller", "slot", "from_slot", F.when(F.col("from_slot").isNull(), F.coalesce("domain", F.lit("unknown"))).alias("domain")).distinct(), "arguments")
+    active = materialize(calls.join(method_of.withColumnRenamed("node", "caller"), "caller").select("operation", "slot", "from_slot", "domain").distinct(), "arguments-active")
+    mine = slots.select("slot", F.col("method").alias("node")).join(method_of, "node").select("operation", "slot").union(active.select("operation", "slot")).distinct()
+    # Cycles that no operation cuts are found on all flows at once; within them, what each operation reaches decides.
+    flows = calls.where("from_slot is not null").select(F.col("from_slot").alias("source"), F.col("slot").alias("target"))
+    around = cyclic_components(flows)
+    of = lambda n, c: around.withColumnsRenamed({"node": n, "component": c})
+    within = active.where("from_slot is not null").join(of("from_slot", "a"), "from_slot").join(of("slot", "b"), "slot").where("a = b")
+    key = lambda c: F.concat("operation", F.lit("\0"), c)
+    cycles = cyclic_components(within.select(key("from_slot").alias("source"), key("slot").alias("target")))
+    part = lambda c, i: F.split(c, "\0")[i]
+    cycles = materialize(cycles.select(part(F.col("node"), 0).alias("operation"), part(F.col("node"), 1).alias("slot"), part(F.col("component"), 1).alias("fold")), "cycles")
+    folded = lambda df, slot, out: df.join(cycles.withColumnsRenamed({"slot": slot, "fold": "_f"}), ["operation", slot], "left").withColumn(out, F.coalesce("_f", slot)).drop("_f")
+    edges = folded(folded(active.where("from_slot is not null"), "from_slot", "a"), "slot", "b").where("a <> b")
+    edges = materialize(edges.select("operation", F.col("a").alias("source"), F.col("b").alias("target")).distinct(), "flows")
+    bound = folded(active.where("domain is not null"), "slot", "at").select("operation", "at", "domain")
+    lost = mine.join(active.select("operation", "slot"), ["operation", "slot"], "left_anti").select("operation", F.col("slot").alias("at")).union(cycles.select("operation", "fold"))
+    front = materialize(bound.union(lost.withColumn("domain", F.lit("unknown"))).distinct(), "domains-0")
+    parts = [front]
+    for turn in count(1):
+        step = front.withColumnRenamed("at", "source").join(edges, ["operation", "source"]).select("operation", F.col("target").alias("at"), "domain").distinct()
+        front = materialize(step.join(_merged(parts), ["operation", "at", "domain"], "left_anti"), f"domains-{turn}")
+        if front.isEmpty():
+            break
+        if max_rounds and turn > max_rounds:
+            raise ValueError(f"{front.first()['at']} lies beyond {max_rounds} flows")
+        parts.append(front)
+        if len(parts) > 8:
+            parts = [materialize(_merged(parts), f"domains-to-{turn}")]
+    at = folded(mine, "slot", "at")
+    return at.join(_merged(parts).hint("shuffle_merge"), ["operation", "at"]).select("operation", "slot", "domain")
+
+
+def chains(reach: DataFrame, targets: DataFrame, names: DataFrame) -> DataFrame:
+    """(root, node, chain): the names (node, name) on the way from a root to each target (root, node), joined by ` => `;
+    nodes without a name are left out. Levels go up from the targets first, so only nodes on some way are named."""
+    deepest = reach.join(targets.select("root", "node").distinct().hint("shuffle_merge"), ["root", "node"], "left_semi")
+    last = deepest.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    want, levels = targets.select("root", "node").distinct(), []
+    for d in range(last, -1, -1):
+        level = materialize(reach.where(F.col("depth") == d).join(want.hint("shuffle_merge"), ["root", "node"], "left_semi").select("root", "node", "parent"), f"chain-{d}")
+        levels.append(level)
+        want = want.union(level.where("parent is not null").select("root", F.col("parent").alias("node"))).distinct()
+    named = names.select("node", "name")
+    up = levels.pop().join(named, "node", "left").select("root", "node", F.array_compact(F.array("name")).alias("way"))
+    out = up
+    while levels:
+        up = levels.pop().join(up.withColumnsRenamed({"node": "parent", "way": "above"}).hint("shuffle_merge"), ["root", "parent"]).join(named, "node", "left")
+        up = up.select("root", "node", F.concat("above", F.array_compact(F.array("name"))).alias("way"))
+        out = out.union(up)
+    return out.join(targets.select("root", "node").distinct().hint("shuffle_merge"), ["root", "node"], "left_semi").select("root", "node", F.array_join("way", " => ").alias("chain"))
+
+
+NO_DOMAIN = "struct<enum_fqn:string,accessor:string,complete:boolean,external:array<string>,unknown:array<string>,literals:array<string>,transformed:boolean,values:array<string>>"
+
+
+def field_lineage(reach: DataFrame, nodes: DataFrame, fields: DataFrame, calls: DataFrame, sites: DataFrame, unresolved: DataFrame, bindings: DataFrame, domains: DataFrame) -> DataFrame:
     """Verdict on each field (operation, field, setter; null if the setter is not indexed) over the write sites that
-    its operation reaches.
-
-    reach is G1's or G2's result. Indexed setter calls (caller, setter, line, column) take the nearest parsed site
-    (caller, setter, line, column, slot) of their line (J9); sites that no call takes, and calls without a site, are
-    unknown writes (J10). A slot's domains are those that G8 gave it (slot, domain), looked up in the table of domains
-    (domain, enum_fqn, accessor, complete, external, unknown, literals, transformed, values). A3 gives the verdict."""
+    its operation reaches: A3's columns, with operation and field for the target.
+
+    reach is G1's or G2's result, nodes has (node, name, file). Indexed setter calls (caller, setter, line, column) take
+    the nearest parsed site (caller, setter, line, column, source, slot) of their line (J9). Three kinds of unknown
+    writes come beside them: calls without a site, sites on lines without an indexed call (J10), and references
+    (caller, setter, line, column) that the index could not resolve. The domains of a site are those that its slot has
+    within the operation (operation, slot, domain; G8), looked up in the table of domains (domain, enum_fqn, accessor,
+    complete, external, unknown, literals, transformed, values); a domain that is not there is unknown by its name. A
+    slot with several domains is one site. Evidence tells where a field is written and the chain of calls to there."""
     on = ["caller", "setter", "line"]
-    placed = nearest(calls.select(*on, F.col("column").alias("at")), sites.select(*on, F.col("column").alias("site_at"), F.struct(F.col("column").alias("c"), "slot").alias("site")), on, "at", "site_at", "site")
-    hit = placed.select(*on, F.col("nearest_id.slot").alias("slot"), F.col("nearest_id.c").alias("column")).distinct()
-    loose = gaps(sites.select(*on, "column"), hit.select(*on, "column"), [*on, "column"]).select("caller", "setter", F.lit("call not indexed").alias("why"))
-    blind = gaps(calls.select(*on), sites.select(*on), on).select("caller", "setter", F.lit("call not resolved").alias("why"))
+    at = lambda text: F.concat(F.lit(text), "file", F.lit(":"), "line", F.lit(":"), "column")
+    site = F.struct(F.col("column").alias("c"), "slot", "source")
+    placed = nearest(calls.select(*on, "column"), sites.select(*on, F.col("column").alias("site_at"), site.alias("site")), on, "column", "site_at", "site")
+    file_of = nodes.select(F.col("node").alias("caller"), "file")
+    placed = placed.join(file_of, "caller").select(*on, "column", "file", "nearest_id.slot", "nearest_id.source", F.col("nearest_id").isNull().alias("blind"))
+    loose = gaps(sites.select(*on, "column"), calls.select(*on), on).join(file_of, "caller").select("caller", "setter", at("unindexed setter call:").alias("why"))
+    blind = placed.where("blind").select("caller", "setter", at("unindexed setter argument at ").alias("why"))
+    lost = unresolved.join(file_of, "caller").select("caller", "setter", at("unresolved setter call:").alias("why"))
+    mine = fields.where("setter is not null").join(reach.select(F.col("root").alias("operation"), F.col("node").alias("caller")).distinct(), "operation")
+    mine = materialize(mine.select("operation", "field", "setter", "caller"), "lineage-fields")
+    dom = domains.select("domain", F.struct("enum_fqn", "accessor", "complete", "external", "unknown", "literals", "transformed", "values").cast(NO_DOMAIN).alias("d"))
+    written = mine.join(placed.where("not blind"), ["caller", "setter"]).join(bindings, ["operation", "slot"], "left").join(dom.hint("shuffle_merge"), "domain", "left")
     none = F.array().cast("array<string>")
-    dom = domains.unionByName(domains.sparkSession.range(1).select(F.lit("unknown").alias("domain"), F.lit(None).cast("string").alias("enum_fqn"), F.lit(None).cast("string").alias("accessor"), F.lit(False).alias("complete"), none.alias("external"), F.array(F.lit("argument")).alias("unknown"), none.alias("literals"), F.lit(False).alias("transformed"), none.alias("values")))
-    written = hit.join(bindings, "slot", "left").withColumn("domain", F.coalesce("domain", F.lit("unknown"))).join(dom.hint("shuffle_merge"), "domain").drop("domain", "slot", "line", "column")
-    unknown = loose.union(blind).select("caller", "setter", F.lit(None).cast("string").alias("enum_fqn"), F.lit(None).cast("string").alias("accessor"), F.lit(False).alias("complete"), none.alias("external"), F.array("why").alias("unknown"), none.alias("literals"), F.lit(False).alias("transformed"), none.alias("values"))
-    rows = written.unionByName(unknown)
-    mine = fields.where("setter is not null").join(reach.select(F.col("root").alias("operation"), F.col("node").alias("caller")), "operation").join(rows, ["caller", "setter"])
-    verdict = classify_domains(mine.withColumn("target", F.struct("operation", "field"))).select("target.operation", "target.field", "status", "values", "unknowns", "warning")
-    out = fields.join(verdict, ["operation", "field"], "left")
+    lone = F.coalesce("d.unknown", F.array(F.coalesce("domain", F.lit("unknown"))))
+    # The domains of one site are one row: branches of an expression are merged before the verdict.
+    key = ["operation", "field", "caller", "setter", "line", "column"]
+    named = F.when(F.col("d.enum_fqn").isNotNull(), F.struct("d.enum_fqn", "d.accessor", "d.complete", "d.values"))
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    merged = written.groupBy(*key, "file", "source").agg(F.min(named).alias("e"), F.max(named).alias("z"), flat(F.coalesce("d.external", none)).alias("external"), flat(lone).alias("unknown"), flat(F.coalesce("d.literals", none)).alias("literals"), F.bool_or(F.coalesce("d.transformed", F.lit(False))).alias("transformed"))
+    clash = ~F.struct("e.enum_fqn", "e.accessor").eqNullSafe(F.struct("z.enum_fqn", "z.accessor"))
+    told = F.when(clash, F.array_append("unknown", F.concat(F.lit("conflicting enum projections:"), "e.enum_fqn", F.lit(":"), "z.enum_fqn"))).otherwise(F.col("unknown"))
+    way = chains(reach, merged.select(F.col("operation").alias("root"), F.col("caller").alias("node")), nodes).withColumnsRenamed({"root": "operation", "node": "caller"})
+    merged = merged.join(way.hint("shuffle_merge"), ["operation", "caller"], "left")
+    write = F.concat(F.lit("write:"), "file", F.lit(":"), "line", F.lit(":"), "column", F.lit(":"), "source")
+    rows = merged.select("operation", "field", F.struct("file", "line", "column").alias("position"), "e.enum_fqn", "e.accessor", F.coalesce(F.col("e.complete") & ~clash, F.lit(False)).alias("complete"), "external", told.alias("unknown"), "literals", "transformed", F.coalesce("e.values", none).alias("values"), F.array(write, F.concat(F.lit("chain:"), F.coalesce("chain", F.lit("")))).alias("evidence"))
+    whole = F.lit(None).cast(NO_DOMAIN)
+    bare = mine.join(loose.union(blind).union(lost).distinct(), ["caller", "setter"]).select("operation", "field", F.lit(None).cast(rows.schema["position"].dataType).alias("position"), whole["enum_fqn"].alias("enum_fqn"), whole["accessor"].alias("accessor"), F.lit(False).alias("complete"), none.alias("external"), F.array("why").alias("unknown"), none.alias("literals"), F.lit(False).alias("transformed"), none.alias("values"), none.alias("evidence"))
+    verdict = classify_domains(rows.unionByName(bare).withColumn("target", F.struct("operation", "field")))
+    out = fields.join(verdict.select("target.*", *verdict.columns[1:]).hint("shuffle_merge"), ["operation", "field"], "left")
     why = F.when(F.col("setter").isNull(), "setter not indexed").when(F.col("status").isNull(), "no operation-reachable write site").otherwise(F.col("warning"))
-    return out.select("operation", "field", F.coalesce("status", F.lit("unresolved")).alias("status"), "values", "unknowns", why.alias("warning"))
+    return out.select("operation", "field", F.coalesce("status", F.lit("unresolved")).alias("status"), "enum_fqn", "accessor", "values", "unknowns", "evidence", why.alias("warning"))
 
 
 def enum_domains(constants: DataFrame, accessors: DataFrame) -> DataFrame:

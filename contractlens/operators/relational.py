@@ -175,20 +175,47 @@ def match_by_words(old: DataFrame, new: DataFrame) -> DataFrame:
     return unique_or_null(pairs, ["old_id"], [F.desc("same"), F.desc("shared")])
 
 
+def _beside(left: DataFrame, right: DataFrame, on: list[str], left_pos: str, right_pos: str, value: Column, strict: bool = False) -> DataFrame:
+    """_row (a left row), and the structs (p, v) of the last right row at or before it (before it if strict) and of the
+    first one at or after it, of the same keys. Of right rows at one position the least value counts.
+
+    Rows are dealt by ranges of (keys, position), so a key of very many rows lies in several buckets. Each bucket finds
+    its neighbours by itself; what it lacks at its ends comes from the nearest bucket of the key that has a right row,
+    and for that only one row for each key and bucket is passed on."""
+    keys = [f"_k{i}" for i in range(len(on))]
+    r = right.select(*[F.col(c).alias(k) for c, k in zip(on, keys, strict=True)], F.col(right_pos).alias("_p"), value.alias("_v")).dropna(subset=[*keys, "_p"])
+    r = r.groupBy(*keys, "_p").agg(F.min("_v").alias("_v"))
+    row = F.struct(*[F.col(c) for c in left.columns])
+    lefts = left.select(*[F.col(c).alias(k) for c, k in zip(on, keys, strict=True)], F.col(left_pos).alias("_p"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), row.alias("_row"))
+    side = (F.lit(0), F.lit(1)) if strict else (F.lit(1), F.lit(0))
+    both = lefts.withColumn("_side", side[0]).unionByName(r.withColumn("_side", side[1]), allowMissingColumns=True).withColumn("_n", F.monotonically_increasing_id())
+    hit = F.when(F.col("_row").isNull(), F.struct(F.col("_p").alias("p"), F.col("_v").alias("v")))
+    both = materialize(both.withColumn("_hit", hit).repartitionByRange(*keys, "_p", "_side", "_n").withColumn("_part", F.spark_partition_id()), "beside")
+    within = Window.partitionBy(*keys, "_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("_before", F.last("_hit", ignorenulls=True).over(within.orderBy("_p", "_side"))).withColumn("_after", F.last("_hit", ignorenulls=True).over(within.orderBy(F.desc("_p"), F.desc("_side") if strict else "_side")))
+    ends = both.where("_row is null").groupBy(*keys, "_part").agg(F.max("_hit").alias("last"), F.min("_hit").alias("first"))
+    # Every bucket of the key asks, those without a right row too.
+    ends = both.select(*keys, "_part").distinct().join(ends, [*keys, "_part"], "left")
+    others = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_up", F.last("last", ignorenulls=True).over(others.orderBy("_part"))).withColumn("_down", F.last("first", ignorenulls=True).over(others.orderBy(F.desc("_part"))))
+    out = near.where("_row is not null").join(ends.select(*keys, "_part", "_up", "_down").hint("shuffle_merge"), [*keys, "_part"], "left")
+    return out.select("_row", F.coalesce("_before", "_up").alias("_before"), F.coalesce("_after", "_down").alias("_after"))
+
+
 def nearest(left: DataFrame, right: DataFrame, on: list[str], left_pos: str, right_pos: str, right_id: str) -> DataFrame:
-    """For each left row the closest right row of the same keys; the earlier one on ties."""
-    r = right.select(*on, F.col(right_pos).alias("_rp"), F.col(right_id).alias("_rid"))
-    best = left.join(r, on).groupBy(left.columns).agg(F.min_by("_rid", F.struct(F.abs(F.col("_rp") - F.col(left_pos)), F.col("_rp"), F.col("_rid"))).alias("nearest_id"))
-    return best
+    """Each left row with the id of the closest right row of the same keys; the earlier one on ties, the lesser id at
+    one position. Left rows without one have a null, those with a null key or position too; repeated rows stay."""
+    near = _beside(left, right, on, left_pos, right_pos, F.col(right_id))
+    at = F.col(f"_row.{left_pos}")
+    pick = F.when(F.col("_after").isNull() | (at - F.col("_before.p") <= F.col("_after.p") - at), F.col("_before.v")).otherwise(F.col("_after.v"))
+    return near.select("_row.*", F.when(at.isNotNull(), pick).alias("nearest_id"))
 
 
 def as_of(left: DataFrame, right: DataFrame, on: list[str], left_pos: str, right_pos: str, value: str) -> DataFrame:
-    """J9 backward: the value of the last right row before each left row: one sorted pass over the union."""
-    both = left.select("*", F.col(left_pos).alias("_p"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"), F.lit(0).alias("_side")).unionByName(
-        right.select(*on, F.col(right_pos).alias("_p"), F.col(value).alias("_v"), F.lit(1).alias("_side")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*on).orderBy("_p", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(f"last_{value}", F.last("_v", ignorenulls=True).over(w)).where("_side = 0").drop("_p", "_v", "_side")
+    """J9 backward: each left row with the value of the last right row before it, the least value at one position; null
+    without one. Repeated left rows stay."""
+    near = _beside(left, right, on, left_pos, right_pos, F.col(value), strict=True)
+    return near.select("_row.*", F.when(F.col(f"_row.{left_pos}").isNotNull(), F.col("_before.v")).alias(f"last_{value}"))
 
 
 def gaps(observed: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
@@ -281,27 +308,56 @@ def latest_versions(packages: DataFrame, key: Column) -> DataFrame:
     return packages.groupBy("name").agg(F.max_by("version", F.struct(key, F.col("provider"), F.col("version"))).alias("version"), F.array_sort(F.collect_set("provider")).alias("providers"))
 
 
-EVIDENCE, SHOWN = 20, 4  # pieces of evidence kept for each list; unknowns told in the warning
+EVIDENCE, SHOWN = 20, 4  # pieces of evidence kept, unknowns told in the warning
+
+
+def least_texts(rows: DataFrame, key: list[str], text: str, order: list[str], n: int) -> DataFrame:
+    """(key, texts): the first n distinct texts of each key in an order, ties by text. Each task keeps its own first n
+    before anything is sent, so a key of very many rows costs no more than n a task."""
+    first = rows.groupBy(*key, text).agg(F.min(F.struct(*order, text)).alias("_o"))
+    kept = first.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("_o"))).where(F.col("_r") <= n)
+    return kept.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", text))), lambda x: x[text]).alias("texts"))
 
 
 def classify_domains(sites: DataFrame) -> DataFrame:
     """A3: verdict of each target over its write sites (target, enum_fqn, accessor, complete, external, unknown,
-    literals, transformed; values where known): status, the values of a closed one, evidence and a warning."""
+    literals, transformed; values, evidence and position where known).
+
+    (target, status, enum_fqn, accessor, values, unknowns, evidence, warning): enum, accessor and values are those of the
+    first site that has an enum, values only where closed. Every site with another enum or accessor adds an unknown.
+    The first EVIDENCE pieces of evidence in the order of sites, and the first SHOWN unknowns in their own order."""
+    none = F.array().cast("array<string>")
+    for name, default in (("values", none), ("evidence", none), ("position", F.struct("enum_fqn", "accessor"))):
+        if name not in sites.columns:
+            sites = sites.withColumn(name, default)
     some = lambda c: F.size(c) > 0
-    if "values" not in sites.columns:
-        sites = sites.withColumn("values", F.array().cast("array<string>"))
-    clean = F.col("enum_fqn").isNotNull() & F.col("complete") & ~some("external") & ~some("unknown") & ~some("literals") & ~F.col("transformed")
-    outside = some("external") & F.col("enum_fqn").isNull() & ~some("unknown") & ~some("literals") & ~F.col("transformed")
-    merged = lambda c: F.array_sort(F.flatten(F.collect_set(c)))
-    kept = lambda c: F.slice(F.array_distinct(F.col(c)), 1, EVIDENCE).alias(c)
+    has = F.col("enum_fqn").isNotNull()
+    pure = ~some("unknown") & ~some("literals") & ~F.col("transformed")
+    named = F.struct("enum_fqn", "accessor")
     g = sites.groupBy("target").agg(
-        F.bool_and(clean).alias("c"), F.count_distinct(F.struct("enum_fqn", "accessor")).alias("n"), F.bool_or(F.col("enum_fqn").isNotNull()).alias("k"), F.bool_and(outside).alias("x"),
-        *[merged(c).alias(c) for c in ("unknown", "external", "literals", "values")],
+        F.bool_and(has & F.col("complete") & ~some("external") & pure).alias("c"), F.bool_or(has).alias("k"), F.bool_and(some("external") & pure).alias("x"),
+        F.min_by(F.when(has, F.struct("enum_fqn", "accessor", "values")), F.when(has, F.struct("position", "enum_fqn", "accessor"))).alias("f"), (F.min(named) == F.max(named)).alias("one"),
     )
-    g = g.withColumn("status", F.when(F.col("c") & (F.col("n") == 1), "closed").when(F.col("k"), "known").when(F.col("x"), "external").otherwise("unresolved"))
-    g = g.select("target", "status", kept("unknown"), kept("external"), kept("literals"), F.when(F.col("status") == "closed", F.array_distinct("values")).alias("values"))
-    warning = F.when(F.size("unknown") > 0, F.concat(F.lit("unknown: "), F.array_join(F.slice("unknown", 1, SHOWN), "; ")))
-    return g.withColumn("unknowns", F.slice("unknown", 1, SHOWN)).withColumn("warning", F.when(F.col("status") != "closed", warning))
+    other = sites.where(has).groupBy("target", "enum_fqn", "accessor").agg(F.lit(1)).join(g.select("target", "f").hint("shuffle_merge"), "target")
+    other = other.where(~named.eqNullSafe(F.struct("f.enum_fqn", "f.accessor"))).select("target", F.concat(F.lit("conflicting enum projections:"), "f.enum_fqn", F.lit(":"), "enum_fqn").alias("text"))
+    unknown = sites.select("target", F.explode("unknown").alias("text")).union(other)
+    unknown = least_texts(unknown, ["target"], "text", [], SHOWN).withColumnRenamed("texts", "unknowns")
+    evidence = sites.select("target", "position", F.posexplode("evidence").alias("at", "text"))
+    evidence = least_texts(evidence, ["target"], "text", ["position", "at"], EVIDENCE).withColumnRenamed("texts", "evidence")
+    out = g.join(unknown.hint("shuffle_merge"), "target", "left").join(evidence.hint("shuffle_merge"), "target", "left").fillna(False, ["one"])
+    status = F.when(F.col("c") & F.col("one"), "closed").when(F.col("k"), "known").when(F.col("x"), "external").otherwise("unresolved")
+    out = out.withColumn("status", status).withColumn("unknowns", F.coalesce("unknowns", none)).withColumn("evidence", F.coalesce("evidence", none))
+    warning = F.when(F.col("status") == "closed", None).when(F.col("status") == "known", WARNINGS["known"]).when(F.col("status") == "external", WARNINGS["external"])
+    warning = warning.when(F.size("unknowns") > 0, F.concat(F.lit(WARNINGS["unresolved"] + ": "), F.array_join("unknowns", ", "))).otherwise(WARNINGS["unresolved"])
+    return out.select("target", "status", "f.enum_fqn", "f.accessor", F.when(F.col("status") == "closed", F.col("f.values")).alias("values"), "unknowns", "evidence", warning.alias("warning"))
+
+
+# Fixed values.
+WARNINGS = {
+    "known": "enum evidence does not prove a complete field domain",
+    "external": "field value stops at an external boundary",
+    "unresolved": "field domain unresolved",
+}
 
 
 def dominant_pair(df: DataFrame, group: list[str], a: str, b: str, default: tuple[str, str] | None = None) -> DataFrame:

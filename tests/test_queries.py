@@ -102,16 +102,17 @@ def test_paths_inheritance_pairs_names(spark):
     s = spark.createDataFrame([("R", "a", "S"), ("S", "b", "T")], "schema string, field string, ref string")
     n = spark.createDataFrame([("R2", "a", "S2"), ("S2", "b", "T2")], "schema string, field string, ref string")
     assert {(r["old"], r["new"]) for r in G.pair_schemas(s, n, spark.sql("SELECT 'R' AS old, 'R2' AS new")).collect()} == {("R", "R2"), ("S", "S2"), ("T", "T2")}
-    dom = G.propagate_domains(spark.sql("SELECT 'm0' AS slot, 'D' AS domain"), spark.createDataFrame([("m0", "n0"), ("n0", "m0"), ("z", "w")], "from_slot string, to_slot string"))
-    assert {tuple(r) for r in dom.collect()} == {("m0", "D"), ("n0", "D"), ("m0", "unknown"), ("n0", "unknown"), ("z", "unknown"), ("w", "unknown")}
 
 
 def test_deep_graphs_are_whole_or_an_error(spark):
     chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)], "source string, target string")
     roots = spark.createDataFrame([("n0",)], "root string")
     assert G.reachable(chain, roots, merge=4).agg(F.max("depth")).first()[0] == 20
-    with pytest.raises(ValueError, match="beyond depth 5"):
-        G.propagate_domains(spark.sql("SELECT 'n0' AS slot, 'D' AS domain"), chain.toDF("from_slot", "to_slot"), 5)
+    calls = chain.select(F.concat(F.lit("m"), "source").alias("caller"), F.concat(F.lit("m"), "target").alias("method"), F.col("target").alias("slot"), F.col("source").alias("from_slot"), F.lit(None).cast("string").alias("domain"))
+    slots = chain.select(F.col("source").alias("slot"), F.concat(F.lit("m"), "source").alias("method"))
+    within = slots.select(F.lit("op").alias("root"), F.col("method").alias("node"))
+    with pytest.raises(ValueError, match="beyond 5 flows"):
+        G.propagate_domains(slots, calls, within, 5)
 
 
 def test_matching_by_words_loses_no_pair(spark):
