@@ -111,7 +111,7 @@ def _accumulate(slice_: pa.Table) -> pa.Table:
         seen[own] = False
         out += [(groups[own], groups[h], total[h]) for h in np.flatnonzero(seen)]
     lang = slice_["lang"][0].as_py() if len(slice_) else ""
-    return pa.table({"lang": pa.array([lang] * len(out)), "source": pa.array([x[0] for x in out], pa.string()), "peer": pa.array([x[1] for x in out], pa.string()), "value": pa.array([x[2] for x in out], pa.int64())})
+    return pa.table({"lang": pa.array([lang] * len(out), pa.string()), "source": pa.array([x[0] for x in out], pa.string()), "peer": pa.array([x[1] for x in out], pa.string()), "value": pa.array([x[2] for x in out], pa.int64())})
 
 
 def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
