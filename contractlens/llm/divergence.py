@@ -21,7 +21,7 @@ from .common import materialize, slices, table
 
 LEAST_DOCS, TOP = 3, 200
 SCALE = 1_000_000_000
-SLICE = 200_000  # postings of a slice of terms, about
+SLICE = 32_768  # postings of a slice of terms, about
 BLOCK = 512  # groups of a language that one task takes as rows, about
 HELD = 200_000  # distinct terms that a task counts before it hands them on
 SALTS = 16
