@@ -13,36 +13,102 @@ from contractlens.operators.relational import classify_domains, gaps, nearest, r
 from contractlens.sources.scratch import materialize
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 64, max_nodes: int | None = 25_000, partial: bool = False, merge: int = 8) -> DataFrame:
-    """G1: (root, node, parent, depth, rank) of all that roots reach. A node's parent is the earliest ranked one of the
-    level above; ranks go by (parent rank, node). A root that reaches more than max_nodes nodes is an error, and
-    so are nodes beyond max_depth, unless the caller asks for the first levels only (partial).
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def numbered_roots(roots: DataFrame) -> DataFrame:
+    """(root, word, bit): each distinct root has one bit of one word of 64."""
+    ids = roots.select("root").distinct().withColumn("_id", F.monotonically_increasing_id())
+    return materialize(ids.select("root", F.shiftright("_id", 6).alias("word"), (F.col("_id") % 64).cast("int").alias("bit")), "graph-roots")
 
-    What has been seen is one written table, merged anew every `merge` levels, so a round reads few parts; the node
-    count of each root goes along as a small table of its own."""
+
+def reach_sets(edges: DataFrame, numbered: DataFrame, max_depth: int = 64, max_nodes: int | None = None, partial: bool = False, merge: int = 8) -> DataFrame:
+    """(node, word, depth, bits): the roots of each word that first reach a node at a depth, as bits.
+
+    A search from all roots at once: a level holds one row for each node and word, not one for each root, and sets are
+    united by bit_or where they arise, before they are sent. The parameters are those of `reachable`."""
     e = materialize(edges.select("source", "target").distinct(), "graph-edges")
-    start = roots.select("root", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(1).alias("rank")).distinct()
-    front = materialize(start, "graph-roots")
-    parts, counts = [front], front.select("root", F.lit(1).cast("long").alias("n"))
-    all_of = lambda: reduce(DataFrame.union, parts)
+    front = numbered.groupBy(F.col("root").alias("node"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    front = materialize(front.select("node", "word", F.lit(0).alias("depth"), "bits"), "reach-0")
+    parts, kept, per = [front], [front], per_root(front)
     for depth in range(1, max_depth + (1 if partial else 2)):
-        step = front.join(e, front["node"] == e["source"]).groupBy("root", "target").agg(F.min(F.struct("rank", "node")).alias("p"))
-        step = step.select("root", F.col("target").alias("node"), "p").join(all_of().select("root", "node"), ["root", "node"], "left_anti")
-        w = Window.partitionBy("root").orderBy("p.rank", "node")
-        front = materialize(step.select("root", "node", F.col("p.node").alias("parent"), F.lit(depth).alias("depth"), F.row_number().over(w).alias("rank")), f"graph-{depth}")
+        seen = _merged(kept).groupBy("node", "word").agg(F.bit_or("bits").alias("seen"))
+        if len(kept) > merge:
+            seen = materialize(seen, f"reach-seen-{depth}")
+            kept = [seen.withColumnRenamed("seen", "bits").select("node", "word", F.lit(0).alias("depth"), "bits")]
+        step = front.join(e, front["node"] == e["source"]).groupBy("target", "word").agg(F.bit_or("bits").alias("bits")).withColumnRenamed("target", "node")
+        new = step.join(seen, ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))))
+        front = materialize(new.where("bits <> 0").select("node", "word", F.lit(depth).alias("depth"), "bits"), f"reach-{depth}")
         if front.isEmpty():
             break
         if depth > max_depth:
-            raise ValueError(f"{front.first()['root']} reaches nodes beyond depth {max_depth}")
-        parts.append(front)
-        if len(parts) > merge:
-            parts = [materialize(all_of(), f"seen-{depth}")]
+            raise ValueError(f"{_some_root(numbered, front)} reaches nodes beyond depth {max_depth}")
+        parts, kept = [*parts, front], [*kept, front]
         if max_nodes:
-            counts = counts.union(front.groupBy("root").agg(F.count("*").alias("n"))).groupBy("root").agg(F.sum("n").alias("n"))
-            counts = materialize(counts, f"counts-{depth}")
-            if over := counts.where(F.col("n") > max_nodes).first():
+            per = materialize(per.union(per_root(front)).groupBy("word", "bit").agg(F.sum("n").alias("n")), f"reach-counts-{depth}")
+            if over := per.where(F.col("n") > max_nodes).join(numbered, ["word", "bit"]).first():
                 raise ValueError(f"{over['root']} reaches more than {max_nodes} nodes")
-    return all_of()
+    return _merged(parts)
+
+
+def _some_root(numbered: DataFrame, sets: DataFrame) -> str:
+    one = sets.select("word", "bits").limit(1)
+    return one.join(numbered, "word").where("shiftright(bits, bit) & 1L = 1").first()["root"]
+
+
+def per_root(sets: DataFrame, *by: str) -> DataFrame:
+    """(by.., word, bit, n): the nodes in the sets of each root, summed for 64 roots in a row."""
+    sums = [F.sum(F.expr(f"shiftright(bits, {i}) & 1L")).alias(f"_{i}") for i in range(64)]
+    each = sets.groupBy(*by, "word").agg(*sums).select(*by, "word", F.posexplode(F.array(*[F.col(f"_{i}") for i in range(64)])).alias("bit", "n"))
+    return each.where("n > 0")
+
+
+def unpacked(sets: DataFrame, numbered: DataFrame, salts: int = 16) -> DataFrame:
+    """(root, node, depth, word, bit) of packed sets. A word's roots are sent once for 64 of them; a word meets very many
+    nodes, so its rows are dealt by salt."""
+    names = numbered.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("bit", "root"))).alias("names"))
+    copies = names.withColumn("_s", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
+    met = sets.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(salts))).join(copies.hint("shuffle_merge"), ["word", "_s"])
+    bits = F.expr("filter(sequence(0, 63), i -> shiftright(bits, i) & 1L = 1)")
+    return met.select("node", "depth", "word", "names", F.explode(bits).alias("bit")).select(F.expr("names[bit]").alias("root"), "node", "depth", "word", "bit")
+
+
+def _ranked(level: DataFrame, bounded: bool) -> DataFrame:
+    """level (root, node, p(rank, node)) with `rank`, by (p.rank, node) within each root. A root of no known bound is not
+    sorted in one task: rows are dealt by ranges, counted by range, and numbered within."""
+    if bounded:
+        return level.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("p.rank", "node")).cast("long"))
+    dealt = materialize(level.repartitionByRange("root", F.col("p.rank"), "node").withColumn("_part", F.spark_partition_id()), "graph-ranges")
+    before = dealt.groupBy("root", "_part").agg(F.count("*").alias("n"))
+    before = before.select("root", "_part", F.coalesce(F.sum("n").over(Window.partitionBy("root").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("root", "_part").orderBy("p.rank", "node"))
+    return dealt.join(before.hint("shuffle_merge"), ["root", "_part"]).withColumn("rank", F.col("_before") + at).drop("_part", "_before")
+
+
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 64, max_nodes: int | None = 25_000, partial: bool = False, merge: int = 8) -> DataFrame:
+    """G1: (root, node, parent, depth, rank) of all that roots reach. A node's parent is the earliest ranked one of the
+    level above; ranks go by (parent rank, node). A root that reaches more than max_nodes nodes is an error, and
+    so are nodes beyond max_depth, unless the caller asks for the first levels only (partial).
+
+    Depths come from reach_sets, which searches from all roots together. Parents need a row for each root and node, so
+    they are found in a second pass, in which each level knows beforehand what it holds; who only needs depths takes
+    `unpacked(reach_sets(..))`."""
+    numbered = numbered_roots(roots)
+    e = materialize(edges.select("source", "target").distinct(), "graph-edges")
+    sets = reach_sets(e, numbered, max_depth, max_nodes, partial, merge)
+    deepest = sets.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    front = materialize(numbered.select("root", "word", "bit", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("rank")), "reach-root")
+    levels = [front]
+    for depth in range(1, deepest + 1):
+        here = sets.where(F.col("depth") == depth).select(F.col("node").alias("target"), "word", "bits")
+        step = front.join(e, front["node"] == e["source"]).select("root", "word", "bit", "target", F.struct("rank", "node").alias("p"))
+        step = step.groupBy("root", "word", "bit", "target").agg(F.min("p").alias("p")).join(here, ["target", "word"])
+        step = step.where(F.expr("shiftright(bits, bit) & 1L = 1")).select("root", "word", "bit", F.col("target").alias("node"), "p")
+        ranked = _ranked(step, max_nodes is not None)
+        front = materialize(ranked.select("root", "word", "bit", "node", F.col("p.node").alias("parent"), F.lit(depth).alias("depth"), "rank"), f"parents-{depth}")
+        levels.append(front)
+    return _merged(levels).drop("word", "bit")
 
 
 def reachable_resolved(edges: DataFrame, calls: DataFrame, methods: DataFrame, roots: DataFrame) -> DataFrame:
@@ -103,10 +169,6 @@ def flatten_inheritance(classes: DataFrame, fields: DataFrame) -> DataFrame:
     return near.select("root", "field", "type", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("depth"), "pos", "field")).alias("position"))
 
 
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, parts)
-
-
 def cyclic_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of (source, target) that lie on a cycle; nodes of one component reach each other.
 
@@ -121,19 +183,21 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     for turn in count():
         ends = left.select(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("target").alias("to"), F.lit(None).cast("string").alias("of"))
         ends = ends.union(left.select("target", F.lit(0), F.lit(1), F.lit(None).cast("string"), "source"))
-        nodes = materialize(ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("to").alias("to"), F.max("of").alias("of")), f"cycle-nodes-{turn}")
+        nodes = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("to").alias("to"), F.max("of").alias("of"))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c), c)
-        chain = nodes.where("o = 1 and i = 1").select("node", "to", "of")
-        beside = chain.select(F.col("to").alias("node"), F.col("node").alias("by")).union(chain.select("of", "node"))
-        first = chain.join(beside, "node", "left").groupBy("node", "to", "of").agg(F.max(rank(F.col("by"))).alias("most"))
-        gone = materialize(first.where(F.col("most").isNull() | (rank(F.col("node")) > F.col("most"))).select("node", "to", "of"), f"cycle-chain-{turn}")
-        dead = nodes.where("o = 0 or i = 0").select("node")
-        out = materialize(dead.union(gone.select("node")), f"cycle-out-{turn}")
+        chain = nodes.where("o = 1 and i = 1")
+        beside = chain.select(F.col("to").alias("node"), F.col("node").alias("by")).union(chain.select("of", "node")).groupBy("node").agg(F.max(rank(F.col("by"))).alias("most"))
+        nodes = nodes.join(beside, "node", "left")
+        first = (F.col("o") == 1) & (F.col("i") == 1) & (F.col("most").isNull() | (rank(F.col("node")) > F.col("most")))
+        out = nodes.withColumn("dead", (F.col("o") == 0) | (F.col("i") == 0)).where(F.col("dead") | first).select("node", "dead", "to", "of")
+        out = materialize(out, f"cycle-out-{turn}")
         if out.isEmpty():
             break
-        kept = left.join(out.withColumnRenamed("node", "source"), "source", "left_anti").join(out.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
-        # A dead neighbour has left the graph in the same round: the edge over a node that gives way needs both ends.
-        over = gone.select(F.col("of").alias("source"), F.col("to").alias("target")).join(dead.withColumnRenamed("node", "source"), "source", "left_anti").join(dead.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
+        off = lambda df, c, rows: df.join(rows.select(F.col("node").alias(c)), c, "left_anti")
+        dead, gone = out.where("dead"), out.where("not dead").select("node", "to", "of")
+        kept = off(off(left, "source", out), "target", out).select("source", "target")
+        # A dead neighbour leaves in the same round: the edge over a node that gives way needs both of its ends.
+        over = off(off(gone.select(F.col("of").alias("source"), F.col("to").alias("target")), "source", dead), "target", dead).select("source", "target")
         left = materialize(kept.union(over).distinct(), f"cycle-left-{turn}")
         own.append(left.where("source = target").select(F.col("source").alias("node")))
         chains.append(gone)
@@ -415,62 +479,88 @@ def parameter_types(signature: Column) -> Column:
 
 
 def generate_rows(operations: DataFrame, schema: DataFrame, links: DataFrame, n: int, seed: int, max_depth: int = 32) -> DataFrame:
-    """M1: n seeded samples of each operation's schema (operation, node): one row (operation, row, path, type, value) for
-    each leaf.
+    """M1: (operation, row, document): n seeded samples of each operation's schema (operation, node), each one JSON text.
 
     schema has (node, type, format, fixed, options, ref): the JSON of an example, default or constant; the JSON texts of
     an enum; the node that a reference names. links has (node, kind, name, position, child) with kinds property, items
     and allOf. Precedence: fixed, enum, ref, allOf, type (object where properties exist and none is said, else string).
-    Arrays have two items; below max_depth, and for a reference that is already on the path, the value is null; of
-    allOf's parts the later one that has a property gives all of it. Values hang on (seed, operation, row, path) alone,
-    so they are the same however the job is split."""
-    has = links.groupBy("node").agg(F.max(F.col("kind") == "allOf").alias("merged"), F.max(F.col("kind") == "property").alias("props"))
-    s = schema.join(has, "node", "left").withColumn("merged", F.coalesce("merged", F.lit(False))).withColumn("type", F.coalesce("type", F.when(F.coalesce("props", F.lit(False)), "object").otherwise("string")))
+    Arrays have two items (texts where no item is said); below max_depth, and for a reference that is already on the
+    path, the value is null; objects without properties are empty; allOf is one object of its parts' properties, later
+    parts over earlier ones, without the parts that are no objects. Values hang on (seed, operation, row, path) alone, so
+    they are the same however the job is split.
+
+    Schemas are laid out level by level, and the values folded upwards the same way: each level joins what its children
+    came to, so no task sees more than one value and its parts."""
+    has = links.groupBy("node").agg(F.max(F.col("kind") == "allOf").alias("merged"), F.max(F.col("kind") == "property").alias("props"), F.max(F.col("kind") == "items").alias("listed"))
+    off = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    s = schema.join(has.hint("shuffle_merge"), "node", "left").select("node", "format", "fixed", "options", "ref", off("merged"), off("listed"), F.coalesce("type", F.when(off("props"), "object").otherwise("string")).alias("type"))
     s = materialize(s, "sample-schema")
-    over = "array<struct<base:string,position:int>>"
-    front = operations.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("operation", "row", F.lit("").alias("path"), "node", F.array().cast("array<string>").alias("refs"), F.array().cast(over).alias("over"))
-    key, leaves = ["operation", "row", "path"], None
-    dot = lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit("."), b))
+    key, part = ["operation", "row", "id"], ["operation", "row", "id", "parent", "name", "position"]
+    front = operations.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("operation", "row", F.lit("").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("position"), F.lit("").alias("path"), "node", F.array().cast("array<string>").alias("refs"))
+    front = materialize(front, "sample-front")
+    levels = []
     for depth in range(max_depth + 2):
-        j = front.join(s, "node")
         if depth > max_depth:
-            rule = F.lit("deep")
+            j = front.withColumns({"rule": F.lit("null"), "type": F.lit("null"), "format": F.lit(None).cast("string"), "fixed": F.lit(None).cast("string"), "options": F.array().cast("array<string>"), "ref": F.lit(None).cast("string"), "listed": F.lit(False)})
         else:
             rule = (
                 F.when(F.col("fixed").isNotNull(), "fixed").when(F.size(F.coalesce("options", F.array().cast("array<string>"))) > 0, "enum")
-                .when(F.col("ref").isNotNull(), F.when(F.array_contains("refs", F.col("ref")), "cycle").otherwise("ref")).when(F.col("merged"), "allOf")
+                .when(F.col("ref").isNotNull(), F.when(F.array_contains("refs", F.col("ref")), "null").otherwise("ref")).when(F.col("merged"), "allOf")
                 .when(F.col("type").isin("object", "array"), F.col("type")).otherwise("leaf")
             )
-        j = materialize(j.withColumn("rule", rule), f"sample-{depth}")
-        h = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000_007))
-        text = F.to_json(F.struct(semantic_value(F.regexp_replace("path", r"\[[0-9]\]", ""), F.col("format"), h).alias("v")))
-        made = (
-            F.when(F.col("type") == "integer", (h % 100 + 1).cast("string")).when(F.col("type") == "number", (h % 1000 + 1).cast("string"))
-            .when(F.col("type") == "boolean", (h % 2 == 0).cast("string")).when(F.col("type") != "null", F.regexp_extract(text, r'^\{"v":(.*)\}$', 1))
-        )
-        done = j.where("rule in ('fixed', 'enum', 'leaf', 'cycle', 'deep')")
-        value = F.when(F.col("rule") == "fixed", F.col("fixed")).when(F.col("rule") == "enum", F.get("options", (h % F.size("options")).cast("int"))).when(F.col("rule") == "leaf", made)
-        done = done.select(*key, "type", value.alias("value"), "over")
-        leaves = done if leaves is None else leaves.union(done)
-        to_ref = j.where("rule = 'ref'").select(*key, F.col("ref").alias("node"), F.array_append("refs", F.col("ref")).alias("refs"), "over")
-        down = j.where("rule in ('allOf', 'object', 'array')").select(*key, "node", "refs", "over", "rule").join(links, "node")
-        down = down.where("rule = 'allOf' and kind = 'allOf' or rule = 'object' and kind = 'property' or rule = 'array' and kind = 'items'")
-        twice = F.when(F.col("rule") == "array", F.array(F.lit("[0]"), F.lit("[1]"))).otherwise(F.array(F.lit("")))
-        down = down.withColumn("item", F.explode(twice))
-        path = F.when(F.col("rule") == "object", dot(F.col("path"), F.col("name"))).otherwise(F.concat("path", "item"))
-        part = F.when(F.col("rule") == "allOf", F.array_append("over", F.struct(F.col("path").alias("base"), F.col("position").cast("int").alias("position")))).otherwise(F.col("over"))
-        front = materialize(to_ref.union(down.select("operation", "row", path.alias("path"), F.col("child").alias("node"), "refs", part.alias("over"))), f"sample-front-{depth}")
+            known = front.where("node is not null").join(s.hint("shuffle_merge"), "node").withColumn("rule", rule).drop("merged")
+            bare = front.where("node is null").withColumns({"format": F.lit(None).cast("string"), "fixed": F.lit(None).cast("string"), "options": F.array().cast("array<string>"), "ref": F.lit(None).cast("string"), "listed": F.lit(False), "type": F.lit("string"), "rule": F.lit("leaf")})
+            j = known.unionByName(bare)
+        j = materialize(j.withColumn("value", _sample(seed)), f"sample-{depth}")
+        levels.append(j.select(*part, "rule", "value"))
+        below = F.concat_ws("/", "id", "position_")
+        to_ref = j.where("rule = 'ref'").withColumn("position_", F.lit(0)).select("operation", "row", below.alias("id"), F.col("id").alias("parent"), F.lit(None).cast("string").alias("name"), "position_", "path", F.col("ref").alias("node"), F.array_append("refs", F.col("ref")).alias("refs"))
+        of = links.select("node", "kind", F.col("name").alias("name_"), F.col("position").cast("int").alias("position_"), "child")
+        down = j.where("rule in ('allOf', 'object')").select("operation", "row", "id", "path", "node", "refs", "rule").join(of, "node").where("rule = 'allOf' and kind = 'allOf' or rule = 'object' and kind = 'property'")
+        inner = F.when(F.col("rule") == "object", F.concat_ws(".", F.nullif("path", F.lit("")), "name_")).otherwise(F.col("path"))
+        down = down.select("operation", "row", below.alias("id"), F.col("id").alias("parent"), F.when(F.col("rule") == "object", F.col("name_")).alias("name"), "position_", inner.alias("path"), F.col("child").alias("node"), "refs")
+        lists = j.where("rule = 'array'").join(of.where("kind = 'items'").select("node", "child"), "node", "left").withColumn("position_", F.explode(F.array(F.lit(0), F.lit(1))))
+        lists = lists.select("operation", "row", below.alias("id"), F.col("id").alias("parent"), F.lit(None).cast("string").alias("name"), "position_", F.concat("path", F.lit("["), "position_", F.lit("]")).alias("path"), F.col("child").alias("node"), "refs")
+        front = materialize(to_ref.union(down).union(lists).withColumnRenamed("position_", "position"), f"sample-front-{depth}")
         if front.isEmpty():
             break
-    return _later_parts(leaves)
-
-
-def _later_parts(leaves: DataFrame) -> DataFrame:
-    """Of leaves under the parts of an allOf, those of the last part that has their property."""
-    key = ["operation", "row"]
-    each = leaves.withColumn("_id", F.monotonically_increasing_id())
-    each = materialize(each, "sample-leaves")
-    at = each.where("size(over) > 0").select("_id", *key, "path", F.explode("over").alias("o")).select("_id", *key, "o.base", "o.position", F.regexp_extract(F.when(F.col("o.base") == "", F.col("path")).otherwise(F.expr("substring(path, length(o.base) + 2)")), r"^[^.\[]+", 0).alias("step"))
-    last = at.groupBy(*key, "base", "step").agg(F.max("position").alias("last"))
-    lost = at.join(last.hint("shuffle_merge"), [*key, "base", "step"]).where("position < last").select("_id").distinct()
-    return each.join(lost.hint("shuffle_merge"), "_id", "left_anti").select(*key, "path", "type", "value")
+    values = None
+    for depth, level in reversed(list(enumerate(levels))):
+        values = materialize(_folded(level, values), f"sample-value-{depth}")
+    return values.select("operation", "row", F.col("json").alias("document"))
+
+
+def _sample(seed: int) -> Column:
+    """The JSON of a value that has no parts below it."""
+    h = F.pmod(F.xxhash64(F.lit(seed), "operation", "row", "path"), F.lit(1_000_000_007))
+    text = F.to_json(F.array(semantic_value(F.regexp_replace("path", r"\[[0-9]\]", ""), F.col("format"), h)))
+    made = (
+        F.when(F.col("type") == "integer", (h % 100 + 1).cast("string")).when(F.col("type") == "number", (h % 1000 + 1).cast("string"))
+        .when(F.col("type") == "boolean", (h % 2 == 0).cast("string")).when(F.col("type") == "null", "null").otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
+    )
+    return F.when(F.col("rule") == "fixed", F.col("fixed")).when(F.col("rule") == "enum", F.get("options", (h % F.size("options")).cast("int"))).when(F.col("rule") == "leaf", made).otherwise("null")
+
+
+ENTRIES = "array<struct<name:string,json:string>>"
+
+
+def _folded(level: DataFrame, below: DataFrame | None) -> DataFrame:
+    """(operation, row, parent, name, position, json, entries): the values of a level, with the properties of those that
+    are objects, from the values of the level below."""
+    none = F.lit(None).cast(ENTRIES)
+    if below is None:
+        level = level.withColumn("parts", F.lit(None).cast(f"array<struct<position:int,name:string,json:string,entries:{ENTRIES}>>"))
+    else:
+        parts = below.groupBy("operation", "row", F.col("parent").alias("id")).agg(F.sort_array(F.collect_list(F.struct("position", "name", "json", "entries"))).alias("parts"))
+        level = level.join(parts.hint("shuffle_merge"), ["operation", "row", "id"], "left")
+    parts = F.coalesce("parts", F.array().cast(f"array<struct<position:int,name:string,json:string,entries:{ENTRIES}>>"))
+    own = F.transform(parts, lambda p: F.struct(p["name"].alias("name"), p["json"].alias("json")))
+    merged = F.aggregate(F.transform(parts, lambda p: p["entries"]), F.array().cast(ENTRIES), lambda acc, more: F.when(more.isNull(), acc).otherwise(F.concat(F.filter(acc, lambda a: ~F.exists(more, lambda m: m["name"] == a["name"])), more)))
+    given = F.from_json(F.when(F.col("value").rlike(r"^\s*\{"), F.col("value")), "map<string,variant>")
+    written = F.transform(F.map_entries(given), lambda e: F.struct(e["key"].alias("name"), F.to_json(e["value"]).alias("json")))
+    entries = F.when(F.col("rule") == "object", own).when(F.col("rule") == "allOf", merged).when(F.col("rule") == "ref", F.get(parts, F.lit(0))["entries"]).when(F.col("rule").isin("fixed", "enum"), written).otherwise(none)
+    level = level.withColumn("entries", F.array_sort(entries.cast(ENTRIES)))
+    braces = F.expr("concat('{', array_join(transform(entries, e -> concat(substring(to_json(array(e.name)), 2, length(to_json(array(e.name))) - 2), ':', e.json)), ','), '}')")
+    brackets = F.concat(F.lit("["), F.array_join(F.transform(parts, lambda p: p["json"]), ","), F.lit("]"))
+    json = F.when(F.col("rule").isin("object", "allOf"), braces).when(F.col("rule") == "array", brackets).when(F.col("rule") == "ref", F.get(parts, F.lit(0))["json"]).otherwise(F.col("value"))
+    return level.select("operation", "row", "parent", "name", "position", json.alias("json"), "entries")

@@ -179,7 +179,7 @@ def j3_resolve_tiers(s, d):
     return R.resolve_names(refs, types, refs.select("file", lit("q.Imported").alias("fqn"))).select("ref_id", "type_id")
 
 
-@query("SELECT event_id, (SELECT arg_min(v.event_id, [abs(v.event_id - e.event_id), v.event_id]) FROM events v WHERE v.user_id = e.user_id AND v.event_type = 'view') AS nearest_id FROM events e WHERE event_type = 'click' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'view')")
+@query("SELECT event_id, (SELECT arg_min(v.event_id, [abs(v.event_id - e.event_id), v.event_id]) FROM events v WHERE v.user_id = e.user_id AND v.event_type = 'view') AS nearest_id FROM events e WHERE event_type = 'click'")
 def j9_nearest(s, d):
     e = T(s, d, "events").select("event_id", "user_id", "event_type")
     left = e.where("event_type = 'click'").select("user_id", "event_id")
@@ -221,16 +221,17 @@ def j15_impact_many_roots(s, d):
     return R.impact_scan(lines, roots).select("doc_id", "root")
 
 
-@query("SELECT p_brand AS target, CASE WHEN n % 5 = 0 THEN 'closed' WHEN n % 5 = 1 THEN 'known' WHEN n % 5 = 2 THEN 'external' WHEN n % 5 = 3 THEN 'unresolved' ELSE 'known' END AS status, CASE WHEN n % 5 = 0 THEN 'v1,v2' END AS values, CASE WHEN n % 5 = 1 THEN 'unknown: u0; u1; u10; u11' WHEN n % 5 = 3 THEN 'unknown: u' END AS warning, CASE WHEN n % 5 = 1 THEN 20 WHEN n % 5 = 3 THEN 1 ELSE 0 END AS evidence FROM (SELECT DISTINCT p_brand, CAST(split_part(p_brand, '#', 2) AS INT) AS n FROM part)")
+@query("""SELECT target, CASE WHEN clean AND n = 1 THEN 'closed' WHEN f IS NOT NULL THEN 'known' WHEN ext THEN 'external' ELSE 'unresolved' END AS status, f.e AS enum_fqn, CASE WHEN clean AND n = 1 THEN f.v END AS vals, coalesce(u, '') AS unknowns, coalesce(ev, '') AS evidence,
+CASE WHEN clean AND n = 1 THEN NULL WHEN f IS NOT NULL THEN 'enum evidence does not prove a complete field domain' WHEN ext THEN 'field value stops at an external boundary' ELSE concat('field domain unresolved', coalesce(': ' || replace(u, '|', ', '), '')) END AS warning
+FROM (SELECT target, first(struct_pack(e := e, v := v) ORDER BY p) FILTER (e IS NOT NULL) AS f, bool_and(e IS NOT NULL AND whole AND unk IS NULL AND e2 IS NULL AND NOT changed) AS clean, bool_and(e2 IS NOT NULL AND unk IS NULL AND NOT changed) AS ext, count(DISTINCT e) AS n FROM sites GROUP BY 1)
+LEFT JOIN (SELECT target, array_to_string(list(x ORDER BY x)[1:4], '|') AS u FROM (SELECT target, unk AS x FROM sites WHERE unk IS NOT NULL UNION SELECT target, concat('conflicting enum projections:', one, ':', e) FROM (SELECT target, e, first_value(e) OVER (PARTITION BY target ORDER BY p) AS one FROM sites WHERE e IS NOT NULL) WHERE e <> one) GROUP BY 1) USING (target)
+LEFT JOIN (SELECT target, array_to_string(list(x ORDER BY p, x)[1:20], '|') AS ev FROM (SELECT target, concat('write:', p % 500) AS x, min(p) AS p FROM sites GROUP BY 1, 2) GROUP BY 1) USING (target)""", "sites")
 def a3_domain_verdicts(s, d):
-    none, n = F.array().cast("array<string>"), F.split("p_brand", "#")[1].cast("int") % 5
-    many = F.transform(F.sequence(lit(0), lit(29)), lambda i: F.concat(lit("u"), i.cast("string")))
-    brands = T(s, d, "part").select("p_brand", n.alias("n"), F.explode(F.array(lit(0), lit(1))).alias("i")).distinct()
-    site = brands.select(
-        c("p_brand").alias("target"), F.when(c("n").isin(0, 1), "E").when((c("n") == 4), F.concat(lit("E"), c("i").cast("string"))).alias("enum_fqn"), F.when(c("n") != 2, "getCode").alias("accessor"), lit(True).alias("complete"),
-        F.when(c("n") == 2, F.array(lit("rpc"))).otherwise(none).alias("external"), F.when((c("n") == 1) & (c("i") == 0), many).when(c("n") == 3, F.array(lit("u"))).otherwise(none).alias("unknown"), none.alias("literals"), lit(False).alias("transformed"), F.array(lit("v2"), lit("v1")).alias("values"),
-    )
-    return R.classify_domains(site).select("target", "status", comma(c("values")).alias("values"), "warning", F.size("unknown").alias("evidence"))
+    none = F.array().cast("array<string>")
+    one = lambda x: F.when(c(x).isNull(), none).otherwise(F.array(x))
+    site = view(s, d, "sites").select("target", c("p").alias("position"), c("e").alias("enum_fqn"), F.when(c("e").isNotNull(), "get").alias("accessor"), c("whole").alias("complete"), one("e2").alias("external"), one("unk").alias("unknown"), none.alias("literals"), c("changed").alias("transformed"), one("v").alias("values"), F.array(F.concat(lit("write:"), c("p") % 500)).alias("evidence"))
+    text = lambda n: F.array_join(n, "|").alias(n)
+    return R.classify_domains(site).select("target", "status", "enum_fqn", comma(c("values")).alias("vals"), text("unknowns"), text("evidence"), "warning")
 
 
 @query("SELECT c_custkey, CASE WHEN n = 0 THEN 'code' ELSE a END AS a, CASE WHEN n = 0 THEN 'data' ELSE b END AS b FROM (SELECT c_custkey, COUNT(o_orderkey) AS n, arg_max(o_orderstatus, concat(lpad(m::varchar, 6, '0'), o_orderstatus, o_orderpriority)) AS a, arg_max(o_orderpriority, concat(lpad(m::varchar, 6, '0'), o_orderstatus, o_orderpriority)) AS b FROM (SELECT c_custkey, o_orderkey, o_orderstatus, o_orderpriority, COUNT(o_orderkey) OVER (PARTITION BY c_custkey, o_orderstatus, o_orderpriority) AS m FROM customer LEFT JOIN orders ON o_custkey = c_custkey) GROUP BY 1)")
@@ -393,26 +394,49 @@ def g7_flatten_inheritance(s, d):
     return G.flatten_inheritance(classes, fields).select("root", "field", "type", "position")
 
 
-@query(rows_sql(["slot", "domain"], ("a~", "D"), ("m~", "D"), ("x~", "unknown"), ("y~", "unknown"), ("x~", "D"), ("y~", "D"), ("z~", "unknown"), ("z~", "D")) + " UNION ALL " + rows_sql(["slot", "domain"], ("u~", "unknown"), ("m~", "unknown"), where="p_partkey % 2 = 0"))
+@query(""", active AS (SELECT DISTINCT root AS operation, slot, from_slot, CASE WHEN from_slot IS NULL THEN coalesce(domain, 'unknown') END AS domain FROM args JOIN within ON node = caller WHERE caller <> method),
+mine AS (SELECT DISTINCT root AS operation, slot FROM slots JOIN within ON node = method UNION SELECT operation, slot FROM active),
+flow(operation, a, b) AS (SELECT operation, from_slot, slot FROM active WHERE from_slot IS NOT NULL UNION SELECT f.operation, f.a, x.slot FROM flow f JOIN active x ON x.operation = f.operation AND x.from_slot = f.b),
+seeds AS (SELECT operation, slot, domain FROM active WHERE domain IS NOT NULL UNION SELECT operation, slot, 'unknown' FROM mine ANTI JOIN active USING (operation, slot) UNION SELECT operation, a, 'unknown' FROM flow WHERE a = b)
+SELECT operation, slot, domain FROM seeds UNION SELECT s.operation, f.b, s.domain FROM seeds s JOIN flow f ON f.operation = s.operation AND f.a = s.slot""", "slots", "args", "within")
 def g8_propagate_domains(s, d):
-    facts = per_part(s, d, ("a~", "D"), names=["slot", "domain"])
-    flows = per_part(s, d, ("a~", "m~"), ("a~", "x~"), ("x~", "y~"), ("y~", "x~"), ("y~", "z~"), names=["from_slot", "to_slot"]).union(per_part(s, d, ("u~", "m~"), names=["from_slot", "to_slot"], where="p_partkey % 2 = 0"))
-    return G.propagate_domains(facts, flows)
-
-
-@query(rows_sql(["operation", "field", "status", "vals", "warning"], ("op~", "closed", "closed", "a,b", None), ("op~", "mixed", "known", None, "unknown: argument"), ("op~", "loose", "known", None, "unknown: call not indexed"), ("op~", "blind", "unresolved", None, "unknown: call not resolved"), ("op~", "far", "unresolved", None, "no operation-reachable write site"), ("op~", "none", "unresolved", None, "setter not indexed"), ("op~", "ext", "external", None, None)))
+    return G.propagate_domains(view(s, d, "slots"), view(s, d, "args"), view(s, d, "within"))
+
+
+ORACLES["g8_propagate_domains"] = ORACLES["g8_propagate_domains"].replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(""", placed AS (SELECT c.caller, c.setter, c.line, c.col, s.slot, s.source, s.caller IS NULL AS blind FROM setter_calls c LEFT JOIN setter_sites s ON s.caller = c.caller AND s.setter = c.setter AND s.line = c.line
+  QUALIFY row_number() OVER (PARTITION BY c.caller, c.setter, c.line, c.col ORDER BY abs(s.col - c.col), s.col, s.slot, s.source) = 1),
+reach AS (SELECT concat('customer:', o_custkey) AS operation, concat('order:', o_orderkey) AS caller FROM orders),
+mine AS (SELECT w.operation, field, setter, caller, name, file FROM written w JOIN reach USING (operation) JOIN writers ON node = caller WHERE setter IS NOT NULL),
+dom AS (SELECT * FROM (VALUES ('d0', 'E0', ['b', 'a'], []::VARCHAR[]), ('d1', 'E1', ['c'], []), ('d2', NULL, [], ['rpc'])) t(domain, enum, vals, ext)),
+one AS (SELECT m.operation, field, caller, line, col, name, file, source, b.domain, enum, vals, CASE WHEN enum IS NULL AND coalesce(len(ext), 0) = 0 THEN coalesce(b.domain, 'unknown') END AS unk, coalesce(len(ext), 0) > 0 AS out
+  FROM mine m JOIN placed p USING (caller, setter) LEFT JOIN bound b ON b.operation = m.operation AND b.slot = p.slot LEFT JOIN dom ON dom.domain = b.domain WHERE NOT blind),
+site AS (SELECT operation, field, caller, line, col, name, file, source, min(enum) AS e, max(enum) AS z, min_by(vals, enum) AS vals, list(DISTINCT unk) FILTER (unk IS NOT NULL) AS unk, bool_or(out) AS out FROM one GROUP BY ALL),
+bare AS (SELECT operation, field, concat('unindexed setter argument at ', file, ':', line, ':', col) AS text FROM mine JOIN placed USING (caller, setter) WHERE blind
+  UNION SELECT operation, field, concat('unindexed setter call:', file, ':', line, ':', col) FROM mine JOIN setter_sites USING (caller, setter) ANTI JOIN setter_calls USING (caller, setter, line)
+  UNION SELECT operation, field, concat('unresolved setter call:', file, ':', line, ':', col) FROM mine JOIN setter_refs USING (caller, setter)),
+f AS (SELECT operation, field, first(struct_pack(e := e, v := vals) ORDER BY file, line, col, e) FILTER (e IS NOT NULL) AS f, bool_and(e IS NOT NULL AND e = z AND NOT out AND unk IS NULL) AS clean, bool_and(out AND unk IS NULL) AS ext, count(DISTINCT e) AS n FROM site GROUP BY ALL),
+texts AS (SELECT operation, field, unnest(unk) AS text FROM site UNION SELECT operation, field, concat('conflicting enum projections:', e, ':', z) FROM site WHERE e <> z UNION SELECT operation, field, concat('conflicting enum projections:', f.e, ':', site.e) FROM site JOIN f USING (operation, field) WHERE site.e <> f.e UNION SELECT * FROM bare),
+told AS (SELECT operation, field, list(text ORDER BY text)[1:4] AS u FROM texts GROUP BY ALL),
+ev AS (SELECT operation, field, text, min([file, lpad(line::VARCHAR, 6, '0'), lpad(col::VARCHAR, 6, '0'), kind]) AS o FROM (SELECT *, concat('write:', file, ':', line, ':', col, ':', source) AS text, '0' AS kind FROM site UNION ALL SELECT site.*, concat('chain:', c_name, ' => ', name), '1' FROM site JOIN customer ON operation = concat('customer:', c_custkey)) GROUP BY ALL),
+proof AS (SELECT operation, field, array_to_string(list(text ORDER BY o, text)[1:20], '|') AS evidence FROM ev GROUP BY ALL),
+v AS (SELECT w.operation, w.field, setter, f, u, evidence, f.operation IS NULL AND u IS NULL AS empty, CASE WHEN clean AND n = 1 AND b.operation IS NULL THEN 'closed' WHEN f.f IS NOT NULL THEN 'known' WHEN ext AND b.operation IS NULL THEN 'external' ELSE 'unresolved' END AS status
+  FROM written w LEFT JOIN f USING (operation, field) LEFT JOIN told USING (operation, field) LEFT JOIN proof USING (operation, field) LEFT JOIN (SELECT DISTINCT operation, field FROM bare) b USING (operation, field))
+SELECT operation, field, status, f.e AS enum_fqn, CASE WHEN status = 'closed' THEN array_to_string(f.v, ',') END AS vals, coalesce(array_to_string(u, '|'), '') AS unknowns, coalesce(evidence, '') AS evidence,
+CASE WHEN setter IS NULL THEN 'setter not indexed' WHEN empty THEN 'no operation-reachable write site' WHEN status = 'known' THEN 'enum evidence does not prove a complete field domain' WHEN status = 'external' THEN 'field value stops at an external boundary'
+  WHEN status = 'unresolved' THEN concat('field domain unresolved', coalesce(': ' || array_to_string(u, ', '), '')) END AS warning FROM v""", "writers", "setter_calls", "setter_sites", "setter_refs", "written", "bound")
 def g9_field_lineage(s, d):
-    edges = per_part(s, d, ("op~", "m1~"), ("m1~", "m2~"), ("zz~", "m3~"), names=["source", "target"])
-    reach = G.reachable(edges, per_part(s, d, ("op~",), names=["root"]))
-    fields = per_part(s, d, *[("op~", n, f"set_{n}" if n != "none" else "") for n in ("closed", "mixed", "loose", "blind", "far", "none", "ext")], names=["operation", "field", "setter"]).withColumn("setter", F.nullif("setter", lit("")))
-    names = ["caller", "setter", "line", "column"]
-    calls = per_part(s, d, ("m1~", "set_closed", 5, 3), ("m2~", "set_closed", 9, 1), ("m1~", "set_mixed", 6, 1), ("m1~", "set_loose", 7, 1), ("m2~", "set_blind", 8, 1), ("m3~", "set_far", 1, 1), ("m2~", "set_ext", 2, 1), names=names)
-    sites = per_part(s, d, ("m1~", "set_closed", 5, 4, "s1~"), ("m2~", "set_closed", 9, 1, "s1~"), ("m1~", "set_mixed", 6, 1, "s2~"), ("m1~", "set_loose", 7, 1, "s1~"), ("m2~", "set_loose", 30, 1, "s1~"), ("m3~", "set_far", 1, 1, "s1~"), ("m2~", "set_ext", 2, 2, "s3~"), names=[*names, "slot"])
-    flows = per_part(s, d, ("a~", "s1~"), ("a~", "s2~"), ("unbound~", "s2~"), ("r~", "s3~"), names=["from_slot", "to_slot"])
-    bound = G.propagate_domains(per_part(s, d, ("a~", "enum"), ("r~", "rpc"), names=["slot", "domain"]), flows)
+    edges = view(s, d, "edges").where("kind = 'calls' and source like 'customer:%'")
+    reach = G.reachable(edges, T(s, d, "customer").select(F.concat(lit("customer:"), "c_custkey").alias("root")))
+    named = lambda n: view(s, d, n).withColumnRenamed("col", "column")
     none = F.array().cast("array<string>")
-    domains = s.sql("SELECT 'enum' AS domain, 'E' AS enum_fqn, 'getCode' AS accessor, true AS complete UNION ALL SELECT 'rpc', null, null, false").select("*", F.when(c("domain") == "rpc", F.array(lit("rpc"))).otherwise(none).alias("external"), none.alias("unknown"), none.alias("literals"), lit(False).alias("transformed"), F.when(c("domain") == "enum", F.array(lit("b"), lit("a"))).otherwise(none).alias("values"))
-    return G.field_lineage(reach, fields, calls, sites, bound, domains).select("operation", "field", "status", comma(c("values")).alias("vals"), "warning")
+    domains = s.createDataFrame([("d0", "E0", ["b", "a"], []), ("d1", "E1", ["c"], []), ("d2", None, [], ["rpc"])], "domain string, enum_fqn string, values array<string>, external array<string>")
+    domains = domains.select("*", F.when(c("enum_fqn").isNotNull(), "get").alias("accessor"), c("enum_fqn").isNotNull().alias("complete"), none.alias("unknown"), none.alias("literals"), lit(False).alias("transformed"))
+    out = G.field_lineage(reach, view(s, d, "writers"), view(s, d, "written"), named("setter_calls"), named("setter_sites"), named("setter_refs"), view(s, d, "bound"), domains)
+    text = lambda n: F.coalesce(F.array_join(n, "|"), lit("")).alias(n)
+    return out.select("operation", "field", "status", "enum_fqn", comma(c("values")).alias("vals"), text("unknowns"), text("evidence"), "warning")
 
 
 @query(rows_sql(["field", "enum", "accessor", "vals"], ("f~", "E~", "getCode", "1,2")))
@@ -450,21 +474,23 @@ def g16_root_schema(s, d):
     return T(s, d, "part").select(c("p_partkey").alias("owner")).join(G.root_schema(tokens, types, ["ApiResult", "List", "Map"]), "owner", "left")
 
 
-SHAPE = ["operation", "row", "path", "shown"]
-LEAVES = [("fixed", '"e"'), ("pick", "option"), ("nested.count", "1..100"), ("nested.flag", "boolean"), ("nested.self", None), ("both.a", '"new"'), ("both.b", "7"), ("items[0]", "1..1000"), ("items[1]", "1..1000"), ("when", f'"{C.SAMPLE_TIME}"'), ("bare.x", "text"), ("nothing", None)]
-
-
-@query(" UNION ALL ".join(rows_sql(SHAPE, *[("op~", r, p, v) for p, v in LEAVES]) for r in (0, 1)))
+@query("""SELECT concat('op', p_partkey) AS operation, r.row, concat('{"both":{"a":"', p_type, '","b":7},"brand":"', p_brand, '","empty":{},"id":', p_partkey, ',"list":[', p_size, ',', p_size, '],"odd":{},"size":{"n":', p_size, ',"self":null},"when":"2000-01-01T00:00:00"}') AS document FROM part, (SELECT 0 AS row UNION ALL SELECT 1) r""")
 def m1_generate_rows(s, d):
-    nodes = [("root", "object", None, None, None, None), ("fixed", "string", None, '"e"', None, None), ("pick", "string", None, None, ['"x"', '"y"'], None), ("toN", None, None, None, None, "N"), ("N", "object", None, None, None, None), ("count", "integer", None, None, None, None), ("flag", "boolean", None, None, None, None), ("both", None, None, None, None, None), ("p1", "object", None, None, None, None), ("p2", "object", None, None, None, None), ("old", "object", None, None, None, None), ("new", "string", None, '"new"', None, None), ("seven", "integer", None, "7", None, None), ("items", "array", None, None, None, None), ("num", "number", None, None, None, None), ("when", "string", "date-time", None, None, None), ("bare", None, None, None, None, None), ("x", None, None, None, None, None), ("nothing", "null", None, None, None, None)]
-    links = [("root", "property", n, i, ch) for i, (n, ch) in enumerate([("fixed", "fixed"), ("pick", "pick"), ("nested", "toN"), ("both", "both"), ("items", "items"), ("when", "when"), ("bare", "bare"), ("nothing", "nothing")])]
-    links += [("N", "property", "count", 0, "count"), ("N", "property", "flag", 1, "flag"), ("N", "property", "self", 2, "toN"), ("both", "allOf", None, 0, "p1"), ("both", "allOf", None, 1, "p2"), ("p1", "property", "a", 0, "old"), ("p1", "property", "b", 1, "seven"), ("old", "property", "inner", 0, "count"), ("p2", "property", "a", 0, "new"), ("items", "items", None, 0, "num"), ("bare", "property", "x", 0, "x")]
-    schema = s.createDataFrame(nodes, "node string, type string, format string, fixed string, options array<string>, ref string")
-    ops = T(s, d, "part").select(tagged("op", c("p_partkey")).alias("operation"), lit("root").alias("node"))
-    out = G.generate_rows(ops, schema, s.createDataFrame(links, "node string, kind string, name string, position int, child string"), 2, 7)
-    n = c("value").try_cast("int")
-    shown = F.when(c("path") == "pick", F.when(c("value").isin('"x"', '"y"'), "option")).when(c("type") == "integer", F.when(c("path") == "both.b", c("value")).when(n.between(1, 100), "1..100")).when(c("type") == "number", F.when(n.between(1, 1000), "1..1000")).when(c("type") == "boolean", F.when(c("value").isin("true", "false"), "boolean")).when(c("path") == "bare.x", F.when(c("value").like('"MOCK_X_%"'), "text")).otherwise(c("value"))
-    return out.select("operation", "row", "path", shown.alias("shown"))
+    k, quoted = c("p_partkey"), lambda x: F.concat(lit('"'), x, lit('"'))
+    text = lit(None).cast("string")
+    names = ["node", "type", "fixed", "options", "ref"]
+    node = lambda n, kind=None, fixed=text, option=None, ref=None: F.struct(tagged(n, k).alias("node"), lit(kind).cast("string").alias("type"), fixed.cast("string").alias("fixed"), (F.array(option) if option is not None else lit(None).cast("array<string>")).alias("options"), (tagged(ref, k) if ref else text).alias("ref"))
+    nodes = [
+        node("root", "object"), node("id", fixed=k), node("brand", option=quoted(c("p_brand"))), node("size", ref="S"), node("S"), node("n", fixed=c("p_size")), node("self", ref="S"), node("both"), node("old", "object"), node("word", "string", quoted(lit("x"))),
+        node("new"), node("a1", fixed=quoted(lit("old"))), node("seven", fixed=lit("7")), node("a2", fixed=quoted(c("p_type"))), node("empty", "object"), node("list", "array"), node("odd"), node("when", fixed=quoted(lit("2000-01-01T00:00:00"))),
+    ]
+    link = lambda of, kind, name, at, child: F.struct(tagged(of, k).alias("node"), lit(kind).alias("kind"), lit(name).cast("string").alias("name"), lit(at).alias("position"), tagged(child, k).alias("child"))
+    links = [link("root", "property", n, i, ch) for i, (n, ch) in enumerate([("when", "when"), ("size", "size"), ("id", "id"), ("brand", "brand"), ("both", "both"), ("empty", "empty"), ("list", "list"), ("odd", "odd")])]
+    links += [link("S", "property", "n", 0, "n"), link("S", "property", "self", 1, "self"), link("both", "allOf", None, 0, "old"), link("both", "allOf", None, 1, "word"), link("both", "allOf", None, 2, "new"), link("old", "property", "a", 0, "a1"), link("old", "property", "b", 1, "seven"), link("new", "property", "a", 0, "a2"), link("list", "items", None, 0, "n"), link("odd", "allOf", None, 0, "word")]
+    part = T(s, d, "part")
+    schema = part.select(F.explode(F.array(*nodes)).alias("x")).select("x.*").withColumn("format", text).select("node", "type", "format", *names[2:])
+    edges = part.select(F.explode(F.array(*links)).alias("x")).select("x.*")
+    return G.generate_rows(part.select(tagged("op", k).alias("operation"), tagged("root", k).alias("node")), schema, edges, 2, 7)
 
 
 # --- streaming -------------------------------------------------------------------------------------------------------

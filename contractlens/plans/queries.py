@@ -188,13 +188,6 @@ def j9_as_of(s, d):
     return R.as_of(e.where("event_type = 'click'"), e.where("event_type = 'view'").select("user_id", "event_id", c("event_id").alias("view")), ["user_id"], "event_id", "event_id", "view").select("event_id", "last_view")
 
 
-@query("SELECT doc_id, nearest_id FROM (SELECT a.l_orderkey AS doc_id, b.o_orderkey AS nearest_id FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1) a JOIN orders b ON a.l_orderkey = b.o_orderkey)")
-def j9_nearest(s, d):
-    left = T(s, d, "lineitem").where("l_linenumber = 1").select(c("l_orderkey").alias("doc_id"), c("l_linenumber").alias("lp")).distinct()
-    right = T(s, d, "orders").select(c("o_orderkey").alias("doc_id"), F.length("o_orderpriority").alias("rp"), c("o_orderkey").alias("rid"))
-    return R.nearest(left, right, ["doc_id"], "lp", "rp", "rid").select("doc_id", "nearest_id")
-
-
 @query("SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 5)")
 def j10_gaps(s, d):
     return R.gaps(T(s, d, "orders").select(c("o_orderkey").alias("k")), T(s, d, "lineitem").where("l_linenumber < 5").select(c("l_orderkey").alias("k")), ["k"])
@@ -539,6 +532,15 @@ def g4_closure_paths(s, d):
     return G.paths(_closure(s, d)).select("root", "node", F.size(F.split("path", " => ")).alias("steps"))
 
 
+@query()
+def g1_reach_counts(s, d):
+    """How many nodes each supplier reaches first at each depth: from packed sets, without a row for each pair."""
+    roots = G.numbered_roots(view(s, d, "nodes").where("kind = 'supplier'").select(c("id").alias("root")))
+    sets = G.reach_sets(view(s, d, "edges").where("kind = 'calls'"), roots)
+    return G.per_root(sets, "depth").join(roots, ["word", "bit"]).select("root", "depth", c("n").alias("nodes"))
+
+
+ORACLES["g1_reach_counts"] = as_sql("edges", "nodes").rstrip().replace("WITH", "WITH RECURSIVE", 1) + CLOSURE.replace("kind = 'nation'", "kind = 'supplier'") + "SELECT root, depth, COUNT(*) AS nodes FROM closure GROUP BY ALL"
 for name, tail in (("g1_closure", "SELECT root, node, depth FROM closure"), ("g4_closure_paths", "SELECT root, node, depth + 1 AS steps FROM closure")):
     ORACLES[name] = as_sql("edges", "nodes").rstrip().replace("WITH", "WITH RECURSIVE", 1) + CLOSURE + tail
 

@@ -29,6 +29,23 @@ CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'file' ELSE 'registry' END AS sour
 CAST(CAST(REGEXP_EXTRACT(props, '([0-9]+)', 1) AS INT) % 4 AS VARCHAR(20)) AS tool_use_id,
 CASE event_type WHEN 'view' THEN 'PreToolUse' WHEN 'click' THEN 'PostToolUse' WHEN 'purchase' THEN 'Stop' END AS stage,
 concat('f', CAST(REGEXP_EXTRACT(props, '([0-9]+)', 1) AS INT)) AS path, CAST(CAST(FLOOR(value) AS BIGINT) AS VARCHAR(20)) AS content FROM {events}""",
+    "slots": "SELECT concat('o', o_orderkey) AS slot, concat('c', o_custkey, o_orderstatus) AS method FROM {orders}",
+    "args": """SELECT concat('c', o_custkey, was) AS caller, concat('c', o_custkey, o_orderstatus) AS method, concat('o', o_orderkey) AS slot, concat('o', prior) AS from_slot, CAST(NULL AS VARCHAR(20)) AS domain
+FROM (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prior, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS was FROM {orders}) WHERE prior IS NOT NULL
+UNION ALL SELECT concat('c', o_custkey, max_by(o_orderstatus, o_orderkey)), concat('c', o_custkey, min_by(o_orderstatus, o_orderkey)), concat('o', min(o_orderkey)), concat('o', max(o_orderkey)), NULL FROM {orders} WHERE o_custkey % 3 = 0 GROUP BY o_custkey
+UNION ALL SELECT 'entry', concat('c', o_custkey, o_orderstatus), concat('o', o_orderkey), NULL, CASE WHEN o_orderkey % 32 = 0 THEN NULL ELSE o_orderpriority END FROM {orders} WHERE o_orderkey % 4 = 0""",
+    "within": """SELECT 'all' AS root, method AS node FROM (SELECT DISTINCT concat('c', o_custkey, o_orderstatus) AS method FROM {orders}) UNION ALL SELECT 'all', 'entry'
+UNION ALL SELECT 'cut', method FROM (SELECT DISTINCT concat('c', o_custkey, o_orderstatus) AS method FROM {orders} WHERE o_orderstatus <> 'P' OR o_custkey % 2 = 0) UNION ALL SELECT 'cut', 'entry'""",
+    "writers": """SELECT concat('order:', o_orderkey) AS node, concat('Order', o_orderkey) AS name, concat('o', o_orderkey % 97, '.java') AS file FROM {orders}
+UNION ALL SELECT concat('customer:', c_custkey), c_name, 'customer.java' FROM {customer}""",
+    "setter_calls": """SELECT DISTINCT concat('order:', l_orderkey) AS caller, concat('set', l_linenumber) AS setter, CAST(l_quantity AS INT) AS line, CAST(l_partkey % 40 AS INT) AS col FROM {lineitem}""",
+    "setter_sites": """SELECT DISTINCT concat('order:', l_orderkey) AS caller, concat('set', l_linenumber) AS setter, CAST(CASE WHEN l_suppkey % 25 = 0 THEN l_quantity + 100 ELSE l_quantity END AS INT) AS line,
+CAST(l_partkey % 37 AS INT) AS col, l_returnflag AS source, concat('slot', CASE WHEN l_suppkey % 20 = 3 THEN 4 ELSE o_custkey % 6 END) AS slot FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_partkey % 17 <> 0""",
+    "setter_refs": "SELECT DISTINCT concat('order:', l_orderkey) AS caller, concat('set', l_linenumber) AS setter, CAST(l_quantity AS INT) AS line, CAST(l_partkey % 40 AS INT) AS col FROM {lineitem} WHERE l_returnflag = 'R' AND l_partkey % 29 = 0",
+    "sites": """SELECT concat(p_brand, p_size % 7) AS target, CAST(p_partkey AS INT) AS p, CASE WHEN p_size % 7 IN (0, 1, 2) THEN concat('E', CASE WHEN p_size % 7 = 2 THEN p_partkey % 3 ELSE 0 END) END AS e, NOT (p_size % 7 = 1 AND p_partkey % 5 = 0) AS whole,
+CASE WHEN p_size % 7 IN (3, 4) THEN 'rpc' END AS e2, CASE WHEN p_size % 7 IN (4, 5) THEN concat('u', p_partkey % 9) END AS unk, p_size % 7 = 6 AND p_partkey % 2 = 0 AS changed, p_type AS v FROM {part}""",
+    "written": "SELECT concat('customer:', c_custkey) AS operation, concat('f', n_regionkey) AS field, CASE WHEN n_regionkey > 0 THEN concat('set', n_regionkey) END AS setter FROM {customer} JOIN (SELECT DISTINCT n_regionkey FROM {nation}) r ON n_regionkey < 4",
+    "bound": """SELECT concat('customer:', c_custkey) AS operation, slot, domain FROM {customer} JOIN (SELECT 'slot0' AS slot, 'd0' AS domain UNION ALL SELECT 'slot1', 'd1' UNION ALL SELECT 'slot2', 'd2' UNION ALL SELECT 'slot3', 'unknown' UNION ALL SELECT 'slot4', 'd0' UNION ALL SELECT 'slot4', 'd1') b ON true""",
     "url": "SELECT page_id, url, REGEXP_REPLACE(REGEXP_REPLACE(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path, REGEXP_EXTRACT(url, '://([^/]*)', 1) AS host FROM {pages}",
 }
 
