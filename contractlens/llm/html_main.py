@@ -1,15 +1,18 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block of text. Elements that never hold an article (scripts, styles, forms,
-navigation, page footers, asides, adverts, notices, reader comments) are markup too. The text length of each line is
-summed over a sliding window; the text starts where the sum surges and ends where it dives. If the page marks its
-article, that only weighs the lines: the window sums decide on every page.
+navigation, page footers, asides, adverts, notices, reader comments) are markup too. Where the page marks its article,
+the lines are those of the article and no others. The running text of each line (outside links) is summed over a
+sliding window; text starts where the sum surges and ends where it dives, at the line that carries the surge or the
+dive itself: neighbours that only share a window with it are cut. Runs of text with other words between them belong
+together, however short those are; only a window without any running text (a menu, a list of links) parts them.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ from .common import per_text, table
 
 WINDOW = 3  # lines summed
 SURGE = 80  # characters in a window that mark running text
-SHARE = 0.2  # of the largest run's text that another run needs to belong to the article
+CARRIES = 40  # characters outside links that a line without a full stop needs to begin or end the text
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 # Elements by their role.
@@ -42,14 +45,21 @@ def _attributes(raw: str) -> dict[str, str]:
 def _unwanted(name: str, raw: str, inside: bool) -> bool:
     if name in DROP or name == "header" and not inside:
         return True
-    if name in ("article", "main", "body", "html", "p", "b", "i", "em", "strong", "a", *HEADINGS) and name not in ("p", "a") or not raw.strip():
+    if name in ("article", "main") and not inside or name in ("body", "html", "b", "i", "em", "strong", *HEADINGS) or not raw.strip():
         return False
     a = _attributes(raw)
     return a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(HINT.search(f"{a.get('class', '')} {a.get('id', '')}"))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length outside links, inside the article element) of each block of the page, in order."""
+class Line(NamedTuple):
+    text: str
+    size: int  # characters outside links
+    place: int  # 2 inside an article, 1 inside the main element, else 0
+    heading: bool = False
+
+
+def lines_of(page: str) -> list[Line]:
+    """The blocks of the page, in order."""
     tokens = list(TOKEN.finditer(page))
     closers: dict[int, int] = {}
     open_at: dict[str, list[int]] = {}
@@ -61,14 +71,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             open_at.setdefault(name, []).append(i)
         elif open_at.get(name):
             closers[open_at[name].pop()] = i
-    out: list[tuple[str, int, bool]] = []
-    text, link, in_link, depth = [], 0, 0, 0
+    out: list[Line] = []
+    text, link, in_link, depth, heading = [], 0, 0, {"article": 0, "main": 0}, False
 
     def flush() -> None:
         nonlocal link
         s = " ".join(htmllib.unescape("".join(text)).split())
         if s:
-            out.append((s, max(0, len(s) - link), depth > 0))
+            out.append(Line(s, max(0, len(s) - link), 2 if depth["article"] else int(depth["main"] > 0), heading))
         text.clear()
         link = 0
 
@@ -89,7 +99,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         closing = m[0][1] == "/"
         if name in BLOCK:
             flush()
-        if not closing and name not in VOID and _unwanted(name, m[2] or "", depth > 0):
+        if not closing and name not in VOID and _unwanted(name, m[2] or "", any(depth.values())):
             end = closers.get(i)
             if end is None and name in RAW:  # unclosed raw text runs to the end
                 flush()
@@ -97,8 +107,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if end is not None:
                 i, at = end + 1, tokens[end].end()
                 continue
-        if name in ("article", "main"):
-            depth = max(0, depth + (-1 if closing else 1))
+        if name in depth:
+            depth[name] = max(0, depth[name] + (-1 if closing else 1))
+        elif name in HEADINGS:
+            heading = not closing
         elif name == "a":
             in_link = 0 if closing else 1
         i += 1
@@ -108,19 +120,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def weights(lines: list[tuple[str, int, bool]], surge: int = SURGE) -> list[float]:
-    """What each line counts in the window sums: its length outside links. Where the page marks its article, lines
-    inside count as running text however short they are, and those outside a quarter, or nothing if they are short."""
-    if not any(inside for _, _, inside in lines):
-        return [float(n) for _, n, _ in lines]
-    return [n + surge if inside else n / 4 if n >= surge else 0.0 for _, n, inside in lines]
-
-
-def runs_of(size: list[float], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int, float]]:
-    """(first line, end line, weight) between each surge, where the sum of a window comes to `surge`, and its dive,
-    where it falls below. Lines of no weight at both ends are not between them."""
+def runs_of(size: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """(first line, end line) between each surge, where the sum of a window comes to `surge`, and its dive, where it falls
+    below. Runs that only windows with some text lie between are one."""
     sums = [sum(size[i : i + window]) for i in range(len(size))]
-    out, at = [], 0
+    out, at, dive = [], 0, 0
     while at < len(sums):
         if sums[at] < surge:
             at += 1
@@ -129,22 +133,54 @@ def runs_of(size: list[float], window: int = WINDOW, surge: int = SURGE) -> list
         while at < len(sums) and sums[at] >= surge:
             at += 1
         end = min(len(size), at + window - 1)
-        while start < end and not size[start]:
-            start += 1
-        while start < end and not size[end - 1]:
-            end -= 1
-        if start < end:
-            out.append((start, end, sum(size[start:end])))
+        if out and all(sums[dive:start]):
+            start = out.pop()[0]
+        dive = at  # the first window after the run
+        out.append((start, end))
     return out
 
 
-def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The lines from the first surge to the last dive of the runs that hold a fair SHARE of the largest one's text.
-    A page with too little text for any surge is taken whole."""
-    runs = runs_of(weights(lines, surge), window, surge)
-    most = max((w for _, _, w in runs), default=0)
-    kept = [(a, z) for a, z, w in runs if w >= SHARE * most]
-    return [s for s, _, _ in (lines[kept[0][0] : kept[-1][1]] if kept else lines)]
+#: How lines begin or end that follow an article and are no part of it.
+CLOSING = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|\ball rights reserved\b|^\s*(?:contact us|privacy policy|terms of (?:use|service))\b", re.I)
+STOP = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*$")
+
+
+def carries(line: Line, surge: int = SURGE) -> bool:
+    """Whether a line is running text itself: most of it outside links, a sentence or of some length, no closing notice."""
+    if 2 * line.size < len(line.text) or CLOSING.search(line.text) and len(line.text) < 2 * surge:
+        return False
+    return line.size >= CARRIES or bool(STOP.search(line.text))
+
+
+def _further(lines: list[Line], at: int, step: int, last: int) -> int:
+    """The furthest line that carries text (or heads it) before a line without any: short first and last paragraphs whose
+    windows come to no surge."""
+    while 0 <= at < len(lines) and lines[at].size:
+        if carries(lines[at]) or step < 0 and lines[at].heading:
+            last = at
+        at += step
+    return last
+
+
+def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    """The lines of the article. Marked lines are all of it. Else each run is cut to the lines that carry text, with
+    headings before them and paragraphs too short for a surge beside them; the largest run stays, and others that hold two paragraphs. A page with too little text
+    for any surge is taken whole."""
+    place = max((x.place for x in lines), default=0)
+    if place:
+        return [x.text for x in lines if x.place == place]
+    found = []
+    for start, end in runs_of([x.size for x in lines], window, surge):
+        while start < end and not carries(lines[start], surge):
+            start += 1
+        while start < end and not carries(lines[end - 1], surge):
+            end -= 1
+        if start < end:
+            found.append((_further(lines, start - 1, -1, start), _further(lines, end, 1, end - 1) + 1))
+    most = max((sum(x.size for x in lines[a:z]) for a, z in found), default=0)
+    good = lambda part: sum(x.size for x in part) == most or sum(x.size >= surge and bool(STOP.search(x.text)) for x in part) > 1
+    kept = [x.text for a, z in found if good(lines[a:z]) for x in lines[a:z]]
+    return kept or [x.text for x in lines]
 
 
 def extract(page: str | None) -> str:

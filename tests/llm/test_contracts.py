@@ -255,14 +255,58 @@ def test_long_digit_runs():
 
 
 def test_window_sums_choose_the_lines():
-    lines = [("a", 5, False), ("b", 3, False), ("x" * 60, 60, False), ("y" * 70, 70, False), ("c", 1, False), ("d", 2, False), ("e", 2, False), ("z" * 90, 90, False), ("f", 0, False)]
-    sizes = html_main.weights(lines, 80)
+    sizes = [5, 3, 60, 70, 1, 2, 2, 90, 0, 0, 0, 0, 85, 4]
     plain = [i for i in range(len(sizes)) if sum(sizes[i : i + 3]) >= 80]
     got = html_main.runs_of(sizes, 3, 80)
-    assert got[0][0] == plain[0] and all(any(a <= i < z for a, z, _ in got) for i in plain)
-    assert html_main.main_lines(lines) == [s for s, _, _ in lines[plain[0] : 8]]
-    marked = [("menu", 4, False), ("Head", 4, True), ("short", 5, True), ("x" * 50, 50, True), ("by us", 5, False)]
-    assert html_main.main_lines(marked) == ["Head", "short", "x" * 50]
+    assert all(any(a <= i < z for a, z in got) for i in plain)
+    assert got == [(1, 10), (10, 14)]  # short lines between two runs keep them together, lines of links part them
+    line = lambda text, place=0, heading=False, size=None: html_main.Line(text, len(text) if size is None else size, place, heading)
+    text = "x" * 90 + "."
+    assert html_main.main_lines([line("menu"), line("Head", heading=True), line(text), line("short"), line("end."), line("Contact us")]) == ["Head", text, "short", "end."]
+    assert html_main.main_lines([line("menu", 0), line("Head", 2), line("short", 2), line(text, 0), line("more", 1)]) == ["Head", "short"]
+    assert html_main.main_lines([line("few"), line("words")]) == ["few", "words"]
+
+
+def built_page(r, marked):
+    """A page and the text of its article; neighbours of every length around it."""
+    words = "river stone market quiet window letter garden winter signal bridge copper morning".split()
+    sentence = lambda n: " ".join(r.choices(words, k=max(2, n // 7))).capitalize() + "."
+    blocks = [("h1", sentence(30)[:-1])]
+    for _ in range(r.randrange(2, 9)):
+        blocks.append(("p", " ".join(sentence(r.randrange(40, 120)) for _ in range(r.randrange(1, 4)))))
+        if r.random() < 0.3:
+            blocks += [("li", sentence(r.randrange(14, 40))[:-1]) for _ in range(r.randrange(2, 7))]
+        if r.random() < 0.2:
+            blocks.append(("h2", sentence(20)[:-1]))
+            blocks.append(("p", sentence(60)))
+    blocks.append(("p", sentence(r.randrange(60, 160))))
+    body = "".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+    box = lambda: "<div{}>{}</div>".format("" if marked and r.random() < 0.5 else f' class="{r.choice(["ad", "cookie-notice", "newsletter", "promo box"])}"', sentence(r.randrange(20, 400)))
+    menu = lambda: "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in r.sample(words, 5)) + "</ul>"
+    plain = "<p>News</p><p>Sport</p>" if r.random() < 0.5 else ""
+    end = "<p>All rights reserved 2024</p><p>Contact us</p>" if r.random() < 0.5 else ""
+    inner = f"<article>{body}</article>" if marked else f"<div>{body}</div>"
+    inner = f"<main>{box()}{inner}{box()}</main>" if marked and r.random() < 0.3 else inner
+    page = f"<html><head><title>t</title></head><body>{menu()}{box()}{plain}{inner}{end}{box()}{menu()}<footer>foot text. {sentence(200)}</footer></body></html>"
+    return page, " ".join(x for _, x in blocks)
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_known_articles_among_neighbours(marked):
+    r = random.Random(int(marked))
+    wrong = []
+    for _ in range(500):
+        page, want = built_page(r, marked)
+        if html_main.extract(page) != want:
+            wrong.append((html_main.extract(page), want, page))
+    assert not wrong, (len(wrong), wrong[0])
+
+
+def test_marked_articles_of_several_forms():
+    far = "An advert of some length that stands outside the article and ends with a stop. " * 2
+    page = f"<body><p>{far}</p><article><p>One.</p><article class='comment'><p>{far}</p></article></article><div>{far}</div><article><p>Two.</p></article><p>{far}</p></body>"
+    assert html_main.extract(page) == "One. Two."
+    assert html_main.extract(f"<main><p>Only main.</p></main><p>{far}</p>") == "Only main."
 
 
 # --- language model --------------------------------------------------------------------------------------------------
