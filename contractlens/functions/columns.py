@@ -30,9 +30,11 @@ def has_any(c: Column, parts: list[str]) -> Column:
 
 
 def is_safe_relative(c: Column, allow_dot: bool = False) -> Column:
-    """Not empty, not absolute, no `..` step, no drive prefix; `.` steps only if allowed."""
-    bad = ["..", ""] if allow_dot else ["..", ".", ""]
-    return (F.length(c) > 0) & ~c.rlike(r"^([/\\]|[A-Za-z]:)") & ~F.exists(F.split(F.regexp_replace(c, "/$", ""), "/"), lambda p: p.isin(bad))
+    """Not empty, not absolute, no `..` step, no drive prefix. Empty and `.` steps further on say nothing; a path that
+    begins with `.` is safe only if allowed."""
+    steps = F.split(c, "/")
+    ok = (F.length(c) > 0) & ~c.rlike(r"^([/\\]|[A-Za-z]:)") & ~F.array_contains(steps, "..")
+    return ok if allow_dot else ok & (F.get(steps, F.lit(0)) != ".")
 
 
 def path_layer(c: Column) -> Column:
@@ -95,10 +97,12 @@ def upper_camel(c: Column) -> Column:
 
 
 def lower_camel(c: Column) -> Column:
-    """Upper camel whose leading capitals, but for the one that starts the next word, are lowered."""
+    """Upper camel with the capitals before the first capital that a small letter follows lowered: all of them if there is
+    no such place and nothing else, one letter if it is the first."""
     u = upper_camel(c)
-    head = F.when(u.rlike("^[A-Z]+$"), u).when(u.rlike("^[A-Z]{2,}[a-z]"), F.regexp_extract(u, "^([A-Z]+)[A-Z]", 1)).otherwise(F.substring(u, 1, 1))
-    return F.concat(F.lower(head), F.substring(u, F.length(head) + 1, F.length(u)))
+    at = F.regexp_instr(u, F.lit("[A-Z][a-z]"))
+    n = F.when(at > 1, at - 1).when((at == 0) & u.rlike("^[A-Z]+$"), F.length(u)).otherwise(F.lit(1))
+    return F.concat(F.lower(F.left(u, n)), F.substring(u, n + 1, F.length(u)))
 
 
 def upper_snake(c: Column) -> Column:
@@ -157,7 +161,8 @@ def normalize_path(c: Column) -> Column:
 
 
 def strip_extension(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<=[^/])\.[^./]+$", "")
+    """Without what follows the last dot of the last step, if something stands before it; `..` is no name."""
+    return F.when(c.rlike(r"(^|/)\.\.$"), c).otherwise(F.regexp_replace(c, r"(?<=[^/])\.[^./]*$", ""))
 
 
 def parent(c: Column) -> Column:
@@ -165,8 +170,10 @@ def parent(c: Column) -> Column:
 
 
 def resolve_ref(file: Column, ref: Column, alias: str = "@/", root: str = "src") -> Column:
-    """A relative or alias import as a path from the root; others are null."""
-    return F.when(F.startswith(ref, F.lit(alias)), normalize_path(F.concat(F.lit(f"{root}/"), F.substring(ref, len(alias) + 1, 2**31 - 1)))).when(ref.rlike(r"^\.{1,2}/"), normalize_path(F.concat(parent(file), F.lit("/"), ref)))
+    """What an import names, as a path from the top without extension: an alias under the root, all else (bare names too)
+    beside the importing file."""
+    inside = F.concat(F.lit(f"{root}/"), F.substring(ref, len(alias) + 1, 2**31 - 1))
+    return normalize_path(strip_extension(F.when(F.startswith(ref, F.lit(alias)), inside).when(F.startswith(ref, F.lit("/")), ref).otherwise(F.concat(parent(file), F.lit("/"), ref))))
 
 
 def relative_ref(source: Column, target: Column) -> Column:

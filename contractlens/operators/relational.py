@@ -131,15 +131,18 @@ def diff_snapshots(old: DataFrame, new: DataFrame, key: str, loc: str, name: str
 
 
 def replace_symbols(old: DataFrame, new: DataFrame, inferred: DataFrame) -> DataFrame:
-    """Old (symbol), new (symbol, location), inferred (symbol, new_symbol): own name first, else the inferred one;
-    exactly one new location, else removed."""
-    at = new.groupBy("symbol").agg(F.count_distinct("location").alias("n"), F.min("location").alias("location"))
-    own = at.withColumnRenamed("symbol", "s1").withColumnRenamed("n", "n1").withColumnRenamed("location", "l1")
-    other = at.withColumnRenamed("symbol", "new_symbol").withColumnRenamed("n", "n2").withColumnRenamed("location", "l2")
-    j = old.join(own, old["symbol"] == own["s1"], "left").join(inferred, "symbol", "left").join(other, "new_symbol", "left")
-    kept = F.col("s1").isNotNull()
-    ok = F.when(kept, F.col("n1") == 1).otherwise(F.col("n2") == 1)
-    return j.select("symbol", F.when(ok, F.when(kept, F.col("symbol")).otherwise(F.col("new_symbol"))).alias("new_symbol"), F.when(ok, F.coalesce("l1", "l2")).alias("location"), F.when(F.coalesce(ok, F.lit(False)), "replaced").otherwise("removed").alias("status"))
+    """Each old (symbol, location) with the new one (symbol, location): under its own name if that is still there, else
+    under the inferred one (symbol, new_symbol). A name of exactly one new location is unchanged, moved, renamed or
+    moved-and-renamed, any other removed."""
+    at = new.groupBy("symbol").agg(F.count("*").alias("n"), F.min("location").alias("to"))
+    named = lambda s, n, to: at.withColumnsRenamed({"symbol": s, "n": n, "to": to})
+    j = old.distinct().join(named("symbol", "n1", "l1"), "symbol", "left").join(inferred.groupBy("symbol").agg(F.min("new_symbol").alias("new_symbol")), "symbol", "left").join(named("new_symbol", "n2", "l2"), "new_symbol", "left")
+    own = F.col("n1").isNotNull()
+    ok = F.coalesce(F.when(own, F.col("n1")).otherwise(F.col("n2")) == 1, F.lit(False))
+    name, to = F.when(own, F.col("symbol")).otherwise(F.col("new_symbol")), F.when(own, F.col("l1")).otherwise(F.col("l2"))
+    moved, renamed = to != F.col("location"), name != F.col("symbol")
+    status = F.when(~ok, "removed").when(moved & renamed, "moved-and-renamed").when(moved, "moved").when(renamed, "renamed").otherwise("unchanged")
+    return j.select("symbol", F.col("location").alias("old_location"), F.when(ok, name).alias("new_symbol"), F.when(ok, to).alias("new_location"), status.alias("status"))
 
 
 STOP_WORDS = ["type", "code", "status", "enum", "request", "response", "req", "resp"]  # fixed values
@@ -373,14 +376,15 @@ def dominant_pair(df: DataFrame, group: list[str], a: str, b: str, default: tupl
 
 
 def common_prefix(df: DataFrame, group: str, path: str) -> DataFrame:
-    """A5: longest common leading steps of a group's distinct paths; a single path is itself, others end in `share`."""
+    """A5: longest common leading steps of a group's distinct paths, empty steps aside; a single path is itself, others end
+    in `share`."""
     d = df.select(group, path).distinct()
-    steps = d.select(group, path, F.posexplode(F.split(path, "/")))
+    steps = d.select(group, path, F.posexplode(F.filter(F.split(path, "/"), lambda x: x != "")))
     n = d.groupBy(group).agg(F.count("*").alias("paths"), F.min(path).alias("only"))
     per = steps.groupBy(group, "pos").agg(F.count_distinct("col").alias("k"), F.count("*").alias("m"), F.min("col").alias("step")).join(n.hint("shuffle_merge"), group)
     bad = per.groupBy(group).agg(F.min(F.when((F.col("k") > 1) | (F.col("m") < F.col("paths")), F.col("pos"))).alias("stop"))
     kept = per.join(bad.hint("shuffle_merge"), group).where("stop is null or pos < stop").groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "step"))), lambda x: x["step"]), "/").alias("prefix"))
-    return n.join(kept.hint("shuffle_merge"), group, "left").select(group, F.when(F.col("paths") == 1, F.col("only")).otherwise(F.concat_ws("/", "prefix", F.lit("share"))).alias("prefix"))
+    return n.join(kept.hint("shuffle_merge"), group, "left").select(group, F.when(F.col("paths") == 1, F.col("only")).otherwise(F.concat_ws("/", F.nullif("prefix", F.lit("")), F.lit("share"))).alias("prefix"))
 
 
 def cap_with_omitted(df: DataFrame, group: list[str], order: list[Column], n: int, note: str | None = None) -> DataFrame:
@@ -487,10 +491,12 @@ def schema_usage(reach: DataFrame, operations: DataFrame) -> DataFrame:
 
 
 def release_summary(packages: DataFrame) -> DataFrame:
-    """Counts of each ecosystem, the plugins they ask for, and path -> version of each repo."""
-    g = packages.groupBy("repo").agg(F.count_if(F.col("type") == "node").alias("node"), F.count_if(F.col("type") == "rust").alias("rust"), F.map_from_entries(F.sort_array(F.collect_set(F.struct("path", "version")))).alias("versions"))
-    plugins = F.array_compact(F.array(F.when(F.col("node") > 0, "node"), F.when(F.col("rust") > 0, "rust"), F.when(F.col("node") > 1, "node-workspace"), F.when(F.col("rust") > 1, "cargo-workspace")))
-    return g.withColumn("plugins", plugins)
+    """Packages of each ecosystem (node, rust), the workspace plugins that more than one of them asks for, and path
+    -> version of each repo. A path that several packages share is an error: no versions, and the first such path."""
+    per = packages.groupBy("repo", "path").agg(F.min("version").alias("version"), F.count("*").alias("_n"), F.count_if(F.col("type") == "node").alias("node"), F.count_if(F.col("type") == "rust").alias("rust"))
+    g = per.groupBy("repo").agg(F.sum("node").alias("node"), F.sum("rust").alias("rust"), F.sort_array(F.collect_list(F.struct("path", "version"))).alias("versions"), F.min(F.when(F.col("_n") > 1, F.col("path"))).alias("_shared"))
+    plugins = F.array_compact(F.array(F.when(F.col("node") > 1, "node-workspace"), F.when(F.col("rust") > 1, "cargo-workspace")))
+    return g.select("repo", "node", "rust", F.when(F.col("_shared").isNull(), F.map_from_entries("versions")).alias("versions"), plugins.alias("plugins"), F.concat(F.lit("packages share release path "), "_shared").alias("error"))
 
 
 def first_non_empty(df: DataFrame, group: list[str], order: Column, col: str) -> DataFrame:

@@ -243,7 +243,7 @@ def a4_dominant_default(s, d):
 @query("SELECT p_brand, CASE WHEN n % 4 = 0 THEN 'a/b' WHEN n % 4 = 1 THEN 'a/b/share' WHEN n % 4 = 2 THEN 'a/share' ELSE 'share' END AS prefix FROM (SELECT DISTINCT p_brand, CAST(split_part(p_brand, '#', 2) AS INT) AS n FROM part)")
 def a5_common_prefix(s, d):
     n = F.split("p_brand", "#")[1].cast("int") % 4
-    paths = F.when(n == 0, F.array(lit("a/b"))).when(n == 1, F.array(lit("a/b"), lit("a/b/c"))).when(n == 2, F.array(lit("a/b/c"), lit("a/x/c"))).otherwise(F.array(lit("a/b"), lit("z/b")))
+    paths = F.when(n == 0, F.array(lit("a/b"))).when(n == 1, F.array(lit("a/b"), lit("a/b/c"))).when(n == 2, F.array(lit("/a/b/c"), lit("/a//x/c"))).otherwise(F.array(lit("a/b"), lit("z/b")))
     return R.common_prefix(T(s, d, "part").select("p_brand", F.explode(paths).alias("path")), "p_brand", "path")
 
 

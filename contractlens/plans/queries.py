@@ -76,9 +76,13 @@ def p2_assign_root(s, d):
     return R.assign_root(paths, roots).select("page_id", "root")
 
 
-@query("SELECT page_id, path <> '/' AND path <> '' AND NOT regexp_matches(path, '(^|/)[.][.]?(/|$)|^/.*//|//') AS safe FROM url", "url")
+STEPS = "CASE page_id % 7 WHEN 0 THEN substr(path, 2) WHEN 1 THEN concat('a/.', path) WHEN 2 THEN concat('a/', path) WHEN 3 THEN concat('.', path) WHEN 4 THEN concat('..', path) WHEN 5 THEN concat('a/..', path) ELSE path END"
+
+
+@query(f"SELECT page_id, p <> '' AND p[1] <> '/' AND NOT list_contains(string_split(p, '/'), '..') AND string_split(p, '/')[1] <> '.' AS safe, p <> '' AND p[1] <> '/' AND NOT list_contains(string_split(p, '/'), '..') AS lenient FROM (SELECT page_id, {STEPS} AS p FROM url)", "url")
 def p3_safe_relative(s, d):
-    return view(s, d, "url").select("page_id", C.is_safe_relative(F.substring("path", 2, 2**30)).alias("safe"))
+    p = view(s, d, "url").select("page_id", F.expr(STEPS).alias("p"))
+    return p.select("page_id", C.is_safe_relative(c("p")).alias("safe"), C.is_safe_relative(c("p"), True).alias("lenient"))
 
 
 @query("SELECT page_id, CASE WHEN contains(concat('/', host, path), '/en/') AND NOT contains(concat('/', host, path), '/dao/') THEN 'service' ELSE 'other' END AS layer FROM url", "url")
@@ -165,10 +169,14 @@ def j6_diff_snapshots(s, d):
     return R.diff_snapshots(view(s, d, "snap_old"), view(s, d, "snap_new"), "k", "file", "symbol")
 
 
-@query("SELECT k AS symbol, CASE WHEN k % 11 <> 0 THEN k ELSE k + 1 END AS new_symbol, CASE WHEN k % 11 <> 0 OR (k + 1) IN (SELECT k FROM snap_new) THEN 'replaced' ELSE 'removed' END AS status FROM snap_old WHERE k % 11 <> 0 OR (k + 1) IN (SELECT k FROM snap_new) UNION ALL SELECT k, NULL, 'removed' FROM snap_old WHERE k % 11 = 0 AND (k + 1) NOT IN (SELECT k FROM snap_new)", "snap_old", "snap_new")
+@query("""SELECT o.k AS symbol, o.file AS old_location, coalesce(a.k, b.k) AS new_symbol, coalesce(a.file, b.file) AS new_location, CASE WHEN a.k IS NULL AND b.k IS NULL THEN 'removed'
+WHEN a.k IS NOT NULL THEN CASE WHEN a.file <> o.file THEN 'moved' ELSE 'unchanged' END WHEN b.file <> o.file THEN 'moved-and-renamed' ELSE 'renamed' END AS status
+FROM snap_old o LEFT JOIN (SELECT k, min(file) AS file FROM names GROUP BY 1 HAVING COUNT(*) = 1) a ON a.k = o.k LEFT JOIN (SELECT k, min(file) AS file FROM names GROUP BY 1 HAVING COUNT(*) = 1) b ON b.k = o.k + 1 AND o.k NOT IN (SELECT k FROM names)""".replace("FROM names", "FROM (SELECT k, file FROM snap_new UNION ALL SELECT k, 'twice' FROM snap_new WHERE k % 13 = 0)"), "snap_old", "snap_new")
 def j7_replace_symbols(s, d):
-    old = view(s, d, "snap_old").select(c("k").alias("symbol"))
-    return R.replace_symbols(old, view(s, d, "snap_new").select(c("k").alias("symbol"), c("file").alias("location")), old.select("symbol", (c("symbol") + 1).alias("new_symbol"))).select("symbol", "new_symbol", "status")
+    at = lambda n: view(s, d, n).select(c("k").alias("symbol"), c("file").alias("location"))
+    old, new = at("snap_old"), at("snap_new")
+    new = new.union(new.where("symbol % 13 = 0").select("symbol", lit("twice")))
+    return R.replace_symbols(old, new, old.select("symbol", (c("symbol") + 1).alias("new_symbol")))
 
 
 WORDS = "list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace({}, '([A-Z])', ' \\1', 'g'), '[^A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 1 AND w NOT IN ('type','code','status','enum','request','response','req','resp')))"
@@ -292,10 +300,12 @@ def a12_schema_usage(s, d):
     return used.join(T(s, d, "part").select(c("p_partkey").alias("node")), "node", "left_semi").select("node", F.array_join("dirs", ",").alias("dirs"))
 
 
-@query("SELECT p_brand AS repo, SUM(CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 0 ELSE 1 END)::bigint AS node, SUM(CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 1 ELSE 0 END)::bigint AS rust FROM part GROUP BY 1")
+@query("""SELECT p_brand AS repo, COUNT(*) FILTER (type = 'node') AS node, COUNT(*) FILTER (type = 'rust') AS rust, concat_ws(',', CASE WHEN COUNT(*) FILTER (type = 'node') > 1 THEN 'node-workspace' END, CASE WHEN COUNT(*) FILTER (type = 'rust') > 1 THEN 'cargo-workspace' END) AS plugins,
+CASE WHEN COUNT(*) = COUNT(DISTINCT path) THEN COUNT(*) END AS paths, min('packages share release path ' || shared) AS error FROM (SELECT *, CASE WHEN COUNT(*) OVER (PARTITION BY p_brand, path) > 1 THEN path END AS shared
+FROM (SELECT p_brand, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'rust' ELSE 'node' END AS type, concat('p', CASE WHEN p_brand LIKE '%1' THEN p_size ELSE p_partkey END) AS path FROM part)) GROUP BY 1""")
 def a13_release_summary(s, d):
-    p = T(s, d, "part").select(c("p_brand").alias("repo"), F.when(c("p_type").isin("ECONOMY", "PROMO"), "rust").otherwise("node").alias("type"), F.concat(lit("p"), "p_partkey").alias("path"), lit("1.0.0").alias("version"))
-    return R.release_summary(p).select("repo", "node", "rust")
+    p = T(s, d, "part").select(c("p_brand").alias("repo"), F.when(c("p_type").isin("ECONOMY", "PROMO"), "rust").otherwise("node").alias("type"), F.concat(lit("p"), F.when(c("p_brand").like("%1"), c("p_size")).otherwise(c("p_partkey"))).alias("path"), lit("1.0.0").alias("version"))
+    return R.release_summary(p).select("repo", "node", "rust", F.array_join("plugins", ",").alias("plugins"), F.when(c("versions").isNotNull(), F.size("versions")).cast("long").alias("paths"), "error")
 
 
 @query("SELECT conv_id, arg_min(trim(text), turn) AS text FROM (SELECT DISTINCT conv_id, turn, text FROM conversations) WHERE trim(text) <> '' GROUP BY 1")
@@ -400,6 +410,14 @@ def f4_case(s, d):
     return T(s, d, "part").select("p_partkey", C.upper_camel(c("p_name")).alias("upper_camel"), C.upper_snake(c("p_name")).alias("upper_snake"))
 
 
+CAMEL = "CASE p_partkey % 5 WHEN 0 THEN concat('AB', p_partkey, 'Cd') WHEN 1 THEN concat('HTTPServer', p_partkey) WHEN 2 THEN 'ORDER' WHEN 3 THEN concat('X', p_size) ELSE concat('OrderID', p_size) END"
+
+
+@query(f"SELECT p_partkey, concat(lower(u[1:n]), u[n + 1:]) AS name FROM (SELECT p_partkey, u, CASE WHEN regexp_matches(u, '[A-Z][a-z]') THEN greatest(length(regexp_extract(u, '^(.*?)[A-Z][a-z]', 1)), 1) WHEN regexp_full_match(u, '[A-Z]+') THEN length(u) ELSE 1 END AS n FROM (SELECT p_partkey, {CAMEL} AS u FROM part))")
+def f4_lower_camel(s, d):
+    return T(s, d, "part").select("p_partkey", C.lower_camel(F.expr(CAMEL)).alias("name"))
+
+
 @query("SELECT p_partkey, concat(upper(replace(p_name, ' ', '_')), '_NEGATIVE_', p_size) AS k FROM part")
 def f5_fallback_key(s, d):
     return T(s, d, "part").select("p_partkey", C.fallback_key(c("p_name"), F.concat(lit("-"), "p_size")).alias("k"))
@@ -437,6 +455,13 @@ def f12_normalize_path(s, d):
     return u.select("page_id", C.normalize_path(F.concat(lit("./a/b/.."), "path")).alias("path"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN concat('src/api/', p_size) WHEN 1 THEN concat('web/lib/', p_size) WHEN 2 THEN concat('web/app/', p_size) WHEN 3 THEN concat('web/app/lodash', p_size, '.min') ELSE 'web' END AS path FROM part""")
+def f12_resolve_ref(s, d):
+    n = c("p_size").cast("string")
+    ref = F.when(c("p_partkey") % 5 == 0, F.concat(lit("@/api/"), n, lit(".ts"))).when(c("p_partkey") % 5 == 1, F.concat(lit("../lib/"), n, lit(".d"))).when(c("p_partkey") % 5 == 2, F.concat(lit("./x/../"), n)).when(c("p_partkey") % 5 == 3, F.concat(lit("lodash"), n, lit(".min.js"))).otherwise(lit(".."))
+    return T(s, d, "part").select("p_partkey", C.resolve_ref(lit("web/app/main.ts"), ref).alias("path"))
+
+
 @query("SELECT p_partkey, concat('src/', p_type, '.ts,lib/', p_partkey, '.ts') AS files FROM part")
 def f14_patch_files(s, d):
     t = F.concat(lit("*** Begin Patch\n*** Update File: src/"), "p_type", lit(".ts\n+x\n*** Move to: lib/"), c("p_partkey").cast("string"), lit(".ts\n*** End"))

@@ -47,7 +47,7 @@ def one(spark, expr):
 def test_functions(spark):
     lit = F.lit
     assert one(spark, C.upper_camel(lit("HTTPServer order-name2X"))) == "HTTPServerOrderName2X"
-    assert [one(spark, C.lower_camel(lit(x))) for x in ("HTTPServer", "ID", "OrderName")] == ["httpServer", "id", "orderName"]
+    assert [one(spark, C.lower_camel(lit(x))) for x in ("HTTPServer", "ID", "OrderName", "AB1Cd", "AB1", "x")] == ["httpServer", "id", "orderName", "ab1Cd", "aB1", "x"]
     assert one(spark, C.fallback_key(lit("orderStatus"), lit("-1"))) == "ORDER_STATUS_NEGATIVE_1"
     assert one(spark, C.redact(lit("see  https://u:p@h/a?x=1#y now"))) == "see https://***@h/a now"
     assert one(spark, C.normalize_path(lit("a/./b/../c"))) == "a/c"
