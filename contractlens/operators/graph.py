@@ -459,11 +459,21 @@ def type_tokens(df: DataFrame, key: str, sig: Column, wrappers: list[str] | None
 
 
 def split_top_level(c: Column) -> Column:
-    """Parts of a text between commas outside brackets."""
-    depth = lambda i: F.length(F.regexp_replace(F.substring(c, F.lit(1), i), r"[^<(\[]", "")) - F.length(F.regexp_replace(F.substring(c, F.lit(1), i), r"[^>)\]]", ""))
-    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: (F.substring(c, i, F.lit(1)) == ",") & (depth(i) <= 0))
-    bounds = F.concat(F.array(F.lit(0)), cuts, F.array(F.length(c) + 1))
-    return F.transform(F.slice(bounds, 1, F.size(bounds) - 1), lambda x, i: F.trim(F.substring(c, x + 1, F.get(bounds, i + 1) - x - 1)))
+    """Parts of a text between commas outside brackets: one pass over its brackets, commas and what lies between, that
+    carries the depth, the place and the commas at depth 0."""
+    tokens = F.regexp_extract_all(c, F.lit(r"[<(\[]|[>)\]]|,|[^<>()\[\],]+"), F.lit(0))
+    state = lambda depth, at, cuts: F.struct(depth.alias("depth"), at.alias("at"), cuts.alias("cuts"))
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = acc["depth"] + F.when(t.isin("<", "(", "["), 1).when(t.isin(">", ")", "]"), -1).otherwise(0)
+        cuts = F.when((t == ",") & (acc["depth"] <= 0), F.array_append(acc["cuts"], acc["at"])).otherwise(acc["cuts"])
+        return state(depth, acc["at"] + F.length(t), cuts)
+
+    def parts(acc: Column) -> Column:
+        bounds = F.concat(F.array(F.lit(-1)), acc["cuts"], F.array(F.length(c)))
+        return F.transform(F.slice(bounds, 1, F.size(bounds) - 1), lambda x, i: F.trim(F.substring(c, x + 2, F.get(bounds, i + 1) - x - 1)))
+
+    return F.aggregate(tokens, state(F.lit(0), F.lit(0), F.array().cast("array<int>")), step, parts)
 
 
 def split_top_level_size(c: Column) -> Column:

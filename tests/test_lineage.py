@@ -140,3 +140,14 @@ def test_verdicts_and_their_evidence(spark):
     assert show("open") == ("unresolved", None, None, ["u0", "u1", "u2", "u3"], "field domain unresolved: u0, u1, u2, u3")
     assert show("lit") == ("unresolved", None, None, [], "field domain unresolved")
     assert show("changed")[0] == "known"
+
+
+def test_long_signatures_are_split_in_one_pass(spark):
+    part = "Map<String, List<a.B<C, int[]>>> p"
+    text = "void f(" + ", ".join(f"{part}{i}" for i in range(600)) + ")"
+    assert len(text) > 20_000
+    got = spark.createDataFrame([(text,), ("void g()",), ("x h(int a, B<C, D> b)",)], "s string").select(G.parameter_types(F.col("s")).alias("p")).collect()
+    assert got[0]["p"] == ["Map<String, List<a.B<C, int[]>>>"] * 600 and got[1]["p"] == [] and got[2]["p"] == ["int", "B<C, D>"]
+    odd = ["", "a", "a,b", "(a,b),c", "a>b,c", ",", "é<ü,ö>, ß"]
+    want = [[""], ["a"], ["a", "b"], ["(a,b)", "c"], ["a>b", "c"], ["", ""], ["é<ü,ö>", "ß"]]
+    assert [r["p"] for r in spark.createDataFrame([(x,) for x in odd], "s string").select(G.split_top_level(F.col("s")).alias("p")).collect()] == want
