@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contractlens.sources.scratch import materialize
 
@@ -255,39 +258,60 @@ def map_members(old: DataFrame, new: DataFrame, inferred: DataFrame) -> DataFram
     return dedupe(j, ["target", "wire"], [F.col("prio"), F.col("new_target"), F.col("new_member")]).drop("prio")
 
 
-def impact_scan(lines: DataFrame, roots: DataFrame, direct: str = r"nvm use|nvm exec|nvm\.sh|fnm env|fnm use|fnm exec", dynamic: str = r"NVM_DIR|\.nvm|FNM_DIR|\.fnm|fnm_multishells|FNM_MULTISHELL_PATH|PNPM_HOME", home: str = "/home/user") -> DataFrame:
+# What calls a tool directly, what only may lead to it, and what makes a line worth a look at all.
+DIRECT = {"nvm": ["nvm use", "nvm exec", "nvm.sh"], "fnm": ["fnm env", "fnm use", "fnm exec"]}
+DYNAMIC = {"nvm": ["NVM_DIR", ".nvm"], "fnm": ["FNM_DIR", ".fnm", "fnm_multishells", "FNM_MULTISHELL_PATH"], "pnpm": ["PNPM_HOME"]}
+MARKERS = [".nvm", ".fnm", "fnm_multishells", "FNM_MULTISHELL_PATH", "nvm use", "nvm exec", "fnm env", "fnm use", "fnm exec"]
+TOOL_PATHS = ["/node", "/npm", "/npx", "/pnpm", "/pnpx"]
+ROOTS = 200_000  # roots of one automaton, about
+
+
+def impact_scan(lines: DataFrame, roots: DataFrame, tools: tuple[str, ...] = ("nvm", "fnm", "pnpm"), candidates: bool = False, home: str = "/home/user") -> DataFrame:
     """Lines (doc_id, pos, line) and roots (ordinal, root): the first root that a line names makes it affected,
-    then direct commands; dynamic variables leave it uncertain. Comments and the rest are unaffected.
+    then direct commands of the tools; their dynamic variables leave it uncertain. Comments and the rest are unaffected.
+    With `candidates` only lines that may speak of a tool are judged, the others are left out.
 
-    FEW roots are looked for in each line in their order, without a join. More are looked up by their first GRAM
-    characters: each line's distinct stretches of that length (of a shorter root's own length) meet the roots that begin
-    with one in an equi join, and only such pairs are compared."""
+    Any number of roots is looked for in one scan of each line, by an automaton that each task builds of the roots it
+    was sent. Beyond ROOTS there is more than one automaton, and a pass for each; lines are never shuffled."""
     t = F.trim("line")
+    has = lambda parts: F.coalesce(*[F.when(F.contains(t, F.lit(p)), True) for p in parts], F.lit(False)) if parts else F.lit(False)
+    pick = lambda table: [p for tool in tools for p in table.get(tool, [])]
+    if candidates:
+        lines = lines.where(has(MARKERS) | has(TOOL_PATHS))
     full = F.replace(F.replace(F.replace(t, F.lit("${HOME}"), F.lit(home)), F.lit("$HOME"), F.lit(home)), F.lit("~"), F.lit(home))
-    df, roots = lines.withColumn("_t", full), roots.where("root <> ''")
-    few = [x["root"] for x in roots.orderBy("ordinal", "root").limit(FEW + 1).collect()]
-    if len(few) <= FEW:
-        first = F.get(F.filter(F.array(*map(F.lit, few)), lambda x: F.contains(F.col("_t"), x)), F.lit(0)) if few else F.lit(None)
-        df = df.withColumn("root", F.when(~F.startswith(t, F.lit("#")), first).cast("string"))
-    else:
-        live = df.where(~F.startswith(t, F.lit("#"))).select("doc_id", "pos", "_t")
-        r = roots.select("ordinal", "root", F.substring("root", 1, GRAM).alias("gram"))
-        sizes = [x["n"] for x in r.select(F.length("gram").alias("n")).distinct().collect()]  # GRAM at most
-        grams = F.flatten(F.array(*[stretches(F.col("_t"), n) for n in sizes]))
-        met = live.select("doc_id", "pos", "_t", F.explode(grams).alias("gram")).join(r.hint("shuffle_hash"), "gram").where(F.contains(F.col("_t"), F.col("root")))
-        hits = met.groupBy("doc_id", "pos").agg(F.min_by("root", F.struct("ordinal", "root")).alias("root"))
-        df = df.join(hits.hint("shuffle_merge"), ["doc_id", "pos"], "left")
-    impact = F.when(F.startswith(t, F.lit("#")), "unaffected").when(F.col("root").isNotNull() | t.rlike(direct), "affected").when(t.rlike(dynamic), "uncertain").otherwise("unaffected")
-    return df.select("doc_id", "pos", impact.alias("impact"), "root", F.substring("line", 1, 240).alias("excerpt"))
-
-
-FEW, GRAM = 200, 6
-
-
-def stretches(c: Column, n: int) -> Column:
-    """The distinct stretches of n characters of a text."""
-    at = F.sequence(F.lit(1), F.length(c) - (n - 1))
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    note = F.startswith(t, F.lit("#"))
+    df = lines.select("doc_id", "pos", F.when(note, None).otherwise(full).alias("_t"), note.alias("_note"), has(pick(DIRECT)).alias("_direct"), has(pick(DYNAMIC)).alias("_dynamic"), F.left(t, F.lit(240)).alias("excerpt"))
+    df = first_roots(df, "_t", roots)
+    impact = F.when(F.col("_note"), "unaffected").when(F.col("root").isNotNull() | F.col("_direct"), "affected").when(F.col("_dynamic"), "uncertain").otherwise("unaffected")
+    return df.select("doc_id", "pos", impact.alias("impact"), "root", "excerpt")
+
+
+def first_roots(df: DataFrame, text: str, roots: DataFrame) -> DataFrame:
+    """df with `root`: of the roots (ordinal, root) that a text contains, the first by ordinal, then by name."""
+    known = roots.where("root is not null and root <> ''").groupBy("root").agg(F.min("ordinal").cast("long").alias("ordinal"))
+    groups = max(1, -(-known.count() // ROOTS))
+    best, spark = F.lit(None).cast("struct<ordinal:bigint,root:string>"), df.sparkSession
+    for g in range(groups):
+        mine = known.where(F.pmod(F.xxhash64("root"), F.lit(groups)) == g).toPandas()
+        sent = spark.sparkContext.broadcast((mine["root"].tolist(), mine["ordinal"].tolist()))
+        df = df.mapInArrow(partial(_scan, text=text, name=f"_root{g}", sent=sent), T.StructType([*df.schema, *T.StructType.fromDDL(f"_root{g} struct<ordinal:bigint,root:string>")]))
+        best = F.least(best, F.col(f"_root{g}"))
+    return df.withColumn("root", best["root"]).drop(*[f"_root{g}" for g in range(groups)])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], text: str, name: str, sent) -> Iterator[pa.RecordBatch]:
+    import ahocorasick
+
+    words, ordinals = sent.value
+    found = ahocorasick.Automaton()
+    for at in zip(ordinals, words, strict=True):
+        found.add_word(at[1], at)
+    if words:
+        found.make_automaton()
+    for b in batches:
+        first = [min((at for _, at in found.iter(t)), default=None) if t and words else None for t in b[text].to_pylist()]
+        rows = [None if at is None else {"ordinal": at[0], "root": at[1]} for at in first]
+        yield b.append_column(name, pa.array(rows, pa.struct([("ordinal", pa.int64()), ("root", pa.string())])))
 
 
 def plan_rewrites(imports: DataFrame, replacements: DataFrame) -> DataFrame:
@@ -755,10 +779,26 @@ def accept_gate(snapshot: DataFrame) -> DataFrame:
     return snapshot.select("snapshot", F.array_join(why, ",").alias("reasons"), (F.size(why) == 0).alias("accepted"))
 
 
-def revalidate(previewed: DataFrame, fresh: DataFrame) -> DataFrame:
-    """C4: rows that only one of the two plans has."""
-    a, b = previewed.exceptAll(fresh), fresh.exceptAll(previewed)
-    return a.withColumn("only_in", F.lit("previewed")).union(b.withColumn("only_in", F.lit("fresh")))
+BUCKETS = 65_536
+
+
+def bucket_sums(df: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, rows, sum) of a table's rows, dealt by a hash of the whole row; equal tables have equal sums."""
+    h = F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns])  # nulls alone leave no trace in the hash
+    return df.select(h.alias("h")).groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(20,0)")).alias("sum"))
+
+
+def revalidate(previewed: DataFrame, fresh: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """C4: rows that only one of the two plans has, as often as it has them more.
+
+    Both are first compared by the sums of their buckets, which tasks add up before anything is sent. Only rows of
+    buckets that differ (at most `buckets` numbers, so they are broadcast) are compared themselves: of two tables of any
+    size that differ in one row, the rows of two buckets."""
+    sums = bucket_sums(previewed, buckets).withColumnsRenamed({"rows": "r", "sum": "s"}).join(bucket_sums(fresh, buckets).hint("shuffle_merge"), "bucket", "full")
+    differ = F.broadcast(materialize(sums.where(~(F.col("rows").eqNullSafe(F.col("r")) & F.col("sum").eqNullSafe(F.col("s")))).select("bucket"), "differing"))
+    part = lambda df: df.withColumn("_b", F.pmod(F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns]), F.lit(buckets))).join(differ.withColumnRenamed("bucket", "_b"), "_b", "left_semi").select(*df.columns)
+    one, two = part(previewed), part(fresh)
+    return one.exceptAll(two).withColumn("only_in", F.lit("previewed")).union(two.exceptAll(one).withColumn("only_in", F.lit("fresh")))
 
 
 def diagnostics(**parts: DataFrame) -> DataFrame:

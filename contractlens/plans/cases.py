@@ -221,6 +221,19 @@ def j15_impact_many_roots(s, d):
     return R.impact_scan(lines, roots).select("doc_id", "root")
 
 
+@query("""SELECT impact, coalesce(root, '') AS root, COUNT(*) AS n FROM (SELECT CASE WHEN note THEN 'unaffected' WHEN root IS NOT NULL OR contains(line, 'fnm use') THEN 'affected' WHEN contains(line, '.fnm') THEN 'uncertain' ELSE 'unaffected' END AS impact, root
+FROM (SELECT line, starts_with(trim(line), '#') AS note, CASE WHEN NOT starts_with(trim(line), '#') THEN (SELECT min_by(r, [o, k]) FROM (SELECT concat('/home/user/c', p_partkey) AS r, -p_size AS o, p_partkey AS k FROM part) WHERE contains(line, r)) END AS root
+FROM (SELECT concat(CASE o_orderkey % 7 WHEN 0 THEN '# ' ELSE '' END, 'run /home/user/c', o_custkey, CASE o_orderkey % 5 WHEN 0 THEN '/npm' WHEN 1 THEN ' fnm use' WHEN 2 THEN ' nvm use' WHEN 3 THEN ' .fnm' ELSE '' END) AS line FROM orders)
+WHERE contains(line, '/npm') OR contains(line, '.fnm') OR contains(line, 'fnm use') OR contains(line, 'nvm use'))) GROUP BY ALL""".replace("min_by(r, [o, k])", "min_by(r, struct_pack(o := o, r := r))"))
+def j15_impact_candidates(s, d):
+    """One root for each part, first by size: as many automaton words as parts, over a line for each order."""
+    o = c("o_orderkey")
+    end = F.when(o % 5 == 0, "/npm").when(o % 5 == 1, " fnm use").when(o % 5 == 2, " nvm use").when(o % 5 == 3, " .fnm").otherwise("")
+    lines = T(s, d, "orders").select(o.alias("doc_id"), lit(0).alias("pos"), F.concat(F.when(o % 7 == 0, "# ").otherwise(""), lit("run ~/c"), "o_custkey", end).alias("line"))
+    roots = T(s, d, "part").select((-c("p_size")).alias("ordinal"), F.concat(lit("/home/user/c"), "p_partkey").alias("root"))
+    return R.impact_scan(lines, roots, ("fnm",), True).groupBy("impact", F.coalesce("root", lit("")).alias("root")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT target, CASE WHEN clean AND n = 1 THEN 'closed' WHEN f IS NOT NULL THEN 'known' WHEN ext THEN 'external' ELSE 'unresolved' END AS status, f.e AS enum_fqn, CASE WHEN clean AND n = 1 THEN f.v END AS vals, coalesce(u, '') AS unknowns, coalesce(ev, '') AS evidence,
 CASE WHEN clean AND n = 1 THEN NULL WHEN f IS NOT NULL THEN 'enum evidence does not prove a complete field domain' WHEN ext THEN 'field value stops at an external boundary' ELSE concat('field domain unresolved', coalesce(': ' || replace(u, '|', ', '), '')) END AS warning
 FROM (SELECT target, first(struct_pack(e := e, v := v) ORDER BY p) FILTER (e IS NOT NULL) AS f, bool_and(e IS NOT NULL AND whole AND unk IS NULL AND e2 IS NULL AND NOT changed) AS clean, bool_and(e2 IS NOT NULL AND unk IS NULL AND NOT changed) AS ext, count(DISTINCT e) AS n FROM sites GROUP BY 1)

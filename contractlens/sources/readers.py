@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 NODES = T.StructType([*[T.StructField(n, T.StringType()) for n in ("id", "kind", "name", "qualified_name", "file_path", "language", "docstring", "signature", "decorators", "return_type")], T.StructField("start_line", T.IntegerType()), T.StructField("start_column", T.IntegerType())])
 EDGES = T.StructType([*[T.StructField(n, T.StringType()) for n in ("source", "target", "kind", "metadata", "provenance")], T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType())])
@@ -66,15 +70,50 @@ def parse_events(lines: DataFrame) -> DataFrame:
 
 
 def publish_snapshot(df: DataFrame, base: str, snapshot: str, gates: list[Column]) -> bool:
-    """Data first, its manifest row last and only if every gate holds for all rows; readers see promoted snapshots."""
-    df.write.mode("overwrite").parquet(f"{base}/data/snapshot={snapshot}")
-    row = df.agg(F.count("*").alias("rows"), *[F.coalesce(F.bool_and(g), F.lit(True)).alias(f"g{i}") for i, g in enumerate(gates)]).first()
+    """Data first, its manifest row last and only if every gate holds for all rows; readers see promoted snapshots.
+
+    Rows and gates are counted by the very pass that writes, so they speak of what was written, and df is computed once.
+    Each attempt writes to a folder of its own, and the manifest names it: a snapshot that is published again is the
+    former one until its new manifest row is there, and what a broken attempt left is never read."""
+    attempt, seen = uuid.uuid4().hex, Observation()
+    held = [F.coalesce(F.bool_and(g), F.lit(True)).alias(f"g{i}") for i, g in enumerate(gates)]
+    df.observe(seen, F.count("*").alias("rows"), *held).write.parquet(f"{base}/data/snapshot={snapshot}/attempt={attempt}")
+    row = seen.get
     ok = all(row[f"g{i}"] for i in range(len(gates)))
     if ok:
-        df.sparkSession.createDataFrame([(snapshot, row["rows"])], "snapshot string, rows long").write.mode("append").parquet(f"{base}/manifest")
+        _promote(df.sparkSession, base, snapshot, attempt, row["rows"])
     return ok
 
 
+MANIFEST = "snapshot string, attempt string, rows long, at timestamp"
+
+
+def _promote(spark: SparkSession, base: str, snapshot: str, attempt: str, rows: int) -> None:
+    row = spark.range(1).select(F.lit(snapshot).alias("snapshot"), F.lit(attempt).alias("attempt"), F.lit(rows).cast("long").alias("rows"), F.current_timestamp().alias("at"))
+    row.coalesce(1).write.mode("append").parquet(f"{base}/manifest")
+
+
+def _promoted(spark: SparkSession, base: str) -> DataFrame:
+    """The last attempt of each snapshot."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{base}/manifest")
+    except AnalysisException:  # nothing promoted so far
+        rows = spark.createDataFrame([], MANIFEST)
+    return rows.groupBy("snapshot").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt"))
+
+
 def read_published(spark: SparkSession, base: str, schema: T.StructType) -> DataFrame:
-    data = spark.read.schema(T.StructType([*schema.fields, T.StructField("snapshot", T.StringType())])).parquet(f"{base}/data")
-    return data.join(spark.read.schema("snapshot string, rows long").parquet(f"{base}/manifest").select("snapshot").distinct(), "snapshot", "left_semi")
+    data = spark.read.schema(T.StructType([*schema.fields, T.StructField("snapshot", T.StringType()), T.StructField("attempt", T.StringType())])).parquet(f"{base}/data")
+    return data.join(_promoted(spark, base), ["snapshot", "attempt"], "left_semi").drop("attempt")
+
+
+def publish_stream(stream: DataFrame, base: str, checkpoint: str, gates: list[Column], prefix: str = "batch") -> StreamingQuery:
+    """S8 and T5 over a stream: each micro-batch is a snapshot named by its number, so a batch that is replayed after a
+    failure is written again only if it was not promoted, and promoted once at most. Ends when what is there was read."""
+
+    def publish(df: DataFrame, batch: int) -> None:
+        name = f"{prefix}-{batch}"
+        if _promoted(df.sparkSession, base).where(F.col("snapshot") == name).isEmpty():
+            publish_snapshot(df, base, name, gates)
+
+    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,10 +3,12 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from contractlens.operators import graph as G
 from contractlens.operators import relational as R
+from contractlens.sources import readers as S
 
 
 def closure(edges):
@@ -151,3 +153,58 @@ def test_long_signatures_are_split_in_one_pass(spark):
     odd = ["", "a", "a,b", "(a,b),c", "a>b,c", ",", "é<ü,ö>, ß"]
     want = [[""], ["a"], ["a", "b"], ["(a,b)", "c"], ["a>b", "c"], ["", ""], ["é<ü,ö>", "ß"]]
     assert [r["p"] for r in spark.createDataFrame([(x,) for x in odd], "s string").select(G.split_top_level(F.col("s")).alias("p")).collect()] == want
+
+
+def test_roots_of_any_number_give_the_same_answer(spark, monkeypatch):
+    r = random.Random(4)
+    lines = [(i, 0, " ".join(f"/r{r.randrange(400)}/x" for _ in range(3))) for i in range(200)] + [(900, 0, "# /r1/x"), (901, 0, None), (902, 0, "")]
+    roots = [(r.randrange(50), f"/r{i}") for i in range(400)] + [(0, ""), (1, None), (3, "/r1"), (2, "/r1")]
+    want = {}
+    for doc, _, line in lines:
+        hit = [(o, x) for o, x in roots if x and line and not line.startswith("#") and x in line]
+        want[doc] = min(hit)[1] if hit else None
+    scan = lambda n: {x["doc_id"]: x["root"] for x in R.impact_scan(spark.createDataFrame(lines, "doc_id int, pos int, line string"), spark.createDataFrame(n, "ordinal int, root string")).collect()}
+    assert scan(roots) == want
+    monkeypatch.setattr(R, "ROOTS", 90)  # several automata
+    assert scan(roots) == want
+    assert set(scan([]).values()) == {None}
+
+
+def test_tables_are_compared_by_buckets(spark):
+    a = spark.range(3000).selectExpr("id", "if(id % 10 = 0, null, concat('x', id)) AS v", "if(id % 7 = 0, null, 'x') AS w")
+    b = a.where("id <> 5").union(spark.sql("SELECT 7L, 'changed', 'x'")).union(a.where("id = 9"))
+    want = lambda x, y: Counter([(*r, "previewed") for r in x.exceptAll(y).collect()] + [(*r, "fresh") for r in y.exceptAll(x).collect()])
+    assert Counter(map(tuple, R.revalidate(a, b).collect())) == want(a, b)
+    assert R.revalidate(a, a.orderBy(F.desc("id"))).count() == 0
+    swapped = a.selectExpr("id", "w AS v", "v AS w")
+    assert Counter(map(tuple, R.revalidate(a, swapped, 8).collect())) == want(a, swapped)
+
+
+def test_publishing_survives_a_break_between_data_and_manifest(spark, tmp_path, monkeypatch):
+    base, source = str(tmp_path / "out"), tmp_path / "in"
+    source.mkdir()
+    for i in range(3):
+        (source / f"{i}.json").write_text("\n".join(f'{{"id": {10 * i + k}}}' for k in range(4)))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).json(str(source))
+    real, calls = S._promote, []
+
+    def broken(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("killed between data and manifest")
+        real(*args)
+
+    monkeypatch.setattr(S, "_promote", broken)
+    with pytest.raises(Exception):
+        S.publish_stream(stream, base, str(tmp_path / "checkpoint"), [F.col("id") >= 0]).awaitTermination(120)
+    assert S.read_published(spark, base, stream.schema).count() == 4
+    S.publish_stream(stream, base, str(tmp_path / "checkpoint"), [F.col("id") >= 0]).awaitTermination(120)
+    got = [r["id"] for r in S.read_published(spark, base, stream.schema).collect()]
+    assert sorted(got) == [10 * i + k for i in range(3) for k in range(4)]
+    # A replay of the whole source changes nothing: the batches are promoted already.
+    S.publish_stream(stream, base, str(tmp_path / "other"), [F.col("id") >= 0]).awaitTermination(120)
+    assert S.read_published(spark, base, stream.schema).count() == 12
+    # Published again, a snapshot is replaced; refused by a gate, it stays as it was.
+    rows = spark.range(5).toDF("id")
+    assert S.publish_snapshot(rows, base, "batch-0", [F.col("id") >= 0]) and not S.publish_snapshot(rows, base, "batch-0", [F.col("id") > 2])
+    assert S.read_published(spark, base, stream.schema).where("snapshot = 'batch-0'").count() == 5
