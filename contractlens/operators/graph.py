@@ -367,7 +367,7 @@ def enum_domains(constants: DataFrame, accessors: DataFrame) -> DataFrame:
 def link_enums(fields: DataFrame, domains: DataFrame) -> DataFrame:
     """(field, enums array, accessors array) with the first enum's first accessor whose domain is complete."""
     a = fields.select("field", F.get("enums", F.lit(0)).alias("enum"), F.posexplode("accessors").alias("pos", "accessor"))
-    hit = a.join(domains.where("complete and values <> ''"), ["enum", "accessor"])
+    hit = a.join(domains.where("complete and values <> ''").hint("shuffle_merge"), ["enum", "accessor"])
     return hit.groupBy("field").agg(F.min_by(F.struct("enum", "accessor", "values"), "pos").alias("x")).select("field", "x.*")
 
 
@@ -414,7 +414,7 @@ def shortest_unique_names(seeds: DataFrame, reserved: DataFrame) -> DataFrame:
         used = taken.withColumn("k", F.explode(F.when(digits > 0, F.sequence(F.lit(1), digits)).otherwise(F.array().cast("array<int>"))))
         used = used.select(F.expr("left(name, length(name) - k)").alias("full"), F.expr("right(name, k)").alias("text")).where("text not like '0%' and length(text) < 19").select("full", F.col("text").cast("long").alias("number")).distinct()
         used = materialize(used.join(want.select("full"), "full", "left_semi"), "used-numbers")
-        free = want.join(used.groupBy("full").agg(F.count("*").alias("u")), "full", "left").select("full", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + F.coalesce("u", F.lit(0)))).alias("number"))
+        free = want.join(used.groupBy("full").agg(F.count("*").alias("u")).hint("shuffle_merge"), "full", "left").select("full", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + F.coalesce("u", F.lit(0)))).alias("number"))
         free = free.join(used.hint("shuffle_merge"), ["full", "number"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("full").orderBy("number")))
         ranked = left.withColumn("r", F.row_number().over(Window.partitionBy("full").orderBy("id")))
         named = ranked.join(free.hint("shuffle_merge"), ["full", "r"]).select("id", "full", F.concat("full", F.col("number").cast("string")).alias("name"))
@@ -436,7 +436,7 @@ def operation_aliases(reach: DataFrame, patches: DataFrame, names: DataFrame) ->
 def root_schema(tokens: DataFrame, types: DataFrame, wrappers: list[str]) -> DataFrame:
     """(owner, depth, pos, name) tokens: the outermost resolvable class that is no wrapper or enum; last argument
     first."""
-    hit = tokens.where(~F.col("name").isin(wrappers)).join(types.where("kind <> 'enum'").select(F.col("simple").alias("name"), "id"), "name")
+    hit = tokens.where(~F.col("name").isin(wrappers)).join(types.where("kind <> 'enum'").select(F.col("simple").alias("name"), "id").hint("shuffle_merge"), "name")
     return hit.groupBy("owner").agg(F.min_by("id", F.struct("depth", -F.col("pos"))).alias("schema"))
 
 

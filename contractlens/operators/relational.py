@@ -87,7 +87,7 @@ def resolve_names(refs: DataFrame, types: DataFrame, imports: DataFrame) -> Data
     only = types.groupBy("simple").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     hits = hits.union(refs.join(only, refs["name"] == only["simple"]).select("ref_id", "id", F.lit(5), F.lit(0)))
     best = hits.groupBy("ref_id").agg(F.min_by("id", F.struct("tier", "pos", "id")).alias("type_id"))
-    return refs.join(best, "ref_id", "left")
+    return refs.join(best.hint("shuffle_merge"), "ref_id", "left")
 
 
 def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
@@ -566,7 +566,7 @@ def assign_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """Longest root that a path is under, step by step; null if none. One equi join on the path's own prefixes."""
     hits = paths.select("path").distinct().select("path", F.explode(prefixes_of(F.col("path"))).alias("root")).join(roots.select("root").distinct().hint("shuffle_hash"), "root")
     best = hits.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
-    return paths.join(best, "path", "left")
+    return paths.join(best.hint("shuffle_merge"), "path", "left")
 
 
 def split_by_globs(df: DataFrame, col: str, include: list[str], exclude: list[str]) -> DataFrame:

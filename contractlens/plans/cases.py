@@ -13,7 +13,7 @@ from contractlens.operators import relational as R
 from contractlens.plans.queries import ORACLES, PAIRED, QUERIES, T, query
 from contractlens.plans.views import as_sql, view
 from contractlens.sources import readers as S
-from contractlens.sources.scratch import scratch_dir
+from contractlens.sources.scratch import materialize, scratch_path
 from contractlens.streaming import edits as E
 
 c, lit = F.col, F.lit
@@ -119,9 +119,7 @@ def s7_parse_events(s, d):
 
 @query("SELECT n_name AS line, COUNT(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT '', 1")
 def s4_read_text_tree(s, d):
-    import uuid
-
-    base, names = f"{scratch_dir(s)}/contractlens-tree-{uuid.uuid4().hex}", T(s, d, "nation").select("n_name").coalesce(1)
+    base, names = scratch_path(s, "tree"), T(s, d, "nation").select("n_name").coalesce(1)
     names.write.text(f"{base}/keep")  # one file of lines that end in a line feed
     names.write.text(f"{base}/node_modules/x")
     names.write.option("compression", "gzip").text(f"{base}/packed")
@@ -130,9 +128,7 @@ def s4_read_text_tree(s, d):
 
 @query("SELECT p_partkey, p_name FROM part")
 def s8_publish(s, d):
-    import uuid
-
-    p, base = T(s, d, "part").select("p_partkey", "p_name"), f"{scratch_dir(s)}/contractlens-published-{uuid.uuid4().hex}"
+    p, base = T(s, d, "part").select("p_partkey", "p_name"), scratch_path(s, "published")
     promoted = S.publish_snapshot(p, base, "good", [c("p_partkey") >= 0]), S.publish_snapshot(p.where("p_partkey % 2 = 0"), base, "bad", [c("p_partkey") < 0])
     return S.read_published(s, base, p.schema).where(lit(promoted == (True, False))).select("p_partkey", "p_name")
 
@@ -350,8 +346,8 @@ def p10_check_roots(s, d):
 
 @query("SELECT id, row_number() OVER (ORDER BY kind, name, id) AS place FROM nodes", "nodes")
 def l1_ordered(s, d):
-    path = f"{scratch_dir(s)}/contractlens-ordered"
-    R.ordered(view(s, d, "nodes"), ["kind", "name"]).write.mode("overwrite").parquet(path)
+    path = scratch_path(s, "ordered")
+    R.ordered(view(s, d, "nodes"), ["kind", "name"]).write.parquet(path)
     parts = s.read.schema("id string, kind string, name string").parquet(path).select("id", F.regexp_extract("_metadata.file_path", r"part-(\d+)", 1).cast("int").alias("part"), F.monotonically_increasing_id().alias("at"))
     sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}
     before = F.create_map(*[lit(x) for p in sorted(sizes) for x in (p, sum(n for q, n in sizes.items() if q < p))])
@@ -378,7 +374,8 @@ def per_part(s, d, *rows: tuple, names: list[str], where: str = "true") -> DataF
     p = T(s, d, "part").where(where).select("p_partkey")
     one = lambda v: tagged(v[:-1], c("p_partkey")) if isinstance(v, str) and v.endswith("~") else lit(v)
     structs = [F.struct(*[one(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows]
-    return p.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    # Written and read back, as Spark cannot tell the size of what explode makes.
+    return materialize(p.select(F.explode(F.array(*structs)).alias("r")).select("r.*"), "per-part")
 
 
 def rows_sql(names: list[str], *rows: tuple, where: str = "true") -> str:
@@ -394,6 +391,38 @@ def g2_reachable_resolved(s, d):
     return G.reachable_resolved(edges, calls, methods, per_part(s, d, ("a~",), names=["root"])).select("root", "node", "depth")
 
 
+@query(""", p(root, path, schema, up) AS (SELECT concat('nation:', n_nationkey), '', concat('nation:', n_nationkey), [concat('nation:', n_nationkey)] FROM nation UNION ALL
+SELECT root, concat(path, CASE WHEN path = '' THEN '' ELSE '.' END, field, CASE WHEN is_list THEN '[]' ELSE '' END, CASE WHEN kind = 'page' THEN '.list[]' ELSE '' END), ref, list_append(up, ref) FROM p JOIN fields f ON f.schema = p.schema WHERE NOT list_contains(up, ref))
+SELECT DISTINCT root, path, schema FROM p""", "fields")
+def g6_nested_tables(s, d):
+    return G.expand_paths(T(s, d, "nation").select(F.concat(lit("nation:"), "n_nationkey").alias("root")), view(s, d, "fields"))
+
+
+@query(""", up(root, class, depth) AS (SELECT class, class, 0 FROM classes UNION ALL SELECT root, parent, depth + 1 FROM up JOIN classes USING (class) WHERE parent IS NOT NULL),
+near AS (SELECT root, field, type, pos, depth FROM up JOIN members USING (class) QUALIFY row_number() OVER (PARTITION BY root, field ORDER BY depth) = 1)
+SELECT root, field, type, CAST(row_number() OVER (PARTITION BY root ORDER BY depth DESC, pos, field) AS INTEGER) AS position FROM near""", "classes", "members")
+def g7_order_chains(s, d):
+    return G.flatten_inheritance(view(s, d, "classes"), view(s, d, "members"))
+
+
+@query(""", t AS MATERIALIZED (SELECT * FROM tree), n AS MATERIALIZED (SELECT concat('n', schema) AS new, field, CASE WHEN ref LIKE 's%' THEN concat('n', ref, '-', field) ELSE concat('n', ref) END AS new_ref FROM t WHERE field <> 'f3'),
+p0 AS MATERIALIZED (SELECT DISTINCT schema AS old, concat('n', schema) AS new, 0 AS depth FROM t WHERE schema LIKE 'c%'),
+s1 AS MATERIALIZED (SELECT new, field, ref FROM p0 JOIN t ON schema = old),
+p1 AS MATERIALIZED (SELECT ref AS old, min(new_ref) AS new, 1 AS depth FROM s1 JOIN n USING (new, field) GROUP BY 1),
+s2 AS MATERIALIZED (SELECT new, field, ref FROM p1 JOIN t ON schema = old),
+p2 AS (SELECT ref AS old, min(new_ref) AS new, 2 AS depth FROM s2 JOIN n USING (new, field) GROUP BY 1)
+SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2""", "tree")
+def g12_paired_trees(s, d):
+    old = view(s, d, "tree")
+    new = old.where("field <> 'f3'").select(F.concat(lit("n"), "schema").alias("schema"), "field", F.when(c("ref").startswith("s"), F.concat(lit("n"), "ref", lit("-"), "field")).otherwise(F.concat(lit("n"), "ref")).alias("ref"))
+    seeds = old.where("schema like 'c%'").select(c("schema").alias("old"), F.concat(lit("n"), "schema").alias("new")).distinct()
+    return G.pair_schemas(old, new, seeds).select("old", "new", "depth")
+
+
+for name in ("g6_nested_tables", "g7_order_chains"):
+    ORACLES[name] = ORACLES[name].replace("WITH", "WITH RECURSIVE", 1)
+
+
 @query(rows_sql(["root", "path", "schema"], ("p~", "", "p~"), ("p~", "list[]", "q~"), ("p~", "map", "r~"), ("p~", "page.list[]", "q~"), ("p~", "map.deep[]", "q~")))
 def g6_expand_paths(s, d):
     fields = per_part(s, d, ("p~", "list", "q~", True, "field"), ("p~", "map", "r~", False, "map"), ("p~", "page", "q~", False, "page"), ("r~", "deep", "q~", True, "field"), ("q~", "back", "p~", False, "field"), names=["schema", "field", "ref", "is_list", "kind"])

@@ -44,6 +44,14 @@ CAST(l_partkey % 37 AS INT) AS col, l_returnflag AS source, concat('slot', CASE
     "setter_refs": "SELECT DISTINCT concat('order:', l_orderkey) AS caller, concat('set', l_linenumber) AS setter, CAST(l_quantity AS INT) AS line, CAST(l_partkey % 40 AS INT) AS col FROM {lineitem} WHERE l_returnflag = 'R' AND l_partkey % 29 = 0",
     "sites": """SELECT concat(p_brand, p_size % 7) AS target, CAST(p_partkey AS INT) AS p, CASE WHEN p_size % 7 IN (0, 1, 2) THEN concat('E', CASE WHEN p_size % 7 = 2 THEN p_partkey % 3 ELSE 0 END) END AS e, NOT (p_size % 7 = 1 AND p_partkey % 5 = 0) AS whole,
 CASE WHEN p_size % 7 IN (3, 4) THEN 'rpc' END AS e2, CASE WHEN p_size % 7 IN (4, 5) THEN concat('u', p_partkey % 9) END AS unk, p_size % 7 = 6 AND p_partkey % 2 = 0 AS changed, p_type AS v FROM {part}""",
+    "fields": """SELECT concat('nation:', c_nationkey) AS schema, 'customers' AS field, concat('customer:', c_custkey) AS ref, true AS is_list, 'field' AS kind FROM {customer}
+UNION ALL SELECT concat('customer:', c_custkey), 'home', concat('nation:', c_nationkey), false, 'field' FROM {customer}
+UNION ALL SELECT concat('customer:', o_custkey), 'orders', concat('order:', o_orderkey), false, 'map' FROM {orders}
+UNION ALL SELECT DISTINCT concat('order:', l_orderkey), 'from', concat('supplier:', l_suppkey), false, 'page' FROM {lineitem} WHERE l_linenumber = 1""",
+    "classes": "SELECT concat('o', o_orderkey) AS class, CASE WHEN n % 3 <> 1 THEN concat('o', prior) END AS parent FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prior FROM {orders}) q",
+    "members": "SELECT concat('o', l_orderkey) AS class, concat('f', l_linenumber) AS field, CAST(l_linenumber AS INT) AS pos, min(l_returnflag) AS type FROM {lineitem} GROUP BY l_orderkey, l_linenumber",
+    "tree": """SELECT concat('c', o_custkey) AS schema, concat('f', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) % 5) AS field, concat('o', o_orderkey) AS ref FROM {orders}
+UNION ALL SELECT DISTINCT concat('o', l_orderkey), concat('f', l_linenumber), concat('s', l_suppkey) FROM {lineitem}""",
     "written": "SELECT concat('customer:', c_custkey) AS operation, concat('f', n_regionkey) AS field, CASE WHEN n_regionkey > 0 THEN concat('set', n_regionkey) END AS setter FROM {customer} JOIN (SELECT DISTINCT n_regionkey FROM {nation}) r ON n_regionkey < 4",
     "bound": """SELECT concat('customer:', c_custkey) AS operation, slot, domain FROM {customer} JOIN (SELECT 'slot0' AS slot, 'd0' AS domain UNION ALL SELECT 'slot1', 'd1' UNION ALL SELECT 'slot2', 'd2' UNION ALL SELECT 'slot3', 'unknown' UNION ALL SELECT 'slot4', 'd0' UNION ALL SELECT 'slot4', 'd1') b ON true""",
     "url": "SELECT page_id, url, REGEXP_REPLACE(REGEXP_REPLACE(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path, REGEXP_EXTRACT(url, '://([^/]*)', 1) AS host FROM {pages}",

@@ -16,13 +16,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: a lineage cut that outlives lost executors. The folder
-    goes when the driver's JVM ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder there, which goes when the driver's JVM ends."""
     path = f"{scratch_dir(spark)}/contractlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(context).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: a lineage cut that outlives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
