@@ -339,8 +339,8 @@ EVIDENCE, SHOWN = 20, 4  # pieces of evidence kept, unknowns told in the warning
 
 
 def least_texts(rows: DataFrame, key: list[str], text: str, order: list[str], n: int) -> DataFrame:
-    """(key, texts): the first n distinct texts of each key in an order, ties by text. Each task keeps its own first n
-    before anything is sent, so a key of very many rows costs no more than n a task."""
+    """(key, texts): the first n distinct texts of each key in an order, ties by text. Texts are made distinct by key and
+    text, in as many tasks as there are; each keeps its first n of a key, and only those meet."""
     first = rows.groupBy(*key, text).agg(F.min(F.struct(*order, text)).alias("_o"))
     kept = first.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("_o"))).where(F.col("_r") <= n)
     return kept.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", text))), lambda x: x[text]).alias("texts"))

@@ -549,7 +549,9 @@ def _closure(s, d):
 
 @query()
 def g1_closure(s, d):
-    return _closure(s, d).select("root", "node", "depth")
+    """Depths alone: no pass for parents."""
+    roots = G.numbered_roots(view(s, d, "nodes").where("kind = 'nation'").select(c("id").alias("root")))
+    return G.unpacked(G.reach_sets(view(s, d, "edges").where("kind = 'calls'"), roots), roots).select("root", "node", "depth")
 
 
 @query()
