@@ -12,7 +12,6 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/contractlens-scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
