@@ -558,6 +558,37 @@ SELECT session_id, turn_id, event_id AS stop_id, files, CASE WHEN files = 0 THEN
 )
 
 
+@query(
+    "SELECT session_id, turn_id, tool_use_id, event_id, path IS DISTINCT FROM wp OR content IS DISTINCT FROM wc AS changed FROM (SELECT *, lag(stage) OVER w AS ws, lag(path) OVER w AS wp, lag(content) OVER w AS wc, lag(seen) OVER w AS wa FROM sessions WHERE stage IN ('PreToolUse', 'PostToolUse') WINDOW w AS (PARTITION BY session_id, turn_id, tool_use_id ORDER BY event_id)) WHERE stage = 'PostToolUse' AND ws = 'PreToolUse' AND seen - INTERVAL 24 HOUR <= wa",
+    "sessions",
+)
+def t3_track_ttl(s, d):
+    return E.track_edits_batch(view(s, d, "sessions"), "seen").select(*E.KEY, "event_id", "changed")
+
+
+@query()
+def t3_follow_turns(s, d):
+    return E.follow_turns_batch(view(s, d, "sessions"), "seen")
+
+
+ORACLES["t3_follow_turns"] = (
+    as_sql("sessions").rstrip().replace("WITH", "WITH RECURSIVE", 1)
+    + """, ev AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn_id ORDER BY event_id) AS idx FROM sessions WHERE stage IS NOT NULL),
+r AS (SELECT DISTINCT session_id, turn_id, CAST(0 AS BIGINT) AS idx, CAST([] AS STRUCT(tool VARCHAR, path VARCHAR, content VARCHAR, seen TIMESTAMP)[]) AS pre, CAST([] AS STRUCT(tool VARCHAR, path VARCHAR, seen TIMESTAMP)[]) AS rec,
+CAST(NULL AS VARCHAR) AS stage, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS files, CAST(NULL AS VARCHAR) AS decision FROM ev
+UNION ALL SELECT session_id, turn_id, idx,
+CASE WHEN stage = 'Stop' AND decision <> 'block' THEN [] WHEN opens THEN list_append(list_filter(p, lambda x: x.tool <> tool), {'tool': tool, 'path': path, 'content': content, 'seen': seen}) WHEN was IS NOT NULL THEN list_filter(p, lambda x: x.tool <> tool) ELSE p END,
+CASE WHEN stage = 'Stop' AND decision <> 'block' THEN [] WHEN was IS NOT NULL AND (was.path IS DISTINCT FROM path OR was.content IS DISTINCT FROM content) THEN list_append(list_filter(c, lambda x: x.tool <> tool), {'tool': tool, 'path': path, 'seen': seen}) WHEN opens OR was IS NOT NULL THEN list_filter(c, lambda x: x.tool <> tool) ELSE c END,
+stage, event_id, files, decision
+FROM (SELECT *, CASE WHEN files = '' OR status = 'passed' THEN 'silent' WHEN status = 'failed' AND NOT continued THEN 'block' ELSE 'message' END AS decision
+FROM (SELECT *, stage = 'PreToolUse' AND tool IS NOT NULL AND path IS NOT NULL AS opens, CASE WHEN stage = 'PostToolUse' THEN list_filter(p, lambda x: x.tool = tool)[1] END AS was,
+coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(c, lambda x: x.path), lambda x: x IS NOT NULL))), ','), '') AS files
+FROM (SELECT e.session_id, e.turn_id, e.idx, e.event_id, e.stage, e.tool_use_id AS tool, e.path, e.content, e.status, e.continued, e.seen,
+list_filter(r.pre, lambda x: x.seen >= e.seen - INTERVAL 24 HOUR) AS p, list_filter(r.rec, lambda x: x.seen >= e.seen - INTERVAL 24 HOUR) AS c FROM r JOIN ev e ON e.session_id = r.session_id AND e.turn_id = r.turn_id AND e.idx = r.idx + 1))))
+SELECT session_id, turn_id, event_id AS stop_id, files, decision FROM r WHERE stage = 'Stop'"""
+)
+
+
 @query("SELECT event_id, concat(coalesce(stage, '-'), ' ', session_id, '/', turn_id, '/', tool_use_id, ' ', event_id % 90, 'ms') AS line FROM hook", "hook")
 def t5_event_duration(s, d):
     return E.event_log(view(s, d, "hook").withColumn("took", c("event_id") % 90), "took")

@@ -29,6 +29,11 @@ CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'file' ELSE 'registry' END AS sour
 CAST(CAST(REGEXP_EXTRACT(props, '([0-9]+)', 1) AS INT) % 4 AS VARCHAR(20)) AS tool_use_id,
 CASE event_type WHEN 'view' THEN 'PreToolUse' WHEN 'click' THEN 'PostToolUse' WHEN 'purchase' THEN 'Stop' END AS stage,
 concat('f', CAST(REGEXP_EXTRACT(props, '([0-9]+)', 1) AS INT)) AS path, CAST(CAST(FLOOR(value) AS BIGINT) AS VARCHAR(20)) AS content FROM {events}""",
+    "sessions": """SELECT event_id, CAST(user_id AS VARCHAR(20)) AS session_id, CAST(CAST(FLOOR(event_id / 5000) AS BIGINT) AS VARCHAR(20)) AS turn_id, ts AS seen,
+CASE WHEN k % 11 < 10 THEN CAST(k % 3 AS VARCHAR(20)) END AS tool_use_id, CASE event_type WHEN 'view' THEN 'PreToolUse' WHEN 'click' THEN 'PostToolUse' WHEN 'purchase' THEN 'Stop' END AS stage,
+CASE WHEN k % 13 < 12 THEN concat('f', k % 5) END AS path, CAST(CAST(FLOOR(value) AS BIGINT) % 2 AS VARCHAR(20)) AS content,
+CASE event_id % 5 WHEN 0 THEN 'passed' WHEN 1 THEN 'warning' WHEN 2 THEN 'none' ELSE 'failed' END AS status, event_id % 8 = 3 AS continued
+FROM (SELECT *, CAST(REGEXP_EXTRACT(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) e""",
     "slots": "SELECT concat('o', o_orderkey) AS slot, concat('c', o_custkey, o_orderstatus) AS method FROM {orders}",
     "args": """SELECT concat('c', o_custkey, was) AS caller, concat('c', o_custkey, o_orderstatus) AS method, concat('o', o_orderkey) AS slot, concat('o', prior) AS from_slot, CAST(NULL AS VARCHAR(20)) AS domain
 FROM (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prior, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS was FROM {orders}) WHERE prior IS NOT NULL

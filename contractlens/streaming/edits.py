@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from contractlens.streaming.state import TTL_MS, Calls, Sessions, Turns, close_fold, follow_step, keyed
 
 KEY = ["session_id", "turn_id", "tool_use_id"]
-OUT = "session_id string, turn_id string, tool_use_id string, event_id long, changed boolean, path string"
-STATE = "path string, content string"
-TTL_MS = 24 * 3600 * 1000
 
 
 def route_bad_events(events: DataFrame) -> DataFrame:
@@ -27,39 +25,29 @@ def event_log(events: DataFrame, duration: str | None = None) -> DataFrame:
     return events.select("event_id", F.concat_ws(" ", F.coalesce("stage", F.lit("-")), F.concat_ws("/", "session_id", "turn_id", F.coalesce(F.col("tool_use_id").cast("string"), F.lit("-"))), *took).alias("line"))
 
 
-def track_edits_batch(events: DataFrame) -> DataFrame:
-    """T1, batch twin: each Post whose last event of the same call is a Pre, and whether path or content changed."""
+def _micros(at: str | None) -> Column:
+    return F.unix_micros(F.col(at).cast("timestamp")) if at else F.lit(0).cast("long")
+
+
+def track_edits_batch(events: DataFrame, at: str | None = None, ttl_ms: int = TTL_MS) -> DataFrame:
+    """T1, batch twin: each Post whose last event of the same call is a Pre, and whether path or content changed. With the
+    time of arrival in a column, a Pre that is older than ttl_ms by then is forgotten (T3)."""
     w = Window.partitionBy(*KEY).orderBy("event_id")
-    e = events.where("stage in ('PreToolUse', 'PostToolUse')").withColumn("was", F.lag(F.struct("stage", "path", "content")).over(w))
-    e = e.where("stage = 'PostToolUse' and was.stage = 'PreToolUse'")
+    e = events.where("stage in ('PreToolUse', 'PostToolUse')").withColumn("was", F.lag(F.struct("stage", "path", "content", _micros(at).alias("at"))).over(w))
+    e = e.where("stage = 'PostToolUse' and was.stage = 'PreToolUse'").where(_micros(at) - F.col("was.at") <= ttl_ms * 1000)
     return e.select(*KEY, "event_id", (~(F.col("path").eqNullSafe(F.col("was.path")) & F.col("content").eqNullSafe(F.col("was.content")))).alias("changed"), "path")
 
 
-def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pre, out = state.getOption, []
-    for e in pd.concat(list(batches)).sort_values("event_id").itertuples():
-        if e.stage == "PreToolUse":
-            pre = (e.path, e.content)
-        elif pre is not None:
-            out.append((*key, e.event_id, (e.path, e.content) != tuple(pre), e.path))
-            pre = None
-    if pre is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update(tuple(pre))
-        state.setTimeoutDuration(TTL_MS)
-    yield pd.DataFrame(out, columns=[*KEY, "event_id", "changed", "path"])
-
-
-def track_edits(events: DataFrame) -> DataFrame:
-    """T1 and T3 over a stream: what a Pre saw is kept for its call until the Post, at most for 24 hours of processing
-    time. The stream has to carry events of a call in order of event_id from batch to batch."""
-    e = events.where("stage in ('PreToolUse', 'PostToolUse')").select(*[F.col(k).cast("string").alias(k) for k in KEY], "event_id", "stage", F.col("path").cast("string"), F.col("content").cast("string"))
-    return e.groupBy(*KEY).applyInPandasWithState(_track, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def _texts(*names: str) -> list[Column]:
+    return [F.col(n).cast("string").alias(n) for n in names]
+
+
+def track_edits(events: DataFrame, gap_ms: int = 0, ttl_ms: int = TTL_MS) -> DataFrame:
+    """T1 and T3 over a stream: what a Pre saw is kept for its call until the Post, at most for ttl_ms of processing time.
+    Events of a call are taken in order of event_id, if those that come late do so within the gap. The state needs the
+    RocksDB store (spark.sql.streaming.stateStore.providerClass)."""
+    e = events.where("stage in ('PreToolUse', 'PostToolUse') and event_id is not null").select(*_texts(*KEY), "event_id", *_texts("stage", "path", "content"))
+    return keyed(e, KEY, Calls(gap_ms, ttl_ms))
 
 
 def turn_files(edits: DataFrame) -> DataFrame:
@@ -68,30 +56,6 @@ def turn_files(edits: DataFrame) -> DataFrame:
 
 
 TURN = ["session_id", "turn_id"]
-CLOSED = "session_id string, turn_id string, stop_id long, files long, decision string"
-KEPT = "paths array<string>, blocked boolean"
-
-
-def _stops(key: tuple, rows: pd.DataFrame, paths: set[str], blocked: bool) -> tuple[list[tuple], set[str], bool]:
-    """Goes through a turn's changed files and stops in order: decisions, and the files and block that are left."""
-    out = []
-    for e in rows.sort_values(["event_id", "stop"]).itertuples():
-        if not e.stop:
-            paths.add(e.path)
-            continue
-        if not paths:
-            decision = "silent"
-        elif e.status == "failed":
-            decision = "message" if blocked or e.continued else "block"
-        else:
-            decision = "message" if e.status in ("warning", "none") else "silent"
-        out.append((*key, e.event_id, len(paths), decision))
-        blocked = decision == "block"
-        if not blocked:
-            paths = set()
-    return out, paths, blocked
-
-
 def turn_events(edits: DataFrame, stops: DataFrame) -> DataFrame:
     """Changed files (session_id, turn_id, event_id, path) and stops (session_id, turn_id, event_id, status of the checks
     or `none` without any, continued) as one table of events."""
@@ -106,27 +70,74 @@ def close_turns(events: DataFrame) -> DataFrame:
     a message that clears them if the turn was continued before. One group holds one turn's events."""
 
     def close(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_stops(key, rows, set(), False)[0], columns=[*TURN, "stop_id", "files", "decision"])
-
-    return events.groupBy(*TURN).applyInPandas(close, CLOSED)
-
-
-def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    paths, blocked = state.getOption or ([], False)
-    out, left, blocked = _stops(key, pd.concat(list(batches)), set(paths), blocked)
-    if left or blocked:
-        state.update((sorted(left), blocked))
-        state.setTimeoutDuration(TTL_MS)
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(out, columns=[*TURN, "stop_id", "files", "decision"])
-
-
-def close_turns_stream(events: DataFrame) -> DataFrame:
-    """T2 over a stream of turn_events: a turn's files wait in its state until a stop clears them, at most for 24 hours
-    of processing time. Events of a turn have to come in order of event_id from batch to batch."""
-    e = events.select(*[F.col(k).cast("string").alias(k) for k in TURN], "event_id", "stop", "path", "status", "continued")
-    return e.groupBy(*TURN).applyInPandasWithState(_close, CLOSED, KEPT, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        ordered = rows.sort_values(["event_id", "stop"])[[c.split()[0] for c in Turns.EVENT.split(", ")]]
+        out = close_fold(ordered.itertuples(index=False, name=None), set(), False)[0]
+        return pd.DataFrame([(*key, *row) for row in out], columns=[*TURN, "stop_id", "files", "decision"])
+
+    return events.groupBy(*TURN).applyInPandas(close, Turns.OUT)
+
+
+def close_turns_stream(events: DataFrame, gap_ms: int = 0, ttl_ms: int = TTL_MS) -> DataFrame:
+    """T2 over a stream of turn_events: a turn's files wait in its state until a stop clears them, each at most for ttl_ms
+    of processing time. Order and state store: as in track_edits."""
+    e = events.where("event_id is not null").select(*_texts(*TURN), "event_id", "stop", *_texts("path", "status"), F.coalesce("continued", F.lit(False)).alias("continued"))
+    return keyed(e, TURN, Turns(gap_ms, ttl_ms))
+
+
+def _session_events(events: DataFrame) -> DataFrame:
+    """Events with identity and number. Where columns status and continued are lacking, a Stop has no checks."""
+    status = F.col("status").cast("string") if "status" in events.columns else F.lit("none")
+    continued = F.col("continued") if "continued" in events.columns else F.lit(False)
+    e = events.where("session_id is not null and turn_id is not null and event_id is not null and stage in ('PreToolUse', 'PostToolUse', 'Stop')")
+    return e.withColumns({"status": F.coalesce(status, F.lit("none")), "continued": F.coalesce(continued, F.lit(False))})
+
+
+def follow_turns(events: DataFrame, gap_ms: int = 0, ttl_ms: int = TTL_MS) -> DataFrame:
+    """T1 to T3 in one state for each turn, over a stream of raw events (stage, session, turn, tool call, path, content; of
+    a Stop the status of its checks and whether the turn was continued before).
+
+    A Pre remembers its file and forgets what its call had changed before; a Post with a Pre records the file if it
+    changed, and forgets the record if not; one without is left out. A Stop gives the recorded files and its decision
+    and, unless it blocks, clears open calls and records. Calls and records go one by one when they are older than ttl_ms.
+    Events without identity, number or path, and a Pre without a call, change nothing. Order and state store: as in track_edits."""
+    e = _session_events(events).select(*_texts(*TURN), "event_id", *_texts("stage", "tool_use_id", "path", "content", "status"), "continued")
+    return keyed(e, TURN, Sessions(gap_ms, ttl_ms))
+
+
+class _Dated(dict):
+    """A dictionary whose entries know when they were set."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.now, self.at = 0, {}
+
+    def __setitem__(self, key, value) -> None:
+        super().__setitem__(key, value)
+        self.at[key] = self.now
+
+    def move_to(self, now: int, ttl: int) -> None:
+        self.now = now
+        for key in [k for k in self if self.at[k] < now - ttl]:
+            del self[key]
+
+
+def follow_turns_batch(events: DataFrame, at: str | None = None, ttl_ms: int = TTL_MS) -> DataFrame:
+    """follow_turns over a table, with the time of arrival in a column if entries are to expire. Turns are read as sorted
+    rows, of which only the open calls and records of one turn are held."""
+    e = _session_events(events).select(*_texts(*TURN), "event_id", *_texts("stage", "tool_use_id", "path", "content", "status"), "continued", _micros(at).alias("at"))
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn, pre, changed = None, _Dated(), _Dated()
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[:2] != turn:
+                    turn, pre, changed = row[:2], _Dated(), _Dated()
+                for state in (pre, changed):
+                    state.move_to(row[-1], ttl_ms * 1000)
+                stop = follow_step(row[2:-1], pre, changed)
+                if stop:
+                    out.append((*turn, *stop))
+            yield pd.DataFrame(out, columns=[*TURN, "stop_id", "files", "decision"])
+
+    return e.repartition(*TURN).sortWithinPartitions(*TURN, "event_id").mapInPandas(follow, Sessions.OUT)

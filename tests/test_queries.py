@@ -145,18 +145,6 @@ def test_turn_stream_equals_batch(spark, tmp_path):
     assert [r[4] for r in got][:4] == ["block", "silent", "message", "message"]
 
 
-def test_state_goes_after_a_day():
-    class State:
-        hasTimedOut, exists, left = True, True, None
-
-        def remove(self):
-            self.left = "removed"
-
-    for step, key in ((E._track, ("s", "t", "u")), (E._close, ("s", "t"))):
-        state = State()
-        assert list(step(key, iter([]), state)) == [] and state.left == "removed"
-
-
 def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="lacks columns: y, z"):
         R.require_columns(spark.range(1), ["id", "z", "y"], "t")
