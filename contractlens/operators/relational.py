@@ -161,24 +161,30 @@ def match_by_words(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, name, value_set) on both sides: the new row that shares most words, if it is the only best one. Ranked
     by (same value set, shared words); one shared word is enough with the same set, else two are needed.
 
-    Pairs meet under words they share, but only where they can count: two names of different sets need two words in
-    common, so each side goes without its most frequent word; names of one set meet under (set, word). What meets is
-    then compared in full, so no pair that counts is lost and the commonest word alone brings nobody together."""
-    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col("value_set").alias(f"{n}_set"), name_words(F.col("name")).alias(f"{n}_words"))
-    o, n = side(old, "old"), side(new, "new")
-    spread = lambda df, w: df.select("*", F.explode(w).alias("word"))
-    often = spread(o, "old_words").select("word").union(spread(n, "new_words").select("word")).groupBy("word").agg(F.count("*").alias("uses"))
-
-    def rare(df: DataFrame, side: str) -> DataFrame:
-        ranked = spread(df, f"{side}_words").join(often.hint("shuffle_merge"), "word")
-        w = Window.partitionBy(f"{side}_id").orderBy(F.desc("uses"), F.desc("word"))
-        return ranked.withColumn("_r", F.row_number().over(w)).where("_r > 1").select(f"{side}_id", "word")
-
-    met = rare(o, "old").join(rare(n, "new").hint("shuffle_merge"), "word").select("old_id", "new_id")
-    met = met.union(spread(o, "old_words").join(spread(n, "new_words").withColumnRenamed("new_set", "old_set").hint("shuffle_merge"), ["old_set", "word"]).select("old_id", "new_id")).distinct()
-    pairs = met.join(o.hint("shuffle_merge"), "old_id").join(n.hint("shuffle_merge"), "new_id")
-    pairs = pairs.select("old_id", "new_id", F.size(F.array_intersect("old_words", "new_words")).cast("long").alias("shared"), F.col("old_set").eqNullSafe(F.col("new_set")).alias("same")).where("shared >= 2 or same")
-    return unique_or_null(pairs, ["old_id"], [F.desc("same"), F.desc("shared")])
+    Names of the same set and words are one class, whose size tells whether it can be the only best one. Classes that
+    share two words meet under a word, each side without its most frequent one: of two shared words one is not it. Names
+    of one set that share a single word are never paired: for each (set, word) the new names are counted, and a name for
+    which these counts come to one has found the only one. So a word that very many names share brings nobody together."""
+    side = lambda df, c: df.select("id", F.struct("value_set", F.array_sort(name_words(F.col("name"))).alias("words")).alias(c))
+    named = side(old, "old_c").withColumnRenamed("id", "old_id")
+    o = named.select("old_c").distinct()
+    n = side(new, "new_c").groupBy("new_c").agg(F.count("*").alias("copies"), F.min("id").alias("new_id"))
+    spread = lambda df, c: df.select("*", F.explode(f"{c}.words").alias("word"))
+    often = spread(o, "old_c").select("word").union(spread(n, "new_c").select("word")).groupBy("word").agg(F.count("*").alias("uses"))
+
+    def rare(df: DataFrame, c: str) -> DataFrame:
+        ranked = spread(df, c).join(often.hint("shuffle_merge"), "word")
+        w = Window.partitionBy(c).orderBy(F.desc("uses"), F.desc("word"))
+        return ranked.withColumn("_r", F.row_number().over(w)).where("_r > 1").drop("_r", "uses")
+
+    same = F.col("old_c.value_set").eqNullSafe(F.col("new_c.value_set"))
+    met = rare(o, "old_c").join(rare(n, "new_c").hint("shuffle_merge"), "word").drop("word").distinct()
+    pairs = met.select("old_c", "new_id", "copies", F.size(F.array_intersect("old_c.words", "new_c.words")).cast("long").alias("shared"), same.alias("same")).where("shared >= 2")
+    uses = spread(n, "new_c").groupBy(F.col("new_c.value_set").alias("set"), "word").agg(F.sum("copies").alias("copies"), F.min("new_id").alias("new_id"))
+    single = spread(o, "old_c").join(uses.withColumnRenamed("word", "w").hint("shuffle_merge"), F.col("old_c.value_set").eqNullSafe(F.col("set")) & (F.col("word") == F.col("w")))
+    single = single.groupBy("old_c").agg(F.min("new_id").alias("new_id"), F.sum("copies").alias("copies")).select("*", F.lit(1).cast("long").alias("shared"), F.lit(True).alias("same"))
+    best = unique_or_null(pairs.unionByName(single), ["old_c"], [F.desc("same"), F.desc("shared")]).where("copies = 1")
+    return named.join(best.hint("shuffle_merge"), "old_c").select("old_id", "new_id", "shared", "same")
 
 
 def _beside(left: DataFrame, right: DataFrame, on: list[str], left_pos: str, right_pos: str, value: Column, strict: bool = False) -> DataFrame:

@@ -190,6 +190,14 @@ def j8_match_by_words(s, d):
     return R.match_by_words(side(c("p_name"), "a"), side(F.concat("p_name", lit(" New")), "b")).select("old_id", "new_id")
 
 
+@query(f"""SELECT old_id, new_id, shared, same FROM (SELECT *, rank() OVER (PARTITION BY old_id ORDER BY same DESC, shared DESC) AS r, COUNT(*) OVER (PARTITION BY old_id, same, shared) AS n FROM (
+SELECT a.id AS old_id, b.id AS new_id, len(list_intersect(a.w, b.w)) AS shared, a.s = b.s AS same FROM (SELECT *, {WORDS.format('p_name')} AS w FROM (SELECT p_partkey AS id, p_brand AS s, p_name FROM part WHERE p_partkey % 2 = 0)) a
+JOIN (SELECT *, {WORDS.format('name')} AS w FROM (SELECT p_partkey AS id, p_brand AS s, concat(p_name, ' ', p_type) AS name FROM part WHERE p_partkey % 8 = 1)) b ON len(list_intersect(a.w, b.w)) >= CASE WHEN a.s = b.s THEN 1 ELSE 2 END)) WHERE r = 1 AND n = 1""")
+def j8_match_in_sets(s, d):
+    side = lambda rest, by, n: T(s, d, "part").where(c("p_partkey") % by == rest).select(c("p_partkey").alias("id"), n.alias("name"), c("p_brand").alias("value_set"))
+    return R.match_by_words(side(0, 2, c("p_name")), side(1, 8, F.concat_ws(" ", "p_name", "p_type")))
+
+
 @query("SELECT event_id, (SELECT max(v.event_id) FROM events v WHERE v.user_id = e.user_id AND v.event_type = 'view' AND v.event_id <= e.event_id) AS last_view FROM events e WHERE event_type = 'click'")
 def j9_as_of(s, d):
     e = T(s, d, "events").select("event_id", "user_id", "event_type")

@@ -130,6 +130,15 @@ def test_matching_by_words_loses_no_pair(spark):
     assert {(x["old_id"], x["new_id"]) for x in R.match_by_words(side(old), side(new)).collect()} == want
 
 
+def test_matching_by_words_squares_no_word(spark):
+    """20,000 names on each side share one set and one word, 5,000 of them another one as well, and one a pair of its own."""
+    side = lambda p, own: spark.range(20_000).select(F.concat(F.lit(p), "id").alias("id"), F.concat(F.lit("Common "), F.when(F.col("id") % 4 == 0, "Shared").when(F.col("id") == 7, "Lonely Pair").otherwise(F.concat(F.lit(own), "id"))).alias("name"), F.lit("a").alias("value_set"))
+    extra = spark.createDataFrame([("o", "Single", None), ("p", "", "a"), ("q", None, "a"), ("r", "Single", "b")], "id string, name string, value_set string")
+    got = R.match_by_words(side("o", "Old").union(extra), side("n", "New").union(extra)).collect()
+    assert {tuple(x) for x in got} == {("o7", "n7", 3, True), ("o", "o", 1, True), ("r", "r", 1, True)}
+    assert R.match_by_words(extra.where("false"), extra).count() == 0 and R.match_by_words(extra, extra.where("false")).count() == 0
+
+
 def test_turn_stream_equals_batch(spark, tmp_path):
     rows = [("s", "t", i, i % 5 == 4, None if i % 5 == 4 else f"p{i % 3}", ["failed", "passed", "warning", "none", "failed"][(i // 5) % 5] if i % 5 == 4 else None, i == 24) for i in range(60)]
     ev = spark.createDataFrame(rows, "session_id string, turn_id string, event_id long, stop boolean, path string, status string, continued boolean")
