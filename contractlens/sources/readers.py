@@ -31,12 +31,20 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def read_text_tree(spark: SparkSession, root: str, extensions: list[str], skip_dirs: list[str], max_bytes: int = 1_000_000) -> DataFrame:
-    """Numbered lines of the files below a folder; large files, skipped folders and lock or backup files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
-    name = F.substring_index("path", "/", -1)
-    files = files.where(F.substring_index(name, ".", -1).isin(extensions) & ~name.rlike(r"(\.lock|-lock\.(json|yaml)|\.bak|~)$"))
-    for d in skip_dirs:
-        files = files.where(~F.contains(F.col("path"), F.lit(f"/{d}/")))
+    """Numbered lines of the files below a folder; large files, skipped folders and lock or backup files are left out.
+    What is left out is dropped from the listing by the scan's file metadata and never opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+
+    def wanted(path: Column) -> Column:
+        name = F.substring_index(path, "/", -1)
+        keep = F.substring_index(name, ".", -1).isin(extensions) & ~name.rlike(r"(\.lock|-lock\.(json|yaml)|\.bak|~)$")
+        for d in skip_dirs:
+            keep &= ~F.contains(path, F.lit(f"/{d}/"))
+        return keep
+
+    # the metadata's path has its odd characters encoded, so it is decoded first; a plus sign stands for itself there
+    listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    files = files.where((F.col("_metadata.file_size") <= max_bytes) & wanted(listed))
     return lines_of(files.select("path", F.decode("content", "UTF-8").alias("text")), "path", "text")
 
 

@@ -173,6 +173,20 @@ def test_sources(spark, tmp_path):
     assert S.read_published(spark, base, df.schema).select("snapshot").distinct().count() == 1
 
 
+def test_files_left_out_are_never_opened(spark, tmp_path):
+    kept = ["a/x.txt", "a b+c%20/ü.txt", "notskip me/k.txt"]
+    for path in [*kept, "skip me/x.txt", "a/skip me/b/x.txt", "a/x.md", "a/big.txt", "a/yarn.lock", "a/old.txt~"]:
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("one" if "big" not in path else "long" * 100)
+    df = S.read_text_tree(spark, str(tmp_path), ["txt", "lock", "txt~"], ["skip me"], 100)
+    got = df.collect()
+    assert {r["path"].split(str(tmp_path) + "/")[1] for r in got} == set(kept) and {r["line"] for r in got} == {"one"}
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    assert plan.metrics().get("numFiles").get().value() == len(kept)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     ev = view(spark, DIR, "hook")
     ev.repartition(1).sortWithinPartitions("event_id").write.parquet(str(tmp_path / "in"))
