@@ -61,3 +61,20 @@ def test_paths_of_many_roots_are_not_written_for_each_pair(spark, written):
     got = G.shortest_paths(table(spark, edges, "source target"), table(spark, [(f"r{i}",) for i in range(30)], "root"))
     assert got.count() == 30 * 502
     assert sum(written.values()) < 4000  # not the 15,060 pairs
+
+
+def test_counts_of_roots_with_the_same_first_nodes_share_a_search(spark, written):
+    ring = [(f"n{i}", f"n{(i + 1) % 64}") for i in range(64)]
+    for edges, roots in (
+        (random_edges(3, 15, 25) + [(f"r{i}", "n1") for i in range(9)] + [("n2", "r3"), ("r4", "r4"), ("r5", "r4")], [f"n{i}" for i in range(15)] + [f"r{i}" for i in range(9)] + ["lone"]),
+        (ring, ["n0", "n9"]),
+    ):
+        want = {(r, d, n) for r in roots for d, n in Counter(depths(edges, r).values()).items()}
+        assert {tuple(x) for x in G.reach_counts(table(spark, edges, "source target"), table(spark, [(r,) for r in roots], "root")).collect()} == want
+    written.clear()
+    many = [(f"r{i}", "hub") for i in range(2000)] + [("hub", f"x{i}") for i in range(100)]
+    got = G.reach_counts(table(spark, many, "source target"), table(spark, [(f"r{i}",) for i in range(2000)], "root")).groupBy("depth").agg(F.sum("nodes")).collect()
+    assert {tuple(x) for x in got} == {(0, 2000), (1, 2000), (2, 200_000)}
+    assert written["reach"] < 400  # one search of 101 nodes, not 2,000 roots in 32 words
+    with pytest.raises(ValueError, match="beyond depth 3"):
+        G.reach_counts(table(spark, ring, "source target"), table(spark, [("n0",)], "root"), 3)
