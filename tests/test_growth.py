@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from contractlens.operators import graph as G
+from contractlens.operators import relational as R
+from contractlens.streaming import edits as E
+from contractlens.streaming.state import close_fold
 
 
 def random_edges(seed, n, m):
@@ -78,3 +81,16 @@ def test_counts_of_roots_with_the_same_first_nodes_share_a_search(spark, written
     assert written["reach"] < 400  # one search of 101 nodes, not 2,000 roots in 32 words
     with pytest.raises(ValueError, match="beyond depth 3"):
         G.reach_counts(table(spark, ring, "source target"), table(spark, [("n0",)], "root"), 3)
+
+
+def test_groups_of_roots_are_scanned_in_one_python_pass(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROOTS", 7)
+    monkeypatch.setattr(R, "HELD", 5)
+    r = random.Random(4)
+    roots = [(r.randrange(9), "".join(r.choice("abc") for _ in range(r.randint(1, 5)))) for _ in range(60)]
+    lines = [(i, "".join(r.choice("abcd") for _ in range(12)) if i % 9 else None) for i in range(80)]
+    df = spark.createDataFrame(lines, "doc_id int, t string").repartition(3)
+    got = R.first_roots(df, "t", spark.createDataFrame(roots, "ordinal int, root string"))
+    first = lambda t: min(((o, x) for o, x in roots if x in t), default=(0, None))[1] if t else None
+    assert {(x["doc_id"], x["root"]) for x in got.collect()} == {(i, first(t)) for i, t in lines}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one worker holds one automaton
