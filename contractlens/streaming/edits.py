@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +69,25 @@ def turn_events(edits: DataFrame, stops: DataFrame) -> DataFrame:
 def close_turns(events: DataFrame) -> DataFrame:
     """T2, batch twin: at each stop of turn_events, the turn's changed files since the last stop that cleared them, and
     the decision: none silent, passed silent, warning or no checks a message; failed a block that keeps the files, and
-    a message that clears them if the turn was continued before. One group holds one turn's events."""
+    a message that clears them if the turn was continued before. Turns are read as sorted rows, of which only the open
+    files of one turn are held, so that many small turns cost no more than their rows."""
+    names = [c.split()[0] for c in Turns.EVENT.split(", ")]
+    schema = pa.schema([("session_id", pa.string()), ("turn_id", pa.string()), ("stop_id", pa.int64()), ("files", pa.int64()), ("decision", pa.string())])
 
-    def close(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["event_id", "stop"])[[c.split()[0] for c in Turns.EVENT.split(", ")]]
-        out = close_fold(ordered.itertuples(index=False, name=None), set(), False)[0]
-        return pd.DataFrame([(*key, *row) for row in out], columns=[*TURN, "stop_id", "files", "decision"])
-
-    return events.groupBy(*TURN).applyInPandas(close, Turns.OUT)
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, paths, blocked = None, set(), False
+        for batch in batches:
+            out = []
+            rows = zip(*(batch.column(n).to_pylist() for n in TURN + names), strict=True)
+            for key, some in groupby(rows, lambda row: row[:2]):
+                if key != turn:
+                    turn, paths, blocked = key, set(), False
+                told, paths, _, blocked = close_fold((row[2:] for row in some), paths, blocked)
+                out += [(*turn, *row) for row in told]
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    e = events.select(*_texts(*TURN), *names).repartition(*TURN).sortWithinPartitions(*TURN, F.asc_nulls_last("event_id"), "stop")
+    return e.mapInArrow(close, Turns.OUT)
 
 
 def close_turns_stream(events: DataFrame, gap_ms: int = 0, ttl_ms: int = TTL_MS) -> DataFrame:

@@ -94,3 +94,16 @@ def test_groups_of_roots_are_scanned_in_one_python_pass(spark, monkeypatch):
     first = lambda t: min(((o, x) for o, x in roots if x in t), default=(0, None))[1] if t else None
     assert {(x["doc_id"], x["root"]) for x in got.collect()} == {(i, first(t)) for i, t in lines}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one worker holds one automaton
+
+
+def test_small_turns_close_in_one_pass_over_sorted_rows(spark):
+    r, rows = random.Random(6), []
+    for i in range(400):
+        stop = r.random() < 0.3
+        rows.append((f"s{r.randrange(20)}" if i % 50 else None, f"t{r.randrange(6)}", i, stop, None if stop else f"f{r.randrange(4)}", r.choice(["failed", "passed", "warning", "none"]) if stop else None, stop and r.random() < 0.2))
+    want = []
+    for key in {x[:2] for x in rows}:
+        want += [(*key, *out) for out in close_fold([x[2:] for x in rows if x[:2] == key], set(), False)[0]]
+    df = E.close_turns(spark.createDataFrame(rows, "session_id string, turn_id string, event_id long, stop boolean, path string, status string, continued boolean").repartition(3))
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()  # no Python call for each turn
