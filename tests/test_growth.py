@@ -107,3 +107,12 @@ def test_small_turns_close_in_one_pass_over_sorted_rows(spark):
     df = E.close_turns(spark.createDataFrame(rows, "session_id string, turn_id string, event_id long, stop boolean, path string, status string, continued boolean").repartition(3))
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
     assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()  # no Python call for each turn
+
+
+def test_pairs_are_written_once(spark, written):
+    n = 12
+    fields = [(f"s{i}", "f", f"s{i + 1}") for i in range(n)] + [("s3", "back", "s0")]
+    new = [(f"t{i}", f, f"t{r[1:]}") for i, (_, f, r) in enumerate(fields[:n])]
+    got = G.pair_schemas(table(spark, fields, "schema field ref"), table(spark, new, "schema field ref"), table(spark, [("s0", "t0")], "old new"))
+    assert {tuple(r) for r in got.select("old", "new", "depth").collect()} == {(f"s{i}", f"t{i}", i) for i in range(n + 1)}
+    assert written["paired"] <= 2 * n  # not all pairs again in each round
