@@ -116,3 +116,17 @@ def test_pairs_are_written_once(spark, written):
     got = G.pair_schemas(table(spark, fields, "schema field ref"), table(spark, new, "schema field ref"), table(spark, [("s0", "t0")], "old new"))
     assert {tuple(r) for r in got.select("old", "new", "depth").collect()} == {(f"s{i}", f"t{i}", i) for i in range(n + 1)}
     assert written["paired"] <= 2 * n  # not all pairs again in each round
+
+
+def test_depths_of_pairs_are_those_of_reachable_without_ranks(spark, written):
+    edges = random_edges(5, 14, 20) + [("n1", "n1")]
+    e, roots = table(spark, edges, "source target"), table(spark, [(f"n{i}",) for i in range(14)] + [("lone",)], "root")
+    want = {(r, n, d) for r in [f"n{i}" for i in range(14)] + ["lone"] for n, d in depths(edges, r).items()}
+    assert {tuple(x) for x in G.pair_depths(e, roots).collect()} == want
+    with pytest.raises(ValueError, match="more than 2 nodes"):
+        G.pair_depths(e, roots, max_nodes=2)
+    with pytest.raises(ValueError, match="beyond depth 1"):
+        G.pair_depths(table(spark, [("a", "b"), ("b", "c")], "source target"), table(spark, [("a",)], "root"), 1)
+    written.clear()
+    G.flatten_inheritance(table(spark, [("C", "B"), ("B", "A"), ("A", None)], "class parent"), spark.createDataFrame([("A", "x", 1, "int")], "class string, field string, pos int, type string"))
+    assert not written["parents"] and not written["reach"]
