@@ -130,3 +130,13 @@ def test_depths_of_pairs_are_those_of_reachable_without_ranks(spark, written):
     written.clear()
     G.flatten_inheritance(table(spark, [("C", "B"), ("B", "A"), ("A", None)], "class parent"), spark.createDataFrame([("A", "x", 1, "int")], "class string, field string, pos int, type string"))
     assert not written["parents"] and not written["reach"]
+
+
+def test_samples_write_each_level_once(spark, monkeypatch):
+    names, write = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name: names.append(name) or write(df, name))
+    schema = spark.createDataFrame([("L", "array"), ("O", "object"), ("x", "integer")], "node string, type string").selectExpr("node", "type", "cast(null as string) as format", "if(node = 'x', '5', null) as fixed", "cast(null as array<string>) as options", "cast(null as string) as ref")
+    links = spark.createDataFrame([("O", "property", "a", 0, "x"), ("O", "property", "b", 1, "L"), ("O", "property", "gone", 2, "nowhere")], "node string, kind string, name string, position int, child string")
+    got = G.generate_rows(spark.createDataFrame([("op", "O")], "operation string, node string"), schema, links, 1, 3).first()["document"]
+    assert got.startswith('{"a":5,"b":["') and "gone" not in got and got.count('"') == 8  # two texts for items without a schema
+    assert not [n for n in names if n.startswith("sample-front")] and names.count("sample-1") == 1
