@@ -140,3 +140,38 @@ def test_samples_write_each_level_once(spark, monkeypatch):
     got = G.generate_rows(spark.createDataFrame([("op", "O")], "operation string, node string"), schema, links, 1, 3).first()["document"]
     assert got.startswith('{"a":5,"b":["') and "gone" not in got and got.count('"') == 8  # two texts for items without a schema
     assert not [n for n in names if n.startswith("sample-front")] and names.count("sample-1") == 1
+
+
+def test_sites_of_a_lineage_are_read_once_and_evidence_is_the_first_of_many(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    lines = [("c", "set", i, 5) for i in range(30)] + [("d", "set", 7, 5)]
+    calls = spark.createDataFrame(lines, "caller string, setter string, line int, column int").mapInPandas(counted, "caller string, setter string, line int, column int")
+    sites = spark.createDataFrame([(*x, "src", f"p{x[2] % 3}") for x in lines if x[2] != 29] + [("c", "set", 99, 1, "src", "p0")], "caller string, setter string, line int, column int, source string, slot string")
+    lost = spark.createDataFrame([("c", "set", i, 1) for i in range(40, 50)], "caller string, setter string, line int, column int")
+    reach = table(spark, [("op", "op", None), ("op", "c", "op"), ("op", "d", "op")], "root node parent").withColumn("depth", F.when(F.col("node") == "op", 0).otherwise(1))
+    nodes = table(spark, [("op", "Op", "a"), ("c", "C", "f"), ("d", "D", "f")], "node name file")
+    domains = spark.createDataFrame([("d0", "E", "get", True, [], [], [], False, ["v"])], "domain string, enum_fqn string, accessor string, complete boolean, external array<string>, unknown array<string>, literals array<string>, transformed boolean, values array<string>")
+    got = G.field_lineage(reach, nodes, table(spark, [("op", "f", "set")], "operation field setter"), calls, sites, lost, table(spark, [("op", f"p{i}", "d0") for i in range(2)], "operation slot domain"), domains).collect()
+    assert [(x["status"], x["enum_fqn"]) for x in got] == [("known", "E")]
+    writes = [f"write:f:{i}:5:src" for i in range(29)]
+    assert got[0]["evidence"] == [writes[0], "chain:Op => C", *writes[1:8], "chain:Op => D", *writes[8:18]]
+    assert got[0]["unknowns"] == ["unindexed setter argument at f:29:5", "unindexed setter call:f:99:1", "unknown", "unresolved setter call:f:40:1"]
+    assert reads.value == len(lines)
+
+
+def test_rows_beside_are_the_same_for_keys_dealt_by_ranges(spark, monkeypatch):
+    r = random.Random(4)
+    left = spark.createDataFrame([(r.choice(["hot", "hot", "a", None]), r.choice([None, *range(60)]), i) for i in range(400)], "k string, at int, tag int")
+    right = spark.createDataFrame([(r.choice(["hot", "hot", "a", "b"]), r.randrange(60), r.randrange(9)) for _ in range(200)], "k string, pos int, id int")
+    both = lambda: [sorted(map(str, f(left, right, ["k"], "at", "pos", "id").collect())) for f in (R.nearest, R.as_of)]
+    whole = both()
+    dealt, ranges = [], R._beside_ranges
+    monkeypatch.setattr(R, "_beside_ranges", lambda *a: (dealt.append(1), ranges(*a))[1])
+    monkeypatch.setattr(R, "HOT_ROWS", 150)
+    assert both() == whole and len(dealt) == 2
