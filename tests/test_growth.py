@@ -175,3 +175,31 @@ def test_rows_beside_are_the_same_for_keys_dealt_by_ranges(spark, monkeypatch):
     monkeypatch.setattr(R, "_beside_ranges", lambda *a: (dealt.append(1), ranges(*a))[1])
     monkeypatch.setattr(R, "HOT_ROWS", 150)
     assert both() == whole and len(dealt) == 2
+
+
+def test_long_flows_are_settled_without_a_round_for_each_step(spark, monkeypatch):
+    names, write = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name: (names.append(name), write(df, name))[1])
+    n = 60
+    calls = [(f"m{i}", f"m{i + 1}", f"s{i + 1}", f"s{i}", None) for i in range(n)] + [("e", "m0", "s0", None, "D"), (f"m{n}", f"m{n - 1}", f"s{n - 1}", f"s{n}", None)]
+    slots = table(spark, [(f"s{i}", f"m{i}") for i in range(n + 1)] + [("lone", "e")], "slot method")
+    reach = table(spark, [("op", m) for m in ["e", *(f"m{i}" for i in range(n + 1))]] + [("cut", f"m{i}") for i in range(3)], "root node")
+    got = {tuple(x) for x in G.propagate_domains(slots, table(spark, calls, "caller method slot from_slot domain"), reach).collect()}
+    want = {("op", f"s{i}", "D") for i in range(n + 1)} | {("op", f"s{i}", "unknown") for i in (n - 1, n)} | {("op", "lone", "unknown")} | {("cut", f"s{i}", "unknown") for i in range(4)}
+    assert got == want
+    assert len(names) < n
+
+
+def test_great_components_give_what_small_ones_give(spark, monkeypatch):
+    r = random.Random(6)
+    calls = []
+    for i in range(60):
+        a, b = r.randrange(40), r.randrange(40)
+        source = f"s{a}" if r.random() < 0.6 else None
+        calls.append((f"m{a}", f"m{b}", f"s{b}", source, None if source else r.choice(["A", "B", None])))
+    slots = table(spark, [(f"s{i}", f"m{i}") for i in range(40)], "slot method")
+    reach = table(spark, [(op, f"m{i}") for op in "xy" for i in range(40) if r.random() < 0.8], "root node")
+    run = lambda: sorted(map(tuple, G.propagate_domains(slots, table(spark, calls, "caller method slot from_slot domain"), reach).collect()))
+    whole = run()
+    monkeypatch.setattr(G, "GROUP_ROWS", 8)
+    assert run() == whole
