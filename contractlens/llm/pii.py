@@ -1,11 +1,12 @@
 """Personal data: base rules, and a character tagger that adds what the rules miss.
 
 A bidirectional LSTM with CRF transitions learns from labelled passages of a bounded sample, most of them rewritten
-into forms that the rules do not know (`name at host dot com`, `(at)`, other digit grouping, `10 . 0 . 0 . 1`). Its
-windows run over the whole text and lie wherever one of the four kinds can be: around every digit, every `@`, and every
-`at` that a `dot` follows, bracketed or not; text without these holds none of them. Each window is decoded by Viterbi;
-each character takes the tag of the window in whose middle it lies, and the runs of tags over the whole text become
-spans. A span is added where its content fits its kind and no base span is touched.
+into forms that the rules do not know (`name at host dot com`, `(at)`, other digit grouping, `10 . 0 . 0 . 1`). A span is
+added where its content fits its kind and no base span is touched. Its windows cover every character that such a
+content can hold, with room on both sides: what `fits` takes for an address is an `at` between pieces that dots join,
+and for a number a stretch with digits and without letters, each however long (`regions`). A tag outside of
+these could not become a span. Each window is decoded by Viterbi; each character takes the tag of the window in whose
+middle it lies, and the runs of tags over the whole text become spans.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]|[(\[{]\s*(?:at|AT|At)\s*[)\]}]|(?<![^\W_])(?:at|AT|At)(?=\s[^\n]{1,40}?\s(?:dot|DOT|Dot)\s)")
 DOT = re.compile(r"\s*[(\[{]\s*dot\s*[)\]}]\s*|\s+dot\s+|\s*\.\s*", re.I)
 AT = re.compile(r"\s*[(\[{]\s*at\s*[)\]}]\s*|\s+at\s+|\s*@\s*", re.I)
+NUMBER = re.compile(r"[0-9][^A-Za-z]*")
+AT_CORE = re.compile(r"@|[(\[{]\s*at\s*[)\]}]|(?<=\s)at(?=\s)", re.I)
+PIECES = r"\s*(?:\s*(?:\.|[()\[\]{{}}]\s*{0}\s*[()\[\]{{}}]|(?<=\s){0}(?=\s))\s*|[{1}])*"
+HOST, EMAN = re.compile(PIECES.format("dot", r"\w-"), re.I), re.compile(PIECES.format("tod", r"\w%+-"), re.I)  # the name is read backwards
 WINDOW, STRIDE, REACH = 64, 32, 24
 SPREAD = 25  # documents looked at for each passage
 SAMPLE = 600  # passages that the tagger learns from, at most
@@ -74,12 +79,31 @@ def base_spans(text: str) -> list[Span]:
     return ordered(out, KINDS)
 
 
+def regions(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of all that contents which fit a kind can lie in: stretches of digits and whatever is no ASCII letter,
+    and an `at` of any form with the pieces of a name before it and of a host after it."""
+    done = 0
+    for m in NUMBER.finditer(text):
+        s = m.start()
+        while s > done and not ("a" <= text[s - 1] <= "z" or "A" <= text[s - 1] <= "Z"):
+            s -= 1
+        done = m.end()
+        yield s, done
+    back = None
+    for m in AT_CORE.finditer(text):
+        host = HOST.match(text, m.end())
+        if sum(map(bool, DOT.split(host[0].strip()))) < 2:
+            continue
+        back = back or text[::-1]
+        yield len(text) - EMAN.match(back, len(text) - m.start()).end(), host.end()
+
+
 def windows_of(text: str) -> list[int]:
-    """Starts of the overlapping windows that cover the surroundings of every trigger."""
+    """Starts of the overlapping windows that cover every region, and the surroundings of every trigger."""
     starts: list[int] = []
     end = -1  # what is covered with room on the right
-    for m in TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for a, z in sorted({*regions(text), *((m.start(), m.end()) for m in TRIGGER.finditer(text))}):
+        lo, hi = max(0, a - REACH), min(len(text), z + REACH)
         if hi <= end:
             continue
         s = max(lo, end - STRIDE) if starts and lo < end else lo

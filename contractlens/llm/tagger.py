@@ -9,19 +9,26 @@ OWN = "@.-+_%()[]/:, \n#*|"
 CLASSES = 1 + 26 + 1 + 1 + len(OWN) + 1  # padding, a-z, other letters, digits, own, rest
 
 
+def _class_of(c: str) -> int:
+    low = c.lower()
+    if "a" <= low <= "z" and len(low) == 1:
+        return ord(low) - 96
+    if c.isdigit():
+        return 28
+    if c.isalpha():
+        return 27
+    k = OWN.find(c)
+    return 29 + k if k >= 0 else CLASSES - 1
+
+
+LOW = np.array([_class_of(chr(i)) for i in range(0x600)], np.int16)
+
+
 def classes(text: str) -> np.ndarray:
-    out = np.empty(len(text), np.int16)
-    for i, c in enumerate(text):
-        low = c.lower()
-        if "a" <= low <= "z" and len(low) == 1:
-            out[i] = ord(low) - 96
-        elif c.isdigit():
-            out[i] = 28
-        elif c.isalpha():
-            out[i] = 27
-        else:
-            k = OWN.find(c)
-            out[i] = 29 + k if k >= 0 else CLASSES - 1
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = LOW[np.minimum(codes, len(LOW) - 1)]
+    for i in np.flatnonzero(codes >= len(LOW)).tolist():
+        out[i] = _class_of(text[i])
     return out
 
 

@@ -268,3 +268,22 @@ def test_mixing(docs, rows, empty):
     assert Counter((g["doc_id"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 4)) for g in got) == want
     assert all(g["score"] < 0 for g in got)
     assert mixing.score_texts(empty).count() == 0
+
+
+def test_windows_cover_whatever_can_be_added():
+    r = random.Random(1)
+    bits = ["john", "at", "AT", "dot", ".", "(", ")", "[", "]", "@", "com", "12", "1.2.3.4", "4111", "-", "é", "\n", "_", "%"]
+    texts = ["write to anna at example.com today", "anna at " + "long." * 30 + "com or not", "9" + "-" * 200 + "12 34 56 78 90"]
+    texts += ["".join(r.choice(bits) + r.choice(["", " "]) for _ in range(12)) for _ in range(300)]
+    found = 0
+    for t in texts:
+        read = set().union(*(range(s, s + pii.WINDOW) for s in pii.windows_of(t)))
+        parts = list(pii.regions(t))
+        for a in range(len(t)):
+            for z in range(a + 5, len(t) + 1):
+                if t[a] in " .,-" or t[z - 1] in " .,-" or not any(pii.fits(k, t[a:z]) for k in pii.KINDS):
+                    continue
+                found += 1
+                assert any(s <= a and z <= e for s, e in parts), t[a:z]
+                assert read.issuperset(range(a, z)), t[a:z]
+    assert found > 500
