@@ -1,11 +1,11 @@
-"""Language-model scores by online logistic context mixing.
+"""Language-model scores by logistic context mixing.
 
 A text is read as its lower-cased words, each followed by a space, and an end byte. Each bit of each byte is predicted
 by counters in seven contexts: the last 1, 2, 3 and 4 bytes of the word; the class of the text so far with 3 bytes; the
 word so far; the class with the word so far. Their stretched probabilities are added under weights that a gate picks
-(bit position, how often the word so far was seen, whether this class has seen it) and that were learned online, bit
-after bit in text order; an adaptive probability map refines the sum. The class is that of the last words before: the
-likeliest component of a small mixture of word distributions, so that the model follows the language of a text.
+(bit position, how often the word so far was seen, whether this class has seen it); a probability map refines the sum.
+The class is that of the last words before: the likeliest component of a small mixture of word distributions, so that
+the model follows the language of a text.
 
 The contexts of a byte end where its word begins, so a word's probability depends on the word and the class only.
 Hence every distinct (word, class) of the corpus is scored once, in Spark:
@@ -15,9 +15,13 @@ Hence every distinct (word, class) of the corpus is scored once, in Spark:
   stand together, so the counters of the word so far are sums over stretches of a run; what stretches share across the
   ends of runs is added up from the runs' first and last stretches, so counts are exact and do not depend on the runs;
 * the counters of short contexts are hashed into tables of fixed size, summed in Spark;
+* within a run, the bytes that words share in front are mixed once for each class;
 * texts look up the commonest words in a bounded broadcast and join the rest.
 
-Mixing weights, map and classes are fitted on a bounded sample of training documents (SAMPLE, PASSAGE).
+Everything is learned from all training texts, whole. The classes are a mixture fitted by rounds over the counts of
+frequent words in each text. Weights and map take every training use of every word, taken out of its own counters: as
+all uses of a word after a class have the same inputs, a pass over the sorted runs, weighted by uses, is one over all
+texts. A pass adds up slopes and curvatures for each gate in Spark; a few Newton steps follow from them.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain, repeat
 
 import numpy as np
@@ -35,11 +40,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, materialize, per_text, slices, table
+from .common import materialize, per_text, slices, table
 
 CLASSES = 6  # 0: no known word so far
 CLASS_WORDS, HISTORY = 1000, 64  # words that tell classes; words looked back at
-SAMPLE, PASSAGE = 400, 5000  # training documents that weights are learned on, at most; characters of each, at most
+CLASS_SHARE = 1 / 20_000  # of the training words that a word which tells classes has at least
+ANCHORS = 100  # the commonest of them: which words they share texts with gives the classes to begin with
+ROUNDS = 25  # over the training texts, at most, in which classes settle
+STEPS = 20  # passes over the training uses, at most, in which weights settle
+SETTLED = 1e-3  # share of the code length that another step would save
+PRIOR = 10  # uses that the first weights count as
 COMMON = 200_000  # words that are broadcast with their scores, at most
 RUN = 65_536  # distinct words of a sorted run
 LONG = 64  # bytes of a word that are scored at once: longer words are read in pieces
@@ -77,35 +87,171 @@ def units_of(word: bytes) -> list[tuple[bytes, int]]:
 # --- classes ---------------------------------------------------------------------------------------------------------
 
 
+def summed(rows: DataFrame, fn: Callable[[dict], np.ndarray], size: int) -> np.ndarray:
+    """Sum, over all rows, of the arrays of a given size that fn makes of them: tasks add theirs up, Spark those of tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            for row in rows_of(b):
+                total += fn(row)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "v"])
+
+    got = rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # a row a cell
+    out = np.zeros(size)
+    out[got.column("at").to_numpy()] = got.column("v").to_numpy()
+    return out
+
+
+def frequent_words(train: DataFrame, most: int = 300_000) -> list[bytes]:
+    """Every word that has CLASS_SHARE of all words, and others.
+
+    A word that has this share of the whole has it in one of the stretches at least that tasks cut their texts into, so
+    a stretch tells only of such words, 1 / CLASS_SHARE at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            least = CLASS_SHARE * n.total()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, m in n.items() if m >= least], pa.binary())], names=["w"])
+
+        for b in batches:
+            for part in slices(b, "text"):
+                for t in part.column("text").to_pylist():
+                    n.update(words_of(t))
+                if len(n) > most:
+                    yield flush()
+                    n.clear()
+        yield flush()
+
+    return sorted(bytes(r["w"]) for r in train.select("text").mapInArrow(run, "w binary").distinct().toLocalIterator())
+
+
+def count_words(texts: list[list[bytes]], at: dict[bytes, int]) -> dict:
+    """Of some texts, a row: where each begins in `word` and `n`, its different words that are in `at` and their uses;
+    and the number of all words."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ids = np.fromiter(map(at.get, chain.from_iterable(texts), repeat(-1)), np.int64, int(sizes.sum()))
+    code, n = np.unique((np.repeat(np.arange(len(texts)), sizes) * len(at) + ids)[ids >= 0], return_counts=True)
+    text, word = np.divmod(code, max(len(at), 1))
+    _, begins = np.unique(text, return_index=True)
+    return {"begins": begins.astype(np.int32).tobytes(), "word": word.astype(np.int32).tobytes(), "n": n.astype(np.int32).tobytes(), "words": int(sizes.sum())}
+
+
+def counts_in(row: dict, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word and uses of a row of count_words, for the words that have a column."""
+    begins, word, n = (np.frombuffer(row[c], np.int32) for c in ("begins", "word", "n"))
+    text = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(word)]))
+    word = column[word]
+    keep = word >= 0
+    return text[keep], word[keep], n[keep].astype(np.int64)
+
+
+def uses_of_words(row: dict, size: int) -> np.ndarray:
+    return np.r_[np.bincount(np.frombuffer(row["word"], np.int32), np.frombuffer(row["n"], np.int32), size), row["words"]]
+
+
+def texts_shared(row: dict, column: np.ndarray, anchors: int, size: int) -> np.ndarray:
+    """Number of texts in which each of the first words stands with each word."""
+    text, word, _ = counts_in(row, column)
+    out = np.zeros((anchors, size))
+    for s in range(0, int(text.max(initial=-1)) + 1, 1024):
+        a, z = np.searchsorted(text, [s, s + 1024])
+        there = np.zeros((1024, size), np.float32)
+        there[text[a:z] - s, word[a:z]] = 1
+        out += there[:, :anchors].T @ there
+    return out.ravel()
+
+
+def shares_of(s: np.ndarray) -> np.ndarray:
+    share = np.exp(s - s.max(1, keepdims=True))
+    return share / share.sum(1, keepdims=True)
+
+
+def uses_by_class(row: dict, column: np.ndarray, evidence: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Uses of each word by the classes of its texts, then texts by class, in whole steps of 1/65536: sums of any order
+    are the same. Texts of fewer than 5 of the words are left aside."""
+    text, word, n = counts_in(row, column)
+    of, begins = np.unique(text, return_index=True)
+    out = np.zeros((len(evidence) + 1, len(prior)))
+    if len(of):
+        share = shares_of(np.add.reduceat(evidence[word] * n[:, None], begins) / 1024 + prior)
+        share = np.where(np.add.reduceat(n, begins)[:, None] >= 5, np.rint(share * 65536), 0)
+        each = np.repeat(share, np.diff(np.r_[begins, len(n)]), 0) * n[:, None]
+        out[:-1] = np.stack([np.bincount(word, x, len(evidence)) for x in each.T], 1)
+        out[-1] = share.sum(0)
+    return out.ravel()
+
+
+def evidence_of(uses: np.ndarray) -> np.ndarray:
+    """Evidence of each class (column) for each word, from uses by class; a class without texts has that of no class."""
+    common = uses.sum(1, keepdims=True) + 0.05
+    p = uses + 0.05 * len(uses) * common / common.sum()
+    p = np.log(p / p.sum(0))
+    return np.rint((p - p.mean(1, keepdims=True)) * 1024).astype(np.int64)
+
+
+def first_uses(shared: np.ndarray, classes: int) -> np.ndarray:
+    """Uses by class to begin with: the anchors parted into classes by the words that they share texts with."""
+    unit = shared / np.linalg.norm(shared, axis=1, keepdims=True)
+    heads = [int(shared.sum(1).argmax())]
+    while len(heads) < classes:  # the anchor least like those chosen
+        heads.append(int((unit @ unit[heads].T).max(1).argmin()))
+    share = shares_of(8 * unit @ unit[heads].T)
+    for _ in range(ROUNDS):
+        uses = shared.T @ share
+        share = shares_of(shared @ evidence_of(uses) / 1024 + np.log(share.sum(0) + 1))
+    return shared.T @ share
+
+
 class Gate:
-    """What the words of a text say of its class: evidence of each class for the commonest words of the sample, in steps of 1/1024 of a natural logarithm."""
-
-    def __init__(self, texts: list[list[bytes]], classes: int = CLASSES - 1, most: int = CLASS_WORDS, rounds: int = 25):
-        n = Counter(w for ws in texts for w in ws if w != END)
-        top = sorted(n, key=lambda w: (-n[w], w))[:most]
-        self.at = {w: i for i, w in enumerate(top)}
-        x = np.zeros((len(texts), len(top)))
-        for i, ws in enumerate(texts):
-            for w in ws:
-                if w in self.at:
-                    x[i, self.at[w]] += 1
-        x = x[x.sum(1) >= 5]
+    """What the words of a text say of its class: evidence of each class for the commonest words, in steps of 1/1024 of a natural logarithm."""
+
+    def __init__(self, texts: list[list[bytes]], classes: int = CLASSES - 1):
+        names = sorted({w for ws in texts for w in ws if w != END})
+        row = count_words(texts, {w: i for i, w in enumerate(names)})
+        self._fit(names, lambda fn, size: fn(row), classes)
+
+    @classmethod
+    def of(cls, train: DataFrame) -> Gate:
+        """From all texts of a table."""
+        names = frequent_words(train)
+        sent = train.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part in slices(b, "text"):
+                    row = count_words([words_of(t) for t in part.column("text").to_pylist()], sent.value)
+                    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row.values()], names=list(row))
+
+        rows = materialize(train.select("text").mapInArrow(run, "begins binary, word binary, n binary, words long"), "class-words")
+        out = cls.__new__(cls)
+        out._fit(names, partial(summed, rows), CLASSES - 1)
+        return out
+
+    def _fit(self, names: list[bytes], gather: Callable[[Callable[[dict], np.ndarray], int], np.ndarray], classes: int) -> None:
+        n = gather(partial(uses_of_words, size=len(names)), len(names) + 1)
+        top = sorted((i for i in range(len(names)) if n[i] >= CLASS_SHARE * n[-1]), key=lambda i: (-n[i], names[i]))[:CLASS_WORDS]
+        self.at = {names[i]: k for k, i in enumerate(top)}
         self.evidence = np.zeros((len(top), classes), np.int32)
-        if not len(x):
+        if not top:
             return
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        heads = [int(x.sum(1).argmax())]
-        while len(heads) < classes:  # the passage least like those chosen
-            heads.append(int((unit @ unit[heads].T).max(1).argmin()))
-        share = np.exp(8 * unit @ unit[heads].T)
-        share /= share.sum(1, keepdims=True)
-        for _ in range(rounds):
-            p = share.T @ x + 0.05
-            logs = np.log(p / p.sum(1, keepdims=True))
-            s = x @ logs.T + np.log(share.sum(0) + 1)
-            share = np.exp(s - s.max(1, keepdims=True))
-            share /= share.sum(1, keepdims=True)
-        self.evidence = np.rint((logs - logs.mean(0)).T * 1024).astype(np.int32)
+        column = np.full(len(names), -1)
+        column[top] = np.arange(len(top))
+        anchors = min(ANCHORS, len(top))
+        shared = gather(partial(texts_shared, column=column, anchors=anchors, size=len(top)), anchors * len(top))
+        uses, prior = first_uses(shared.reshape(anchors, -1), classes), np.zeros(classes)
+        for _ in range(ROUNDS):
+            evidence = evidence_of(uses)
+            got = gather(partial(uses_by_class, column=column, evidence=evidence, prior=prior), (len(top) + 1) * classes).reshape(-1, classes) / 65536
+            uses, prior = got[:-1], np.log(got[-1] + 1)
+            moved = np.abs(evidence_of(uses) - evidence).mean(1)
+            if (moved * n[top]).sum() <= 10 * n[top].sum():  # a hundredth of a logarithm
+                break
+        self.evidence = evidence_of(uses).astype(np.int32)
 
     @property
     def rows(self) -> np.ndarray:
@@ -349,6 +495,29 @@ class Bytes:
         return (self.gram >> 8) & 0xFFFFFF | classes[self.owner].astype(np.int64) << 24
 
 
+class Nodes(Bytes):
+    """The bytes of some keys of a run (rows, ascending, each after a class), but those in front that the key before
+    with the same class has too only once: all that a byte is mixed from is the same there. `unit` and `node` tell of
+    each byte of the keys its key and where it is found."""
+
+    def __init__(self, run: Run, rows: np.ndarray, classes: np.ndarray):
+        super().__init__([run.keys[i] for i in rows.tolist()])
+        sizes = np.fromiter(map(len, run.keys), np.int64, len(run.keys))[rows]
+        same = np.zeros(len(rows), np.int64)  # bytes shared with the key before
+        for k in range(CLASSES):
+            of = np.flatnonzero(classes == k)
+            if len(of):
+                same[of] = np.minimum.reduceat(run.shared, np.r_[0, rows[of[:-1]] + 1]) // 8
+                same[of[1:]] = np.minimum(same[of[1:]], sizes[of[:-1]])
+        new = self.place >= same[self.owner]
+        order = np.argsort((self.place * CLASSES + classes[self.owner]).astype(np.uint16), kind="stable")  # keys one after another, by place and class
+        first = new[order]
+        self.node = np.empty(len(order), np.int64)
+        self.node[order] = (np.cumsum(new) - 1)[order[first]][np.cumsum(first) - 1]
+        self.unit = self.owner
+        self.owner, self.place, self.gram, self.byte = self.owner[new], self.place[new], self.gram[new], self.byte[new]
+
+
 def short_tables(runs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones counted in each slot of the short contexts, from the packed runs."""
 
@@ -433,7 +602,6 @@ class Mixer:
         self.w = np.full((GATES, INPUTS + 1), 0.15, np.float32)
         self.w[:, -2], self.w[:, -1] = 0.4, 0
         self.sums = np.zeros((2, 256 * BUCKETS + 1))
-        self.power = np.full(self.w.shape, 1e-4)
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         w = np.ascontiguousarray(self.w.T)
@@ -448,21 +616,6 @@ class Mixer:
         low = at.astype(np.int32)
         return NODE[byte].astype(np.int32) * BUCKETS + low, at - low.astype(np.float32)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, byte: np.ndarray, rate: float = 0.03) -> None:
-        """One online step over some bytes; what the map refines is counted on the way."""
-        bit = BIT[byte]
-        st = self.mix(x, gate)
-        at, share = self.cells(byte, st)
-        at = (at + bit * self.sums.shape[1]).ravel()
-        high = share.ravel()
-        self.sums += (np.bincount(at, 1 - high, self.sums.size) + np.bincount(at + 1, high, self.sums.size)).reshape(self.sums.shape)
-        err = bit - 1 / (1 + np.exp(-st))
-        g = gate.ravel()
-        uses = np.maximum(np.bincount(g, minlength=GATES), 1)
-        step = np.stack([np.bincount(g, (err * each).ravel(), GATES) for each in [*x, np.ones_like(st)]], 1) / uses[:, None]
-        self.power += step**2
-        self.w += (rate * step / np.sqrt(self.power)).astype(np.float32)
-
     def settle(self) -> None:
         prior = 1 / (1 + np.exp(-(np.arange(256 * BUCKETS + 1) % BUCKETS * (24 / (BUCKETS - 1)) - 12)))
         self.apm = ((self.sums[1] + 8 * prior) / (self.sums[0] + self.sums[1] + 8)).astype(np.float32)
@@ -476,47 +629,81 @@ class Mixer:
         return np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
 
 
-def learn_weights(runs: DataFrame, ends: dict, zeros: np.ndarray, ones: np.ndarray, texts: list[list[bytes]], gate: Gate) -> Mixer:
-    """Weights and map, learned online over the sample's bytes in text order, each use taken out of its own counters."""
-    mixer, look = Mixer(), Lookup(gate, grow=True)
-    ids, classes, _ = look.read(texts)
-    names = look.words
-    units: dict[tuple[bytes, int], int] = {}
-    order = [units.setdefault((u, int(k)), len(units)) for i, k in zip(ids.tolist(), classes.tolist(), strict=True) for u, kind in units_of(names[i]) if kind != DIGEST]
-    wanted: dict[bytes, list[int]] = {}
-    for u, k in units:
-        wanted.setdefault(u, []).append(k)
-    sent = runs.sparkSession.sparkContext.broadcast((wanted, ends))
-
-    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        wanted, ends = sent.value
-        for b in batches:
-            for row in rows_of(b):
-                run = Run.unpack(row)
-                run.head, run.tail = ends[row["first"], row["last"]]
-                pairs = [(i, key, k) for i, key in enumerate(run.keys) for k in wanted.get(key, ())]
-                data = Bytes([key for _, key, _ in pairs])
-                rows, classes = (np.array([p[j] for p in pairs], np.int64) for j in (0, 2))
-                x, g = long_inputs(run, rows, classes, data, 1)
-                cut = np.searchsorted(data.owner, np.arange(len(pairs) + 1))
-                out = [(key, k, x[:, a:z].astype(np.float16).tobytes(), g[a:z].astype(np.uint8).tobytes()) for (_, key, k), a, z in zip(pairs, cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.binary(), pa.int32(), pa.binary(), pa.binary()))], names=["key", "k", "x", "g"])
-
-    got = {(bytes(r.key), r.k): (r.x, r.g) for r in runs.mapInArrow(inputs, "key binary, k int, x binary, g binary").toLocalIterator()}  # as many as the sample has
-    sent.destroy()
-    named = list(units)
-    for s in range(0, len(order), 256):
-        part = [named[i] for i in order[s : s + 256]]
-        data = Bytes([u for u, _ in part])
-        classes = np.array([k for _, k in part])
-        bit = BIT[data.byte]
-        x = np.empty((INPUTS, len(data.byte), 8), np.float32)
-        for c in range(len(TABLE_BITS)):
-            at = slots_of(c, data.context(c, classes), data.byte)
+SLOPES = np.cumsum([GATES * (INPUTS + 1), GATES * (INPUTS + 1) ** 2, GATES, 2 * (256 * BUCKETS + 1)])
+
+
+def slopes(run: Run, zeros: np.ndarray, ones: np.ndarray, mixer: Mixer) -> np.ndarray:
+    """Over the training uses of a run, each taken out of its own counters: by gate, slopes and curvatures of the code
+    length by the weights, and the length; then what the map counts."""
+    rows, classes = np.nonzero((run.n > 0) & (run.kind != DIGEST)[:, None])
+    data = Nodes(run, rows, classes)
+    n = np.bincount(data.node, run.n[rows, classes][data.unit], len(data.byte))
+    longer, gates = long_inputs(run, rows, classes, data, 1)
+    contexts = [data.context(c, classes) for c in range(len(TABLE_BITS))]
+    slope, curve, length = np.zeros((GATES, INPUTS + 1)), np.zeros((GATES, INPUTS + 1, INPUTS + 1)), np.zeros(GATES)
+    sums = np.zeros(2 * (256 * BUCKETS + 1))
+    for s in range(0, len(n), 8192):
+        part = slice(s, s + 8192)
+        byte = data.byte[part]
+        bit = BIT[byte]
+        x = np.ones((INPUTS + 1, len(byte), 8), np.float32)
+        for c, value in enumerate(contexts):
+            at = slots_of(c, value[part], byte)
             z, o = zeros[at], ones[at]
             x[c] = stretched(np.where(bit == 1, o, z), z + o, bit, 1)
-        x[-2:] = np.concatenate([np.frombuffer(got[u][0], np.float16).reshape(2, -1, 8) for u in part], 1)
-        mixer.learn(x, np.concatenate([np.frombuffer(got[u][1], np.uint8).reshape(-1, 8) for u in part]).astype(np.int64), data.byte)
+        x[-3:-1] = longer[:, part]
+        gate = gates[part]
+        st = mixer.mix(x[:-1], gate.astype(np.int64))
+        uses = np.broadcast_to(n[part, None], bit.shape)
+        at, share = mixer.cells(byte, st)
+        at, high = (at + bit * (len(sums) // 2)).ravel(), (share * uses).ravel()
+        sums += np.bincount(at, uses.ravel() - high, len(sums)) + np.bincount(at + 1, high, len(sums))
+        p = 1 / (1 + np.exp(-st.astype(np.float64)))
+        miss = bit - p
+        length -= np.bincount(gate.ravel(), (uses * np.log1p(-np.abs(miss))).ravel(), GATES)
+        # Far from the middle the true curvature vanishes, and steps by it would overshoot: a miss counts there too.
+        bend = (uses * np.maximum(p * (1 - p), np.abs(miss) / (np.abs(st) + 4))).ravel()
+        miss = (uses * miss * (np.abs(st) < 11.89)).ravel()
+        order = np.argsort(gate.ravel(), kind="stable")
+        cut = np.searchsorted(gate.ravel()[order], np.arange(GATES + 1))
+        x, miss, bend = x.reshape(INPUTS + 1, -1)[:, order], miss[order].astype(np.float32), bend[order].astype(np.float32)
+        bent = x * bend
+        for j in np.flatnonzero(np.diff(cut)).tolist():
+            of = slice(cut[j], cut[j + 1])
+            slope[j] += x[:, of] @ miss[of]
+            curve[j] += bent[:, of] @ x[:, of].T
+    return np.concatenate([slope.ravel(), curve.ravel(), length, sums])
+
+
+def learn_weights(runs: DataFrame, ends: dict, zeros: np.ndarray, ones: np.ndarray) -> Mixer:
+    """Weights and map of all training uses: Newton steps for each gate until another would save next to nothing."""
+    mixer = Mixer()
+    first = mixer.w.astype(np.float64)
+    w = before = first
+    least = np.full(GATES, np.inf)
+    sent = runs.sparkSession.sparkContext.broadcast((ends, zeros, ones))
+    for i in range(STEPS):
+        mixer.w = w.astype(np.float32)
+
+        def pass_over(row: dict, mixer: Mixer = mixer) -> np.ndarray:
+            ends, zeros, ones = sent.value
+            run = Run.unpack(row)
+            run.head, run.tail = ends[row["first"], row["last"]]
+            return slopes(run, zeros, ones, mixer)
+
+        slope, curve, length, sums, _ = np.split(summed(runs, pass_over, int(SLOPES[-1])), SLOPES)
+        mixer.sums = sums.reshape(2, -1)
+        slope = slope.reshape(w.shape) - PRIOR * (w - first)
+        curve = curve.reshape(GATES, INPUTS + 1, INPUTS + 1) + PRIOR * np.eye(INPUTS + 1)
+        cost = length + PRIOR / 2 * ((w - first) ** 2).sum(1)
+        step = np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+        rose = cost > least
+        left = np.where(rose, cost - least, (step * slope).sum(1) / 2).sum()
+        if left <= SETTLED * length.sum() or i == STEPS - 1:
+            break
+        # A gate that a step made worse goes half the way back.
+        w, before, least = np.where(rose[:, None], (w + before) / 2, w + step), np.where(rose[:, None], before, w), np.minimum(cost, least)
+    sent.destroy()
     mixer.settle()
     return mixer
 
@@ -525,7 +712,7 @@ def score_units(run: Run, short: np.ndarray, mixer: Mixer) -> np.ndarray:
     """log10 probability of each unit after each class that it occurs with: (n, CLASSES), 0 elsewhere."""
     out = np.zeros((len(run.keys), CLASSES))
     rows, classes = np.nonzero((run.mask[:, None] >> np.arange(CLASSES)) & 1 & (run.kind != DIGEST)[:, None])
-    data = Bytes([run.keys[i] for i in rows.tolist()])
+    data = Nodes(run, rows, classes)
     longer, gates = long_inputs(run, rows, classes, data, 0)
     contexts = [data.context(c, classes) for c in range(len(TABLE_BITS))]
     logs = np.empty(len(data.byte))
@@ -535,7 +722,7 @@ def score_units(run: Run, short: np.ndarray, mixer: Mixer) -> np.ndarray:
         x = [short.take(slots_of(c, value[part], byte)) for c, value in enumerate(contexts)]
         p = mixer.probability([*x, longer[0, part], longer[1, part]], gates[part].astype(np.int64), byte)
         logs[part] = np.where(BIT[byte] == 1, p, 1 - p).prod(1, dtype=np.float64)
-    out[rows, classes] = np.bincount(data.owner, np.log10(logs), len(rows))
+    out[rows, classes] = np.bincount(data.unit, np.log10(logs)[data.node], len(rows))
     return out
 
 
@@ -564,13 +751,6 @@ def _hash(key: bytes) -> int:
     return h - (1 << 64) * (h >> 63)
 
 
-def _sample(docs: DataFrame) -> list[list[bytes]]:
-    """The words of passages of at most SAMPLE training documents, and the end if the passage is the whole text."""
-    train = docs.where("train").select("doc_id", F.substring("text", 1, PASSAGE).alias("text"), (F.length("text") > PASSAGE).alias("cut"))
-    rows = first_by_hash(train, ["doc_id", "text"], SAMPLE, docs.where("train").count()).collect()
-    return [words_of(r["text"])[:-1] if r["cut"] else [*words_of(r["text"]), END] for r in rows]
-
-
 def score_texts(docs: DataFrame, common: int = COMMON, run_size: int = RUN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every text.
 
@@ -582,8 +762,7 @@ def score_texts(docs: DataFrame, common: int = COMMON, run_size: int = RUN) -> D
     spark = docs.sparkSession
     fold: Column = F.crc32(F.col("doc_id").cast("string")) % 10
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.coalesce(fold != 0, F.lit(False)).alias("train"), "text")
-    texts = _sample(d)
-    gate = Gate(texts)
+    gate = Gate.of(d.where("train"))
     units = materialize(count_units(d, gate), "units")
     tokens = units.where(F.col("kind") != PART)
     uses = sum(F.col(f"n{k}") for k in range(CLASSES))
@@ -591,7 +770,7 @@ def score_texts(docs: DataFrame, common: int = COMMON, run_size: int = RUN) -> D
     runs = materialize(sorted_runs(units, units.count(), run_size), "runs")
     ends = join_ends([r.asDict() for r in runs.select("first", "last", "head", "tail").collect()])  # 12 KB a run
     zeros, ones = short_tables(runs)
-    mixer = learn_weights(runs, ends, zeros, ones, texts, gate)
+    mixer = learn_weights(runs, ends, zeros, ones)
     short = (np.log(ones + DELTA) - np.log(zeros + DELTA)).astype(np.float16)
     words = materialize(word_scores(runs, ends, short, mixer), "word-scores")
     # The least count from which on words are at most `common`: counts are few, so this is a small table.

@@ -329,6 +329,85 @@ def test_scores_do_not_depend_on_partitions_or_runs(spark, prose):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_everything_is_learned_from_all_of_each_training_text(spark, monkeypatch):
+    r = random.Random(3)
+    tongues = ["der die das und nicht".split(), "the of and to in".split()]
+    texts = ["fill " * 1100 + " ".join(r.choice(tongues[i % 2]) for _ in range(60)) for i in range(30)]
+    kept = {}
+
+    def keep(name):
+        old = getattr(mixing, name)
+
+        def new(*args, **more):
+            kept[name] = args, old(*args, **more)
+            return kept[name][1]
+
+        monkeypatch.setattr(mixing, name, new)
+
+    keep("count_units")
+    keep("learn_weights")
+    rows = mixing.score_texts(table(spark, texts)).collect()
+    gate, mixer = kept["count_units"][0][1], kept["learn_weights"][1]
+    train = [texts[x["doc_id"] - 1] for x in rows if not x["held_out"]]
+    assert set(tongues[0] + tongues[1]) <= {w.decode() for w in gate.at}
+    german, english = (gate.evidence[[gate.at[w.encode()] for w in ws]].argmax(1) for ws in tongues)
+    assert not set(german) & set(english)
+    assert mixer.sums.sum() == pytest.approx(8 * sum(len(t) + 2 for t in train))  # each bit, a space after the last word, the end
+
+
+def test_classes_of_a_table_do_not_depend_on_partitions(spark, prose):
+    words = [mixing.words_of(t) for t in prose]
+    n = Counter(w for ws in words for w in ws)
+    d = table(spark, prose)
+    often = {w for w, m in n.items() if m >= mixing.CLASS_SHARE * n.total()}
+    assert often <= set(mixing.frequent_words(d.repartition(3), most=4))
+    want = mixing.Gate(words)
+    for got in (mixing.Gate.of(d.coalesce(1)), mixing.Gate.of(d.repartition(5))):
+        assert got.at == want.at and (got.evidence == want.evidence).all()
+    top = sorted(often, key=lambda w: (-n[w], w))[: mixing.CLASS_WORDS]
+    assert list(want.at) == top
+
+
+def whole_run(prose):
+    n = units(prose)
+    keys = sorted({(u, kind) for u, kind, _ in n})
+    counts = np.array([[n[u, kind, k] for k in range(mixing.CLASSES)] for u, kind in keys])
+    return mixing.Run([u for u, _ in keys], np.array([k for _, k in keys]), counts, np.full(len(keys), 63, np.uint8))
+
+
+def test_shared_bytes_are_those_of_each_word(prose):
+    run = whole_run([*prose, "a" * 70 + " " + "a" * 90, "a ab abc abd b"])
+    rows, classes = np.nonzero((run.n > 0) & (run.kind != mixing.DIGEST)[:, None])
+    keys = [run.keys[i] for i in rows]
+    plain, got = mixing.Bytes(keys), mixing.Nodes(run, rows, classes)
+    assert (got.unit == plain.owner).all()
+    assert (got.gram[got.node] == plain.gram).all() and (got.place[got.node] == plain.place).all() and (classes[got.owner[got.node]] == classes[plain.owner]).all()
+    front = [(classes[p], keys[p][: d + 1]) for p, d in zip(plain.owner, plain.place, strict=True)]
+    deep = plain.place >= mixing.DEPTH  # told apart by word
+    assert len(got.byte) == len({f for f, x in zip(front, deep, strict=True) if not x}) + deep.sum()
+    assert all(keys[got.owner[i]][: len(f)] == f for i, (_, f), x in zip(got.node, front, deep, strict=True) if not x)
+
+
+def test_slopes_are_those_of_the_code_length(prose):
+    run = whole_run(prose)
+    r = np.random.default_rng(2)
+    zeros, ones = r.integers(1, 50, (2, mixing.OFFSET[-1])).astype(np.float32)
+    parts = lambda m: np.split(mixing.slopes(run, zeros, ones, m), mixing.SLOPES)
+    mixer = mixing.Mixer()
+    slope, curve, length, sums, _ = parts(mixer)
+    data = mixing.Bytes([u for u, kind in zip(run.keys, run.kind, strict=True) if kind != mixing.DIGEST])
+    assert sums.sum() == pytest.approx(8 * run.n[run.kind != mixing.DIGEST].sum(1)[data.owner].sum())
+    assert length.sum() > 0
+    slope = slope.reshape(mixer.w.shape)
+    for i in range(mixer.w.shape[1]):
+        ends = []
+        for step in (-1e-3, 1e-3):
+            other = mixing.Mixer()
+            other.w[:, i] += step
+            ends.append(parts(other)[2])
+        assert (ends[1] - ends[0]) / 2e-3 == pytest.approx(-slope[:, i], rel=0.02, abs=1 + 0.01 * np.abs(slope[:, i]).max())
+
+
 def units(prose):
     n = Counter()
     for i, t in enumerate(prose):
