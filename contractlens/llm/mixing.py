@@ -104,7 +104,7 @@ def summed(rows: DataFrame, fn: Callable[[dict], np.ndarray], size: int) -> np.n
     return out
 
 
-def frequent_words(train: DataFrame, most: int = 300_000) -> list[bytes]:
+def frequent_words(train: DataFrame, most: int = 100_000) -> list[bytes]:
     """Every word that has CLASS_SHARE of all words, and others.
 
     A word that has this share of the whole has it in one of the stretches at least that tasks cut their texts into, so
@@ -262,12 +262,18 @@ class Gate:
 def classes_of(evidence: np.ndarray, known: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Class before each token, from the evidence of the tokens of its text (begins: first token of each) before it."""
     n = len(known)
-    first = np.repeat(begins, np.diff(np.r_[begins, n]))
-    low = np.maximum(first, np.arange(n) - HISTORY)
+    low = np.maximum(np.repeat(begins, np.diff(np.r_[begins, n])), np.arange(n) - HISTORY)
     seen = np.r_[0, np.cumsum(known)]
-    total = np.concatenate([np.zeros((1, evidence.shape[1]), np.int32), np.cumsum(evidence, 0, np.int32)])  # may wrap; differences do not
-    at = np.arange(n)
-    return np.where(seen[at] > seen[low], 1 + (total[at] - total[low]).argmax(1), 0)
+    best, out = None, np.ones(n, np.int64)
+    for k in range(evidence.shape[1]):
+        total = np.zeros(n + 1, np.int32)
+        np.cumsum(evidence[:, k], dtype=np.int32, out=total[1:])  # may wrap; differences do not
+        total = total[:-1] - total.take(low)
+        if k:
+            out[total > best] = k + 1
+        best = np.maximum(best, total) if k else total
+    out[seen[:-1] <= seen.take(low)] = 0
+    return out
 
 
 class Lookup(dict):
@@ -632,7 +638,13 @@ class Mixer:
 SLOPES = np.cumsum([GATES * (INPUTS + 1), GATES * (INPUTS + 1) ** 2, GATES, 2 * (256 * BUCKETS + 1)])
 
 
-def slopes(run: Run, zeros: np.ndarray, ones: np.ndarray, mixer: Mixer) -> np.ndarray:
+def stretched_without_own(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """ln(p1/p0) of each slot with one use taken out, of a zero and of a one: at twice the slot, and the place after."""
+    less = lambda n: np.log(np.maximum(n - 1, 0) + DELTA)
+    return np.stack([np.log(ones + DELTA) - less(zeros), less(ones) - np.log(zeros + DELTA)], 1).ravel()
+
+
+def slopes(run: Run, short: np.ndarray, mixer: Mixer) -> np.ndarray:
     """Over the training uses of a run, each taken out of its own counters: by gate, slopes and curvatures of the code
     length by the weights, and the length; then what the map counts."""
     rows, classes = np.nonzero((run.n > 0) & (run.kind != DIGEST)[:, None])
@@ -642,15 +654,13 @@ def slopes(run: Run, zeros: np.ndarray, ones: np.ndarray, mixer: Mixer) -> np.nd
     contexts = [data.context(c, classes) for c in range(len(TABLE_BITS))]
     slope, curve, length = np.zeros((GATES, INPUTS + 1)), np.zeros((GATES, INPUTS + 1, INPUTS + 1)), np.zeros(GATES)
     sums = np.zeros(2 * (256 * BUCKETS + 1))
-    for s in range(0, len(n), 8192):
-        part = slice(s, s + 8192)
+    for s in range(0, len(n), 4096):
+        part = slice(s, s + 4096)
         byte = data.byte[part]
         bit = BIT[byte]
         x = np.ones((INPUTS + 1, len(byte), 8), np.float32)
         for c, value in enumerate(contexts):
-            at = slots_of(c, value[part], byte)
-            z, o = zeros[at], ones[at]
-            x[c] = stretched(np.where(bit == 1, o, z), z + o, bit, 1)
+            x[c] = short.take(2 * slots_of(c, value[part], byte) + bit)
         x[-3:-1] = longer[:, part]
         gate = gates[part]
         st = mixer.mix(x[:-1], gate.astype(np.int64))
@@ -658,15 +668,15 @@ def slopes(run: Run, zeros: np.ndarray, ones: np.ndarray, mixer: Mixer) -> np.nd
         at, share = mixer.cells(byte, st)
         at, high = (at + bit * (len(sums) // 2)).ravel(), (share * uses).ravel()
         sums += np.bincount(at, uses.ravel() - high, len(sums)) + np.bincount(at + 1, high, len(sums))
-        p = 1 / (1 + np.exp(-st.astype(np.float64)))
-        miss = bit - p
-        length -= np.bincount(gate.ravel(), (uses * np.log1p(-np.abs(miss))).ravel(), GATES)
+        sign = np.float32(2) * bit.astype(np.float32) - 1
+        miss = 1 / (1 + np.exp(sign * st))
+        length -= np.bincount(gate.ravel(), (uses * np.log1p(-miss)).ravel(), GATES)
         # Far from the middle the true curvature vanishes, and steps by it would overshoot: a miss counts there too.
-        bend = (uses * np.maximum(p * (1 - p), np.abs(miss) / (np.abs(st) + 4))).ravel()
-        miss = (uses * miss * (np.abs(st) < 11.89)).ravel()
+        bend = (uses * np.maximum(miss * (1 - miss), miss / (np.abs(st) + 4))).astype(np.float32).ravel()
+        miss = (uses * (sign * miss * (np.abs(st) < 11.89))).astype(np.float32).ravel()
         order = np.argsort(gate.ravel(), kind="stable")
         cut = np.searchsorted(gate.ravel()[order], np.arange(GATES + 1))
-        x, miss, bend = x.reshape(INPUTS + 1, -1)[:, order], miss[order].astype(np.float32), bend[order].astype(np.float32)
+        x, miss, bend = x.reshape(INPUTS + 1, -1).take(order, 1), miss[order], bend[order]
         bent = x * bend
         for j in np.flatnonzero(np.diff(cut)).tolist():
             of = slice(cut[j], cut[j + 1])
@@ -681,15 +691,15 @@ def learn_weights(runs: DataFrame, ends: dict, zeros: np.ndarray, ones: np.ndarr
     first = mixer.w.astype(np.float64)
     w = before = first
     least = np.full(GATES, np.inf)
-    sent = runs.sparkSession.sparkContext.broadcast((ends, zeros, ones))
+    sent = runs.sparkSession.sparkContext.broadcast((ends, stretched_without_own(zeros, ones).astype(np.float16)))
     for i in range(STEPS):
         mixer.w = w.astype(np.float32)
 
         def pass_over(row: dict, mixer: Mixer = mixer) -> np.ndarray:
-            ends, zeros, ones = sent.value
+            ends, short = sent.value
             run = Run.unpack(row)
             run.head, run.tail = ends[row["first"], row["last"]]
-            return slopes(run, zeros, ones, mixer)
+            return slopes(run, short, mixer)
 
         slope, curve, length, sums, _ = np.split(summed(runs, pass_over, int(SLOPES[-1])), SLOPES)
         mixer.sums = sums.reshape(2, -1)
