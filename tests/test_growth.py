@@ -66,6 +66,44 @@ def test_paths_of_many_roots_are_not_written_for_each_pair(spark, written):
     assert sum(written.values()) < 4000  # not the 15,060 pairs
 
 
+def least_ways(edges, roots, deepest=64):
+    rows = []
+    for root in roots:
+        level, seen = {root: [root]}, {}
+        while level:
+            seen |= level
+            ways = [(y, [*level[x], y]) for x, y in edges if x in level and y is not None and y not in seen]
+            level = {y: min(w for z, w in ways if z == y) for y, _ in ways} if len(next(iter(level.values()))) <= deepest else {}
+        rows += [(root, node, len(way) - 1, " => ".join(way)) for node, way in seen.items()]
+    return sorted(rows)
+
+
+def shortest(e, roots, *more):
+    return sorted(map(tuple, G.shortest_paths(e, roots, *more).select("root", "node", "depth", "path").collect()))
+
+
+def test_nodes_that_one_edge_leads_to_are_not_searched(spark, written):
+    ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("r1", "r3")]
+    trees = [(f"r{i}", f"c{i}-{j}") for i in range(5) for j in range(20)] + [(f"c{i}-{j}", f"o{i}-{j}-{k}") for i in range(5) for j in range(20) for k in range(3)]
+    got = shortest(table(spark, ring + trees, "source target"), table(spark, [(f"r{i}",) for i in range(5)], "root"))
+    assert got == least_ways(ring + trees, [f"r{i}" for i in range(5)])
+    assert written["reach"] < 100  # the ring alone, not 405 nodes at several depths
+
+
+def test_paths_through_hanging_nodes_are_the_least(spark):
+    for seed, *more in ((0,), (2, 3, True)):
+        r = random.Random(seed)
+        edges = random_edges(seed, 8, 10) + [(f"n{r.randrange(8)}", f"t{i}") for i in range(5)] + [(f"t{i % 5}", f"u{i}") for i in range(10)]
+        edges += [(f"{r.choice('tu')}{r.randrange(5)}", f"n{r.randrange(8)}") for _ in range(8)] + [("lost", "lost too"), ("n1", None), (None, "n2"), ("u7", "u7"), ("n0", "t1")]
+        roots = ["n0", "n5", "t2", "u9", "alone"]
+        assert shortest(table(spark, edges, "source target"), table(spark, [(x,) for x in roots], "root"), *more) == least_ways(edges, roots, *more[:1]), seed
+    line = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("z", "y"), ("y", "y1"), ("y1", "y2"), ("y2", "y3"), ("y3", "y4")]
+    e = table(spark, line, "source target")
+    assert shortest(e, table(spark, [("a",)], "root"), 3) == least_ways(line, ["a"])
+    with pytest.raises(ValueError, match="a reaches nodes beyond depth 2"):
+        G.shortest_paths(e, table(spark, [("a",), ("y3",)], "root"), 2)
+
+
 def test_counts_of_roots_with_the_same_first_nodes_share_a_search(spark, written):
     ring = [(f"n{i}", f"n{(i + 1) % 64}") for i in range(64)]
     for edges, roots in (
