@@ -241,3 +241,29 @@ def test_great_components_give_what_small_ones_give(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(G, "GROUP_ROWS", 8)
     assert run() == whole
+
+
+def test_parents_of_pairs_are_those_of_reachable(spark):
+    edges = random_edges(7, 12, 30) + [("n1", "n1"), ("a", "n2"), ("a", "n2"), ("n3", None)]
+    e, roots = table(spark, edges, "source target"), table(spark, [("n0",), ("n4",), ("a",), ("alone",), ("a",)], "root")
+    rows = lambda df: sorted(map(str, df.select("root", "node", "parent", "depth", "rank").collect()))
+    assert rows(G.pair_parents(e, roots)) == rows(G.reachable(e.where("target is not null"), roots))
+    with pytest.raises(ValueError, match="a reaches more than 3 nodes"):
+        G.pair_parents(table(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("x", "y")], "source target"), table(spark, [("a",), ("x",)], "root"), max_nodes=3)
+    with pytest.raises(ValueError, match="reaches nodes beyond depth 1"):
+        G.pair_parents(table(spark, [("a", "b"), ("b", "d")], "source target"), table(spark, [("a",)], "root"), 1)
+
+
+def test_lineage_writes_what_fields_may_meet_and_deals_domains_whole(spark, written):
+    lines = [("c", "set", 5, i, f"p{i}") for i in range(4)] + [("c", "other", i, i, "p0") for i in range(300)]
+    calls = spark.createDataFrame([x[:4] for x in lines], "caller string, setter string, line int, column int")
+    sites = spark.createDataFrame([(c, s, at, col + (1 if col == 3 else 0), "src", p) for c, s, at, col, p in lines] + [("c", "set", 5, 2, "src", "p9"), ("c", "set", 6, 2, "src", "p9")], "caller string, setter string, line int, column int, source string, slot string")
+    reach = table(spark, [("op", "op", None), ("op", "c", "op")], "root node parent").withColumn("depth", F.when(F.col("node") == "op", 0).otherwise(1))
+    nodes = table(spark, [("op", "Op", "a"), ("c", "C", "f")], "node name file")
+    domains = spark.createDataFrame([("d0", "E", "get", True, [], [], [], False, ["v"])], "domain string, enum_fqn string, accessor string, complete boolean, external array<string>, unknown array<string>, literals array<string>, transformed boolean, values array<string>")
+    got = G.field_lineage(reach, nodes, table(spark, [("op", "f", "set"), ("op", "g", "unused"), ("op", "h", None)], "operation field setter"), calls, sites, calls.where("false"), table(spark, [("op", f"p{i}", "d0") for i in range(4)], "operation slot domain"), domains).collect()
+    got = {x["field"]: x for x in got}
+    assert got["f"]["evidence"] == ["write:f:5:0:src", "chain:Op => C", "write:f:5:1:src", "write:f:5:2:src", "write:f:5:3:src"]
+    assert (got["f"]["status"], got["f"]["unknowns"]) == ("known", ["unindexed setter call:f:6:2"])
+    assert [got[x]["warning"] for x in "gh"] == ["no operation-reachable write site", "setter not indexed"]
+    assert written["lineage"] < 50  # not the 600 rows of a setter that no field has
